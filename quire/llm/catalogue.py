@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["near_dup"]
+MODULES = ["near_dup", "contamination"]
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _name in MODULES:
