@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["near_dup", "contamination", "token_count"]
+MODULES = ["near_dup", "contamination", "token_count", "licences"]
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _name in MODULES:
