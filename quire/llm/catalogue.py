@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["near_dup", "contamination", "token_count", "licences"]
+MODULES = ["toxicity", "near_dup", "contamination", "licences", "token_count"]
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _name in MODULES:
