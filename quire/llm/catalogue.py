@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["toxicity", "near_dup", "contamination", "language", "licences", "token_count"]
+MODULES = ["toxicity", "near_dup", "contamination", "language", "mixture", "licences", "token_count"]
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _name in MODULES:
