@@ -110,7 +110,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     firsts = firsts.withColumn("before", F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(whole)))
     printed = with_fingerprint(base.select("doc_id", "text", key.alias("key"), bucket.alias("bucket")), "text", "print")
     sent = printed.join(F.broadcast(firsts.select(F.col("bucket").alias("of"), "first_key", "before")), F.col("bucket") == F.col("of"))
-    places = F.when(F.col("key") == F.col("first_key"), F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest")), F.struct(F.col("before"), F.lit(True)))).otherwise(F.array(F.struct(F.col("bucket"), F.lit(False))))
+    place = lambda bucket, guest: F.struct(F.col(bucket).cast("int").alias("b"), F.lit(guest).alias("guest"))
+    places = F.when(F.col("key") == F.col("first_key"), F.array(place("bucket", False), place("before", True))).otherwise(F.array(place("bucket", False)))
     sent = sent.select("doc_id", "text", "key", "print", F.explode(places).alias("p")).select("doc_id", "text", "key", "print", "p.b", "p.guest")
     order = Window.partitionBy("b").orderBy("guest", "key", "text")
     met = sent.select("*", F.lead("text").over(order).alias("next_text"), F.lead("print").over(order).alias("next_print")).filter("not guest")
