@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["toxicity", "fingerprint", "private_data", "near_dup", "contamination", "language", "mixture", "licences", "token_count"]
+MODULES = ["toxicity", "mixing_model", "fingerprint", "private_data", "near_dup", "contamination", "language", "mixture", "licences", "token_count"]
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _name in MODULES:
