@@ -7,9 +7,14 @@ documents copy alike. Runs of bins form bands; documents with an equal band shar
 
 Pair counts stay linear: documents with the same words are one node, and a bucket emits star edges from
 a hub, its most widely connected member, to the others. An edge counts only after the two full shingle
-sets were compared. A bucket whose members are then still in several components takes further hubs
-(HUBS of them a round, more in each round) until each of its pairs was either compared or joined by
-other edges; so the star never loses a link that the full bucket has.
+sets were compared. Where the members of a bucket are then still in several components, those outside the
+bucket's largest one become hubs as well, at most HUBS of them a turn, until every pair of the bucket was
+either a candidate or joined by other edges; so the star never loses a link that the full bucket has.
+
+Two exact bounds cut the later turns: a link needs enough shared shingles, and a document shares none of the
+shingles that only it has. Before full sets are read, a pair must agree in enough of the bins that either fills, kept to eight bits a bin: the
+least share allowed lies SIGMAS standard errors below the threshold, which a linked pair misses with a
+chance of about 1e-9.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -28,7 +33,9 @@ from .wordhash import U, mix, powers, sequence_keys, shingles, slices, words_of
 
 BITS = 54  # of a shingle's hash inside a document; the ten above hold the row within a slice
 EMPTY = np.iinfo(np.uint64).max
-HUBS = (1, 8, 64)
+HUBS = 256
+SIGMAS = 6.0
+LOW = 0x0101010101010101
 
 
 def shape(threshold: float, miss: float = 1e-5) -> tuple[int, int]:
@@ -87,10 +94,13 @@ def _signer(k: int, size: int, bands: int):
                 one, two = sequence_keys(w)
                 row, sh = shingles(w, k)
                 n, minima = one_permutation(row, sh, part.num_rows, size * bands)
-                keys = band_keys(densify(minima), size, bands)
+                full = densify(minima)
+                keys = band_keys(full, size, bands)
+                sketch = np.zeros((part.num_rows, -(-size * bands // 8) * 8), np.uint8)
+                sketch[:, : size * bands] = np.where(minima == EMPTY, U(0), minima % U(255) + U(1))
                 some = n > 0
-                lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(some * bands)].astype(np.int32), keys[some].ravel().view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], names=["doc_id", "n_shingles", "k1", "k2", "bands"])
+                lists = [pa.ListArray.from_arrays(np.r_[0, np.cumsum(some * x.shape[1])].astype(np.int32), x[some].ravel().view(np.int64)) for x in (keys, sketch.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *lists], names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
 
     return sign
 
@@ -127,6 +137,20 @@ def _linked(percent: int):
     return check
 
 
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(node, own): how many shingles of a node no other node has. Nodes with several sets (a repeated id) are left out."""
+    single = sets.groupBy("node").agg(F.count(F.lit(1)).alias("sets")).filter("sets = 1")
+    holders = sets.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("node"))
+    return holders.filter("holders = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own")).join(single, "node", "left_semi")
+
+
+def _zero_bytes(z: Column) -> Column:
+    """The lowest bit of each byte is set where the byte of ``z`` is zero."""
+    for step in (4, 2, 1):
+        z = z.bitwiseOR(F.shiftrightunsigned(z, step).bitwiseAND(F.lit({4: 0x0F0F0F0F0F0F0F0F, 2: 0x3F3F3F3F3F3F3F3F, 1: 0x7F7F7F7F7F7F7F7F}[step])))
+    return F.bitwise_not(z)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs``.
 
@@ -140,53 +164,79 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     """
     size, bands = shape(percent / 100)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = kept(base.mapInArrow(_signer(k, size, bands), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signatures")
+    signed = kept(base.mapInArrow(_signer(k, size, bands), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>"), "signatures")
 
     some = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = kept(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "classes")
     nodes = some.join(classes.select("k1", "k2", F.col("node").alias("doc_id")), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
-    banded = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    nodes = kept(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "sketch"), "nodes")
+    banded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     live = kept(banded.join(shared, "bucket"), "buckets")
-
+    reach = live.groupBy("node").agg(F.sum("members").alias("reach"))
+    sketches = nodes.select("node", "n", "sketch")
     sets = kept(
-        base.join(live.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(k), "node long, items array<long>").dropDuplicates(["node", "items"]),
+        base.join(reach.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(k), "node long, items array<long>").dropDuplicates(["node", "items"]),
         "sets",
     )
-    reach = kept(live.groupBy("node").agg(F.sum("members").alias("reach")), "reach")
-    live = live.join(reach, "node").withColumn("root", F.col("node")).withColumn("asked", F.lit(False))
-    edges = seen = roots = None
-    turn = 0
-    while True:
-        hubs = HUBS[min(turn, len(HUBS) - 1)]
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("asked", F.desc("reach"), "node"))
-        first = live.filter(~F.col("asked")).withColumn("rank", rank).filter(F.col("rank") <= hubs)
-        first = kept(first.select("bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root")), "hubs")
-        if first.isEmpty():
-            break
-        near = (F.col("node") != F.col("hub")) & (F.col("root") != F.col("hub_root")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-        pairs = live.join(first, "bucket").filter(near).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        pairs = kept(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+
+    def alike(one: str, other: str, n: str, m: str) -> Column:
+        zeros = lambda z: F.bit_count(F.lit(LOW).bitwiseAND(_zero_bytes(z)))
+        total = lambda xs: F.aggregate(xs, F.lit(0), lambda t, x: t + x)
+        none = total(F.zip_with(one, other, lambda x, y: zeros(x.bitwiseOR(y))))
+        equal = total(F.zip_with(one, other, lambda x, y: zeros(x.bitwiseXOR(y)))) - none
+        used, p = F.lit(-(-size * bands // 8) * 8) - none, percent / 100
+        # Bins sample the union of the two sets, which has (n + m) / (1 + p) shingles at most, without putting any back.
+        spread = F.sqrt(p * (1 - p) / used * F.greatest(F.lit(0.05), 1 - used * (1 + p) / (F.col(n) + F.col(m))))
+        return equal >= used * (p - SIGMAS * spread)
+
+    def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("of_b")), "b")
-        found = kept(both.select("a", "b", "of_a", "of_b").mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        roots = components(edges)
-        turn += 1
-        # What is left: members that were no hub yet, in buckets that still hold several components.
-        done = first.select("bucket", F.col("hub").alias("node"), F.lit(True).alias("hit"))
-        now = live.drop("root").join(roots, "node", "left").join(done, ["bucket", "node"], "left")
-        now = now.withColumn("root", F.coalesce("root", "node")).withColumn("asked", F.col("asked") | F.coalesce("hit", F.lit(False))).drop("hit")
-        open_ = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum((~F.col("asked")).cast("long")).alias("left"))
-        open_ = open_.filter("low < high and left > 1").select("bucket")
-        live = kept(now.join(open_, "bucket", "left_semi"), "buckets")
-        if live.isEmpty():
+        return kept(both.select("a", "b", "of_a", "of_b").mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
+
+    ends = [F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")]
+    sized = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    hub = live.join(reach, "node").groupBy("bucket").agg(F.max(F.struct("reach", (-F.col("node")).alias("minus"), "n")).alias("h"))
+    first = kept(hub.select("bucket", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
+    pairs = live.join(first, "bucket").filter((F.col("node") != F.col("hub")) & sized).select(*ends).distinct()
+    of = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    pairs = kept(pairs.join(of("a"), "a").join(of("b"), "b").filter(alike("s_a", "s_b", "n_a", "n_b")).select("a", "b"), "pairs")
+    seen, edges = pairs, verified(pairs)
+    roots = components(edges)
+    asked = first.select("bucket", F.col("hub").alias("node"))
+    live, own = live.select("bucket", "node", "n"), None
+    while True:
+        # Members that were no hub yet, outside the largest component of a bucket that holds several.
+        now = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        parts = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("members"))
+        major = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("members", "root")).alias("m")).filter("parts > 1")
+        now = kept(now.join(major.select("bucket", F.col("m.root").alias("major")), "bucket").join(asked.withColumn("hit", F.lit(True)), ["bucket", "node"], "left"), "open")
+        if own is None:
+            own = kept(_own_shingles(sets.join(now.select("node").distinct(), "node", "left_semi")), "own")
+        now = now.join(own, "node", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+        linkable = 100 * F.col("common") >= percent * F.col("n")
+        hubs = now.filter("hit is null and root <> major").filter(linkable).withColumn("rank", rank).filter(F.col("rank") <= HUBS)
+        hubs = kept(hubs.join(nodes.select("node", "sketch", "bands"), "node").select("bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"), F.col("common").alias("hub_common"), F.col("sketch").alias("hub_sketch"), F.col("bands").alias("hub_bands")), "hubs")
+        if hubs.isEmpty():
             break
+        live = now.join(hubs.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "node", "n")
+        rows = now.filter(linkable).join(nodes.select("node", "sketch", "bands"), "node").withColumn("at", F.col("bucket"))
+        most = F.least("common", "hub_common")
+        enough = 100 * most >= percent * (F.col("n") + F.col("hub_n") - most)
+        common_band = F.filter(F.zip_with("bands", "hub_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+        once = F.get(common_band, F.lit(0)) == F.col("at")  # a pair comes from the first bucket that it shares
+        on = (rows["bucket"] == hubs["bucket"]) & (F.col("node") != F.col("hub")) & (F.col("root") != F.col("hub_root")) & enough & once & alike("sketch", "hub_sketch", "n", "hub_n")
+        pairs = kept(rows.join(hubs, on).select(*ends).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
+        asked = asked.unionByName(hubs.select("bucket", F.col("hub").alias("node")))
+        if pairs.isEmpty():
+            continue
+        seen, found = seen.unionByName(pairs), verified(pairs)
+        if not found.isEmpty():
+            edges = edges.unionByName(found)
+            roots = components(edges)
     out = signed.join(classes, ["k1", "k2"], "left")
-    if roots is not None:
-        out = out.join(roots, "node", "left")
-    else:
-        out = out.withColumn("root", F.lit(None).cast("long"))
+    out = out.join(roots, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(component)
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
