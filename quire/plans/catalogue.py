@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import page_queries, store_queries, vector_queries
+
+QUERIES = page_queries.QUERIES | vector_queries.QUERIES | store_queries.QUERIES
+SQL = page_queries.SQL | vector_queries.SQL | store_queries.SQL
