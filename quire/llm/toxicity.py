@@ -133,10 +133,10 @@ def _found(model: Model):
     return run
 
 
-def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Fit on (key, text, y) with y 0 or 1: at most ``max_train`` rows, taken by the hash of their key; repeated texts count once."""
-    some = labelled.filter("y is not null and text is not null").select("y", "text", F.xxhash64("key", "text").alias("at"))
-    sample = kept(some.orderBy("at").limit(max_train).dropDuplicates(["text"]).select("y", "text"), "labelled")
+def fit(labelled: DataFrame) -> Model:
+    """Fit on (text, y) with y 0 or 1, as labelled_texts() cuts them; repeated texts count once."""
+    some = labelled.filter("y is not null and text is not null").select("y", "text")
+    sample = kept(some.dropDuplicates(["text"]), "labelled")
     counts = kept(sample.mapInArrow(_frequencies, "token long, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "frequencies")
     nt, nc = (float(x or 0) for x in counts.agg(F.sum("toxic"), F.sum("clean")).first())
     if not nt or not nc:
@@ -145,7 +145,7 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     t, c = F.col("toxic") + a, F.col("clean") + a
     whole = PRIOR * (nt + nc)
     odds = F.log(t / (F.lit(nt + whole) - t)) - F.log(c / (F.lit(nc + whole) - c))
-    # At most max_train texts stand behind these rows, so what passes the test is bounded too.
+    # At most MAX_TRAIN texts stand behind these rows, so what passes the test is bounded too.
     rows = counts.withColumn("w", odds).filter(F.abs("w") >= Z * F.sqrt(1 / t + 1 / c)).select("token", "w", (c / F.lit(nc + whole)).alias("share")).orderBy("token").toPandas()
     model = Model(rows.token.to_numpy(np.int64).view(U), np.maximum(rows.w.to_numpy(), -1.0), rows.share.to_numpy())
     got = sample.mapInArrow(_found(model), "y int, n long, best double, all_scores array<double>").select("y", "n", "all_scores").toPandas()
@@ -189,10 +189,10 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """(key, text, y) for fit(). The label rows are cut to ``max_train`` first, so that at most so many ids are broadcast."""
+    """(text, y) for fit(). The label rows are cut, by the hash of their id, to ``max_train`` first, so that at most so many ids are broadcast."""
     rows = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     few = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select(F.col("doc_id").alias("key"), "text", "y")
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "y")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
