@@ -33,12 +33,11 @@ SLICE_PAGES = "slice_pages as (select source, i + 1 as page, substr(text, i * 80
 
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as one-page files; a tag ends a line and blank lines go."""
-    t = F.regexp_replace("html", r"<[^>]*>", "\n")
-    rows = F.filter(F.split(t, "\n"), lambda x: F.length(F.trim(F.regexp_replace(x, r"[ \t\r\f]+", " "))) > 0)
-    return table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("source"), F.lit(1).cast("long").alias("page"), F.array_join(rows, "\n").alias("text"))
+    t = F.regexp_replace(F.regexp_replace("html", r"<[^>]*>", "\n"), r"\n[ \t\r\f\n]*\n", "\n")
+    return table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("source"), F.lit(1).cast("long").alias("page"), F.regexp_replace(t, r"^\n|\n\z", "").alias("text"))
 
 
-HTML_PAGES = r"html_pages as (select page_id::varchar as source, 1::bigint as page, array_to_string(list_filter(string_split(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10)), lambda x: length(trim(regexp_replace(x, '[ \t\r\f]+', ' ', 'g'))) > 0), chr(10)) as text from pages)"
+HTML_PAGES = r"html_pages as (select page_id::varchar as source, 1::bigint as page, regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', chr(10), 'g'), '\n[ \t\r\f\n]*\n', chr(10), 'g'), '^\n|\n$', '', 'g') as text from pages)"
 
 
 def turn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
