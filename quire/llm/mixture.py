@@ -81,7 +81,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     all_ = plan.select(F.col("source").alias("whole"), F.col("source_size").alias("whole_size"), F.col("target").alias("whole_target"))
     end = F.col("before") + F.col("rank")
     copies = F.floor(end * F.col("expected") + F.col("offset")) - F.floor((end - 1) * F.col("expected") + F.col("offset"))
-    out = out.withColumn("copies", F.coalesce(F.least(copies, F.lit(most)), F.lit(0)).cast("long"))
+    out = out.withColumn("copies", F.when(F.col("before").isNotNull(), F.least(copies, F.lit(most))).otherwise(F.lit(0)).cast("long"))
     none = out.filter("before is null").join(all_, F.col("source").eqNullSafe(F.col("whole")), "left")
     columns = ["doc_id", "source", "size"]
     some = out.filter("before is not null").select(*columns, "source_size", "target", "copies")
