@@ -56,9 +56,10 @@ class Network:
         n = x.shape[1] - 3
         return np.concatenate([sum(w[j][x[:, j : j + n]] for j in range(len(w))) for w in self.conv], axis=2)
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 7) -> None:
-        """Adam on the cross-entropy; only the places of the largest responses carry gradients to the filters."""
+    def train(self, x: np.ndarray, y: np.ndarray, steps: int = 900, batch: int = 128, rate: float = 0.01, seed: int = 7) -> None:
+        """Adam on the cross-entropy, for ``steps`` batches and six passes at least; only the places of the largest responses carry gradients to the filters."""
         rng = np.random.default_rng(seed)
+        epochs = max(6, -(-steps * batch // max(1, len(x))))
         params = [*self.conv, self.bias, self.out, self.out_bias]
         m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         for epoch in range(epochs):
