@@ -148,13 +148,13 @@ def fit(labelled: DataFrame) -> Model:
     # At most MAX_TRAIN texts stand behind these rows, so what passes the test is bounded too.
     rows = counts.withColumn("w", odds).filter(F.abs("w") >= Z * F.sqrt(1 / t + 1 / c)).select("token", "w", (c / F.lit(nc + whole)).alias("share")).orderBy("token").toPandas()
     model = Model(rows.token.to_numpy(np.int64).view(U), np.maximum(rows.w.to_numpy(), -1.0), rows.share.to_numpy())
-    got = sample.mapInArrow(_found(model), "y int, n long, best double, all_scores array<double>").select("y", "n", "all_scores").toPandas()
-    n, y = got.n.to_numpy(), got.y.to_numpy(float)
+    got = sample.mapInArrow(_found(model), "y int, n long, best double, all_scores array<double>").select("y", "n", "all_scores").toArrow()
+    n, y, found = got["n"].to_numpy(), got["y"].to_numpy().astype(float), got["all_scores"].to_pylist()
     clean = y == 0
     low = 2.0
-    hits = sum(sum(s >= low for s in x) for x in got.all_scores[clean])
+    hits = sum(sum(s >= low for s in x) for x, ok in zip(found, clean, strict=True) if ok)
     model.log_k = float(np.log((hits + 0.5) / max(1, n[clean].sum())) + model.lam * low)
-    x = model.evidence(np.maximum(n, 1), [[(s, 0, 0) for s in v] for v in got.all_scores])
+    x = model.evidence(np.maximum(n, 1), [[(s, 0, 0) for s in v] for v in found])
     model.slope, model.bias = _logistic(x / CLIP, y)
     return model
 
