@@ -6,6 +6,9 @@ one after the other by several hashed contexts (none, the last code, the last tw
 of frequent words); each keeps counts of its codes over all training texts, from which a node of the code
 tree has its chance of a one. The predictions, stretched and weighted by confidence, are combined by weights that
 the node selects (the gate), learned online by the coding error, and a final table refines the result adaptively.
+Weights and table are learned over whole texts of all training rows: in each of ROUNDS rounds every task starts from
+the parameters of the round before, and a parameter becomes the mean of the tasks', each weighted by the tokens that
+reached it there. After the last round they are frozen.
 Inside a class a token has the share (c+1) / (C+V+1) of its class, with c its training count, C the class's
 tokens and V its distinct tokens; so the model prices every text, and bits per byte follow from the sum.
 
@@ -32,7 +35,7 @@ ROWS = (1, 256, 4096, 2048)
 STARTS = (0, 1, 257, 4353)
 N_ROWS = sum(ROWS)
 HEAVY = 1 << 21
-MIX_TEXTS, MIX_TOKENS = 600, 2048  # texts, and tokens of each, that the mixing weights are learned on
+ROUNDS, BLOCK, STEP = 2, 2048, 64  # passes over all training texts; tokens of an online step, and those of a node that count in full
 RATE = 0.02
 
 
@@ -123,34 +126,43 @@ class Mixer:
         tree[:, CODES:] = counts.reshape(N_ROWS, CODES)
         for node in range(CODES - 1, 0, -1):
             tree[:, node] = tree[:, 2 * node] + tree[:, 2 * node + 1]
-        self.n, self.ones = tree[:, :CODES].copy(), np.zeros((N_ROWS, CODES), np.float32)
-        self.ones[:, 1:] = tree[:, 3::2]
+        n, ones = tree[:, :CODES], np.zeros((N_ROWS, CODES), np.float32)
+        ones[:, 1:] = tree[:, 3::2]
         self.inputs = len(ROWS) + 1
         self.weight = np.full((CODES, self.inputs), 0.3, np.float32)
         self.weight[:, -1] = 0
         grid = np.arange(-16, 17) / 2
         self.refine = np.repeat((1 / (1 + np.exp(-grid)))[None], 8, 0)
-        self.table = self._stretch(self.ones, self.n)
+        self.table = self._stretch(ones, n)
+        # The same without the token itself, by its bit at the node.
+        less = np.maximum(n - 1, 0)
+        self.without = np.concatenate([self._stretch(np.clip(ones - bit, 0, less), less).ravel() for bit in (0, 1)])
 
     @staticmethod
     def _stretch(ones: np.ndarray, n: np.ndarray) -> np.ndarray:
         return (np.log((ones + 0.4) / (n - ones + 0.4)) * (n / (n + 2.0))).astype(np.float32)
 
-    def fit(self, rows: np.ndarray, codes: np.ndarray, block: int = 64) -> None:
-        """Online over the sample, block by block; each token's own count is taken out of its predictions."""
-        for a in range(0, len(codes), block):
-            r, c = rows[:, a : a + block], codes[a : a + block]
+    def fit(self, rows: np.ndarray, codes: np.ndarray, seen: np.ndarray, seen_refine: np.ndarray) -> None:
+        """Online, block by block; each token's own count is taken out of its predictions. seen: get the visits of each node and cell."""
+        for a in range(0, len(codes), BLOCK):
+            flat, c = rows[:, a : a + BLOCK] * CODES, codes[a : a + BLOCK]
+            x = np.ones((self.inputs, len(c)), np.float32)
             for depth in range(8):
                 node = (CODES | c) >> (8 - depth)
                 bit = (c >> (7 - depth)) & 1
-                n, ones = self.n[r, node] - 1, self.ones[r, node] - bit
-                x = np.concatenate([self._stretch(np.maximum(ones, 0), np.maximum(n, 0)), np.ones((1, len(c)), np.float32)])
-                w = self.weight[node]
-                z = (w.T * x).sum(0)
-                p = 1 / (1 + np.exp(-np.clip(z, -12, 12)))
-                np.add.at(self.weight, node, RATE * ((bit - p) * x).T)
+                x[:-1] = self.without[flat + (node + bit * (N_ROWS * CODES))]
+                z = np.einsum("kt,tk->t", x, self.weight[node])
+                error = bit - 1 / (1 + np.exp(-np.clip(z, -12, 12)))
+                visits = np.bincount(node, minlength=CODES)
+                rate = RATE * np.minimum(1, STEP / np.maximum(visits, 1))
+                for k in range(self.inputs):
+                    self.weight[:, k] += rate * np.bincount(node, error * x[k], CODES)
                 at = np.clip(np.rint(z * 2), -16, 16).astype(np.int64) + 16
-                np.add.at(self.refine[depth], at, 0.005 * (bit - self.refine[depth][at]))
+                cells = np.bincount(at, minlength=33)
+                mean = np.bincount(at, bit, 33) / np.maximum(cells, 1)
+                self.refine[depth] += (1 - 0.995**cells) * (mean - self.refine[depth])
+                seen += visits
+                seen_refine[depth] += cells
 
     def log10(self, rows: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Of the code of each token."""
@@ -174,16 +186,25 @@ class Mixer:
         return out
 
 
-def _sampler(coder: Coder, end_code: int):
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _learner(coder: Coder, mixer: Mixer, end_code: int):
+    """One round: what a task makes of the parameters with its texts, as sums weighted by visits. The slots: weights, then the refining table."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first_weight, first_refine = mixer.weight, mixer.refine
+        mixer.weight, mixer.refine = first_weight.copy(), first_refine.copy()
+        seen, seen_refine = np.zeros(CODES, np.int64), np.zeros(mixer.refine.shape, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                tokens, first = tokens_of(part.column(1))
-                codes = coder.codes(tokens).astype(np.uint8)
-                ends = np.r_[first[1:], len(codes)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([codes[a : min(b, a + MIX_TOKENS)].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())], names=["at", "codes"])
+                tokens, first = tokens_of(part.column(0))
+                codes = coder.codes(tokens)
+                mixer.fit(coder.rows(codes, first, end_code), codes, seen, seen_refine)
+        value = np.concatenate([mixer.weight.ravel(), mixer.refine.ravel()]).astype(float)
+        visits = np.concatenate([np.repeat(seen, mixer.inputs), seen_refine.ravel()])
+        mixer.weight, mixer.refine = first_weight, first_refine
+        some = np.flatnonzero(visits)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(value[some] * visits[some]), pa.array(visits[some])], names=["slot", "value", "visits"])
 
-    return sample
+    return learn
 
 
 def _scorer(coder: Coder, mixer: Mixer, end_code: int, heavy: np.ndarray, heavy_c: np.ndarray, class_log: np.ndarray):
@@ -223,7 +244,7 @@ def context_mixing_scores(docs: DataFrame, training: DataFrame, id_col: str = "d
     Repeated rows, null ids and empty tables pass through; other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    learn = training.select(F.xxhash64(id_col).alias("at"), F.col(text_col).cast("string").alias("text"))
+    learn = training.select(F.col(text_col).cast("string").alias("text"))
     counts = kept(learn.select("text").mapInArrow(_counter, "token long, n long").groupBy("token").agg(F.sum("n").alias("c")), "token-counts")
     total, distinct = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     total = total or 0
@@ -235,14 +256,13 @@ def context_mixing_scores(docs: DataFrame, training: DataFrame, id_col: str = "d
     table[slots["slot"].to_numpy()] = slots["n"].to_numpy()
     mixer = Mixer(table)
     del slots, table
-    keys = learn.select("at").distinct().orderBy("at").limit(MIX_TEXTS)
-    some = learn.join(F.broadcast(keys), "at").mapInArrow(_sampler(coder, end_code), "at long, codes binary").toArrow()
-    if some.num_rows:
-        parts = [np.frombuffer(x, np.uint8).astype(np.int64) for _, x in sorted(zip(some["at"].to_pylist(), some["codes"].to_pylist(), strict=True))]
-        starts = np.cumsum([0, *map(len, parts)])[:-1]
-        codes = np.concatenate(parts)
-        mixer.fit(coder.rows(codes, starts, end_code), codes)
-    mixer.n = mixer.ones = None  # the scorer needs only the stretched table
+    for _ in range(ROUNDS if total else 0):
+        got = learn.select("text").mapInArrow(_learner(coder, mixer, end_code), "slot int, value double, visits long").groupBy("slot").agg((F.sum("value") / F.sum("visits")).alias("mean")).toArrow()
+        value = np.concatenate([mixer.weight.ravel(), mixer.refine.ravel()]).astype(float)
+        value[got["slot"].to_numpy()] = got["mean"].to_numpy()
+        mixer.weight = value[: mixer.weight.size].reshape(mixer.weight.shape).astype(np.float32)
+        mixer.refine = value[mixer.weight.size :].reshape(mixer.refine.shape)
+    mixer.without = None  # the scorer needs only the stretched table
     single = F.lit(False) if not len(top) else F.col("token").isin([int(x) for x in top.view(np.int64)])
     shared = counts.filter(~single).groupBy((F.shiftrightunsigned("token", 57) + SINGLE).alias("code")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toArrow()
     c, v = np.zeros(CODES), np.zeros(CODES)

@@ -152,6 +152,24 @@ def test_scores(spark, odd, none):
     assert unseen.n_known == 0 and unseen.base_score == 0 and unseen.score == pytest.approx(3 * 8 * math.log10(0.5))
 
 
+def test_weights_are_learned_from_all_training_texts(spark, monkeypatch):
+    """Every token of every text reaches the gates: those of more than 600 texts, and of long texts to their end."""
+    rows = [(i, f"w{i % 90} some words", "en", "s") for i in range(1500)] + [(2000, "a long text " * 3000, "en", "s")]
+    learner, tokens = mixing_model._learner, []
+
+    def watch(coder, mixer, end_code):
+        def run(batches):
+            for b in learner(coder, mixer, end_code)(batches):
+                yield b
+
+        tokens.append(frame(spark, rows).select("text").mapInArrow(run, "slot int, value double, visits long").filter(F.col("slot") == mixer.inputs).agg(F.sum("visits")).first()[0])
+        return learner(coder, mixer, end_code)
+
+    monkeypatch.setattr(mixing_model, "_learner", watch)
+    got = mixing_model.context_mixing_scores(frame(spark, rows), frame(spark, rows))
+    assert tokens == [got.first().train_tokens] * mixing_model.ROUNDS == [1500 * 4 + 9001] * mixing_model.ROUNDS
+
+
 def test_scores_with_a_short_heavy_list(spark, small, table, monkeypatch):
     monkeypatch.setattr(mixing_model, "HEAVY", 200)
     got = catalogue.QUERIES["op2_context_mixing"](spark, small).collect()
