@@ -100,6 +100,28 @@ def citation_check(spark, sf_dir):
     return G.check_citations(_items(spark, sf_dir), _chunks(spark, sf_dir))
 
 
+#: All documents as material, five pages apart.
+_WHOLE = "chunks as (select source, doc_id * 5 as page, case when doc_id % 4 = 0 then doc_id * 5 + doc_id % 3 end as page_end from documents)"
+_WHOLE_ITEMS = "items as (select doc_id as n, case when doc_id % 10 = 0 then 'nowhere' else source end as source, doc_id * 5 + doc_id % 7 as page from documents)"
+_WHOLE_CHECKED = _CHECKED.replace(_CHUNKS, _WHOLE).replace(_ITEMS, _WHOLE_ITEMS)
+
+
+def _whole_chunks(spark, sf_dir):
+    page = F.col("doc_id") * 5
+    return B.table(spark, sf_dir, "documents").select("source", page.alias("page"), F.when(F.col("doc_id") % 4 == 0, page + F.col("doc_id") % 3).alias("page_end"))
+
+
+@query(f"with {_ALLOWED.replace(_CHUNKS, _WHOLE)} select source, page from allowed")
+def allowed_pages_whole(spark, sf_dir):
+    return G.allowed_pages(_whole_chunks(spark, sf_dir))
+
+
+@query(f"with {_WHOLE_CHECKED} select n, source, page, status, case when status <> 'dropped' then given end as cited_page, case when of is null then source || ' p' || page || ': no such file in the material' when status = 'dropped' then source || ' p' || page || ': page not among those given' end as reason from checked")
+def citation_check_whole(spark, sf_dir):
+    items = _items(spark, sf_dir).withColumn("page", F.col("n") * 5 + F.col("n") % 7)
+    return G.check_citations(items, _whole_chunks(spark, sf_dir))
+
+
 _EXAM = "items as (select doc_id + 1 as n, case when doc_id % 6 = 5 then ' ' else 'topic ' || doc_id % 6 end as topic, 'What is ' || doc_id || '?' as question, 'It is ' || lang || '.' as answer, source, doc_id % 9 + 1 as page from documents)"
 
 

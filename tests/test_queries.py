@@ -44,6 +44,15 @@ def test_query(spark, small, duck, name):
     assert rows(got) == rows(want)
 
 
+def test_citations_of_the_whole_material(spark, small):
+    """Every document's pages are in the material, and all three outcomes occur."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    pages = {tuple(r) for r in catalogue.QUERIES["allowed_pages_whole"](spark, small).select("source", "page").collect()}
+    assert {(r.source, r.doc_id * 5) for r in docs} <= pages
+    got = catalogue.QUERIES["citation_check_whole"](spark, small).collect()
+    assert len(got) == len(docs) and {r.status for r in got} == {"kept", "repaired", "dropped"}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
