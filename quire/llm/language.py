@@ -3,8 +3,12 @@
 Bytes fold to 64 symbols (letters without case, blanks, digits, punctuation, lead bytes, and continuation
 bytes modulo 32, which also drops the case of accented Latin letters). Filters of two, three and four symbols
 slide over windows of WINDOW bytes; the largest response of each filter in a window goes through a
-rectifier and a softmax layer. A text is cut into consecutive windows, all of it, and its language is the
-one of the largest mean probability, windows weighing as many bytes as they hold.
+rectifier and a softmax layer. A text is cut into consecutive windows, all of it, with blanks behind its end, and
+its language is the one of the largest mean probability, windows weighing as many bytes as they hold. What a row
+gets depends on its own text only, to the last bit.
+
+The network is fitted on labelled windows: every labelled text is cut whole, and of all windows of a language
+about MAX_WINDOWS are drawn by a hash of the text and the window's place.
 
 A convolution of one-hot symbols is a sum of table rows, so the filters are applied as two lookups by symbol
 pairs for each byte.
@@ -16,15 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import documents, id_remainder
-from .wordhash import raw_bytes, slices
+from .wordhash import U, mix, raw_bytes, slices
 
 WINDOW, FILTERS, WIDTHS = 256, 16, (2, 3, 4)
-MAX_TRAIN_PER_LANGUAGE = 1500  # texts that the classifier is fitted on
-WINDOWS_PER_TEXT = 4
+MAX_WINDOWS = 6000  # labelled windows of each language that the classifier is fitted on, in expectation
 BLANK = 26
 
 
@@ -101,17 +104,17 @@ class Network:
         second = np.concatenate([pair(three[2], zero), pair(four[2], four[3])], axis=1)
         return np.ascontiguousarray(first), np.ascontiguousarray(second)
 
-    def probabilities(self, symbols: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Of each window of ``symbols``, whose length is a multiple of WINDOW."""
+    def probabilities(self, symbols: np.ndarray, start: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Of the windows that begin at ``start`` in ``symbols``, with three further symbols behind each."""
         out = []
-        padded = np.concatenate([symbols, np.full(3, BLANK, np.uint8)]).astype(np.int32)
-        pairs = padded[:-1] * 64 + padded[1:]
-        for a in range(0, len(symbols), WINDOW * 64):
-            b = min(len(symbols), a + WINDOW * 64)
-            r = first[pairs[a:b]]
-            r[:, FILTERS:] += second[pairs[a + 2 : b + 2]]
-            top = r.reshape(-1, WINDOW, r.shape[1]).max(axis=1) + self.bias
-            z = np.maximum(top, 0) @ self.out + self.out_bias
+        wide = symbols.astype(np.int32)
+        pairs = wide[:-1] * 64 + wide[1:]
+        for a in range(0, len(start), 64):
+            at = (start[a : a + 64, None] + np.arange(WINDOW)).ravel()
+            r = first[pairs[at]]
+            r[:, FILTERS:] += second[pairs[at + 2]]
+            h = np.maximum(r.reshape(-1, WINDOW, r.shape[1]).max(axis=1) + self.bias, 0)
+            z = self.out_bias + (h[:, :, None] * self.out).sum(axis=1)  # not a matrix product, whose rounding follows the batch
             p = np.exp(z - z.max(1, keepdims=True))
             out.append(p / p.sum(1, keepdims=True))
         return np.concatenate(out) if out else np.empty((0, len(self.languages)), np.float32)
@@ -119,14 +122,14 @@ class Network:
     def predict(self, text: pa.Array, tables) -> tuple[list[str], np.ndarray]:
         data, off = raw_bytes(text)
         n = np.diff(off)
-        size = (n + 2 + WINDOW) // WINDOW * WINDOW  # at least two blanks behind each text
-        start = np.cumsum(size) - size
+        windows = np.maximum(1, -(-n // WINDOW))
+        size = windows * WINDOW + 3  # no window reads on into the next text
+        begin = np.cumsum(size) - size
         symbols = np.full(int(size.sum()), BLANK, np.uint8)
-        symbols[np.arange(len(data)) + np.repeat(start - off[:-1], n)] = FOLD[data]
-        p = self.probabilities(symbols, *tables)
-        windows = size // WINDOW
+        symbols[np.arange(len(data)) + np.repeat(begin - off[:-1], n)] = FOLD[data]
         row = np.repeat(np.arange(len(n)), windows)
         place = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+        p = self.probabilities(symbols, begin[row] + place * WINDOW, *tables)
         weight = np.maximum(np.minimum(n[row] - place * WINDOW, WINDOW), 0)
         total = np.zeros((len(n), len(self.languages)))
         np.add.at(total, row, p * weight[:, None])
@@ -143,31 +146,33 @@ class Network:
         return names, score
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows spread evenly over each text; the first is cut short, so that short texts are learned too."""
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of (lang, text, hash, share), each with the chance ``share``; every fourth is cut short, so that short texts are learned too."""
     for batch in batches:
         for part in slices(batch, "text"):
             data, off = raw_bytes(part.column(1))
-            langs, xs, which = part.column(0).to_pylist(), [], []
-            for r, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-                for j in range(WINDOWS_PER_TEXT):
-                    at = a + max(0, b - a - WINDOW) * j // max(1, WINDOWS_PER_TEXT - 1)
-                    piece = data[at : min(b, at + (WINDOW if j else 16 + 24 * (r % 8)))]
-                    if len(piece):
-                        xs.append(bytes(piece))
-                        which.append(langs[r])
-                    if b - a <= WINDOW and j:
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(which, pa.string()), pa.array(xs, pa.binary())], names=["lang", "piece"])
-
-
-def fit(labelled: DataFrame, max_per_language: int = MAX_TRAIN_PER_LANGUAGE) -> Network | None:
-    """Fit on (key, text, lang): at most ``max_per_language`` texts of each language, taken by the hash of their key. None without rows."""
-    rows = labelled.filter("lang is not null and text is not null")
-    at = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))
-    few = rows.select("key", "lang").withColumn("at", at).filter(F.col("at") <= max_per_language).select("key").distinct()
-    sample = rows.join(F.broadcast(few), "key")  # at most max_per_language keys of each language
-    got = sample.select("lang", "text").mapInArrow(_windows, "lang string, piece binary").toPandas()
+            windows = -(-np.diff(off) // WINDOW)
+            row = np.repeat(np.arange(part.num_rows), windows)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+            luck = mix(part.column(2).to_numpy().astype(np.int64).view(U)[row] + place.astype(U))
+            took = np.flatnonzero((luck >> U(11)).astype(float) < part.column(3).to_numpy()[row] * 2.0**53)
+            bits = (luck[took] & U(31)).astype(np.int64)
+            start = off[row[took]] + place[took] * WINDOW
+            end = np.minimum(off[row[took] + 1], start + np.where(bits < 8, 16 + 24 * bits, WINDOW))
+            pieces = [bytes(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[took])), pa.array(pieces, pa.binary())], names=["lang", "piece"])
+
+
+def fit(labelled: DataFrame, max_windows: int = MAX_WINDOWS) -> Network | None:
+    """Fit on (text, lang): about ``max_windows`` windows of each language, drawn from all windows of all texts. None without any.
+
+    Repeated texts draw the same windows, which count once. The driver holds that many pieces of WINDOW bytes a language.
+    """
+    rows = labelled.filter("lang is not null and text is not null").select("lang", F.col("text").cast("string").alias("text"))
+    windows = F.sum(F.ceil(F.octet_length("text") / WINDOW))
+    shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.try_divide(F.lit(float(max_windows)), windows)).alias("share"))  # a row for each language
+    drawn = rows.join(F.broadcast(shares), "lang").select("lang", "text", F.xxhash64("text").alias("hash"), "share")
+    got = drawn.mapInArrow(_drawn, "lang string, piece binary").distinct().toPandas()
     if got.empty:
         return None
     got = got.sort_values(["lang", "piece"])
@@ -207,7 +212,7 @@ def language_id(docs: DataFrame, net: Network | None, id_col: str = "doc_id", te
 
 def op7_language(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    net = fit(docs.filter(id_remainder("doc_id", 5) != 0).select(F.col("doc_id").alias("key"), "text", "lang"))
+    net = fit(docs.filter(id_remainder("doc_id", 5) != 0).select("text", "lang"))
     return language_id(docs, net).withColumn("held_out", id_remainder("doc_id", 5) == 0)
 
 
