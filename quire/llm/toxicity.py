@@ -133,10 +133,12 @@ def _found(model: Model):
     return run
 
 
-def fit(labelled: DataFrame) -> Model:
-    """Fit on (text, y) with y 0 or 1, as labelled_texts() cuts them; repeated texts count once."""
-    some = labelled.filter("y is not null and text is not null").select("y", "text")
-    sample = kept(some.dropDuplicates(["text"]), "labelled")
+def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
+    """Fit on about ``max_train`` texts at most of (text, y) with y 0 or 1, as labelled_texts() cuts them; a repeated text counts once, as 1 if any of its rows has it."""
+    some = labelled.filter("y is not null and text is not null").groupBy("text").agg(F.max("y").alias("y"))
+    sample = kept(some.select("y", "text"), "labelled")
+    if (n := sample.count()) > max_train:  # ids that repeat; a share by the hash of the text
+        sample = sample.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(max_train / n * (1 << 30))))
     counts = kept(sample.mapInArrow(_frequencies, "token long, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "frequencies")
     nt, nc = (float(x or 0) for x in counts.agg(F.sum("toxic"), F.sum("clean")).first())
     if not nt or not nc:
