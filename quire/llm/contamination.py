@@ -5,10 +5,11 @@ their shingle sets, and k follows from the largest size u of a partition: with k
 document that holds a share t of the item must hold one of the k sketched shingles, so the search has no
 false negatives, however long the document. (Banded signatures of whole documents were not used: an item
 of 40 words in a document of 20,000 has a similarity near 0.002, at which no band width finds it.)
-A document that hits a sketch is then compared with all shingles of that item.
+Documents are probed for sketched shingles only; a document that holds one is a candidate for that item, and
+only then are the item's full set and the document's compared.
 
-The benchmark is the stated query set. It goes through in blocks of at most BLOCK items, whose hashes
-travel with the job (BLOCK items of w words take about 16*w*BLOCK bytes); every block sees every document.
+The benchmark is the stated query set. It goes through in blocks of about BLOCK items and BLOCK_BYTES of text,
+whose hashes travel with the job (8 bytes a shingle and 12 a sketched one); every block sees every document.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from .shared import documents
 from .wordhash import Lookup, U, mix, shingles, slices, words_of
 
-BLOCK = 20_000
+BLOCK, BLOCK_BYTES = 20_000, 32 << 20
+PAIR_ITEMS = 1 << 20  # shingles of candidate items that are checked at once
 SCHEMA = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
 
 
@@ -35,69 +37,82 @@ def sketch_size(n: int, threshold: float) -> int:
 
 
 class ItemIndex:
-    """The shingles of a block of items by the width of their shingles: k, or less in items with fewer words."""
+    """The sketches and full sets of a block of items, by the width of their shingles: k, or less in items with fewer words."""
 
     def __init__(self, ids: list, texts: list, k: int, threshold: float):
-        self.ids, self.threshold, self.k = np.array(ids, np.int64), threshold, k
+        self.ids, self.threshold = np.array(ids, np.int64), threshold
         w = words_of(pa.array(texts, pa.string()))
         row, sh = shingles(w, k)
-        order = np.lexsort((sh, row))
+        order = np.lexsort((mix(sh), row))  # a random order, the same in every item
         row, sh = row[order], sh[order]
         keep = np.r_[True, (row[1:] != row[:-1]) | (sh[1:] != sh[:-1])] if len(row) else np.empty(0, bool)
-        row, sh = row[keep], sh[keep]
-        self.size = np.bincount(row, minlength=len(ids))
+        self.row, self.items = row[keep], sh[keep]
+        self.size = np.bincount(self.row, minlength=len(ids))
+        self.first = np.r_[0, np.cumsum(self.size)]
+        k_of = np.array([sketch_size(int(n), threshold) for n in self.size], np.int64)
+        sketched = np.arange(len(self.row)) - self.first[self.row] < k_of[self.row]
         width = np.minimum(w.counts, k)
-        self.by_width = {}
+        self.sketches = {}
         for one in sorted(set(width[self.size > 0].tolist())):
-            mine = width[row] == one
-            self.by_width[one] = self._postings(row[mine], sh[mine])
-
-    def _postings(self, row: np.ndarray, sh: np.ndarray):
-        keys, at = np.unique(sh, return_inverse=True)
-        order = np.argsort(at, kind="stable")
-        start = np.searchsorted(at[order], np.arange(len(keys) + 1))
-        rank = mix(sh)
-        by = np.lexsort((rank, row))
-        place = np.empty(len(row), np.int64)
-        place[by] = np.arange(len(row)) - np.searchsorted(row[by], row[by])
-        k = np.array([sketch_size(int(n), self.threshold) for n in self.size])
-        sketched = np.zeros(len(keys), bool)
-        sketched[at[place < k[row]]] = True
-        return Lookup(keys), row[order], start, (place < k[row])[order], sketched
+            mine = sketched & (width[self.row] == one)
+            keys, at = np.unique(self.items[mine], return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            self.sketches[one] = Lookup(keys), self.row[mine][order], np.searchsorted(at[order], np.arange(len(keys) + 1))
+
+    def candidates(self, row: np.ndarray, sh: np.ndarray, width: int) -> np.ndarray:
+        """Pairs row * items + item whose row holds a sketched shingle of the item."""
+        lookup, item, start = self.sketches[width]
+        key = lookup.find(sh)
+        hit = np.flatnonzero(key >= 0)
+        row, key = row[hit].astype(np.int64), key[hit]
+        n = start[key + 1] - start[key]
+        at = np.repeat(start[key] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.unique(np.repeat(row, n) * len(self.ids) + item[at])
 
     def search(self, w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, shared shingles) of each row of ``w`` that holds the threshold's share of an item."""
-        out = []
-        for width, (lookup, item, start, in_sketch, sketched) in self.by_width.items():
+        out = [(np.empty(0, np.int64),) * 3]
+        for width in self.sketches:  # a short item is found as a run of its own words
             row, sh = shingles(w, width, short=False)
-            if width < self.k:  # a short item is found as a run of its own words
-                pass
-            key = lookup.find(sh)
-            hit = np.flatnonzero(key >= 0)
-            row, key = row[hit], key[hit]
-            candidate_rows = np.unique(row[sketched[key]])
-            some = np.isin(row, candidate_rows)
-            pair = np.unique(row[some].astype(np.int64) * (len(start) - 1) + key[some])
-            row, key = pair // (len(start) - 1), pair % (len(start) - 1)
-            n = start[key + 1] - start[key]
-            at = np.repeat(start[key] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            both = np.repeat(row, n).astype(np.int64) * len(self.ids) + item[at]
-            found, shared = np.unique(both, return_counts=True)
-            asked = np.isin(found, both[in_sketch[at]])  # the item's own sketch was hit
-            found, shared = found[asked], shared[asked]
-            yes = shared >= self.threshold * self.size[found % len(self.ids)] - 1e-9
-            out.append((found[yes] // len(self.ids), found[yes] % len(self.ids), shared[yes]))
-        if not out:
-            return (np.empty(0, np.int64),) * 3
+            pairs = self.candidates(row, sh, width)
+            if not len(pairs):
+                continue
+            asked = np.unique(pairs // len(self.ids))
+            some = np.isin(row, asked)
+            held = np.unique(mix(sh[some] + mix(row[some].astype(U))))  # (row, shingle) of the candidates, whole
+            step = np.cumsum(self.size[pairs % len(self.ids)]) // PAIR_ITEMS
+            for part in np.split(pairs, np.flatnonzero(np.diff(step)) + 1):
+                r, i = part // len(self.ids), part % len(self.ids)
+                n = self.size[i]
+                at = np.repeat(self.first[i] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                asked_for = mix(self.items[at] + mix(np.repeat(r, n).astype(U)))
+                place = np.minimum(np.searchsorted(held, asked_for), len(held) - 1)
+                shared = np.add.reduceat((held[place] == asked_for).astype(np.int64), np.cumsum(n) - n)
+                yes = shared >= self.threshold * n - 1e-9
+                out.append((r[yes], i[yes], shared[yes]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _searcher(ids: list, texts: list, k: int, threshold: float):
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[tuple[list, list, list]]:
+    """Ids and texts of the items, block by block, and how often each item stands in the table."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
+    items = items.filter("item_id is not null and text is not null")
+    items = items.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("times"))
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, math.ceil(n / BLOCK), math.ceil(size / BLOCK_BYTES))
+    for b in range(blocks):
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
+        if rows:
+            yield [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
+
+
+def _searcher(ids: list, texts: list, times: list, k: int, threshold: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(ids, texts, k, threshold)
+        index, often = ItemIndex(ids, texts, k, threshold), np.array(times, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 row, item, shared = index.search(words_of(part.column(1)))
+                row, item, shared = (np.repeat(x, often[item]) for x in (row, item, shared))
                 size = index.size[item]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(row)), pa.array(index.ids[item]), pa.array(size.astype(np.int64)), pa.array(shared.astype(np.int64)), pa.array(shared / size if len(size) else np.empty(0))],
@@ -115,18 +130,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     nothing; rows with a null item id are passed over; a null document id is returned as null. Repeated
     rows are each matched. Empty tables give an empty result. Other columns are ignored.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-    items = items.filter("item_id is not null and text is not null")
-    blocks = max(1, math.ceil(items.count() / BLOCK))
     out = None
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        if rows:
-            part = base.mapInArrow(_searcher([r[0] for r in rows], [r[1] for r in rows], k, threshold), SCHEMA)
-            out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], SCHEMA)
+    for ids, texts, times in _blocks(benchmark, item_col, item_text_col):
+        part = base.mapInArrow(_searcher(ids, texts, times, k, threshold), SCHEMA)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
+
+
+def _keeper(ids: list, texts: list, k: int, threshold: float, text_col: str):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = ItemIndex(ids, texts, k, threshold)
+        for batch in batches:
+            for part in slices(batch.append_column("", batch.column(text_col)), ""):
+                clean = np.ones(part.num_rows, bool)
+                clean[index.search(words_of(part.column(part.num_columns - 1)))[0]] = False
+                yield part.select(range(part.num_columns - 1)).filter(pa.array(clean))
+
+    return keep
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, k: int = 5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, that contaminated() does not find. No shuffle: rows are judged one by one, whatever their ids."""
+    for ids, texts, _ in _blocks(benchmark, item_col, item_text_col):
+        docs = docs.mapInArrow(_keeper(ids, texts, k, threshold, text_col), docs.schema)
+    return docs
 
 
 def op6_contamination(spark, sf_dir: str) -> DataFrame:
