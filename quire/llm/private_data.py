@@ -7,8 +7,11 @@ Tokens inside base spans are fixed to their kind. Loopy sum-product message pass
 tokens whose marginal for a kind reaches SURE is added as a span, unless it meets a base span. A slice of
 documents is one graph, so messages are passed for all of them at once.
 
-Weights are fitted on texts whose base spans serve as labels: node weights by multinomial logistic
-regression on the token's shape and its neighbours', chain and skip potentials as smoothed mutual information.
+The base spans of all texts serve as labels. Node weights, chain and skip potentials are fitted together by
+composite likelihood: the label of a node given its shape alone (nodes far from any pattern have no labelled
+neighbours), and given its shape and the labels of its neighbours in both kinds of edges (pseudo-likelihood).
+Nodes that agree in all of these count as one weighted row, so what comes to the driver is bounded by the shapes
+that the features can tell apart, not by the corpus, and no text is sampled or cut.
 """
 
 from __future__ import annotations
@@ -26,7 +29,6 @@ from .shared import documents
 from .wordhash import slices
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TRAIN = 4000  # texts with candidate tokens that the field is fitted on
 SURE = 0.95
 ROUNDS = 12
 SMOOTH = 5.0  # pairs that stand behind each pair potential before any is seen
@@ -38,6 +40,7 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 HINT = re.compile(r"[0-9@]")
+NEXT = re.compile(r"[\x20\x09-\x0D]*([^\x20\x09-\x0D]*)")
 
 
 def luhn(digits: str) -> bool:
@@ -111,9 +114,8 @@ class Graph:
             for i, (a, b) in enumerate(found):
                 node = len(self.row)
                 prev = text[found[i - 1][0] : found[i - 1][1]] if i and a - found[i - 1][1] == 1 else ""
-                nxt = text[b : b + 24].lstrip().split(None, 1)[:1] or [""]
                 token = text[a:b]
-                feats.append(_features(token[:200], prev[-50:], nxt[0]))
+                feats.append(_features(token, prev, NEXT.match(text, b)[1]))
                 if prev:
                     chain.append((node - 1, node))
                 key = _digits(token) if "@" not in token else token.lower().strip(".,;:!?()[]\"'")
@@ -123,7 +125,10 @@ class Graph:
                     seen[key] = node
                 while at < len(spans) and spans[at][1] <= a:
                     at += 1
-                label.append(next((k for x, y, k in spans[at : at + 4] if x < b and y > a), -1))
+                kind, j = -1, at
+                while kind < 0 and j < len(spans) and spans[j][0] < b:
+                    kind, j = (spans[j][2] if spans[j][1] > a else -1), j + 1
+                label.append(kind)
                 self.row.append(r)
                 self.span.append((a, b))
         self.x = np.zeros((len(self.row), N_FEATURES))
@@ -137,29 +142,42 @@ class Field:
     def __init__(self, k: int = len(KINDS) + 1):
         self.node, self.chain, self.skip = np.zeros((N_FEATURES, k)), np.zeros((k, k)), np.zeros((k, k))
 
-    def fit(self, g: Graph, steps: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> None:
-        """Labels: base kinds, and "none" (the last) elsewhere."""
-        if not len(g.row):
+    def fit(self, rows: list[tuple[int, int, int, int, int, int, int]], steps: int = 600, rate: float = 0.5, ridge: float = 2e-3) -> None:
+        """rows: (features as bits, label, label of the chain's previous and next node, of the skip edges' previous and next node, how many); -1 for no neighbour.
+
+        Labels are base kinds, and "none" (the last) elsewhere. The potentials are drawn towards smoothed mutual information.
+        """
+        if not rows:
             return
         k = self.node.shape[1]
-        y = np.eye(k)[np.where(g.label < 0, k - 1, g.label)]
-        for _ in range(steps):
-            z = g.x @ self.node
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            self.node += rate * (g.x.T @ (y - p) / len(y) - ridge * self.node)
-        share = y.mean(0) + 1e-6
-        share /= share.sum()
-        apart = np.outer(share, share)
-        for edges, name in ((g.chain, "chain"), (g.skip, "skip")):
-            # Smoothed towards independence, and for skip edges half towards agreement.
-            joint = SMOOTH * (apart if name == "chain" else (apart + np.diag(share)) / 2)
-            if len(edges):
-                joint += y[edges[:, 0]].T @ y[edges[:, 1]]
+        bits, label, *around, many = (np.array(c, np.int64) for c in zip(*sorted(rows), strict=True))
+        x = ((bits[:, None] >> np.arange(N_FEATURES)) & 1).astype(float)
+        weight = many / many.sum()
+        y = np.eye(k)[label]
+        near = [np.vstack([np.eye(k), np.zeros(k)])[c] for c in around]
+        prior = {}
+        for name, after in (("chain", near[1]), ("skip", near[3])):
+            # How much more often than by chance two labels meet; a pair that never could is neutral, and skip edges lean to agreement.
+            joint = (y * many[:, None]).T @ after
             if name == "skip":
                 joint = (joint + joint.T) / 2
-            joint /= joint.sum()
-            setattr(self, name, np.clip(np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True))), -4, 4))
+            chance = np.outer(joint.sum(1), joint.sum(0)) / max(joint.sum(), 1)
+            lean = 1.0 if name == "chain" else (1 + k * np.eye(k)) / 2
+            prior[name] = np.clip(np.log((joint + SMOOTH * lean) / (chance + SMOOTH)), -4, 4)
+        self.chain, self.skip = prior["chain"].copy(), prior["skip"].copy()
+
+
+        def error(z: np.ndarray) -> np.ndarray:
+            p = np.exp(z - z.max(1, keepdims=True))
+            return (y - p / p.sum(1, keepdims=True)) * weight[:, None]
+
+        for _ in range(steps):
+            alone = x @ self.node
+            e = error(alone + near[0] @ self.chain + near[1] @ self.chain.T + (near[2] + near[3]) @ self.skip)
+            self.node += rate * (x.T @ (e + error(alone)) - ridge * self.node)
+            self.chain += rate * (near[0].T @ e + e.T @ near[1] - ridge * (self.chain - prior["chain"]))
+            both = (near[2] + near[3]).T @ e
+            self.skip += rate * ((both + both.T) / 2 - ridge * (self.skip - prior["skip"]))
 
     def marginals(self, g: Graph) -> np.ndarray:
         """Loopy sum-product in the log domain, all edges at once, damped by half."""
@@ -250,35 +268,42 @@ def _finder(field: Field):
     return find
 
 
-def fit(docs: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Fit on at most ``max_train`` texts with candidate tokens, taken by the hash of their id. The lines around the candidates come to the driver, not the texts."""
-    field = Field()
-    base = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    keys = base.filter(F.col("text").rlike("[0-9@]")).select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(max_train)
-    near = base.join(F.broadcast(keys), "key").select("text").mapInArrow(_around, "text string").toPandas().text
-    texts = sorted(near)
-    if texts:
-        field.fit(Graph(texts, [base_spans(t) for t in texts]))
-    return field
+def training_rows(texts: list[str]) -> dict[tuple[int, int, int, int, int, int], int]:
+    """What Field.fit() takes of some whole texts, with counts."""
+    g = Graph(texts, [base_spans(t) if HINT.search(t) else [] for t in texts])
+    n = len(g.row)
+    if not n:
+        return {}
+    label = np.where(g.label < 0, len(KINDS), g.label)
+    around = np.full((4, n), -1, np.int64)
+    for at, edges in ((0, g.chain), (2, g.skip)):
+        around[at, edges[:, 1]] = label[edges[:, 0]]
+        around[at + 1, edges[:, 0]] = label[edges[:, 1]]
+    bits = (g.x.astype(np.int64) << np.arange(N_FEATURES)).sum(1)
+    rows, many = np.unique(np.stack([bits, label, *around], 1), axis=0, return_counts=True)
+    return dict(zip(map(tuple, rows.tolist()), many.tolist(), strict=True))
+
+
+NAMES = ("bits", "label", "before", "after", "skip_before", "skip_after")
 
 
-def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """At most 40 pieces of 200 characters around candidate tokens, joined, for each text."""
+def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[tuple, int] = {}
     for batch in batches:
         for part in slices(batch, "text"):
-            out = []
-            for text in part.column(0).to_pylist():
-                pieces, end = [], 0
-                for m in HINT.finditer(text):
-                    if m.start() < end:
-                        continue
-                    a = text.rfind(" ", max(0, end, m.start() - 60), m.start()) + 1
-                    a, end = (a or m.start()), m.start() + 140
-                    pieces.append(text[a:end])
-                    if len(pieces) == 40:
-                        break
-                out.append("\n".join(pieces))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["text"])
+            for row, n in training_rows(part.column(0).to_pylist()).items():
+                total[row] = total.get(row, 0) + n
+    cols = list(zip(*total, strict=True)) or [()] * len(NAMES)
+    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(list(total.values()), pa.int64())], names=[*NAMES, "n"])
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> Field:
+    """Fit on the candidate tokens of all texts; the driver holds one row for each combination of features and labels that occurs."""
+    field = Field()
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    counted = texts.mapInArrow(_training, "".join(f"{n} long, " for n in NAMES) + "n long").groupBy(*NAMES).agg(F.sum("n").alias("n"))
+    field.fit([tuple(r) for r in counted.collect()])
+    return field
 
 
 def private_data(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
