@@ -15,6 +15,9 @@ Two exact bounds cut the later turns: a link needs enough shared shingles, and a
 shingles that only it has. Before full sets are read, a pair must agree in enough of the bins that either fills, kept to eight bits a bin: the
 least share allowed lies SIGMAS standard errors below the threshold, which a linked pair misses with a
 chance of about 1e-9.
+
+A bucket may hold a third of all nodes. Its rows are dealt to parts of about PART rows by a hash of the node, what
+they are joined with (hubs, sums of the bucket) goes to every part once, and sizes add up part by part.
 """
 
 from __future__ import annotations
@@ -28,12 +31,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import documents, kept
+from .shared import documents, kept, scratch
 from .wordhash import U, mix, powers, sequence_keys, shingles, slices, words_of
 
 BITS = 54  # of a shingle's hash inside a document; the ten above hold the row within a slice
 EMPTY = np.iinfo(np.uint64).max
-HUBS = 256
+HUBS = 256  # of a bucket and turn, or one of each part
+PART, FIRST_PARTS = 2000, 64
 SIGMAS = 6.0
 LOW = 0x0101010101010101
 
@@ -162,17 +166,41 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     an id are one node: a link of any of them is a link of all; each row is returned. An empty table gives
     an empty result. Other columns of ``docs`` are ignored, whatever their names.
     """
+    with scratch():
+        return kept(_classes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), percent, k), "near-dup", stay=True)
+
+
+def _part(node: str, members: str) -> Column:
+    """The part of a bucket of so many members that a node is dealt to."""
+    return F.pmod(F.xxhash64(node), _parts(members))
+
+
+def _parts(members: str) -> Column:
+    return F.ceil(F.col(members) / PART)
+
+
+def _every_part(members: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), _parts(members) - 1)).alias("part")
+
+
+def _shared_buckets(banded: DataFrame) -> DataFrame:
+    """(bucket, part, members, node, n) of the rows of (bucket, node, n) whose bucket has other members. No key holds more than a FIRST_PARTS-th of a bucket."""
+    dealt = banded.withColumn("first", F.pmod(F.xxhash64("node"), F.lit(FIRST_PARTS)))
+    some = dealt.groupBy("bucket", "first").agg(F.count(F.lit(1)).alias("some"))
+    whole = some.groupBy("bucket").agg(F.sum("some").alias("members")).filter("members > 1")
+    sizes = some.select("bucket", "first").join(whole, "bucket")  # FIRST_PARTS rows of a bucket at most
+    return dealt.join(sizes, ["bucket", "first"]).select("bucket", _part("node", "members").alias("part"), "members", "node", "n")
+
+
+def _classes(base: DataFrame, percent: int, k: int) -> DataFrame:
     size, bands = shape(percent / 100)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = kept(base.mapInArrow(_signer(k, size, bands), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>"), "signatures")
 
     some = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = kept(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "classes")
     nodes = some.join(classes.select("k1", "k2", F.col("node").alias("doc_id")), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
     nodes = kept(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "sketch"), "nodes")
-    banded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    live = kept(banded.join(shared, "bucket"), "buckets")
+    live = kept(_shared_buckets(nodes.select("node", "n", F.explode("bands").alias("bucket"))), "buckets")
     reach = live.groupBy("node").agg(F.sum("members").alias("reach"))
     sketches = nodes.select("node", "n", "sketch")
     sets = kept(
@@ -191,51 +219,59 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
         return equal >= used * (p - SIGMAS * spread)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("of_b")), "b")
-        return kept(both.select("a", "b", "of_a", "of_b").mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
-
-    ends = [F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")]
+        """Of (hub, node, members), the pairs that are linked. A hub's set goes once to each part of its bucket; a node is in no more pairs than it has bands and turns."""
+        dealt = pairs.withColumn("parts", _parts("members")).withColumn("part", _part("node", "members"))
+        of_hub = dealt.select("hub", "parts", "part").distinct().join(sets.select(F.col("node").alias("hub"), F.col("items").alias("of_a")), "hub")
+        both = dealt.join(of_hub, ["hub", "parts", "part"]).join(sets.select("node", F.col("items").alias("of_b")), "node")
+        return kept(both.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), "of_a", "of_b").mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
+
+    ends = [F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")]
+    once_each = lambda df: df.groupBy(*ends).agg(F.max_by(F.struct("hub", "node"), "members").alias("x"), F.max("members").alias("members")).select("a", "b", "x.hub", "x.node", "members")
     sized = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    hub = live.join(reach, "node").groupBy("bucket").agg(F.max(F.struct("reach", (-F.col("node")).alias("minus"), "n")).alias("h"))
-    first = kept(hub.select("bucket", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
-    pairs = live.join(first, "bucket").filter((F.col("node") != F.col("hub")) & sized).select(*ends).distinct()
-    of = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    pairs = kept(pairs.join(of("a"), "a").join(of("b"), "b").filter(alike("s_a", "s_b", "n_a", "n_b")).select("a", "b"), "pairs")
-    seen, edges = pairs, verified(pairs)
+    hub = live.join(reach, "node").groupBy("bucket").agg(F.max(F.struct("reach", (-F.col("node")).alias("minus"), "n")).alias("h"), F.max("members").alias("members"))
+    first = kept(hub.select("bucket", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"), F.col("members").alias("of")), "hubs")
+    pairs = live.join(first.select("bucket", "hub", "hub_n", _every_part("of")), ["bucket", "part"]).filter((F.col("node") != F.col("hub")) & sized)
+    pairs = once_each(pairs.select("hub", "node", "members")).withColumn("parts", _parts("members")).withColumn("part", _part("node", "members"))
+    of_hub = pairs.select("hub", "parts", "part").distinct().join(sketches.select(F.col("node").alias("hub"), F.col("n").alias("n_hub"), F.col("sketch").alias("s_hub")), "hub")
+    pairs = kept(pairs.join(of_hub, ["hub", "parts", "part"]).join(sketches, "node").filter(alike("s_hub", "sketch", "n_hub", "n")).select("a", "b", "hub", "node", "members"), "pairs")
+    seen, edges = pairs.select("a", "b"), verified(pairs)
     roots = components(edges)
-    asked = first.select("bucket", F.col("hub").alias("node"))
-    live, own = live.select("bucket", "node", "n"), None
+    asked, own = first.select("bucket", F.col("hub").alias("node")), None
     while True:
         # Members that were no hub yet, outside the largest component of a bucket that holds several.
         now = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        parts = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("members"))
-        major = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("members", "root")).alias("m")).filter("parts > 1")
-        now = kept(now.join(major.select("bucket", F.col("m.root").alias("major")), "bucket").join(asked.withColumn("hit", F.lit(True)), ["bucket", "node"], "left"), "open")
+        parts = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("held"), F.max("members").alias("members"))
+        major = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("held", "root")).alias("m"), F.max("members").alias("of")).filter("parts > 1")
+        now = now.join(major.select("bucket", F.col("m.root").alias("major"), _every_part("of")), ["bucket", "part"])
+        now = kept(now.join(asked.withColumn("hit", F.lit(True)), ["bucket", "node"], "left"), "open")
         if own is None:
             own = kept(_own_shingles(sets.join(now.select("node").distinct(), "node", "left_semi")), "own")
         now = now.join(own, "node", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+        rank = F.row_number().over(Window.partitionBy("bucket", "part").orderBy("node"))
         linkable = 100 * F.col("common") >= percent * F.col("n")
-        hubs = now.filter("hit is null and root <> major").filter(linkable).withColumn("rank", rank).filter(F.col("rank") <= HUBS)
-        hubs = kept(hubs.join(nodes.select("node", "sketch", "bands"), "node").select("bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"), F.col("common").alias("hub_common"), F.col("sketch").alias("hub_sketch"), F.col("bands").alias("hub_bands")), "hubs")
+        hubs = now.filter("hit is null and root <> major").filter(linkable).withColumn("rank", rank).filter(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.lit(HUBS) / _parts("members"))))
+        hubs = hubs.join(nodes.select("node", "sketch", "bands"), "node")
+        hubs = kept(hubs.select("bucket", F.col("members").alias("of"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"), F.col("common").alias("hub_common"), F.col("sketch").alias("hub_sketch"), F.col("bands").alias("hub_bands")), "hubs")
         if hubs.isEmpty():
             break
-        live = now.join(hubs.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "node", "n")
+        open_ = hubs.groupBy("bucket").agg(F.max("of").alias("of")).select("bucket", _every_part("of"))
+        live = now.join(open_, ["bucket", "part"], "left_semi").select("bucket", "part", "members", "node", "n")
         rows = now.filter(linkable).join(nodes.select("node", "sketch", "bands"), "node").withColumn("at", F.col("bucket"))
         most = F.least("common", "hub_common")
         enough = 100 * most >= percent * (F.col("n") + F.col("hub_n") - most)
         common_band = F.filter(F.zip_with("bands", "hub_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
         once = F.get(common_band, F.lit(0)) == F.col("at")  # a pair comes from the first bucket that it shares
-        on = (rows["bucket"] == hubs["bucket"]) & (F.col("node") != F.col("hub")) & (F.col("root") != F.col("hub_root")) & enough & once & alike("sketch", "hub_sketch", "n", "hub_n")
-        pairs = kept(rows.join(hubs, on).select(*ends).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
+        plausible = (F.col("node") != F.col("hub")) & (F.col("root") != F.col("hub_root")) & enough & once & alike("sketch", "hub_sketch", "n", "hub_n")
+        found = rows.join(hubs.select("*", _every_part("of")), ["bucket", "part"]).filter(plausible)
+        pairs = kept(once_each(found.select("hub", "node", "members")).join(seen, ["a", "b"], "left_anti"), "pairs")
         asked = asked.unionByName(hubs.select("bucket", F.col("hub").alias("node")))
         if pairs.isEmpty():
             continue
-        seen, found = seen.unionByName(pairs), verified(pairs)
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
+        seen, links = seen.unionByName(pairs.select("a", "b")), verified(pairs)
+        if not links.isEmpty():
+            edges = edges.unionByName(links)
             roots = components(edges)
-    out = signed.join(classes, ["k1", "k2"], "left")
+    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
     out = out.join(roots, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(component)
