@@ -19,7 +19,7 @@ from .shared import documents
 
 K, BINS, PROBES = 5, 256, 8
 CHANCE = 1 / 16
-KNOTS, MOST_BUCKETS, BUCKET_ROWS = 64, 65_536, 500
+KNOTS, BUCKET_ROWS = 64, 500
 NIBBLES = 0x1111111111111111
 LEAST = -(1 << 63)
 
@@ -97,19 +97,20 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty result. Other columns are ignored.
 
     Neighbours meet in buckets of about BUCKET_ROWS rows between quantiles of the id, one shuffle for the texts. The
-    first row of a bucket is also sent to the bucket before it; the table of first ids has MOST_BUCKETS rows at most.
+    first row of a bucket is also sent to the bucket before it. Buckets grow in number with the rows, and so does the
+    table of their first ids, two numbers for each BUCKET_ROWS rows; Spark broadcasts it only while it measures small.
     """
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(LEAST).cast("bigint"))
     steps = [i / KNOTS for i in range(KNOTS + 1)]
     n, knots = base.agg(F.count(F.lit(1)), F.percentile_approx(key, steps, 10_000)).first()
-    each = min(MOST_BUCKETS // KNOTS, max(1, -(-n // (KNOTS * BUCKET_ROWS))))
+    each = max(1, -(-n // (KNOTS * BUCKET_ROWS)))
     bucket = _bucket(key, knots or [0, 0], each)
     firsts = base.select(key.alias("key"), bucket.alias("bucket")).groupBy("bucket").agg(F.min("key").alias("first_key"))
     whole = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = firsts.withColumn("before", F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(whole)))
     printed = with_fingerprint(base.select("doc_id", "text", key.alias("key"), bucket.alias("bucket")), "text", "print")
-    sent = printed.join(F.broadcast(firsts.select(F.col("bucket").alias("of"), "first_key", "before")), F.col("bucket") == F.col("of"))
+    sent = printed.join(firsts.select(F.col("bucket").alias("of"), "first_key", "before"), F.col("bucket") == F.col("of"))
     place = lambda bucket, guest: F.struct(F.col(bucket).cast("int").alias("b"), F.lit(guest).alias("guest"))
     places = F.when(F.col("key") == F.col("first_key"), F.array(place("bucket", False), place("before", True))).otherwise(F.array(place("bucket", False)))
     sent = sent.select("doc_id", "text", "key", "print", F.explode(places).alias("p")).select("doc_id", "text", "key", "print", "p.b", "p.guest")

@@ -185,7 +185,8 @@ class Scanner:
         stop = known.copy()
         stop[:-1] &= ~known[1:] | edge[1:-1]
         a, b = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-        long = b - a >= 2
+        least = min(MIN_RUN, *self.length)  # shorter runs hold neither a phrase nor an anchor
+        long = b - a >= least
         found: dict[int, tuple[list, list]] = {}
         for i, j in zip(a[long].tolist(), b[long].tolist(), strict=True):
             row = int(w.doc[i])

@@ -49,8 +49,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return s.select("source", "source_size", "n", F.least("cap", F.col("w") * F.col("final")).alias("target"))
 
 
-def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of each row of ``docs``.
+def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken, and the columns in ``carry`` as carried_0, ...) of each row of ``docs``.
 
     size counts the words of the text (null: 0). Sources take the weights in turn by code point, null last. copies is
     the number of times that the mix holds the document, taken = size * copies. Reruns agree: order and offsets come
@@ -58,8 +58,11 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     source without words. Repeated rows, and rows with one id, are drawn one by one; a null id counts as the empty text. An empty
     table gives an empty result. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    text, extra = F.col(text_col).cast("string"), [f"carried_{i}" for i in range(len(carry))]
+    base = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(text).alias("print"), *[F.col(c).alias(e) for c, e in zip(carry, extra, strict=True)],
+    )
     base = base.withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("class", size_class("size"))
     base = kept(base, "sizes")
     cells = kept(base.groupBy("source", "class", F.substring("hash", 1, 2).alias("cell")).agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("words")), "cells")
@@ -73,7 +76,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce("source", F.lit("\x00"))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     plan = plan.withColumn("expected", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))).withColumn("offset", offset)
     starts = starts.join(plan.select(F.col("source").alias("of"), "source_size", "target", "expected", "offset"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "docs", "words")
-    rank = F.row_number().over(Window.partitionBy("source", "class", "cell").orderBy("hash", "size", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "class", "cell").orderBy("hash", "size", "doc_id", "print"))
     ranked = base.withColumn("cell", F.substring("hash", 1, 2)).withColumn("rank", rank)
     there = starts.select(F.col("source").alias("of"), F.col("class").alias("of_class"), F.col("cell").alias("of_cell"), "before", "source_size", "target", "expected", "offset")
     on = F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("of_class")) & (F.col("cell") == F.col("of_cell"))
@@ -83,7 +86,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     copies = F.floor(end * F.col("expected") + F.col("offset")) - F.floor((end - 1) * F.col("expected") + F.col("offset"))
     out = out.withColumn("copies", F.when(F.col("before").isNotNull(), F.least(copies, F.lit(most))).otherwise(F.lit(0)).cast("long"))
     none = out.filter("before is null").join(all_, F.col("source").eqNullSafe(F.col("whole")), "left")
-    columns = ["doc_id", "source", "size"]
+    columns = ["doc_id", "source", "size", *extra]
     some = out.filter("before is not null").select(*columns, "source_size", "target", "copies")
     none = none.select(*columns, F.col("whole_size").alias("source_size"), F.col("whole_target").alias("target"), "copies")
     return some.unionByName(none).withColumn("taken", F.col("size") * F.col("copies"))
