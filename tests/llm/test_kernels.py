@@ -112,7 +112,9 @@ def test_skip_edges_find_a_repeated_number():
     rng = random.Random(3)
     train = [f"call +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} or mail u{i}.x@mail.example.com, room {rng.randint(1, 99)} in {rng.randint(1900, 2020)}" for i in range(200)]
     field = private_data.Field()
-    field.fit(private_data.Graph(train, [private_data.base_spans(t) for t in train]))
+    rows = private_data.training_rows(train)
+    assert sum(rows.values()) == sum(len(private_data.TOKEN.findall(x)) for x in train)
+    field.fit([(*r, n) for r, n in rows.items()])
     t = ["dial +1 (523) 555-1055 now, later (523) 555-1055 again, room 12 in 1999", "nothing here", ""]
     base = [private_data.base_spans(x) for x in t]
     more = field.more_spans(t, base)
@@ -143,6 +145,12 @@ def test_licence_scan():
     assert got[0]["score"] == got[2]["score"] == 0 and 0 < got[3]["score"] <= 1 and got[0]["first_word"] is None
 
 
+def test_a_phrase_of_one_word():
+    scan = licences.Scanner((("copyleft", "left"), ("cc by", "cc-by")), ())
+    got = scan.scan(pa.record_batch([pa.array([1]), pa.array(["All copyleft, copyleft cc by"])], names=["doc_id", "text"])).to_pylist()[0]
+    assert (got["n_base"], got["first_word"], got["last_word"], got["base_labels"]) == (3, 1, 3, "cc-by,left")
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=25), st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=6), min_size=1, max_size=4))
 def test_matching_statistics(words, templates):
@@ -180,11 +188,28 @@ def test_network_tables_equal_the_convolution():
     x[:, -3:] = language.BLANK
     want = net._responses(x).max(1) + net.bias
     for i in range(3):
-        p = net.probabilities(x[i, : language.WINDOW], *net.tables())
+        p = net.probabilities(x[i], np.zeros(1, np.int64), *net.tables())
         z = np.maximum(want[i], 0) @ net.out + net.out_bias
         assert np.allclose(p[0], np.exp(z) / np.exp(z).sum(), atol=1e-5)
 
 
+def test_network_sees_one_row_at_a_time():
+    net, rng = language.Network(["a", "b", "c"], seed=3), random.Random(6)
+    texts = ["", "a", "x" * 20, "y" * 256, "z" * 255, "w" * 254, "q" * 253] + ["".join(rng.choice("abcdefgh é日.") for _ in range(rng.randint(0, 900))) for _ in range(60)]
+    together = net.predict(pa.array(texts), net.tables())
+    for i, t in enumerate(texts):
+        names, score = net.predict(pa.array([t]), net.tables())
+        assert (names[0], score[0]) == (together[0][i], together[1][i])
+
+
+def test_drawn_windows_cover_whole_texts():
+    text = "".join(chr(97 + i // 256 % 26) for i in range(256 * 60))
+    batch = pa.record_batch([pa.array(["x"] * 2), pa.array([text, "short"]), pa.array([5, 6]), pa.array([1.0, 1.0])], names=["lang", "text", "hash", "share"])
+    got = next(language._drawn(iter([batch])))
+    pieces = got.column(1).to_pylist()
+    assert len(pieces) == 61 and all(p[:1] == text[i * 256].encode() for i, p in enumerate(pieces[:60])) and sum(len(p) == 256 for p in pieces) > 30
+
+
 def test_item_search_against_sets():
     rng = random.Random(4)
     word = lambda: rng.choice(["aa", "bb", "cc", "dd", "ee", "ff", "gg"])
@@ -205,7 +230,10 @@ def test_item_search_against_sets():
                 if n >= 0.8 * len(s) - 1e-9 and n:
                     want.add((d, i, n))
     assert got == want
+    # The search goes through the sketches alone: none is left, nothing is found.
+    index.sketches = {k: (type(v[0])(np.empty(0, U)), *v[1:]) for k, v in index.sketches.items()}
+    assert not len(index.search(words_of(pa.array(docs)))[0])
 
 
-def test_digest_of_no_span():
-    assert hashlib.sha256(private_data._digest([]).encode()).hexdigest() == hashlib.sha256(b"").hexdigest()
+def test_digest():
+    assert private_data._digest([]) == "" and private_data._digest([(3, 9, 12), (0, 20, 25), (0, 5, 8)]) == "email:5:8,email:20:25,phone:9:12"

@@ -77,6 +77,12 @@ def test_near_duplicates(spark, odd, none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "PART", 5)
+    monkeypatch.setattr(near_dup, "HUBS", 3)
+    test_near_duplicates_of_families(spark)
+
+
 def test_near_duplicates_of_families(spark):
     """Copies with edits of their own hang together through the original alone."""
     import random
@@ -133,6 +139,16 @@ def test_toxicity(spark, odd, none, small):
     assert toxicity.toxicity(odd, toxicity.fit(spark.createDataFrame([("a", 1)], "text string, y int"))).first().predicted == 1
 
 
+def test_toxicity_of_a_text_with_both_labels(spark):
+    rows = [("one text", 0), ("one text", 1), ("one text", 0), ("other", 0)]
+    for some in (rows, rows[::-1]):
+        model = toxicity.fit(spark.createDataFrame(some, "text string, y int"))
+        scores = {r.doc_id: r.score for r in toxicity.toxicity(spark.createDataFrame([(1, "one text"), (2, "other")], "doc_id long, text string"), model).collect()}
+        assert scores[1] >= scores[2]
+        first = scores if some is rows else first
+        assert scores == first
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     rows = catalogue.QUERIES["op1_toxicity"](spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
@@ -221,10 +237,10 @@ def test_private_data(spark, odd, none):
 
 def test_language(spark, odd, none, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    net = language.fit(docs.select(F.col("doc_id").alias("key"), "text", "lang"))
+    net = language.fit(docs.select("text", "lang"))
     got = {r.doc_id: r for r in language.language_id(odd, net).collect()}
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (4, 5, 6)) and got[12].lang_pred != "und"
-    assert language.language_id(none, net).count() == 0 and language.fit(none.select(F.col("doc_id").alias("key"), "text", "lang")) is None
+    assert language.language_id(none, net).count() == 0 and language.fit(none.select("text", "lang")) is None
     assert {r.lang_pred for r in language.language_id(odd, None).collect()} == {"und"}
 
 
@@ -273,6 +289,7 @@ def test_pipeline_stages_on_odd_rows(stages):
     spoken, single, clean, hidden, mixed = stages
     assert {r.doc_id for r in spoken} == {1, 2, 3, 7, 8, 9, 10, 11, 12, -5, None} and all(r.text for r in spoken)
     assert sorted(r.doc_id for r in single if r.doc_id is not None) == [-5, 1, 7, 8, 9, 11, 12] and len(single) == 8
+    assert len(mixed) == len({(r.doc_id, r.text, r.copy) for r in mixed})
     assert len(clean) == 8 and len(hidden) == 8
     text = {r.doc_id: r for r in hidden}[7].text
     assert "a@b" not in text and "[EMAIL]" in text and "[PHONE]" in text and {r.doc_id: r for r in hidden}[7].n_chars == len(text)
@@ -291,6 +308,48 @@ def test_pipeline_against_plain_python(spark, small, table):
     assert corpus_pipeline.keep_language(spark, docs, small).count() == sum(any(c.isalpha() for c in r.text) for r in table.values())
 
 
+def test_pipeline_stages_with_repeated_ids(spark, small):
+    """Rows with one id and texts of their own are rows like others; equal texts are one group whatever their ids."""
+    rows = [(1, BASE, "en", "s1"), (1, "quite another text of a few more words than five", "en", "s1"), (1, BASE, "en", "s1"), (2, BASE, "en", "s1"), (None, BASE, "en", "s1"), (None, "no id and nothing alike in any other row here", "en", "s1"), (3, None, "en", "s1"), (3, None, "en", "s1")]
+    docs = frame(spark, rows)
+    left = Counter((r.doc_id, r.text) for r in corpus_pipeline.deduplicate(spark, docs, small).collect())
+    assert left == Counter({(1, BASE): 1, (1, rows[1][1]): 1, (None, rows[5][1]): 1, (3, None): 2})
+    item = spark.read.parquet(f"{small}/benchmark.parquet").first().text
+    dirty = frame(spark, [*rows, (1, "before " + item + " after", "en", "s1"), (None, item, "en", "s1")])
+    assert Counter((r.doc_id, r.text) for r in corpus_pipeline.decontaminate(spark, dirty, small).collect()) == Counter((i, t) for i, t, _, _ in rows)
+    mixed = corpus_pipeline.mix(spark, frame(spark, [(i, t, lang, s) for i, t, lang, s in rows for _ in range(20)] + [(9, "lone words", "en", "s2")]), small).collect()
+    drawn = Counter()
+    for r in mixture.mixture(frame(spark, [(i, t, lang, s) for i, t, lang, s in rows for _ in range(20)] + [(9, "lone words", "en", "s2")])).collect():
+        drawn[r.doc_id, r["size"]] += r.copies
+    assert Counter((r.doc_id, r["size"]) for r in mixed) == +drawn and max(r.copy for r in mixed) <= 3
+
+
+def test_redaction_and_mix_against_plain_python(spark, small, table):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    spans = {r.doc_id: [(x.split(":")[0], *map(int, x.split(":")[1:])) for x in r.spans.split(",") if x] for r in catalogue.QUERIES["op4_private_data"](spark, small).collect()}
+    for r in corpus_pipeline.redact(spark, docs, small).collect():
+        out, at = "", 0
+        for kind, a, b in sorted(spans[r.doc_id], key=lambda s: (s[1], s[2])):
+            if a >= at:
+                out += table[r.doc_id].text[at:a] + f"[{kind.upper()}]"
+            at = max(at, b)
+        assert r.text == out + table[r.doc_id].text[at:] and r.n_chars == len(r.text)
+    mixed = corpus_pipeline.mix(spark, docs, small).collect()
+    drawn = {r.doc_id: r.copies for r in mixture.mixture(docs).collect()}
+    assert Counter(r.doc_id for r in mixed) == +Counter(drawn) and all(r.text == table[r.doc_id].text and r["size"] == len(words(r.text)) for r in mixed)
+
+
+def test_scratch_tables_go(spark):
+    from quire.llm import shared
+
+    def places():
+        return {p for p in __import__("os").listdir(shared.shared_dir(spark).removeprefix("file://")) if p.startswith("quire-")}
+
+    before = places()
+    near_dup.near_duplicates(frame(spark, ODD))
+    assert {p.rsplit("-", 1)[0] for p in places() - before} == {"quire-near-dup"} and len(places() - before) == 1
+
+
 def test_pipeline_run(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert out.count() > 0 and set(corpus_pipeline.COLUMNS) <= set(out.columns)
