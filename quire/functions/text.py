@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The rules below, down to the characters per token, must be just so for a page to be cleaned alike.
 #: Java's Unicode white space lacks the four separators U+001C..U+001F.
 BLANK = r"[\s\x1C-\x1F]"
 LINE_BREAK = r"\R|[\x1C-\x1E]"
@@ -16,7 +17,8 @@ PAGE_NUMBER = rf"(?iU)^{BLANK}*(page{BLANK}*)?\d{{1,4}}{BLANK}*(/{BLANK}*\d{{1,4
 FRAGMENT_CHARS = 32
 NEAR_EMPTY_CHARS = 20
 CHARS_PER_TOKEN = 4
-#: A text that ends in one of these has finished its thought.
+#: Fixed values. A text that ends in one of these has finished its thought.
+TOOL_FOLDERS = ("__MACOSX", "node_modules", "__pycache__")  # fixed values, beside all hidden ones
 SENTENCE_END = ".!?:;。！？…\"')]}”’"
 
 
@@ -105,21 +107,13 @@ def extension(path: str | Column) -> Column:
 def is_skipped(path: str | Column) -> Column:
     """Whether any part of a relative path is hidden or names a folder of tools."""
     parts = F.split(col(path), "/")
-    return F.exists(parts, lambda p: p.startswith(".") | p.isin("__MACOSX", "node_modules", ".git", ".obsidian", "__pycache__"))
+    return F.exists(parts, lambda p: p.startswith(".") | p.isin(*TOOL_FOLDERS))
 
 
 def token_estimate(chars: str | Column) -> Column:
     return F.floor(col(chars) / CHARS_PER_TOKEN)
 
 
-def extract_json(raw: str | Column) -> Column:
-    """The JSON text in a reply: without code fences, or from the first brace to the last; null if neither parses."""
-    t = strip(raw)
-    t = F.when(t.startswith("```"), strip(F.regexp_replace(t, r"(?m)^```(?:json)?\s*|\s*```$", ""))).otherwise(t)
-    block = F.nullif(F.regexp_extract(t, r"(?s)\{.*\}", 0), F.lit(""))
-    return F.when(F.try_parse_json(t).isNotNull(), t).when(F.try_parse_json(block).isNotNull(), block)
-
-
 def safe_name(name: str) -> str:
     """A name fit for a file: stripped, other characters replaced by underscores."""
     out = re.sub(r"[^A-Za-z0-9_.-]", "_", name.strip())

@@ -5,6 +5,7 @@ import pytest
 from quire.errors import GenerationFailed
 from quire.operators import citations as G
 from quire.operators import exam as X
+from quire.operators import replies as R
 
 ITEM = {"topic": "t", "question": "q", "answer": "a", "source": "s", "page": "3"}
 
@@ -23,9 +24,9 @@ class Chat:
 
 
 def test_coerce_and_validate():
-    assert X.coerce([1]) == {"items": [1]} and X.coerce({"q": [1], "n": 2}) == {"items": [1]} and X.coerce(ITEM) == {"items": [ITEM]}
+    assert R.with_items([1]) == {"items": [1]} and R.with_items({"q": [1], "n": 2}) == {"items": [1]} and R.with_items(ITEM) == {"items": [ITEM]}
     two = {"a": [1], "b": [2]}
-    assert X.coerce(two) is two and X.coerce({"items": [], "x": [1]}) == {"items": [], "x": [1]}
+    assert R.with_items(two) is two and R.with_items({"items": [], "x": [1]}) == {"items": [], "x": [1]}
     assert X.validate({"items": [ITEM]})[0]["page"] == 3 and X.validate({"items": []}) == []
     for bad in ({}, {"items": None}, {"items": [ITEM | {"page": "x"}]}, {"items": [{}]}, [1], {"items": [ITEM | {"page": True}]}):
         with pytest.raises(ValueError):
@@ -33,9 +34,18 @@ def test_coerce_and_validate():
 
 
 def test_extract_json():
-    assert X.extract_json('```json\n{"a": 1}\n```') == {"a": 1} and X.extract_json('Sure: {"a": {"b": 2}} ok') == {"a": {"b": 2}}
+    assert R.read_json('```json\n{"a": 1}\n```') == {"a": 1} and R.read_json('Sure: {"a": {"b": 2}} ok') == {"a": {"b": 2}}
+    assert R.read_json('As in [1], {"a": "}", "b": ["]"]} or {') == {"a": "}", "b": ["]"]} and R.read_json('```json\n[{"page": 1}]\n```') == [{"page": 1}]
+    assert R.read_json('so "it" is {"a": "say \\"{\\""}') == {"a": 'say "{"'}
     with pytest.raises(ValueError):
-        X.extract_json("none")
+        R.read_json("none")
+
+
+def test_advice_by_the_error_behind():
+    from urllib.error import URLError
+
+    assert "memory" in R.help_for([ValueError("x"), URLError(TimeoutError("slow"))], "") and "server at http://h:1" in R.help_for([URLError(ConnectionRefusedError(111, "no"))], "http://h:1/v1")
+    assert "format" in R.help_for([ValueError("x")], "") == R.help_for([], "")
 
 
 def test_retry_ladder():
