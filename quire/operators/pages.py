@@ -1,12 +1,17 @@
 """Page cleaning and its audit.
 
-Pages are rows (source, page, text, furniture, structured). Lines are handled as arrays inside a page, so the
-only shuffles are two small aggregations by document: the running lines, of which each page sends its first
-and last, and the lines that a reader labelled.
+Pages are rows (source, page, text, furniture, structured). What a document's pages have in common (running lines, lines
+that a reader labelled) comes from aggregations of short lines, a row for each document, and meets its pages
+in one join. A page is then cleaned in one pass over its lines, in Arrow batches: each line is stripped and judged once,
+where column expressions over arrays would judge it anew for every place that names it.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +21,9 @@ MIN_PAGES = 4
 REPEAT_RATIO = 0.6
 DEBRIS_RUN = 6
 SCANNED_RATIO = 0.8
+STAGES = ("furniture", "page-number", "figure-debris")
+FLAGGED = "source string, page {page}, text string, stay string, gone array<struct<i: long, stage: string, text: string>>"
+ANY_BREAK = r"\n\x0B\f\r\x85\u2028\u2029\x1C-\x1E"
 
 
 def as_pages(df: DataFrame) -> DataFrame:
@@ -27,16 +35,23 @@ def as_pages(df: DataFrame) -> DataFrame:
 
 
 def _edge_lines(c: str):
-    kept = F.filter(F.transform(T.lines(c), T.strip), lambda x: x != "")
-    return F.when(F.size(kept) > 0, F.array_distinct(F.array(F.element_at(kept, 1), F.element_at(kept, -1))))
+    """The first and the last non-blank line of a text, stripped, once if they are equal; null for a blank text."""
+    body = T.strip(c)
+    first = T.strip(F.regexp_extract(body, rf"\A[^{ANY_BREAK}]*", 0))
+    last = T.strip(F.regexp_replace(body, rf"(?s)\A.*[{ANY_BREAK}]", ""))
+    return F.when(body != "", F.array_distinct(F.array(first, last)))
+
+
+def _totals(pages: DataFrame) -> DataFrame:
+    """(source, n_pages, numbers): how many pages a document has and a checksum of their numbers."""
+    return pages.groupBy("source").agg(F.count(F.lit(1)).alias("n_pages"), F.bit_xor(F.xxhash64("page")).alias("numbers"))
 
 
 def running_lines(pages: DataFrame, min_pages: int = MIN_PAGES, ratio: float = REPEAT_RATIO) -> DataFrame:
     """(source, line, pages): first or last lines found on at least ``ratio`` of a document's pages."""
-    total = pages.groupBy("source").agg(F.count(F.lit(1)).alias("n_pages")).filter(F.col("n_pages") >= min_pages)
-    edges = pages.select("source", F.explode(_edge_lines("text")).alias("line"))
-    counts = edges.groupBy("source", "line").agg(F.count(F.lit(1)).alias("pages"))
-    return counts.join(total, "source").filter(F.col("pages") >= F.col("n_pages") * F.lit(ratio)).select("source", "line", "pages")
+    edges = pages.select("source", F.explode(_edge_lines("text")).alias("line")).groupBy("source", "line").agg(F.count(F.lit(1)).alias("pages"))
+    total = _totals(pages).filter(F.col("n_pages") >= min_pages)
+    return edges.join(total, "source").filter(F.col("pages") >= F.col("n_pages") * F.lit(ratio)).select("source", "line", "pages")
 
 
 def labelled_lines(pages: DataFrame) -> DataFrame:
@@ -44,67 +59,105 @@ def labelled_lines(pages: DataFrame) -> DataFrame:
     return pages.select("source", F.explode(F.array_distinct("furniture")).alias("line")).groupBy("source", "line").agg(F.count(F.lit(1)).alias("pages"))
 
 
-def _debris_runs(flags):
-    """(after, before) bounds of each maximal run of at least DEBRIS_RUN flags; places count from 1."""
-    marks = F.transform(flags, lambda f, i: F.when(~f, i + 1))
-    stops = F.concat(F.array(F.lit(0)), F.filter(marks, lambda x: x.isNotNull()), F.array(F.size(flags) + 1))
-    pairs = F.zip_with(F.slice(stops, F.lit(1), F.size(stops) - 1), F.slice(stops, F.lit(2), F.size(stops) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return F.filter(pairs, lambda p: p["b"] - p["a"] - 1 >= DEBRIS_RUN)
-
-
-def flagged_lines(pages: DataFrame) -> DataFrame:
-    """Pages with ``marked``: an array of (line, stage), stage null where the line stays. Cleaning and its audit both read this."""
+def document_rules(pages: DataFrame) -> DataFrame:
+    """(source, n_pages, numbers, furniture, labelled, protected): what to drop from each document as (line, pages), whether a reader said so, and what to spare."""
+    mark = lambda c, kind: F.transform(F.coalesce(F.array_distinct(c), F.array().cast("array<string>")), lambda x: F.struct(x.alias("line"), F.lit(kind).alias("kind")))
+    marks = pages.select("source", F.explode(F.concat(mark(_edge_lines("text"), "edge"), mark("furniture", "label"), mark("structured", "spare"))).alias("m"))
+    counts = marks.groupBy("source", "m.line", "m.kind").agg(F.count(F.lit(1)).alias("pages"))
+    totals = _totals(pages)
+    # Of the lines at the edges only a few of each document pass, so what is collected is short.
+    often = (F.col("n_pages") >= MIN_PAGES) & (F.col("pages") >= F.col("n_pages") * F.lit(REPEAT_RATIO))
+    few = counts.join(totals.select("source", "n_pages"), "source").filter((F.col("kind") != "edge") | often)
+    of = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("line", "pages"))))
+    rules = few.groupBy("source").agg(of("edge").alias("running"), of("label").alias("labels"), of("spare").alias("spare"))
+    nothing = F.array().cast("array<struct<line: string, pages: bigint>>")
+    labelled = F.coalesce(F.size("labels") > 0, F.lit(False))
+    furniture = F.when(labelled, F.col("labels")).otherwise(F.coalesce("running", nothing))
+    return totals.join(rules, "source", "left").select("source", "n_pages", "numbers", furniture.alias("furniture"), labelled.alias("labelled"), F.coalesce(F.col("spare.line"), F.array().cast("array<string>")).alias("protected"))
+
+
+#: The rules of functions/text.py for one stripped line.
+_NUMBER = re.compile(r"(page\s*)?\d{1,4}\s*(/\s*\d{1,4})?", re.IGNORECASE)
+_BULLET = re.compile(r"([•●▪–—\-*·]|\d+[.)]|[a-z][.)])\s")
+
+
+def _is_fragment(line: str, bare: str) -> bool:
+    return 0 < len(bare) <= T.FRAGMENT_CHARS and bare[-1] not in ".!?:" and not (bare[0] == "|" == bare[-1] and len(bare) > 1) and not _BULLET.match(line.lstrip())
+
+
+def judge_page(text: str, drop: set[str], spare: set[str], active: bool) -> tuple[str, list[tuple[int, str, str]]]:
+    """(the lines that stay, (number, stage, stripped line) of those that go). Numbers count the page's lines from 1."""
+    gone, left = [], []
+    for i, line in enumerate(text.splitlines(), 1):
+        bare = line.strip()
+        stage = None
+        if active and bare:
+            stage = STAGES[0] if bare in drop else STAGES[1] if bare[-1].isdecimal() and _NUMBER.fullmatch(bare) else None
+        if stage:
+            gone.append((i, stage, bare))
+        else:
+            left.append((i, line, bare, bare not in spare and _is_fragment(line, bare)))
+    stay, run = [], []
+    for entry in [*left, (0, "", "", False)]:
+        if entry[3]:
+            run.append(entry)
+            continue
+        if len(run) >= DEBRIS_RUN:
+            gone += [(i, STAGES[2], bare) for i, _, bare, _ in run]
+        else:
+            stay += [line for _, line, _, _ in run]
+        run = []
+        if entry[0]:
+            stay.append(entry[1])
+    return "\n".join(stay), gone
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        drop, spare, active = (b.column(k).to_pylist() for k in (3, 4, 5))
+        judged = [judge_page(t, set(d), set(s), a) for t, d, s, a in zip(b.column(2).to_pylist(), drop, spare, active, strict=True)]
+        kind = pa.list_(pa.struct([("i", pa.int64()), ("stage", pa.string()), ("text", pa.string())]))
+        gone = pa.array([[{"i": i, "stage": s, "text": t} for i, s, t in g] for _, g in judged], kind)
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([s for s, _ in judged], pa.string()), gone], names=["source", "page", "text", "stay", "gone"])
+
+
+def flagged_lines(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """(source, page, text, stay, gone): the text of the lines that stay, and the non-blank lines that go as (i, stage, text). Cleaning and its audit both read this."""
     pages = as_pages(pages)
-    docs = pages.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_pages"),
-        F.array_distinct(F.flatten(F.collect_set("furniture"))).alias("labels"),
-        F.array_distinct(F.flatten(F.collect_set("structured"))).alias("protected"),
-    )
-    running = running_lines(pages).groupBy("source").agg(F.collect_set("line").alias("running"))
-    docs = docs.join(running, "source", "left")
-    labelled = F.size("labels") > 0
-    furniture = F.when(labelled, F.col("labels")).otherwise(F.coalesce("running", F.array().cast("array<string>")))
-    docs = docs.select("source", furniture.alias("drop_lines"), "protected", (labelled | (F.col("n_pages") >= MIN_PAGES)).alias("active"))
-    df = pages.select("source", "page", "text").join(docs, "source")
-    df = df.withColumn("split", F.transform(T.lines("text"), lambda x: F.struct(x.alias("line"), T.strip(x).alias("bare"))))
-    stage = lambda x: F.when(~F.col("active"), F.lit(None)).when((x["bare"] != "") & F.array_contains("drop_lines", x["bare"]), F.lit("furniture")).when(T.is_page_number(x["line"]), F.lit("page-number"))
-    df = df.withColumn("first", F.transform("split", lambda x: F.struct(x["line"].alias("line"), x["bare"].alias("bare"), stage(x).alias("stage"))))
-    df = df.withColumn("left", F.filter("first", lambda x: x["stage"].isNull()))
-    df = df.withColumn("flags", F.transform("left", lambda x: T.is_fragment(x["line"]) & ~F.array_contains("protected", x["bare"])))
-    df = df.withColumn("runs", _debris_runs(F.col("flags")))
-    # Naming ``runs`` twice keeps the optimizer from computing it anew inside the loop over lines.
-    debris = lambda i: (F.size("runs") > 0) & F.exists("runs", lambda r: (r["a"] < i + 1) & (i + 1 < r["b"]))
-    df = df.withColumn("second", F.transform("left", lambda x, i: F.struct(x["line"].alias("line"), x["bare"].alias("bare"), F.when(debris(i), F.lit("figure-debris")).alias("stage"))))
-    return df.select("source", "page", "text", "first", "second")
+    rules = rules if rules is not None else document_rules(pages)
+    active = F.col("labelled") | (F.col("n_pages") >= MIN_PAGES)
+    each = pages.select("source", "page", "text").join(rules, "source").select("source", "page", "text", F.col("furniture.line").alias("drop"), "protected", active.alias("active"))
+    return each.mapInArrow(_judge, FLAGGED.format(page=pages.schema["page"].dataType.simpleString()))
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
     """(source, page, text): every page stays, even an empty one, so page numbers hold."""
-    stay = F.array_join(F.transform(F.filter("second", lambda x: x["stage"].isNull()), lambda x: x["line"]), "\n")
-    return flagged_lines(pages).select("source", "page", T.clean_page(stay).alias("text"))
+    return flagged_lines(pages).select("source", "page", T.clean_page("stay").alias("text"))
 
 
 def removals(pages: DataFrame) -> DataFrame:
     """(source, page, stage, text) of every non-blank line that cleaning drops."""
-    gone = F.filter(F.concat("first", "second"), lambda x: x["stage"].isNotNull() & (x["bare"] != ""))
-    return flagged_lines(pages).select("source", "page", F.explode(gone).alias("x")).select("source", "page", "x.stage", F.col("x.bare").alias("text"))
+    return flagged_lines(pages).select("source", "page", F.explode("gone").alias("x")).select("source", "page", "x.stage", "x.text")
 
 
 def cleaning_report(pages: DataFrame) -> DataFrame:
-    """One row a document: pages, chars before and after, removed_ratio, lines removed by stage, the furniture map and whether it was labelled, numbers_preserved."""
-    pages = as_pages(pages)
-    flagged = flagged_lines(pages)
-    stay = F.array_join(F.transform(F.filter("second", lambda x: x["stage"].isNull()), lambda x: x["line"]), "\n")
-    gone = lambda s: F.size(F.filter(F.concat("first", "second"), lambda x: (x["stage"] == s) & (x["bare"] != "")))
-    sums = flagged.select("source", "page", F.length("text").alias("a"), F.length(T.clean_page(stay)).alias("b"), *[gone(s).alias(s.replace("-", "_")) for s in ("furniture", "page-number", "figure-debris")])
-    report = sums.groupBy("source").agg(F.count(F.lit(1)).alias("pages"), F.sum("a").alias("chars_before"), F.sum("b").alias("chars_after"), *[F.sum(c).alias(f"{c}_lines") for c in ("furniture", "page_number", "figure_debris")])
-    labels = labelled_lines(pages)
-    named = labels.withColumn("labelled", F.lit(True)).unionByName(running_lines(pages).join(labels.select("source").distinct(), "source", "left_anti").withColumn("labelled", F.lit(False)))
-    maps = named.groupBy("source").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("line", "pages")))).alias("furniture"), F.bool_or("labelled").alias("furniture_labelled"))
-    numbers = pages.groupBy("source").agg(F.sort_array(F.collect_list("page")).alias("x")).join(flagged.groupBy("source").agg(F.sort_array(F.collect_list("page")).alias("y")), "source").select("source", (F.col("x") == F.col("y")).alias("numbers_preserved"))
+    """One row a document: pages, chars before and after, removed_ratio, lines removed by stage, the furniture map and whether it was labelled, numbers_preserved.
+
+    numbers_preserved: the cleaned pages are as many as the raw ones and their numbers have the same checksum.
+    """
+    rules = document_rules(as_pages(pages))
+    flagged = flagged_lines(pages, rules)
+    lines = lambda stage: F.size(F.filter("gone", lambda x: x["stage"] == stage))
+    sums = flagged.select("source", "page", F.length("text").alias("a"), F.length(T.clean_page("stay")).alias("b"), *[lines(s).alias(s.replace("-", "_")) for s in STAGES])
+    report = sums.groupBy("source").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum("a").alias("chars_before"), F.sum("b").alias("chars_after"),
+        *[F.sum(s.replace("-", "_")).alias(f"{s.replace('-', '_')}_lines") for s in STAGES], F.bit_xor(F.xxhash64("page")).alias("after"),
+    )
     ratio = F.when(F.col("chars_before") > 0, 1 - F.col("chars_after") / F.col("chars_before")).otherwise(F.lit(0.0))
-    out = report.withColumn("removed_ratio", ratio).join(maps, "source", "left").join(numbers, "source", "left")
-    return out.withColumn("furniture_labelled", F.coalesce("furniture_labelled", F.lit(False)))
+    named = F.when(F.size("furniture") > 0, F.map_from_entries("furniture"))
+    preserved = (F.col("pages") == F.col("n_pages")) & (F.col("after") == F.col("numbers"))
+    out = report.withColumn("removed_ratio", ratio).join(rules, "source")
+    return out.select(*report.columns[:-1], "removed_ratio", named.alias("furniture"), F.col("labelled").alias("furniture_labelled"), preserved.alias("numbers_preserved"))
 
 
 def margin(report: DataFrame) -> DataFrame:

@@ -95,8 +95,8 @@ select source, {_STRIP.format('line')} as line, i from c where f and n >= 6"""
 )
 def debris_runs(spark, sf_dir):
     """Lines in runs of at least six fragments."""
-    second = P.flagged_lines(B.html_pages(spark, sf_dir)).select("source", F.posexplode("second").alias("p", "x"))
-    return second.filter("x.stage = 'figure-debris'").select("source", F.col("x.bare").alias("line"), (F.col("p") + 1).cast("long").alias("i"))
+    gone = P.flagged_lines(B.html_pages(spark, sf_dir)).select("source", F.explode("gone").alias("x"))
+    return gone.filter("x.stage = 'figure-debris'").select("source", F.col("x.text").alias("line"), "x.i")
 
 
 _CLEANED = f"""{_FIRST},
