@@ -1,8 +1,8 @@
 """Choosing material that covers a corpus: clustering, apportionment and diverse picks.
 
-Candidates are rows (ord, id, source, text, embedding); ``ord`` settles every tie. Vectors stay in the executors: each
-pass sends the driver one row a partition (a best candidate, or sums for K centres), so its memory is
-bounded by partitions * K * dimensions.
+Candidates are rows (ord, id, source, text, embedding); ``ord`` settles every tie. Vectors stay in the executors. Clustering
+runs over any number of groups of rows (``g``) at once: each pass finds a best row, or sums for each centre, of every group in every
+partition, and the executors bring these down to a row a group, or LANES rows a centre, before the driver sees them.
 """
 
 from __future__ import annotations
@@ -12,14 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vectors as V
 from .search import search
 
+#: What counts as substantial and as selectable, and the rounds and topics of a clustering.
 SUBSTANTIAL_CHARS, SELECTABLE_CHARS, ROUNDS, MOST_TOPICS = 400, 200, 6, 12
-SMALL_TOPIC = 20_000  # rows of a topic that one task may hold
+LANES = 16
 
 
 def substantial(candidates: DataFrame, count: int, least: int = SELECTABLE_CHARS) -> DataFrame:
@@ -41,45 +43,65 @@ def _dots(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.stack([(x * c).sum(axis=1) for c in centres], axis=1)
 
 
-def _best(candidates: DataFrame, value: Callable[[np.ndarray], np.ndarray], skip: list[int]) -> tuple[int, np.ndarray]:
-    """The row of the largest value, the least ord among equals, not in ``skip``."""
+def _by_group(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(g, ords, vectors) of each group in a batch of (g, ord, embedding)."""
+    g, ords, x = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b)
+    for one in np.unique(g):
+        yield int(one), ords[g == one], x[g == one]
+
+
+def _best(rows: DataFrame, value: Callable[[int, np.ndarray], np.ndarray], skip: list[int]) -> dict[int, tuple[int, np.ndarray]]:
+    """The row of the largest value in each group, the least ord among equals, not in ``skip``."""
 
     def per_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
+        best: dict[int, tuple] = {}
         for b in batches:
-            ords, x = b.column(0).to_numpy(), _matrix(b)
-            use = ~np.isin(ords, skip)
-            if use.any():
-                v = np.where(use, value(x), -np.inf)
-                i = np.lexsort((ords, -v))[0]
-                mine = (float(v[i]), -int(ords[i]), x[i])
-                best = mine if best is None or mine[:2] > best[:2] else best
+            for g, ords, x in _by_group(b):
+                use = ~np.isin(ords, skip)
+                if use.any():
+                    v = np.where(use, value(g, x), -np.inf)
+                    i = np.lexsort((ords, -v))[0]
+                    mine = (float(v[i]), -int(ords[i]), x[i])
+                    best[g] = max(best.get(g, mine), mine, key=lambda m: m[:2])
         if best:
-            yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([-best[1]]), pa.array([best[2].tolist()])], names=["value", "ord", "embedding"])
+            v, o, x = zip(*best.values(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(best.keys(), pa.int64()), pa.array(v), pa.array([-n for n in o]), pa.array([e.tolist() for e in x])], names=["g", "value", "ord", "embedding"])
 
-    rows = candidates.select("ord", "embedding").mapInArrow(per_part, "value double, ord long, embedding array<double>").collect()
-    top = max(rows, key=lambda r: (r.value, -r.ord))
-    return top.ord, np.array(top.embedding)
+    found = rows.mapInArrow(per_part, "g long, value double, ord long, embedding array<double>")
+    top = found.groupBy("g").agg(F.max_by(F.struct("ord", "embedding"), F.struct("value", -F.col("ord"))).alias("b"))
+    return {r.g: (r.b.ord, np.array(r.b.embedding)) for r in top.collect()}
 
 
-def _sums(candidates: DataFrame, centres: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sums and sizes by nearest centre, and how many rows were nearest to another one of ``before``."""
+def _sums(rows: DataFrame, centres: dict[int, np.ndarray], before: dict[int, np.ndarray] | None) -> dict[int, tuple[np.ndarray, np.ndarray, int]]:
+    """Of each group: sums and sizes by nearest centre, and how many rows were nearest to another one of ``before``."""
+    names = ["g", "sums", "sizes", "moved"]
 
     def per_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, sizes, moved = 0.0, np.zeros(len(centres), np.int64), 0
+        held: dict[int, list] = {}
         for b in batches:
-            x = _matrix(b)
-            if len(x):
-                at = _dots(x, centres).argmax(1)
-                s = np.zeros_like(centres)
-                np.add.at(s, at, x)
-                sums, sizes = sums + s, sizes + np.bincount(at, minlength=len(centres))
-                moved += len(x) if before is None else int((_dots(x, before).argmax(1) != at).sum())
-        if sizes.sum():
-            yield pa.RecordBatch.from_arrays([pa.array([sums.ravel().tolist()]), pa.array([sizes.tolist()]), pa.array([moved])], names=["sums", "sizes", "moved"])
-
-    rows = candidates.select("ord", "embedding").mapInArrow(per_part, "sums array<double>, sizes array<long>, moved long").collect()
-    return sum(np.array(r.sums).reshape(centres.shape) for r in rows), sum(np.array(r.sizes) for r in rows), sum(r.moved for r in rows)
+            for g, _, x in _by_group(b):
+                c = centres[g]
+                at = _dots(x, c).argmax(1)
+                sums = np.zeros_like(c)
+                np.add.at(sums, at, x)
+                moved = len(x) if before is None else int((_dots(x, before[g]).argmax(1) != at).sum())
+                new = [sums, np.bincount(at, minlength=len(c)), moved]
+                held[g] = [p + q for p, q in zip(held[g], new, strict=True)] if g in held else new
+        if held:
+            s, n, m = zip(*held.values(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array([v.ravel().tolist() for v in s]), pa.array([v.tolist() for v in n]), pa.array(m)], names=names)
+
+    def per_lane(t: pa.Table) -> pa.Table:
+        add = lambda name: np.sum(np.array(t.column(name).to_pylist()), axis=0).tolist()
+        return pa.table([t.column("g")[:1], pa.array([add("sums")]), pa.array([add("sizes")]), pa.array([add("moved")])], names=names)
+
+    schema = "g long, sums array<double>, sizes array<long>, moved long"
+    lane = F.pmod(F.spark_partition_id(), F.lit(LANES)).alias("lane")
+    out: dict[int, tuple] = {}
+    for r in rows.mapInArrow(per_part, schema).withColumn("lane", lane).groupBy("g", "lane").applyInArrow(per_lane, schema).collect():
+        new = np.array(r.sums).reshape(centres[r.g].shape), np.array(r.sizes), r.moved
+        out[r.g] = tuple(p + q for p, q in zip(out[r.g], new, strict=True)) if r.g in out else new
+    return out
 
 
 def centroid(candidates: DataFrame, *by: str) -> DataFrame:
@@ -88,16 +110,85 @@ def centroid(candidates: DataFrame, *by: str) -> DataFrame:
     return each.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
+def _one_group(candidates: DataFrame) -> DataFrame:
+    return candidates.select(F.lit(0).cast("long").alias("g"), "ord", "embedding")
+
+
+def _seeds(rows: DataFrame, counts: dict[int, int]) -> dict[int, list[tuple[int, np.ndarray]]]:
+    """(ord, vector) of as many rows of each group as ``counts`` says: the one nearest to the group's mean, then each time the one least like all chosen."""
+    dim = rows.select(F.size("embedding")).first()[0]
+    whole = _sums(rows, {g: np.zeros((1, dim)) for g in counts}, None)
+    means = {g: s[0] / n[0] for g, (s, n, _) in whole.items()}
+    chosen = {g: [b] for g, b in _best(rows, lambda g, x: _dots(x, means[g][None])[:, 0], []).items()}
+    while any(len(chosen[g]) < n for g, n in counts.items()):
+        wanting = [g for g, n in counts.items() if len(chosen[g]) < n]
+        taken = {g: np.stack([v for _, v in chosen[g]]) for g in wanting}
+        found = _best(rows.filter(F.col("g").isin(wanting)), lambda g, x: -_dots(x, taken[g]).max(1), [o for c in chosen.values() for o, _ in c])  # noqa: B023
+        for g, b in found.items():
+            chosen[g].append(b)
+    return chosen
+
+
 def spread_seeds(candidates: DataFrame, count: int) -> list[tuple[int, np.ndarray]]:
-    """(ord, vector) of ``count`` rows: the one nearest to the mean, then each time the one least like all chosen."""
-    dim = candidates.select(F.size("embedding")).first()[0]
-    total, n, _ = _sums(candidates, np.zeros((1, dim)), None)
-    mean = total[0] / n[0]
-    seeds = [_best(candidates, lambda x: _dots(x, mean[None])[:, 0], [])]
-    while len(seeds) < count:
-        chosen = np.stack([v for _, v in seeds])
-        seeds.append(_best(candidates, lambda x: -_dots(x, chosen).max(1), [o for o, _ in seeds]))  # noqa: B023
-    return seeds
+    return _seeds(_one_group(candidates), {0: count})[0]
+
+
+def lloyd_step(rows: DataFrame, centres: dict[int, np.ndarray], before: dict[int, np.ndarray] | None = None) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray], int]:
+    """(new centres, sizes, rows that moved) of (g, ord, embedding): plain means of the rows nearest to each centre by dot product; a centre without rows stays."""
+    new, sizes, moved = {g: c.copy() for g, c in centres.items()}, {}, 0
+    for g, (s, n, m) in _sums(rows, centres, before).items():
+        new[g][n > 0] = s[n > 0] / n[n > 0, None]
+        sizes[g], moved = n, moved + m
+    return new, sizes, moved
+
+
+def _grouped(candidates: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """``candidates`` (with ``g``), clustered inside each group: with ``seed``, the centre that the row belongs to, and ``fit``."""
+    rows = candidates.select("g", "ord", "embedding")
+    centres = {g: np.stack([v for _, v in c]) for g, c in _seeds(rows, counts).items()}
+    before, used = None, centres
+    for _ in range(ROUNDS):
+        new, _, moved = lloyd_step(rows, centres, before)
+        used = centres
+        if not moved:
+            break
+        before, centres = centres, new
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, groups = _matrix(b), b.column(b.schema.get_field_index("g")).to_numpy()
+            at, fit = np.zeros(len(groups), np.int64), np.zeros(len(groups))
+            for g in np.unique(groups):
+                mine = groups == g
+                at[mine] = _dots(x[mine], used[g]).argmax(1)
+                fit[mine] = (x[mine] * centres[g][at[mine]]).sum(1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at), pa.array(fit)], names=[*b.schema.names, "seed", "fit"])
+
+    from pyspark.sql import types as P
+
+    schema = P.StructType([*candidates.schema.fields, P.StructField("seed", P.LongType()), P.StructField("fit", P.DoubleType())])
+    return candidates.mapInArrow(place, schema).withColumn("fit", weighted(F.col("fit")))
+
+
+def weighted(fit: Column) -> Column:
+    """How well a row stands for its group: its likeness to the centre, less for a short text."""
+    return fit * F.least(F.length("text") / SUBSTANTIAL_CHARS, F.lit(1.0))
+
+
+def group_sizes(members: DataFrame, by: str) -> DataFrame:
+    """(by, size, weight): rows and sources of each group."""
+    return members.groupBy(by).agg(F.count(F.lit(1)).alias("size"), F.count_distinct("source").alias("weight"))
+
+
+def best_of(members: DataFrame, *by: str) -> DataFrame:
+    """(by, rep): the row of each group that fits best, the least ord among equals."""
+    return members.groupBy(*by).agg(F.max_by(F.struct("ord", "id", "text", "fit"), F.struct("fit", -F.col("ord"))).alias("rep"))
+
+
+def representatives(members: DataFrame, by: str) -> DataFrame:
+    """(by, rep) with the mean vector of each group as its centre; the groups are few."""
+    centred = members.join(F.broadcast(centroid(members, by)), by)
+    return best_of(centred.withColumn("fit", weighted(V.dot("embedding", "centroid"))), by)
 
 
 @dataclass
@@ -110,8 +201,7 @@ class Clustering:
 
 def _topics(members: DataFrame) -> Clustering:
     """Number the groups in ``seed`` by (weight, size) descending, then seed."""
-    best = F.max_by(F.struct("ord", "id", "text"), F.struct("fit", -F.col("ord")))
-    groups = members.groupBy("seed").agg(F.count(F.lit(1)).alias("size"), F.count_distinct("source").alias("weight"), best.alias("rep"))
+    groups = group_sizes(members, "seed").join(best_of(members, "seed"), "seed")
     order = Window.orderBy(F.desc("weight"), F.desc("size"), "seed")
     topics = groups.withColumn("topic", F.row_number().over(order)).select("topic", "seed", F.col("rep.ord").alias("rep_ord"), F.col("rep.id").alias("rep_id"), "size", "weight", T.preview("rep.text").alias("label"))
     named = members.join(F.broadcast(topics.select("seed", "topic", "rep_ord")), "seed").withColumn("representative", F.col("ord") == F.col("rep_ord"))
@@ -123,37 +213,15 @@ def cluster(candidates: DataFrame, count: int) -> Clustering:
 
     Topics without members vanish. If ``count`` reaches the pool's size, every row is a topic, the longest text first.
     """
-    empty = candidates.limit(0).withColumn("seed", F.lit(0)).withColumn("fit", F.lit(0.0))
     if count <= 0 or candidates.isEmpty():
-        return _topics(empty)
+        return _topics(candidates.limit(0).withColumn("seed", F.lit(0)).withColumn("fit", F.lit(0.0)))
     pool = substantial(candidates, count).persist()
     if pool.limit(count + 1).count() <= count:
         rank = F.row_number().over(Window.orderBy(F.desc(F.length("text")), "ord"))
         single = pool.withColumn("topic", rank).withColumn("representative", F.lit(True))
         topics = single.select("topic", F.col("ord").alias("rep_ord"), F.col("id").alias("rep_id"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("weight"), T.preview("text").alias("label"))
         return Clustering(topics, single)
-    centres, before, used = np.stack([v for _, v in spread_seeds(pool, count)]), None, None
-    for _ in range(ROUNDS):
-        sums, sizes, moved = _sums(pool, centres, before)
-        used = centres
-        if not moved:
-            break
-        before, some = centres, sizes > 0
-        centres = centres.copy()
-        centres[some] = sums[some] / sizes[some, None]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _matrix(b)
-            at = _dots(x, used).argmax(1) if len(x) else np.empty(0, np.int64)
-            fit = (x * centres[at]).sum(1) if len(x) else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at), pa.array(fit)], names=[*b.schema.names, "seed", "fit"])
-
-    from pyspark.sql import types as P
-
-    schema = P.StructType([*pool.schema.fields, P.StructField("seed", P.LongType()), P.StructField("fit", P.DoubleType())])
-    members = pool.mapInArrow(place, schema).withColumn("fit", F.col("fit") * F.least(F.length("text") / SUBSTANTIAL_CHARS, F.lit(1.0)))
-    return _topics(members)
+    return _topics(_grouped(pool.withColumn("g", F.lit(0).cast("long")), {0: count}).drop("g"))
 
 
 def spread(candidates: DataFrame, count: int) -> DataFrame:
@@ -175,56 +243,36 @@ def allocate(topics: DataFrame, slots: int) -> DataFrame:
     return out.withColumn("slots", (1 + F.col("part") + (F.col("rank") <= F.col("left")).cast("long")).cast("long")).drop("exact", "part", "left", "rank")
 
 
-def pick_within(members: DataFrame, count: int) -> DataFrame:
-    """``count`` rows of one topic (with ``representative``), chosen apart; all if it has no more, possibly fewer."""
-    if members.limit(count + 1).count() <= count:
-        return members
-    if count <= 1:
-        return members.filter("representative")
-    return spread(members.drop("topic", "representative"), count).select(*members.columns)
-
-
-def spread_places(x: np.ndarray, chars: np.ndarray, count: int) -> list[int]:
-    """What spread() picks, for rows in order of ord that one task holds."""
-    pool = np.flatnonzero(chars >= SELECTABLE_CHARS)
-    if len(pool) < count:
-        pool = np.sort(np.argsort(-chars, kind="stable")[:count])
-    if count >= len(pool):
-        return pool.tolist()
-    v = x[pool]
-    seeds = [int((v * v.mean(0)).sum(1).argmax())]
-    nearest = (v * v[seeds[0]]).sum(1)
-    while len(seeds) < count:
-        free = nearest.copy()
-        free[seeds] = np.inf
-        seeds.append(int(free.argmin()))
-        nearest = np.maximum(nearest, (v * v[seeds[-1]]).sum(1))
-    centres, before = v[seeds].copy(), None
-    for _ in range(ROUNDS):
-        at = _dots(v, centres).argmax(1)
-        if before is not None and (at == before).all():
-            break
-        before = at
-        for k in np.unique(at):
-            centres[k] = v[at == k].mean(0)
-    fit = (v * centres[at]).sum(1) * np.minimum(chars[pool] / SUBSTANTIAL_CHARS, 1.0)
-    return [int(pool[g[fit[g].argmax()]]) for g in (np.flatnonzero(at == k) for k in np.unique(at))]
-
+def pick_within(members: DataFrame, slots: dict[int, int]) -> DataFrame:
+    """Of ``members`` (with ``topic`` and ``representative``), as many rows of each topic as ``slots`` says, chosen apart, from the substantial ones if they suffice.
 
-def pick_small(members: DataFrame) -> DataFrame:
-    """pick_within() for many topics at once: ``members`` has ``topic``, ``representative`` and ``slots``. A topic is one group, so give topics of bounded size."""
-
-    def choose(t: pa.Table) -> pa.Table:
-        t = t.sort_by("ord")
-        count = t.column("slots")[0].as_py()
-        if t.num_rows <= count:
-            return t
-        if count <= 1:
-            return t.filter(t.column("representative"))
-        x = np.array(t.column("embedding").to_pylist(), float)
-        return t.take(pa.array(spread_places(x, np.array([len(s) for s in t.column("text").to_pylist()]), count), pa.int64()))
-
-    return members.groupBy("topic").applyInArrow(choose, members.schema)
+    A topic that has no more rows gives all, and one slot takes the representative; otherwise a topic may give fewer. All topics are worked on
+    in the same passes, however large they are.
+    """
+    size = {r.topic: r for r in members.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("text") >= SELECTABLE_CHARS).alias("long")).collect()}
+    slots = {t: n for t, n in slots.items() if n > 0 and t in size}
+    whole = [t for t, n in slots.items() if size[t].n <= n]
+    single = [t for t, n in slots.items() if n == 1 and t not in whole]
+    several = {t: n for t, n in slots.items() if t not in whole and n > 1}
+    out = members.filter(F.col("topic").isin(whole) | (F.col("topic").isin(single) & F.col("representative")))
+    if not several:
+        return out
+    enough = [t for t, n in several.items() if size[t].long >= n]
+    of = members.filter(F.col("topic").isin([t for t in several if t in enough]) & (F.length("text") >= SELECTABLE_CHARS))
+    rest = members.filter(F.col("topic").isin([t for t in several if t not in enough]))
+    if len(enough) < len(several):  # the longest, as many as there are slots: all of them are picked
+        rank = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc(F.length("text")), "ord"))
+        wanted = F.create_map(*[F.lit(x) for t in several for x in (t, several[t])])
+        out = out.unionByName(rest.withColumn("rank", rank).filter(F.col("rank") <= wanted[F.col("topic")]).drop("rank"))
+    exact = [t for t in enough if size[t].long == several[t]]
+    out = out.unionByName(of.filter(F.col("topic").isin(exact)))
+    apart = {t: several[t] for t in enough if t not in exact}
+    if apart:
+        pool = of.filter(F.col("topic").isin(list(apart))).withColumn("g", F.col("topic").cast("long"))
+        found = _grouped(pool, apart)
+        reps = best_of(found, "g", "seed").select(F.col("rep.ord").alias("ord"))
+        out = out.unionByName(members.join(F.broadcast(reps), "ord", "left_semi").select(*members.columns))  # a row for each slot
+    return out
 
 
 def mmr_order(x: np.ndarray, query: np.ndarray, count: int, diversity: float) -> list[int]:
@@ -275,16 +323,6 @@ def gather_material(candidates: DataFrame, count: int, vector: list[float] | Non
     else:
         found = cluster(candidates, min(count, MOST_TOPICS))
         shares = allocate(found.topics, count).collect()  # MOST_TOPICS rows at most
-        small = [t for t in shares if t.size <= SMALL_TOPIC]
-        picked = None
-        if small:
-            slots = candidates.sparkSession.createDataFrame([(t.topic, t.slots) for t in small], "topic int, slots long")
-            picked = pick_small(found.members.join(F.broadcast(slots), "topic")).select(*candidates.columns)
-        for t in shares:
-            if t.size > SMALL_TOPIC:
-                part = pick_within(found.members.filter(F.col("topic") == t.topic), t.slots).select(*candidates.columns)
-                picked = part if picked is None else picked.unionByName(part)
-        if picked is None:
-            return candidates.limit(0)
+        picked = pick_within(found.members, {t.topic: t.slots for t in shares})
     order = ["source", "page", "ord"] if "page" in candidates.columns else ["source", "ord"]
     return picked.select(*candidates.columns).orderBy(*order)

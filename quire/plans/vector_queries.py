@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -68,16 +69,13 @@ _FIT = "list_dot_product(v, centroid) * least(length(text) / 400, 1.0)"
 
 @query(f"with {_CENTRES}, r as (select v.label, ord, {_FIT} as fit, row_number() over (partition by v.label order by {_FIT} desc, ord) as rn from vectors v join centres c on c.label = v.label) select label, ord, round(fit, 6) as fit from r where rn = 1")
 def representative(spark, sf_dir):
-    c = B.vectors(spark, sf_dir)
-    each = c.join(F.broadcast(S.centroid(c, "label")), "label")  # a row for each of ten labels
-    fit = V.dot("embedding", "centroid") * F.least(F.length("text") / S.SUBSTANTIAL_CHARS, F.lit(1.0))
-    best = F.max_by(F.struct("ord", fit.alias("fit")), F.struct(fit, -F.col("ord"))).alias("b")
-    return each.groupBy("label").agg(best).select("label", "b.ord", F.round("b.fit", 6).alias("fit"))
+    best = S.representatives(B.vectors(spark, sf_dir), "label")
+    return best.select("label", "rep.ord", F.round("rep.fit", 6).alias("fit"))
 
 
 @query(f"with {B.VECTORS} select label, count(*) as size, count(distinct source) as weight from vectors group by label")
 def topic_weight(spark, sf_dir):
-    return B.vectors(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.count_distinct("source").alias("weight"))
+    return S.group_sizes(B.vectors(spark, sf_dir), "label")
 
 
 _TOPICS = "t as (select row_number() over (order by count(*) desc, label) as topic, count(*) as weight from embeddings group by label)"
@@ -132,40 +130,84 @@ def spread_seeds(spark, sf_dir):
 def lloyd_round(spark, sf_dir):
     """One round from the means of the labels: nearest centre by dot product, then new means."""
     c = B.vectors(spark, sf_dir)
-    centres = S.centroid(c, "label").select(F.struct(F.col("label"), F.col("centroid")).alias("c")).agg(F.sort_array(F.collect_list("c")).alias("centres"))  # ten labels
-    fit = F.transform("centres", lambda s: F.struct(V.dot(F.col("embedding"), s["centroid"]).alias("fit"), (-s["label"]).alias("minus")))
-    a = c.crossJoin(F.broadcast(centres)).select("ord", "embedding", (-F.array_max(fit)["minus"]).alias("topic"))
-    new = a.groupBy("topic").agg(F.count(F.lit(1)).alias("members"), F.round(F.avg(F.get(V.doubles("embedding"), F.lit(0))), 6).alias("first_x"))
-    return new.select("topic", "members", "first_x")
+    means = S.centroid(c, "label").orderBy("label").collect()  # ten labels
+    new, sizes, _ = S.lloyd_step(c.select(F.lit(0).cast("long").alias("g"), "ord", "embedding"), {0: np.array([m.centroid for m in means])})
+    rows = [(m.label, int(n), float(x[0])) for m, n, x in zip(means, sizes[0], new[0], strict=True) if n]
+    return spark.createDataFrame(rows, "topic int, members long, first_x double").withColumn("first_x", F.round("first_x", 6))
+
+
+def _grouped_sql(p: str, pool: str, most: int) -> str:
+    """Clusters inside each group of ``pool`` (g, ord, source, v, text) as {p}groups (g, seed, size, weight, rep): the seeds, of which {p}want (g, slots) has the numbers, and all rounds written out."""
+    mean = lambda rows, by: f"select {by}, list(x order by i) as c from (select {by}, i, avg(x) as x from (select {by}, unnest(v) as x, unnest(range(1, len(v) + 1)) as i from {rows}) group by {by}, i) group by {by}"
+    nearest = lambda at: f"select p.g, p.ord, arg_max(c.seed, (list_dot_product(p.v, c.c), -c.seed)) as seed from {pool} p join {p}c{at} c on c.g = p.g group by p.g, p.ord"
+    steps = [
+        f"{p}m as ({mean(pool, 'g')})",
+        f"{p}s1 as materialized (select g, ord, v from (select p.g, ord, v, row_number() over (partition by p.g order by list_dot_product(v, c) desc, ord) as rn from {pool} p join {p}m m on m.g = p.g) where rn = 1)",
+        f"{p}n1 as materialized (select p.g, p.ord, p.v, list_dot_product(p.v, s.v) as near, p.ord = s.ord as used from {pool} p join {p}s1 s on s.g = p.g)",
+    ]
+    for j in range(2, most + 1):
+        steps.append(f"{p}s{j} as materialized (select g, ord, v from (select n.*, row_number() over (partition by n.g order by near, ord) as rn from {p}n{j - 1} n join {p}want w on w.g = n.g where not used and w.slots >= {j}) where rn = 1)")
+        steps.append(f"{p}n{j} as materialized (select n.g, n.ord, n.v, case when s.v is null then near else greatest(near, list_dot_product(n.v, s.v)) end as near, used or coalesce(n.ord = s.ord, false) as used from {p}n{j - 1} n left join {p}s{j} s on s.g = n.g)")
+    steps.append(f"{p}c0 as materialized (" + " union all ".join(f"select g, {j} as seed, v as c from {p}s{j}" for j in range(1, most + 1)) + ")")
+    for r in range(1, 7):
+        steps.append(f"{p}a{r} as materialized ({nearest(r - 1)})")
+        moved = mean(f"(select a.g, a.seed, p.v from {pool} p join {p}a{r} a on a.g = p.g and a.ord = p.ord)", "g, seed")
+        steps.append(f"{p}c{r} as materialized (select o.g, o.seed, coalesce(m.c, o.c) as c from {p}c{r - 1} o left join ({moved}) m on m.g = o.g and m.seed = o.seed)")
+    fit = "list_dot_product(p.v, c.c) * least(length(p.text) / 400, 1.0)"
+    steps.append(f"{p}placed as materialized (select p.g, p.ord, p.source, p.v, p.text, p.id, p.page, a.seed, {fit} as fit from {pool} p join {p}a6 a on a.g = p.g and a.ord = p.ord join {p}c6 c on c.g = a.g and c.seed = a.seed)")
+    steps.append(f"{p}groups as (select g, seed, count(*) as size, count(distinct source) as weight, arg_max(ord, (fit, -ord)) as rep from {p}placed group by g, seed)")
+    return ", ".join(steps)
+
+
+def _topics_sql(count: int) -> str:
+    """Topics of all substantial vectors as topics (topic, seed, size, weight, rep)."""
+    return f"""{B.VECTORS}, pool as materialized (select 0 as g, * from vectors where length(text) >= 200), t_want as (select 0 as g, {count} as slots), {_grouped_sql("t_", "pool", count)},
+topics as materialized (select row_number() over (order by weight desc, size desc, seed) as topic, * from t_groups), named as materialized (select t.topic, p.* from t_placed p join topics t on t.seed = p.seed)"""
 
 
-@query()
+def _picks_sql(most: int) -> str:
+    """The rows of named that shares (topic, slots) takes, as picks (ord)."""
+    return f"""sized as materialized (select t.topic, t.rep, t.size, s.slots from topics t join shares s on s.topic = t.topic), p_want as (select topic as g, slots from sized where slots > 1 and size > slots),
+apart as materialized (select topic as g, ord, source, v, text, id, page from named where topic in (select g from p_want)), {_grouped_sql("p_", "apart", most)},
+picks as (select ord from named n join sized s on s.topic = n.topic where s.size <= s.slots or (s.slots = 1 and n.ord = s.rep) union all select rep from p_groups)"""
+
+
+_LABEL = r"regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')"
+
+
+@query(f"with {_topics_sql(12)}, l as (select topic, rep as rep_ord, id as rep_id, size, weight, {_LABEL} as t from topics join vectors on ord = rep) select topic, rep_ord, rep_id, size, weight, substr(t, 1, 70) || case when length(t) > 70 then '...' else '' end as label from l")
 def cluster_topics(spark, sf_dir):
     return S.rank_topics(B.vectors(spark, sf_dir), 12)
 
 
-@query()
+@query(f"with {_topics_sql(8)} select rep as ord, topic, source from topics join vectors on ord = rep")
 def spread(spark, sf_dir):
     return S.spread(B.vectors(spark, sf_dir), 8).select("ord", "topic", "source")
 
 
-@query()
+@query(f"with {_topics_sql(6)}, shares as (select topic, 3 as slots from topics), {_picks_sql(3)} select p.ord, n.topic, n.source from picks p join named n on n.ord = p.ord")
 def pick_within(spark, sf_dir):
+    """Three rows of every topic, chosen apart."""
     found = S.cluster(B.vectors(spark, sf_dir), 6)
-    return S.pick_within(found.members.filter("topic = 1"), 3).select("ord", "source")
+    return S.pick_within(found.members, dict.fromkeys(range(1, 7), 3)).select("ord", "topic", "source")
 
 
-def _mmr_sql(k: int) -> str:
+def _mmr_sql(k: int, diversity: float = 0.6) -> str:
+    near, far = round(1 - diversity, 6), diversity
     steps = [f"with {_Q}, pool as materialized (select ord, v, {_DOT.format('v', 'qv')} as s from (select * from vectors, q order by {_SCORE} desc, ord limit 40)), r as materialized (select ord, v, (s - min(s) over ()) / (max(s) over () - min(s) over ()) as rel from pool), p1 as materialized (select ord, v from r order by rel desc, ord limit 1), n1 as materialized (select r.ord, r.v, rel, list_dot_product(r.v, p1.v) as near from r, p1)"]
     for j in range(2, k + 1):
         taken = " union all ".join(f"select ord from p{i}" for i in range(1, j))
         steps.append(
-            f", p{j} as materialized (select ord, v from (select *, (near - min(near) over ()) / (max(near) over () - min(near) over ()) as sc from n{j - 1}) where ord not in ({taken}) order by 0.4 * rel - 0.6 * sc desc, ord limit 1)"
+            f", p{j} as materialized (select ord, v from (select *, (near - min(near) over ()) / (max(near) over () - min(near) over ()) as sc from n{j - 1}) where ord not in ({taken}) order by {near} * rel - {far} * sc desc, ord limit 1)"
             f", n{j} as materialized (select n.ord, n.v, rel, greatest(near, list_dot_product(n.v, p{j}.v)) as near from n{j - 1} n, p{j})"
         )
     return "".join(steps) + " " + " union all ".join(f"select {j} as pick, ord from p{j}" for j in range(1, k + 1))
 
 
+_SHARES = """x as (select *, 8.0::double * weight / sum(weight) over () as e from topics), f as (select *, floor(e) as part, row_number() over (order by e - floor(e) desc, topic) as rn from x),
+shares as materialized (select topic, (1 + part + case when rn <= 8 - (select sum(part) from f) then 1 else 0 end)::bigint as slots from f)"""
+
+
 @query(_mmr_sql(4))
 def mmr(spark, sf_dir):
     c = B.vectors(spark, sf_dir)
@@ -173,12 +215,12 @@ def mmr(spark, sf_dir):
     return S.mmr(K.search(c, q, 40).drop("score", "rank"), q, 4).select("pick", "ord")
 
 
-@query()
+@query(f"with {_topics_sql(12)}, {_SHARES}, {_picks_sql(9)} select p.ord, n.source, n.page from picks p join named n on n.ord = p.ord")
 def gather_material(spark, sf_dir):
     return S.gather_material(B.vectors(spark, sf_dir), 20).select("ord", "source", "page")
 
 
-@query()
+@query(f"select m.ord, d.source, m.ord % 7 + 1 as page from ({_mmr_sql(10, 0.4)}) m join documents d on d.doc_id = m.ord")
 def gather_material_topic(spark, sf_dir):
     c = B.vectors(spark, sf_dir)
     return S.gather_material(c, 10, B.first_vector(c)).select("ord", "source", "page")

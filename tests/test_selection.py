@@ -54,8 +54,6 @@ def test_cluster_against_plain_python(chunks):
     got = [(t.weight, t["size"], t.rep_ord) for t in found.topics.orderBy("topic").collect()]
     assert got == [(w, n, o) for w, n, _, o in model_cluster(rows, x, 5)]
     assert found.members.count() == sum(n for _, n, _ in got)
-    local = S.spread_places(x, np.array([len(r.text) for r in rows]), 5)
-    assert sorted(local) == sorted(o for _, _, o in got)
 
 
 def test_cluster_small_pools(chunks):
@@ -101,14 +99,19 @@ def test_gather_material(chunks):
     assert S.gather_material(chunks.limit(0), 5).count() == 0
 
 
-def test_pick_small_equals_pick_within(spark, small):
-    c = B.vectors(spark, small).persist()
-    found = S.cluster(c, 4)
-    members = found.members.persist()
-    for topic in (1, 2):
-        one = members.filter(f"topic = {topic}")
-        a = sorted(r.ord for r in S.pick_within(one, 3).collect())
-        from pyspark.sql import functions as F
+def test_pick_within_many_topics(spark, small):
+    """Topics picked together give what each gives by itself in plain Python."""
+    members = S.cluster(B.vectors(spark, small), 4).members.persist()
+    slots = {1: 3, 2: 5, 3: 1, 4: 2}
+    got = {t: sorted(r.ord for r in S.pick_within(members, slots).filter(f"topic = {t}").collect()) for t in slots}
+    for t, n in slots.items():
+        rows, x = plain(members.filter(f"topic = {t}"))
+        want = [r.ord for r in rows] if len(rows) <= n else [r.ord for r in rows if r.representative] if n == 1 else [o for _, _, _, o in model_cluster(rows, x, n)]
+        assert got[t] == sorted(want)
 
-        b = sorted(r.ord for r in S.pick_small(one.withColumn("slots", F.lit(3).cast("long"))).collect())
-        assert a == b
+
+def test_pick_within_short_rows(spark):
+    rows = [(i, f"c{i}", "s", "x" * n, [float(i % 3 == k) for k in range(3)], 1, 1, i == 0) for i, n in enumerate([50, 60, 70, 300, 400, 80])]
+    members = spark.createDataFrame(rows, SCHEMA + ", topic int, representative boolean")
+    pick = lambda n: sorted(r.ord for r in S.pick_within(members, {1: n}).collect())
+    assert pick(0) == [] and pick(1) == [0] and pick(2) == [3, 4] and pick(3) == [3, 4, 5] and pick(9) == list(range(6))
