@@ -1,20 +1,24 @@
-"""Language-model scores by logistic context mixing.
-
-Tokens are lower-cased words and one end mark for each text. A token is coded by eight bits and the rest: the
-SINGLE most frequent tokens have a code of their own and all others share 128 hashed classes. Bits are predicted
-one after the other by several hashed contexts (none, the last code, the last two codes, the last two codes
-of frequent words); each keeps counts of its codes over all training texts, from which a node of the code
-tree has its chance of a one. The predictions, stretched and weighted by confidence, are combined by weights that
-the node selects (the gate), learned online by the coding error, and a final table refines the result adaptively.
-Weights and table are learned over whole texts of all training rows: in each of ROUNDS rounds every task starts from
-the parameters of the round before, and a parameter becomes the mean of the tasks', each weighted by the tokens that
-reached it there. After the last round they are frozen.
-Inside a class a token has the share (c+1) / (C+V+1) of its class, with c its training count, C the class's
-tokens and V its distinct tokens; so the model prices every text, and bits per byte follow from the sum.
-
-Counts come from all training texts, by shuffles that grow with them. What travels to the tasks is
-bounded: the context tables have a fixed size, and tokens with more than 1/HEAVY of all occurrences number less
-than HEAVY. Counts of the others are joined by token.
+"""Language-model scores by online logistic context mixing.
+
+A text is a sequence of lower-cased words and one end mark. A word is coded byte by byte and closed by a blank, the end
+mark is a blank alone, and a byte is coded by eight binary decisions. Each decision has several predictors: the
+last one to four bytes of the word so far, the shorter ones along with the last frequent word of the text, hashed
+together with the bits of the byte that are known, name a slot of a table that counts ones over all training texts. Their predictions, stretched and scaled by confidence,
+are combined by weights that the decision and the place in the word select (the gate) and that are learned
+online by the coding error; a final table refines the result adaptively. So every string has a price, unknown
+words pay for their bytes, and the prices of all strings add up to one.
+
+Words of the training texts also have a share of their own, by their count; the gate of the word before says how far
+it is trusted. And where a word followed the same word elsewhere, count over count says how likely it was to.
+Words and pairs are counted over all training texts, exactly, by a shuffle that grows with them; only the counts of words that
+make up more than 1/HEAVY of all tokens, of which there are less than HEAVY, and of the pairs of the TOP most frequent
+ones travel to the tasks. How far a text trusts pairs is told by the text itself: its probability is the mean over
+trials, one without pairs and one for each of LAMBDAS. (Beside pairs, rare words have no share: two joined counts do not
+make one sum of logarithms.)
+
+A training text is scored by what the others taught: its own tokens are taken out of the counts of words and pairs. (Not out
+of the byte tables, where no slot hangs on one text.) The tables of slots, of pairs of the TOP most frequent words and
+of word counts by hash have fixed sizes; a pair outside them makes up less than 1/TOP of all.
 """
 
 from __future__ import annotations
@@ -23,64 +27,209 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import documents, id_remainder, kept
 from .wordhash import U, Lookup, mix, slices, words_of
 
 END = 0x1D8AF066F1E2C7B3
-SINGLE, CODES = 128, 256
-ROWS = (1, 256, 4096, 2048)
-STARTS = (0, 1, 257, 4353)
-N_ROWS = sum(ROWS)
+BLANK = 32
+CONTEXTS = ((1, 64), (2, 16), (3, 0), (4, 0))  # last bytes, and among how many frequent words the last one is told
+ORDERS, SLOT_BITS = len(CONTEXTS), 20  # slots of each context's table, as a power of two
+SLOTS, N_SLOTS = 1 << SLOT_BITS, ORDERS << SLOT_BITS
+PLACES = 3  # of a byte in its word: first, second, later
+TOP = 1024  # words whose pairs are counted in one table
+COUNT_BITS = 20  # slots of the table of word counts by hash
 HEAVY = 1 << 21
-ROUNDS, BLOCK, STEP = 2, 2048, 64  # passes over all training texts; tokens of an online step, and those of a node that count in full
-RATE = 0.02
-
-
-class Coder:
-    def __init__(self, top: np.ndarray):
-        self.lookup = Lookup(top)
-
-    def codes(self, tokens: np.ndarray) -> np.ndarray:
-        single = self.lookup.find(tokens)
-        return np.where(single >= 0, single, SINGLE + (tokens >> U(57)).astype(np.int64))
-
-    def rows(self, codes: np.ndarray, first: np.ndarray, end_code: int) -> np.ndarray:
-        """The table row of each context, by token. first: where each text begins."""
-        n = len(codes)
-        begin = np.zeros(n, bool)
-        begin[first] = True
-        one = np.r_[end_code, codes[:-1]] if n else codes
-        one[begin] = end_code
-        two = np.r_[end_code, one[:-1]] if n else codes
-        two[begin] = end_code
-        # The last two frequent tokens before each place: running indices of tokens with a code of their own.
-        at = np.where(codes < SINGLE, np.arange(n), -1)
-        run = np.maximum.accumulate(at) if n else at
-        start = np.repeat(first, np.diff(np.r_[first, n])) if n else at
-        last = np.r_[-1, run[:-1]] if n else at
-        ok = last >= start
-        f1 = np.where(ok, codes[np.maximum(last, 0)], end_code)
-        before = np.where(last > 0, np.r_[-1, run[:-1]][np.maximum(last, 0)], -1) if n else at
-        f2 = np.where(ok & (before >= start), codes[np.maximum(before, 0)], end_code)
-        h = lambda a, b, size: (mix((a.astype(U) << U(8)) + b.astype(U) + U(1)) % U(size)).astype(np.int64)
-        return np.stack([np.zeros(n, np.int64), STARTS[1] + one, STARTS[2] + h(two, one, ROWS[2]), STARTS[3] + h(f2, f1, ROWS[3])])
-
-
-def tokens_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, an end mark after each text, and where each text begins."""
-    w = words_of(text)
-    rows = len(w.first) - 1
-    first = w.first[:-1] + np.arange(rows)
-    out = np.empty(len(w.hash) + rows, U)
-    out[np.arange(len(w.hash)) + w.doc] = w.hash
-    out[w.first[1:] + np.arange(rows)] = U(END)
-    return out, first
-
-
-def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+LAMBDAS = (2.0**-5, 0.5, 1 - 2.0**-5)
+START_TRUST, GATES = 0.5, 32  # of a word by the logarithm of its count
+BLOCK, STEP, RATE = 4096, 64.0, 0.004  # decisions of an online step, and those of a gate that count in full
+LONG = pa.int64()
+
+
+class Slice:
+    """The tokens of some texts: hash, doc, the place of the token before (-1 at the start), own (how often the text has it); and the distinct words."""
+
+    def __init__(self, text: pa.Array):
+        w = words_of(text)
+        rows = len(w.first) - 1
+        self.n = w.counts + 1
+        self.first = w.first[:-1] + np.arange(rows)
+        at = np.arange(len(w.hash)) + w.doc
+        self.hash = np.full(len(w.hash) + rows, END, U)
+        self.hash[at] = w.hash
+        self.doc = np.repeat(np.arange(rows), self.n)
+        self.before = np.arange(-1, len(self.hash) - 1)
+        self.before[self.first] = -1
+        self.distinct, lead, self.word = np.unique(self.hash, return_index=True, return_inverse=True)
+        start, size = np.zeros(len(self.hash), np.int64), np.zeros(len(self.hash), np.int64)
+        start[at], size[at] = w.start, w.size
+        self.start, self.size, self.low = start[lead], size[lead], w.low
+        self.own = self.count(self.hash)
+
+    def _in_doc(self, keys: np.ndarray) -> np.ndarray:
+        return mix(keys + mix(self.doc.astype(U)))
+
+    def previous(self, values: np.ndarray, at_start) -> np.ndarray:
+        """``values`` of the token before each one."""
+        return np.where(self.before < 0, at_start, values[self.before])
+
+    def pairs(self) -> np.ndarray:
+        """A key of each token with the one before; the text's start counts as an end mark."""
+        return mix(mix(self.previous(self.hash, U(END)) + U(0x5851F42D4C957F2D)) + self.hash)
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        """How often each token's key occurs in its text."""
+        _, each, count = np.unique(self._in_doc(keys), return_inverse=True, return_counts=True)
+        return count[each]
+
+    def once(self, keys: np.ndarray, worth: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the first of equal ``keys`` and worths of a text, of those ``among``, and how many they are."""
+        _, lead, count = np.unique(self._in_doc(mix(keys + worth.astype(U)))[among], return_index=True, return_counts=True)
+        return among[lead], count
+
+
+class Spelling:
+    """The decisions of the distinct words of a slice, each with the last frequent word before it: their bytes and closing blanks, and a hash of each context.
+
+    unit: of each token, its place among them; many: how often each occurs.
+    """
+
+    def __init__(self, s: Slice, counts: Counts):
+        at = np.arange(len(s.hash))
+        top = counts.top.find(s.distinct)[s.word]
+        near = np.where((top >= 0) & (top < CONTEXTS[0][1]), at, -1)
+        last = np.r_[-1, np.maximum.accumulate(near)[:-1]]
+        cue = np.where(last >= s.first[s.doc], top[last] + 1, 0)  # 0: none yet
+        _, lead, self.unit, self.many = np.unique(s.word * (CONTEXTS[0][1] + 1) + cue, return_index=True, return_inverse=True, return_counts=True)
+        low, start, size, cue = s.low, s.start[s.word[lead]], s.size[s.word[lead]], cue[lead]
+        n = size + 1
+        self.first = np.cumsum(n) - n
+        self.word = np.repeat(np.arange(len(n)), n)
+        self.place = np.arange(len(self.word)) - self.first[self.word]
+        self.symbol = np.where(self.place < size[self.word], low[np.minimum(start[self.word] + self.place, len(low) - 1)], BLANK).astype(np.int64)
+        self.context, sofar = [], np.zeros(len(self.symbol), U)
+        for k, (_, words) in enumerate(CONTEXTS, 1):
+            back = np.full(len(self.symbol), BLANK, np.int64)
+            back[k:] = np.where(self.place[k:] >= k, self.symbol[:-k], BLANK)
+            sofar = (sofar << U(8)) | back.astype(U)
+            told = np.where(cue <= words, cue, 0)[self.word].astype(U)
+            self.context.append((mix(sofar + (U(k) << U(56)) + (told << U(40))) >> U(32)).astype(np.int64))
+
+    def decision(self, depth: int, at: slice = slice(None)) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(gate, bit, slot of each context) of the decision at ``depth``."""
+        s = self.symbol[at]
+        node = (256 | s) >> (8 - depth)
+        slots = [((h[at] + node * 0x9E3779B1) & (SLOTS - 1)) + (k << SLOT_BITS) for k, h in enumerate(self.context)]
+        return node + 256 * np.minimum(self.place[at], PLACES - 1), (s >> (7 - depth)) & 1, slots
+
+
+def stretch(ones: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.log((ones + np.float32(0.4)) / (n - ones + np.float32(0.4))) * (n / (n + np.float32(2.0)))
+
+
+def squash(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -14, 14)))
+
+
+class Mixer:
+    """Counts of the slots, weights of the gates, the refining table and the trust in words' own shares by the gate of the word before."""
+
+    def __init__(self, n: np.ndarray, ones: np.ndarray):
+        self.n, self.ones = n.astype(np.float32), ones.astype(np.float32)
+        self.weight = np.full((256 * PLACES, ORDERS + 1), 0.3, np.float32)
+        self.weight[:, -1] = 0
+        self.refine = np.repeat(squash(np.arange(-16, 17) / 2)[None], 8, 0)
+        self.trust = np.full(GATES, START_TRUST)
+
+    def freeze(self) -> None:
+        self.table = stretch(self.ones, self.n).astype(np.float32)
+        self.n = self.ones = None
+
+    @staticmethod
+    def cell(z: np.ndarray) -> np.ndarray:
+        return (np.clip(z * 2, -16, 16) + 16.5).astype(np.int64)
+
+    def learn(self, s: Spelling, seen: np.ndarray, seen_refine: np.ndarray) -> np.ndarray:
+        """Online, block by block; a word's own occurrences are taken out of its predictions. Returns log p of each word; seen: get the visits of gates and cells."""
+        cost, m = np.zeros(len(s.symbol)), s.many[s.word].astype(np.float32)
+        for a in range(0, len(s.symbol), BLOCK):
+            at = slice(a, a + BLOCK)
+            mass = m[at]
+            x = np.ones((ORDERS + 1, len(mass)), np.float32)
+            for depth in range(8):
+                gate, bit, slots = s.decision(depth, at)
+                for k, slot in enumerate(slots):
+                    n = np.maximum(self.n[slot] - mass, 0)
+                    x[k] = stretch(np.clip(self.ones[slot] - mass * bit, 0, n), n)
+                w = self.weight[gate]
+                z = w[:, -1].astype(np.float32)
+                for k in range(ORDERS):
+                    z += x[k] * w[:, k]
+                p = squash(z)
+                cost[at] += np.log(np.where(bit, p, 1 - p))
+                error = (bit - p) * mass
+                visits = np.bincount(gate, mass, len(self.weight))
+                rate = RATE * np.minimum(1, STEP / np.maximum(visits, 1))
+                for k in range(ORDERS + 1):
+                    self.weight[:, k] += rate * np.bincount(gate, error * x[k], len(self.weight))
+                cell = self.cell(z)
+                cells = np.bincount(cell, mass, 33)
+                mean = np.bincount(cell, bit * mass, 33) / np.maximum(cells, 1)
+                self.refine[depth] += (1 - 0.995**cells) * (mean - self.refine[depth])
+                seen += visits
+                seen_refine[depth] += cells
+        return np.add.reduceat(cost, s.first) if len(s.first) else cost
+
+    def log_p(self, s: Spelling) -> np.ndarray:
+        """The natural logarithm of each word's probability."""
+        cost = np.zeros(len(s.symbol))
+        for a in range(0, len(s.symbol), 1 << 15):
+            at = slice(a, a + (1 << 15))
+            whole = np.ones(len(s.symbol[at]))  # in double precision: a product of eight
+            for depth in range(8):
+                gate, bit, slots = s.decision(depth, at)
+                w = self.weight[gate]
+                z = w[:, -1].copy()
+                for k, slot in enumerate(slots):
+                    z += w[:, k] * self.table[slot]
+                p = (squash(z) + self.refine[depth][self.cell(z)]) / 2
+                whole *= np.where(bit, p, 1 - p)
+            cost[at] = np.log(whole)
+        return np.add.reduceat(cost, s.first) if len(s.first) else cost
+
+
+class Counts:
+    """What travels of the word counts: those of heavy words, sums of all others by hash, the TOP words and the counts of their pairs, all tokens and all distinct ones."""
+
+    def __init__(self, total: int, heavy: np.ndarray, heavy_count: np.ndarray, others: np.ndarray):
+        self.total, self.lookup = total, Lookup(heavy)
+        self.count = np.append(heavy_count, 0)
+        self.others = others
+        top = heavy[np.lexsort((heavy, -heavy_count))[:TOP]]
+        self.top, self.pairs = Lookup(top), None
+
+    def of(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
+        """(count of each token if it is heavy, else 0; an upper bound of any token's count)."""
+        at = self.lookup.find(s.distinct)
+        exact = self.count[at]
+        bound = np.where(at >= 0, exact, self.others[(s.distinct >> U(64 - COUNT_BITS)).astype(np.int64)])
+        return exact[s.word], bound[s.word]
+
+    def pair_slot(self, s: Slice) -> np.ndarray:
+        """The slot of each token and the one before in the table of frequent pairs, or -1."""
+        top = self.top.find(s.distinct)[s.word]
+        before = s.previous(top, self.top.find(np.array([END], U))[0])
+        return np.where((top >= 0) & (before >= 0), before * TOP + top, -1)
+
+
+def gate_of(bound: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(bound + 1.0).astype(np.int64), GATES - 1)
+
+
+def _token_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def flush():
@@ -90,8 +239,9 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for part in slices(batch, "text"):
-            held.append(np.unique(tokens_of(part.column(0))[0], return_counts=True))
-            size += len(held[-1][0])
+            words = words_of(part.column(0))
+            held += [np.unique(words.hash, return_counts=True), (np.array([END], U), np.array([part.num_rows]))]
+            size += len(held[-2][0])
             if size > 1_500_000:
                 yield flush()
                 held, size = [], 0
@@ -99,204 +249,210 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _contexts(coder: Coder, end_code: int):
+def _slot_counter(counts: Counts):
+    """(slot, n, ones) of the slots that the task's texts reach; the pairs of frequent words have the slots behind."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(N_ROWS * CODES, np.int64)
+        n, ones, pairs = np.zeros(N_SLOTS), np.zeros(N_SLOTS), np.zeros(TOP * TOP)
         for batch in batches:
             for part in slices(batch, "text"):
-                tokens, first = tokens_of(part.column(0))
-                codes = coder.codes(tokens)
-                for row in coder.rows(codes, first, end_code):
-                    low = int(row.min(initial=0))
-                    c = np.bincount((row - low) * CODES + codes)
-                    table[low * CODES : low * CODES + len(c)] += c
-        some = np.flatnonzero(table)
+                s = Slice(part.column(0))
+                spelling = Spelling(s, counts)
+                many = spelling.many[spelling.word].astype(float)
+                for depth in range(8):
+                    _, bit, slots = spelling.decision(depth)
+                    for k, slot in enumerate(slots):
+                        low = k << SLOT_BITS
+                        n[low : low + SLOTS] += np.bincount(slot - low, many, SLOTS)
+                        ones[low : low + SLOTS] += np.bincount(slot - low, many * bit, SLOTS)
+                slot = counts.pair_slot(s)
+                c = np.bincount(slot[slot >= 0])
+                pairs[: len(c)] += c
+        n, ones = np.concatenate([n, pairs]).astype(np.int64), np.concatenate([ones, np.zeros(len(pairs))]).astype(np.int64)
+        some = np.flatnonzero(n)
         for a in range(0, len(some), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(some[a : a + 100_000].astype(np.int32)), pa.array(table[some[a : a + 100_000]])], names=["slot", "n"])
+            at = some[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(ones[at])], names=["slot", "n", "ones"])
 
     return count
 
 
-class Mixer:
-    """Frozen after fit(): stretched predictions of each (row, node), weights of each node and the refining table."""
-
-    def __init__(self, counts: np.ndarray):
-        """counts: of (row, code)."""
-        tree = np.zeros((N_ROWS, 2 * CODES), np.float32)
-        tree[:, CODES:] = counts.reshape(N_ROWS, CODES)
-        for node in range(CODES - 1, 0, -1):
-            tree[:, node] = tree[:, 2 * node] + tree[:, 2 * node + 1]
-        n, ones = tree[:, :CODES], np.zeros((N_ROWS, CODES), np.float32)
-        ones[:, 1:] = tree[:, 3::2]
-        self.inputs = len(ROWS) + 1
-        self.weight = np.full((CODES, self.inputs), 0.3, np.float32)
-        self.weight[:, -1] = 0
-        grid = np.arange(-16, 17) / 2
-        self.refine = np.repeat((1 / (1 + np.exp(-grid)))[None], 8, 0)
-        self.table = self._stretch(ones, n)
-        # The same without the token itself, by its bit at the node.
-        less = np.maximum(n - 1, 0)
-        self.without = np.concatenate([self._stretch(np.clip(ones - bit, 0, less), less).ravel() for bit in (0, 1)])
-
-    @staticmethod
-    def _stretch(ones: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return (np.log((ones + 0.4) / (n - ones + 0.4)) * (n / (n + 2.0))).astype(np.float32)
-
-    def fit(self, rows: np.ndarray, codes: np.ndarray, seen: np.ndarray, seen_refine: np.ndarray) -> None:
-        """Online, block by block; each token's own count is taken out of its predictions. seen: get the visits of each node and cell."""
-        for a in range(0, len(codes), BLOCK):
-            flat, c = rows[:, a : a + BLOCK] * CODES, codes[a : a + BLOCK]
-            x = np.ones((self.inputs, len(c)), np.float32)
-            for depth in range(8):
-                node = (CODES | c) >> (8 - depth)
-                bit = (c >> (7 - depth)) & 1
-                x[:-1] = self.without[flat + (node + bit * (N_ROWS * CODES))]
-                z = np.einsum("kt,tk->t", x, self.weight[node])
-                error = bit - 1 / (1 + np.exp(-np.clip(z, -12, 12)))
-                visits = np.bincount(node, minlength=CODES)
-                rate = RATE * np.minimum(1, STEP / np.maximum(visits, 1))
-                for k in range(self.inputs):
-                    self.weight[:, k] += rate * np.bincount(node, error * x[k], CODES)
-                at = np.clip(np.rint(z * 2), -16, 16).astype(np.int64) + 16
-                cells = np.bincount(at, minlength=33)
-                mean = np.bincount(at, bit, 33) / np.maximum(cells, 1)
-                self.refine[depth] += (1 - 0.995**cells) * (mean - self.refine[depth])
-                seen += visits
-                seen_refine[depth] += cells
-
-    def log10(self, rows: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Of the code of each token."""
-        out = np.zeros(len(codes))
-        for a in range(0, len(codes), 1 << 15):
-            r, c = rows[:, a : a + (1 << 15)], codes[a : a + (1 << 15)]
-            whole = np.ones(len(c))
-            flat = [x * CODES for x in r]
-            table = self.table.ravel()
-            for depth in range(8):
-                node = (CODES | c) >> (8 - depth)
-                w = self.weight[node]
-                z = w[:, -1].copy()
-                for k, x in enumerate(flat):
-                    z += w[:, k] * table[x + node]
-                at = (np.clip(z * 2, -16, 16) + 16.5).astype(np.int64)
-                p = 0.5 / (1 + np.exp(-np.clip(z, -12, 12))) + 0.5 * self.refine[depth][at]
-                one = (c >> (7 - depth)) & 1
-                whole *= np.where(one, p, 1 - p)
-            out[a : a + (1 << 15)] = np.log10(whole)
-        return out
-
-
-def _learner(coder: Coder, mixer: Mixer, end_code: int):
-    """One round: what a task makes of the parameters with its texts, as sums weighted by visits. The slots: weights, then the refining table."""
+def _learner(mixer: Mixer, counts: Counts):
+    """What a task makes of the parameters with its texts, as sums weighted by visits. The slots: weights, the refining table, the trusts."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first_weight, first_refine = mixer.weight, mixer.refine
-        mixer.weight, mixer.refine = first_weight.copy(), first_refine.copy()
-        seen, seen_refine = np.zeros(CODES, np.int64), np.zeros(mixer.refine.shape, np.int64)
+        before = mixer.weight, mixer.refine
+        mixer.weight, mixer.refine = before[0].copy(), before[1].copy()
+        seen, seen_refine = np.zeros(len(mixer.weight)), np.zeros(mixer.refine.shape)
+        trusted, gated = np.zeros(GATES), np.zeros(GATES)
         for batch in batches:
             for part in slices(batch, "text"):
-                tokens, first = tokens_of(part.column(0))
-                codes = coder.codes(tokens)
-                mixer.fit(coder.rows(codes, first, end_code), codes, seen, seen_refine)
-        value = np.concatenate([mixer.weight.ravel(), mixer.refine.ravel()]).astype(float)
-        visits = np.concatenate([np.repeat(seen, mixer.inputs), seen_refine.ravel()])
-        mixer.weight, mixer.refine = first_weight, first_refine
+                s = Slice(part.column(0))
+                spelling = Spelling(s, counts)
+                log_p = mixer.learn(spelling, seen, seen_refine)[spelling.unit]
+                share, gate = word_share(s, counts, np.ones(len(s.n), bool))
+                a, b = mixer.trust[gate] * share, (1 - mixer.trust[gate]) * np.exp(log_p)
+                trusted += np.bincount(gate, a / np.maximum(a + b, 1e-300), GATES)
+                gated += np.bincount(gate, minlength=GATES)
+        mean = trusted / np.maximum(gated, 1)
+        value = np.concatenate([mixer.weight.ravel(), mixer.refine.ravel(), mean])
+        visits = np.concatenate([np.repeat(seen, mixer.weight.shape[1]), seen_refine.ravel(), gated])
+        mixer.weight, mixer.refine = before
         some = np.flatnonzero(visits)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(value[some] * visits[some]), pa.array(visits[some])], names=["slot", "value", "visits"])
 
     return learn
 
 
-def _scorer(coder: Coder, mixer: Mixer, end_code: int, heavy: np.ndarray, heavy_c: np.ndarray, class_log: np.ndarray):
+def word_share(s: Slice, counts: Counts, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(share of each token's word among all others' tokens, gate of the word before). trained: texts that the counts hold."""
+    exact, bound = counts.of(s)
+    mine = trained[s.doc]
+    share = np.maximum(exact - s.own * mine, 0) / np.maximum(counts.total - (s.n * trained)[s.doc], 1)
+    _, end = counts.of(Slice(pa.array([""])))
+    return share, gate_of(s.previous(bound, end[0]))
+
+
+# Rows of one stream: of words and pairs of a text by their key, and of what is known of the text itself.
+KINDS = ("word", "pair", "id_high", "id_low", "n_bytes", "n_tokens", "known", "logs", "coded", *(f"gain_{i}" for i in range(len(LAMBDAS))))
+KIND = {k: i for i, k in enumerate(KINDS)}
+FINE = 16  # steps of a worth in an octave
+
+
+def _worth(log_ratio: np.ndarray) -> np.ndarray:
+    """What one occurrence elsewhere adds, relative to what is there without it: rounded down, so that chances never sum to more than one."""
+    return np.clip(np.floor(log_ratio / np.log(2) * FINE), -32768, 32767).astype(np.int64)
+
+
+def _scorer(mixer: Mixer, counts: Counts):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, logs = Lookup(heavy), np.append(np.log10(heavy_c + 1.0), 0.0)
+        context = TaskContext.get()
+        row = (context.partitionId() if context else 0) << 33
+        logs = np.append(np.log10(counts.count[:-1] + 1.0), 0.0)
         for batch in batches:
             for part in slices(batch, "text"):
-                tokens, first = tokens_of(part.column(1))
-                n = np.diff(np.r_[first, len(tokens)])
-                codes = coder.codes(tokens)
-                bits = mixer.log10(coder.rows(codes, first, end_code), codes) - class_log[codes]
-                at = lookup.find(tokens)
-                known = np.add.reduceat((at >= 0).astype(np.int64), first)
-                rare = np.flatnonzero(at < 0)
-                doc = np.repeat(np.arange(len(n)), n)[rare]
-                order = np.lexsort((tokens[rare], doc))
-                t, d = tokens[rare][order], doc[order]
-                new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (d[1:] != d[:-1])]) if len(t) else np.empty(0, np.int64)
-                tf = np.diff(np.r_[new, len(t)])
-                cut = np.searchsorted(d[new], np.arange(len(n) + 1)).astype(np.int32)
-                pairs = pa.StructArray.from_arrays([pa.array(t[new].view(np.int64)), pa.array(tf.astype(np.int32))], names=["token", "tf"])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.compute.binary_length(part.column(1)).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(known), pa.array(np.add.reduceat(logs[at], first)), pa.array(np.add.reduceat(bits, first)), pa.ListArray.from_arrays(cut, pairs)],
-                    names=["doc_id", "n_bytes", "n_tokens", "known", "logs", "coded", "rare"],
-                )
+                s = Slice(part.column(1))
+                trained = np.array(part.column(2).to_pylist(), bool)
+                mine = trained[s.doc]
+                spelling = Spelling(s, counts)
+                share, gate = word_share(s, counts, trained)
+                trust = mixer.trust[gate]
+                spelled = np.log(1 - trust) + mixer.log_p(spelling)[spelling.unit]
+                with np.errstate(divide="ignore"):
+                    log_p = np.logaddexp(np.log(trust * share), spelled)
+                others = np.maximum(counts.total - (s.n * trained)[s.doc], 1)
+                word_worth = _worth(np.log(trust / others) - spelled)
+                # How often the word before has others behind it, elsewhere: at most its count.
+                _, bound = counts.of(s)
+                _, end = counts.of(Slice(pa.array([""])))
+                follow = np.maximum(s.previous(bound, end[0]) - s.previous(s.own, 1) * mine, 1)
+                pair_worth = _worth(-log_p - np.log(follow))
+                pairs, slot = s.pairs(), counts.pair_slot(s)
+                own_pairs = s.count(pairs)
+
+                top = np.flatnonzero(slot >= 0)
+                elsewhere = np.maximum(counts.pairs[slot[top]] - own_pairs[top] * mine[top], 0) * 2.0 ** (pair_worth[top] / FINE)
+                at = counts.lookup.find(s.distinct)[s.word]
+                given = part.column(0).to_pylist()
+                ids = np.array([0 if x is None else x for x in given], np.int64)
+                said = {
+                    "id_high": ids >> 32, "id_low": ids & 0xFFFFFFFF, "n_bytes": pa.compute.binary_length(part.column(1)).to_numpy(), "n_tokens": s.n,
+                    "known": np.add.reduceat((at >= 0).astype(float), s.first), "logs": np.add.reduceat(logs[at], s.first), "coded": np.add.reduceat(log_p, s.first) / np.log(10),
+                    **{f"gain_{i}": np.bincount(s.doc[top], np.log10(1 + elsewhere * (x / (1 - x))), len(s.n)) for i, x in enumerate(LAMBDAS)},
+                }
+                of, key, meta, value = [], [], [], []
+                for kind, keys, own, worth, among in (("word", s.hash, s.own, word_worth, at < 0), ("pair", pairs, own_pairs, pair_worth, slot < 0)):
+                    lead, tf = s.once(keys, worth, np.flatnonzero(among))
+                    of.append(s.doc[lead])
+                    key.append(keys[lead])
+                    meta.append((tf << 24) | ((worth[lead] + 32768) << 8) | (mine[lead].astype(np.int64) << 7) | KIND[kind])
+                    value.append(own[lead].astype(float))
+                for kind, v in said.items():
+                    some = np.array([x is not None for x in given]).nonzero()[0] if kind.startswith("id_") else np.arange(len(s.n))
+                    of.append(some)
+                    key.append(mix(((row + some).astype(U) << U(4)) + U(KIND[kind])))
+                    meta.append(np.full(len(some), KIND[kind]))
+                    value.append(v[some].astype(float))
+                cols = [row + np.concatenate(of), np.concatenate(key).view(np.int64), np.concatenate(meta).astype(np.int64), np.concatenate(value)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "key", "meta", "value"])
+                row += len(s.n)
 
     import pyarrow.compute  # noqa: F401
 
     return score
 
 
-def context_mixing_scores(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each row of ``docs``, learned from the rows of ``training`` (same columns).
+def _model(learn: DataFrame) -> tuple[Mixer, Counts, int, int]:
+    """(mixer, counts, training tokens, distinct ones) of the column ``text``."""
+    counted = kept(learn.mapInArrow(_token_counter, "token long, n long").groupBy("token").agg(F.sum("n").alias("c")), "token-counts")
+    total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    heavy = counted.filter(F.col("c") > total / HEAVY).orderBy("token").toArrow()  # less than HEAVY rows
+    rest = counted.filter(F.col("c") <= total / HEAVY).groupBy(F.shiftrightunsigned("token", 64 - COUNT_BITS).alias("slot")).agg(F.sum("c").alias("c")).toArrow()  # 2**COUNT_BITS rows at most
+    others = np.zeros(1 << COUNT_BITS, np.int64)
+    others[rest["slot"].to_numpy()] = rest["c"].to_numpy()
+    counts = Counts(total, heavy["token"].to_numpy().astype(np.int64).view(U), heavy["c"].to_numpy().astype(np.int64), others)
+    slots = learn.mapInArrow(_slot_counter(counts), "slot int, n long, ones long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).toArrow()  # N_SLOTS + TOP * TOP rows at most
+    n, ones = np.zeros(N_SLOTS + TOP * TOP), np.zeros(N_SLOTS + TOP * TOP)
+    n[slots["slot"].to_numpy()], ones[slots["slot"].to_numpy()] = slots["n"].to_numpy(), slots["ones"].to_numpy()
+    counts.pairs = n[N_SLOTS:].astype(np.int64)
+    mixer = Mixer(n[:N_SLOTS], ones[:N_SLOTS])
+    del slots, n, ones, heavy, rest
+    pairs, counts.pairs = counts.pairs, None  # not needed to learn
+    if total:
+        got = learn.mapInArrow(_learner(mixer, counts), "slot int, value double, visits double").groupBy("slot").agg((F.sum("value") / F.sum("visits")).alias("mean")).toArrow()
+        value = np.concatenate([mixer.weight.ravel(), mixer.refine.ravel(), mixer.trust])
+        value[got["slot"].to_numpy()] = got["mean"].to_numpy()
+        a, b = mixer.weight.size, mixer.weight.size + mixer.refine.size
+        mixer.weight, mixer.refine = value[:a].reshape(mixer.weight.shape).astype(np.float32), value[a:b].reshape(mixer.refine.shape)
+        mixer.trust = np.clip(value[b:], 1e-6, 1 - 1e-3)
+    counts.pairs = pairs
+    mixer.freeze()
+    return mixer, counts, total, distinct
+
+
+def context_mixing_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, trained) of each row of ``docs``, learned from the rows where ``training`` holds.
 
-    base_score sums log10((c+1) / (N+V+1)) over the tokens, score is the model's log10 probability. A null or empty text
-    is one end mark; its bits_per_byte is null. With nothing to learn from, c, N and V are 0 and all code bits are even chances.
-    Repeated rows, null ids and empty tables pass through; other columns are ignored.
+    base_score sums log10((c+1) / (N+V+1)) over the tokens, with counts of all training texts; score is the model's log10 probability,
+    for a training text of the model without it. A null or empty text is one end mark; its bits_per_byte is null. With nothing
+    to learn from, c, N and V are 0 and all decisions are even. Repeated rows, null ids and empty tables pass through; other
+    columns are ignored.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    learn = training.select(F.col(text_col).cast("string").alias("text"))
-    counts = kept(learn.select("text").mapInArrow(_counter, "token long, n long").groupBy("token").agg(F.sum("n").alias("c")), "token-counts")
-    total, distinct = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    total = total or 0
-    top = np.array([r[0] for r in counts.orderBy(F.desc("c"), "token").limit(SINGLE).collect()], np.int64).view(U)
-    coder = Coder(top)
-    end_code = int(coder.codes(np.array([END], U))[0])
-    slots = learn.select("text").mapInArrow(_contexts(coder, end_code), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # N_ROWS * CODES rows at most
-    table = np.zeros(N_ROWS * CODES, np.float32)
-    table[slots["slot"].to_numpy()] = slots["n"].to_numpy()
-    mixer = Mixer(table)
-    del slots, table
-    for _ in range(ROUNDS if total else 0):
-        got = learn.select("text").mapInArrow(_learner(coder, mixer, end_code), "slot int, value double, visits long").groupBy("slot").agg((F.sum("value") / F.sum("visits")).alias("mean")).toArrow()
-        value = np.concatenate([mixer.weight.ravel(), mixer.refine.ravel()]).astype(float)
-        value[got["slot"].to_numpy()] = got["mean"].to_numpy()
-        mixer.weight = value[: mixer.weight.size].reshape(mixer.weight.shape).astype(np.float32)
-        mixer.refine = value[mixer.weight.size :].reshape(mixer.refine.shape)
-    mixer.without = None  # the scorer needs only the stretched table
-    single = F.lit(False) if not len(top) else F.col("token").isin([int(x) for x in top.view(np.int64)])
-    shared = counts.filter(~single).groupBy((F.shiftrightunsigned("token", 57) + SINGLE).alias("code")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toArrow()
-    c, v = np.zeros(CODES), np.zeros(CODES)
-    code = shared["code"].to_numpy().astype(np.int64)
-    c[code], v[code] = shared["c"].to_numpy(), shared["v"].to_numpy()
-    heavy = counts.filter(F.col("c") > total / HEAVY).toArrow()  # less than HEAVY rows
-    tokens, many = heavy["token"].to_numpy().astype(np.int64).view(U), heavy["c"].to_numpy().astype(float)
-    del heavy
-    own = coder.lookup.find(tokens)
-    c[own[own >= 0]], v[own[own >= 0]] = many[own >= 0], 1
-    scored = base.mapInArrow(
-        _scorer(coder, mixer, end_code, tokens, many, np.log10(c + v + 1)),
-        "doc_id long, n_bytes long, n_tokens long, known long, logs double, coded double, rare array<struct<token: long, tf: int>>",
-    )
-    scored = kept(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.tf").join(counts, "token")
-    rare = rare.groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("more_logs"), F.sum("tf").alias("more_known"))
-    out = scored.drop("rare").join(rare, "row", "left")
+    trained = F.coalesce(training.cast("boolean"), F.lit(False))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), trained.alias("trained"))
+    mixer, counts, total, distinct = _model(base.filter("trained").select("text"))
+    stream = base.mapInArrow(_scorer(mixer, counts), "row long, key long, meta long, value double")
+    kind, tf = F.col("meta").bitwiseAND(F.lit(127)), F.shiftright("meta", 24)
+    taught = F.shiftright("meta", 7).bitwiseAND(F.lit(1)) == 1
+    is_ = lambda name: kind == KIND[name]
+    keyed = kind <= KIND["pair"]
+    c = F.sum(F.when(keyed & taught, tf).otherwise(F.lit(0))).over(Window.partitionBy("key"))
+    elsewhere = F.col("c") - F.when(taught, F.col("value")).otherwise(F.lit(0.0))
+    met = stream.withColumn("c", c).filter(~keyed | (is_("word") & (F.col("c") > 0)) | (is_("pair") & (elsewhere > 0)))
+    gain = elsewhere * F.pow(F.lit(2.0), (F.shiftright("meta", 8).bitwiseAND(F.lit(65535)) - 32768) / FINE)
+    parts = [F.sum(F.when(is_(k), F.col("value"))).alias(k) for k in KINDS[2:]]
+    parts += [F.sum(F.when(is_("word"), tf * F.log10(F.col("c") + 1.0))).alias("more_logs"), F.sum(F.when(is_("word"), tf)).alias("more_known"), F.sum(F.when(is_("word"), tf * F.log10(1 + gain))).alias("words")]
+    parts += [F.sum(F.when(is_("pair"), tf * F.log10(1 + gain * F.lit(x / (1 - x))))).alias(f"more_{i}") for i, x in enumerate(LAMBDAS)]
+    out = met.groupBy("row").agg(*parts)
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
-    score = logs + F.col("coded")
+    trials = [F.coalesce("words", F.lit(0.0))]
+    trials += [F.col("n_tokens") * F.log10(F.lit(1 - x)) + F.col(f"gain_{i}") + F.coalesce(f"more_{i}", F.lit(0.0)) for i, x in enumerate(LAMBDAS)]
+    best = F.greatest(*trials)
+    score = F.col("coded") + best + F.log10(sum((F.pow(F.lit(10.0), t - best) for t in trials), F.lit(0.0)) / len(trials))
+    out = out.withColumn("score", score)
     return out.select(
-        "doc_id",
-        "n_tokens",
+        F.shiftleft(F.col("id_high").cast("long"), 32).bitwiseOR(F.col("id_low").cast("long")).alias("doc_id"),
+        F.col("n_tokens").cast("long").alias("n_tokens"),
         (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))).alias("base_score"),
-        score.alias("score"),
-        F.when(F.col("n_bytes") > 0, -score / F.log10(F.lit(2.0)) / F.col("n_bytes")).alias("bits_per_byte"),
+        "score",
+        F.when(F.col("n_bytes") > 0, -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
 def op2_context_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    out = context_mixing_scores(docs, docs.filter(id_remainder("doc_id", 7) != 2))
+    out = context_mixing_scores(documents(spark, sf_dir), id_remainder("doc_id", 7) != 2)
     return out.withColumn("held_out", id_remainder("doc_id", 7) == 2)
 
 

@@ -52,11 +52,14 @@ def powers(base: int, n: int) -> np.ndarray:
 
 @dataclass
 class Words:
-    """hash: of each word in reading order; doc: its row in the slice; first: the index of each row's first word, and one past the last."""
+    """hash: of each word in reading order; doc: its row in the slice; first: the index of each row's first word, and one past the last; start, size: its place in ``low``, the slice's bytes with A-Z lower-cased."""
 
     hash: np.ndarray
     doc: np.ndarray
     first: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    low: np.ndarray
 
     @property
     def counts(self) -> np.ndarray:
@@ -125,7 +128,7 @@ def words_of(text: pa.Array, kind: np.ndarray = NOT_SPACE) -> Words:
         out[left] = mix(out[left]) ^ (eights[starts[left] + step] & _MASKS[np.minimum(more, 8)])
         left = left[more > 8]
         step += 8
-    return Words(mix(out), np.repeat(np.arange(rows), np.diff(first)), first)
+    return Words(mix(out), np.repeat(np.arange(rows), np.diff(first)), first, starts, size, low)
 
 
 def hash_of(word: str) -> int:

@@ -167,19 +167,47 @@ def test_matching_statistics(words, templates):
         assert length == max([n for n in range(i + 2) if tuple(words[i + 1 - n : i + 1]) in subs or n == 0])
 
 
+def mixing_state(texts):
+    """(mixer, counts) after one round over some texts, as the tasks of a job would make them."""
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    found = next(mixing_model._token_counter(iter([batch])))
+    token, c = found.column(0).to_numpy(), found.column(1).to_numpy()
+    counts = mixing_model.Counts(int(c.sum()), token.view(U), c, np.zeros(1 << mixing_model.COUNT_BITS, np.int64))
+    n, ones = np.zeros(mixing_model.N_SLOTS + mixing_model.TOP**2), np.zeros(mixing_model.N_SLOTS + mixing_model.TOP**2)
+    for part in mixing_model._slot_counter(counts)(iter([batch])):
+        n[part.column(0).to_numpy()], ones[part.column(0).to_numpy()] = part.column(1).to_numpy(), part.column(2).to_numpy()
+    counts.pairs = n[mixing_model.N_SLOTS :].astype(np.int64)
+    mixer = mixing_model.Mixer(n[: mixing_model.N_SLOTS], ones[: mixing_model.N_SLOTS])
+    s = mixing_model.Slice(pa.array(texts))
+    mixer.learn(mixing_model.Spelling(s, counts), np.zeros(len(mixer.weight)), np.zeros(mixer.refine.shape))
+    mixer.freeze()
+    return mixer, counts
+
+
 def test_mixing_model_is_a_distribution():
-    rng = np.random.default_rng(0)
-    codes = rng.integers(0, 256, 4000)
-    coder = mixing_model.Coder(np.empty(0, U))
-    rows = coder.rows(codes, np.array([0, 1500]), 7)
-    table = np.zeros(mixing_model.N_ROWS * 256)
-    for r in rows:
-        np.add.at(table, r * 256 + codes, 1)
-    m = mixing_model.Mixer(table)
-    m.fit(rows, codes)
-    every = np.repeat(rows[:, 5:6], 256, 1)
-    assert abs((10 ** m.log10(every, np.arange(256))).sum() - 1) < 1e-6
-    assert mixing_model.Mixer(np.zeros_like(table)).log10(every, np.arange(256)).sum() == pytest.approx(256 * 8 * math.log10(0.5))
+    """The chances of all strings of one and of two letters and of the end mark stay below one, those of all next bytes make one."""
+    mixer, counts = mixing_state(["ab ba ab a", "b ab abab", "", "aab b"] * 5)
+    log_p = lambda s: mixer.log_p(sp := mixing_model.Spelling(s, counts))[sp.unit]
+    letters = [chr(c) for c in range(33, 127) if not chr(c).isupper()]
+    end = math.exp(log_p(mixing_model.Slice(pa.array([""])))[0])
+    one = np.exp([log_p(mixing_model.Slice(pa.array([x])))[0] for x in letters])
+    known = np.exp([log_p(mixing_model.Slice(pa.array([x + y])))[0] for x in "ab" for y in "ab"])
+    assert 0.5 < end + one.sum() + known.sum() <= 1
+    assert one[letters.index("a")] > 20 * one[letters.index("z")]
+    spelling = mixing_model.Spelling(mixing_model.Slice(pa.array(["ab"])), counts)
+    spelling.symbol = np.arange(256)  # every byte in one and the same context
+    for name in ("place", "word"):
+        setattr(spelling, name, np.full(256, getattr(spelling, name)[1]))
+    spelling.context = [np.full(256, h[1]) for h in spelling.context]
+    spelling.first = np.arange(256)
+    assert np.exp(mixer.log_p(spelling)).sum() == pytest.approx(1)
+
+
+def test_mixing_model_without_training():
+    mixer, counts = mixing_model.Mixer(np.zeros(mixing_model.N_SLOTS), np.zeros(mixing_model.N_SLOTS)), mixing_model.Counts(0, np.empty(0, U), np.empty(0, np.int64), np.zeros(1 << mixing_model.COUNT_BITS, np.int64))
+    mixer.freeze()
+    spelling = mixing_model.Spelling(mixing_model.Slice(pa.array(["deux mots"])), counts)
+    assert mixer.log_p(spelling)[spelling.unit].tolist() == pytest.approx([-5 * 8 * math.log(2)] * 2 + [-8 * math.log(2)])
 
 
 def test_network_tables_equal_the_convolution():
