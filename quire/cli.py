@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,14 @@ from .sources import files as SF
 from .sources import models as M
 from .sources.index import ChunkIndex
 
-PROBES = ("overfitting a model", "a model that memorises its training data", "regularisation", "a recipe for soup", "bus timetable", "gradient descent")
+QUERY = "Why does a model do well on its training data and badly on new data?"
+#: What an embedding model should find near to the query or far from it; the second in another language.
+PROBES = (
+    ("near", "A model that memorises its training data does not generalise."),
+    ("near, French", "Le modèle apprend par cœur les données d'entraînement et généralise mal."),
+    ("far", "Bring the soup to the boil and add the carrots."),
+    ("far", "The bus leaves the station every twenty minutes."),
+)
 
 
 class App:
@@ -72,7 +80,8 @@ class App:
             ChunkIndex(self.spark, self.settings.index_path(course)).drop()
         report = ingest(self.spark, str(self.settings.course_dir(course)), self._index(course, create=True), self.embedder, self.settings)
         out = [f"{r.source}: {r.status}" + (f", {r.chunks} chunks" if r.chunks else "") + (f" ({r.detail})" if r.detail else "") for r in report.outcomes.collect()]
-        return [*out, f"{report.seconds:.1f} s"]
+        totals = [f"{r.status}: {r.files} files, {r.chunks} chunks" for r in report.totals().orderBy("status").collect()]
+        return [*out, *totals, f"{report.seconds:.1f} s"]
 
     def search(self, course: str, text: str, top_k: int | None = None) -> list[str]:
         k = top_k or self.settings.top_k
@@ -84,15 +93,27 @@ class App:
         n = questions or self.settings.num_questions
         vector = M.embed_one(self.embedder, topic) if topic else None
         chunks = S.gather_material(self._index(course).candidates(), material or 2 * n, vector).persist()
-        made = X.mock_exam(self.chat, chunks, course, n, topic, self.settings.max_retries + 1)
+        began = time.time()
+        made = X.mock_exam(self.chat, chunks, course, n, topic, self.settings.max_retries + 1, self._on_token(began))
+        took = f"{time.time() - began:.1f} s, {made.attempts} attempt{'s' * (made.attempts > 1)}"
         if made.items.isEmpty():
-            return ["no questions: the material did not support any", *made.dropped, made.raw[:500]]
+            return [took, "no questions: the material did not support any", *made.dropped, made.raw[:500]]
         self.settings.ensure_dirs()
         paths = [self.settings.output_path(course, kind) for kind in ("mock_exam", "answers")]
         for path, body in zip(paths, X.render(course, made.items), strict=True):
             path.write_text(body, encoding="utf-8")
         covered = [f"{r.topic}: {r.questions}" for r in X.topics_covered(made.items).collect()]
-        return [*(f"wrote {p}" for p in paths), *covered, *(f"dropped {d}" for d in made.dropped)]
+        return [took, *(f"wrote {p}" for p in paths), *covered, *(f"dropped {d}" for d in made.dropped)]
+
+    def _on_token(self, began: float):
+        """Progress on the error stream while a reply comes in, every 50 parts."""
+
+        def show(written: int, thought: int) -> None:
+            if (written + thought) % 50 == 0:
+                rate = (written + thought) / max(time.time() - began, 1e-3)
+                print(f"{time.time() - began:.0f} s: {written} parts of the reply, {thought} of reasoning, {rate:.1f} a second", file=sys.stderr)
+
+        return show
 
     def topics(self, course: str, count: int = S.MOST_TOPICS, slots: int = 0) -> list[str]:
         topics = S.rank_topics(self._index(course).candidates(), count)
@@ -111,10 +132,13 @@ class App:
         return [f"documents {s.documents}, chunks {s.chunks}, vectors {s.vectors}" + ("" if s.consistent else ", INCONSISTENT"), *(f"{k} = {v}" for k, v in sorted(s.profile.items())), *(f"{r.source}: {r.chunks}" for r in index.sources().collect())]
 
     def embed_check(self) -> list[str]:
-        df = M.embed(self.spark.createDataFrame(list(enumerate(PROBES)), "n int, text string"), self.embedder).persist()
-        first = df.filter("n = 0").select(F.col("embedding").alias("first"))
-        rows = df.crossJoin(F.broadcast(first)).select("text", V.dot("embedding", "first").alias("s"), F.size("embedding").alias("d")).orderBy(F.desc("s")).collect()
-        return [f"{rows[0].d} dimensions", *(f"{r.s:.3f} {r.text}" for r in rows)]
+        """The width, each probe's likeness to the query, and whether all near ones come before all far ones."""
+        query = M.embed_one(self.embedder, QUERY)
+        probes = M.embed(self.spark.createDataFrame(list(PROBES), "kind string, text string"), self.embedder)
+        rows = probes.select("kind", "text", V.dot("embedding", K.query_column(query)).alias("s")).orderBy(F.desc("s")).collect()
+        lowest, highest = min(r.s for r in rows if r.kind != "far"), max(r.s for r in rows if r.kind == "far")
+        told = "ok: near probes are closer than far ones" if lowest > highest else "WEAK: a far probe is as close as a near one; choose another embedding model"
+        return [f"{len(query)} dimensions", f"query: {QUERY}", *(f"{r.s:.3f} [{r.kind}] {r.text}" for r in rows), f"{told} ({lowest:.3f} against {highest:.3f})"]
 
 
 def main(argv: list[str] | None = None, app: App | None = None) -> int:

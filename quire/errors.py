@@ -33,6 +33,10 @@ class IndexMismatch(QuireError):
         super().__init__("index built with other settings: " + "; ".join(f"{k}: stored {a!r}, now {b!r}" for k, (a, b) in sorted(differing.items())) + "; rebuild it")
 
 
+class IndexConflict(QuireError):
+    """Another writer changed the index in the meantime; try again."""
+
+
 class ExtractionFailed(QuireError):
     """A reader failed on a file."""
 

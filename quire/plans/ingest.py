@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import EmptyExtraction
@@ -48,8 +48,7 @@ def ingest_files(spark: SparkSession, files: DataFrame, index: ChunkIndex, model
     good, empty = with_content(clean_pages(raw.filter("error is null").drop("error")))
     chunks = embed(chunk_documents(good, settings.chunk_size, settings.chunk_overlap), model).persist()
     sizes = chunks.groupBy("source").agg(F.count(F.lit(1)).alias("chunks")).persist()
-    rank = F.row_number().over(Window.orderBy(F.lower("source"), "source"))
-    fresh = todo.join(sizes, "source", "left_semi").select("source", "hash").withColumn("rank", rank)
+    fresh = todo.join(sizes, "source", "left_semi").select("source", "hash").withColumn("rank", F.struct(F.lower("source"), F.col("source")))
     if not sizes.isEmpty():
         index.replace(chunks, fresh)
     faults = raw.filter("error is not null").select("source", F.col("error").alias("detail")).unionByName(empty.withColumn("detail", F.lit(f"{EmptyExtraction.__name__}: no text after cleaning")))
@@ -59,16 +58,12 @@ def ingest_files(spark: SparkSession, files: DataFrame, index: ChunkIndex, model
     final = F.when(F.col("status").isin("cached", "removed"), F.col("status")).when(F.col("chunks") > 0, "indexed").otherwise(old)
     detail = F.when(final.startswith("failed"), F.coalesce("detail", F.lit("no usable chunks")))
     outcomes = done.select("source", final.alias("status"), F.coalesce("chunks", F.lit(0)).alias("chunks"), detail.alias("detail"))
+    told = index.report(outcomes if prune else outcomes.filter("status <> 'removed'"))
     if prune:
-        gone = [r[0] for r in outcomes.filter("status = 'removed'").select("source").collect()]
-        if gone:
-            index.remove(gone)
-    else:
-        outcomes = outcomes.filter("status <> 'removed'")
-    rows = outcomes.orderBy(F.lower("source")).collect()  # a row for each file, as the report prints them
+        index.remove(told.filter("status = 'removed'"))
     for x in (files, status, raw, chunks, sizes):
         x.unpersist()
-    return Report(spark.createDataFrame(rows, outcomes.schema), time.time() - began)
+    return Report(told.orderBy(F.lower("source")), time.time() - began)
 
 
 def ingest(spark: SparkSession, directory: str, index: ChunkIndex, model, settings: Settings) -> Report:

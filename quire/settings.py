@@ -1,13 +1,15 @@
-"""Settings from the environment, with checks."""
+"""Settings from the environment and a ``.env`` file, with checks. What the environment says comes first."""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Mapping
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
 from .functions.text import extension_list, safe_name
 
+LLM_MODEL, EMBED_MODEL = "qwen3.6:27b", "bge-m3"  # fixed values
 BACKENDS = ("pypdf", "docling", "docling+formula")
 
 
@@ -18,8 +20,20 @@ class Endpoint:
     model: str
 
 
-def _endpoint(prefix: str, model: str) -> Endpoint:
-    e = os.environ
+def read_env(path: str | Path = ".env") -> dict[str, str]:
+    """NAME=value lines of a file, if it is there; blank lines and those that begin with # are passed over, quotes around a value go."""
+    found = {}
+    if Path(path).is_file():
+        for line in Path(path).read_text(encoding="utf-8").splitlines():
+            name, is_, value = line.strip().removeprefix("export ").partition("=")
+            if is_ and not name.startswith("#"):
+                value = value.strip()
+                found[name.strip()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
+    return found
+
+
+def _endpoint(prefix: str, model: str, given: Mapping[str, str] | None = None) -> Endpoint:
+    e = os.environ if given is None else given
     return Endpoint(e.get(f"{prefix}_BASE_URL", "http://localhost:11434/v1"), e.get(f"{prefix}_API_KEY", "none"), e.get(f"{prefix}_MODEL", model))
 
 
@@ -37,8 +51,8 @@ class Settings:
     temperature: float = 0.3
     max_retries: int = 3
     request_timeout: float = 900.0
-    llm: Endpoint = field(default_factory=lambda: _endpoint("LLM", "qwen3.6:27b"))
-    embed: Endpoint = field(default_factory=lambda: _endpoint("EMBED", "bge-m3"))
+    llm: Endpoint = field(default_factory=lambda: _endpoint("LLM", LLM_MODEL))
+    embed: Endpoint = field(default_factory=lambda: _endpoint("EMBED", EMBED_MODEL))
 
     def __post_init__(self):
         for name in ("courses_dir", "outputs_dir", "index_dir"):
@@ -52,12 +66,13 @@ class Settings:
             raise ValueError("out of range: " + ", ".join(f"{k}={getattr(self, k)!r}" for k in bad))
 
     @classmethod
-    def from_environment(cls) -> Settings:
+    def from_environment(cls, env_file: str | Path = ".env") -> Settings:
+        said = read_env(env_file) | os.environ
         given = {}
         for f in fields(cls):
-            if f.name not in ("llm", "embed") and (raw := os.environ.get(f.name.upper())) is not None:
+            if f.name not in ("llm", "embed") and (raw := said.get(f.name.upper())) is not None:
                 given[f.name] = {"int": int, "float": float}.get(f.type, str)(raw)
-        return cls(**given)
+        return cls(**given, llm=_endpoint("LLM", LLM_MODEL, said), embed=_endpoint("EMBED", EMBED_MODEL, said))
 
     @property
     def suffixes(self) -> tuple[str, ...]:

@@ -1,16 +1,16 @@
 """Files of a course as DataFrames: discovery, hashes, and pages by reader.
 
-Spark's own lister hides names that begin with an underscore, so a driver-side walk lists paths (names only);
-bytes are read by Spark in the executors.
+Folders and files are read by the executors through Arrow's file systems, so a folder may be local or a URI that all executors
+reach. Spark's own lister would hide names that begin with an underscore. The driver lists the top folder only.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,42 +23,78 @@ PAGES = "source string, page long, text string, furniture array<string>, structu
 Page = tuple[int, str, list[str], list[str]]
 
 
+def file_system(place: str | Path) -> tuple[pyarrow.fs.FileSystem, str, str]:
+    """(file system, path in it, what a path is to be preceded by to name a file anywhere) of a local path or URI."""
+    uri = str(place) if "://" in str(place) else str(Path(place).absolute())
+    fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+    path = path.rstrip("/") or "/"
+    return fs, path, uri.rstrip("/").removesuffix(path) if "://" in uri else ""
+
+
+def is_folder(place: str | Path) -> bool:
+    fs, path, _ = file_system(place)
+    return fs.get_file_info(path).type == pyarrow.fs.FileType.Directory
+
+
 def list_files(spark: SparkSession, directory: str | Path) -> DataFrame:
     """(source, path, suffix): all files below, without hidden and tool folders; source is the relative path."""
-    root = Path(directory)
-    rows = [(p.relative_to(root).as_posix(), str(p)) for d, _, names in os.walk(root) for n in names if (p := Path(d, n)).is_file()]
-    df = spark.createDataFrame(rows, "source string, path string")
-    return df.filter(~T.is_skipped("source")).withColumn("suffix", T.extension("source"))
+    fs, root, scheme = file_system(directory)
+    uri = scheme + root
+    folder = pyarrow.fs.FileType.Directory
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, _, _ = file_system(uri)
+        for b in batches:
+            for path, is_dir in zip(*b.to_pydict().values(), strict=True):
+                found = [i.path for i in here.get_file_info(pyarrow.fs.FileSelector(path, recursive=True)) if i.type == pyarrow.fs.FileType.File] if is_dir else [path]
+                yield pa.RecordBatch.from_arrays([pa.array([p[len(root) :].lstrip("/") for p in found], pa.string()), pa.array([scheme + p for p in found], pa.string())], names=["source", "path"])
+
+    top = [(i.path, i.type == folder) for i in fs.get_file_info(pyarrow.fs.FileSelector(root))]
+    entries = spark.createDataFrame(top, "path string, folder boolean").repartition(max(1, min(len(top), 1000)))
+    return entries.mapInArrow(walk, "source string, path string").filter(~T.is_skipped("source")).withColumn("suffix", T.extension("source"))
+
+
+def wanted(extensions: tuple[str, ...]):
+    return F.col("suffix").isin(*[e.lower() for e in extensions])
 
 
 def find_documents(spark: SparkSession, directory: str | Path, extensions: tuple[str, ...] = SUPPORTED) -> DataFrame:
     """(source, path, suffix) of files with a wanted extension, in the order of the lower-cased relative path."""
-    if not Path(directory).is_dir():
+    if not is_folder(directory):
         raise CourseNotFound(f"no such folder: {directory}")
-    found = list_files(spark, directory).filter(F.col("suffix").isin(*[e.lower() for e in extensions]))
+    found = list_files(spark, directory).filter(wanted(extensions))
     if found.isEmpty():
         raise NoDocuments(f"{directory}: no file ends in {', '.join(extensions)}")
     return found.orderBy(F.lower("source"))
 
 
-def count_ignored(spark: SparkSession, directory: str | Path, extensions: tuple[str, ...] = SUPPORTED) -> DataFrame:
+def ignored(files: DataFrame, extensions: tuple[str, ...] = SUPPORTED) -> DataFrame:
     """(suffix, files) of files that have an extension that is not wanted."""
-    if not Path(directory).is_dir():
+    return files.filter((F.col("suffix") != "") & ~wanted(extensions)).groupBy("suffix").agg(F.count(F.lit(1)).alias("files"))
+
+
+def count_ignored(spark: SparkSession, directory: str | Path, extensions: tuple[str, ...] = SUPPORTED) -> DataFrame:
+    if not is_folder(directory):
         return spark.createDataFrame([], "suffix string, files long")
-    return list_files(spark, directory).filter((F.col("suffix") != "") & ~F.col("suffix").isin(*[e.lower() for e in extensions])).groupBy("suffix").agg(F.count(F.lit(1)).alias("files")).orderBy("suffix")
+    return ignored(list_files(spark, directory), extensions).orderBy("suffix")
+
+
+def with_hash(files: DataFrame) -> DataFrame:
+    """``files`` with the SHA-256 of their ``content`` as ``hash``."""
+    return files.withColumn("hash", F.sha2("content", 256))
 
 
 def with_content(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """``files`` with their bytes as ``content`` and the SHA-256 of them as ``hash``."""
+    """``files`` with their bytes as ``content`` and the hash of them; one file is in a worker's memory at a time."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                with open(r["path"], "rb") as f:
+                fs, path, _ = file_system(r["path"])
+                with fs.open_input_stream(path) as f:
                     yield pa.RecordBatch.from_pylist([r | {"content": f.read()}])
 
-    read = files.select("source", "path", "suffix").mapInArrow(load, "source string, path string, suffix string, content binary")
-    return read.withColumn("hash", F.sha2("content", 256))
+    return with_hash(files.select("source", "path", "suffix").mapInArrow(load, "source string, path string, suffix string, content binary"))
 
 
 def decoded(content) -> F.Column:

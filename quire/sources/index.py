@@ -1,23 +1,26 @@
-"""The chunk index: Parquet by bucket of the source, and one manifest that names the files in force.
+"""The chunk index: Parquet by bucket of the source, and numbered manifests that name the files in force.
 
-A change writes new files for the buckets it touches and then replaces the manifest by a rename, so that
-readers see all of a change or nothing. Vectors live in the chunk rows.
+A change writes new files for the buckets it touches, in one job, and then the manifest of the next number, which only one
+writer can: readers see all of a change or nothing, and a writer that was overtaken fails and changes nothing. What a change
+replaces is deleted by the change after it, so that readers of the manifest before have time. Buckets double
+when they come to hold more than BUCKET_ROWS chunks on average. Vectors live in the chunk rows.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import IndexMismatch, IndexMissing
+from ..errors import IndexConflict, IndexMismatch, IndexMissing
 
-BUCKETS = 64
+BUCKETS, BUCKET_ROWS = 64, 100_000
 CHUNKS = "source string, chunk_index long, id string, text string, page long, page_end long, section string, embedding array<float>, ordinal long, bucket int"
 DOCUMENTS = "source string, hash string, chunk_count long, indexed_at timestamp, ordinal long"
+LARGEST_DOCUMENT = 24  # bits of a chunk's number in its document
 
 
 class ChunkIndex:
@@ -36,15 +39,19 @@ class ChunkIndex:
         if not self.exists():
             if not create:
                 raise IndexMissing(f"no index at {path}")
-            self._commit({"profile": profile or {}, "chunks": {}, "documents": None})
+            self._commit({"profile": profile or {}, "chunks": {}, "documents": None, "buckets": BUCKETS, "version": 0, "stale": []})
         if profile is not None:
             stored = self.profile()
             if wrong := {k: (stored.get(k), v) for k, v in profile.items() if stored.get(k) != v}:
                 raise IndexMismatch(wrong)
         return self
 
+    def _manifests(self) -> list[str]:
+        found = self._fs.globStatus(self._at(f"{self.path}/manifest-*.json")) or []
+        return sorted(f.getPath().toString() for f in found)
+
     def exists(self) -> bool:
-        return self._fs.exists(self._at(f"{self.path}/manifest.json"))
+        return bool(self._manifests())
 
     def drop(self) -> None:
         self._fs.delete(self._at(self.path), True)
@@ -53,25 +60,32 @@ class ChunkIndex:
         return self._manifest()["profile"]
 
     def _manifest(self) -> dict:
-        if not self.exists():
+        found = self._manifests()
+        if not found:
             raise IndexMissing(f"no index at {self.path}")
-        stream = self._fs.open(self._at(f"{self.path}/manifest.json"))
+        stream = self._fs.open(self._at(found[-1]))
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
     def _commit(self, manifest: dict) -> None:
-        temp, final = f"{self.path}/manifest-{uuid.uuid4().hex}", f"{self.path}/manifest.json"
+        """Make ``manifest``, which holds the number of the one it was made from, the one in force. Only one writer can take the next number."""
+        number = manifest["version"] + 1
+        temp, final = f"{self.path}/part-{uuid.uuid4().hex}", f"{self.path}/manifest-{number:012d}.json"
         self._fs.mkdirs(self._at(self.path))
         out = self._fs.create(self._at(temp), True)
-        out.write(bytearray(json.dumps(manifest).encode()))
+        out.write(bytearray(json.dumps(manifest | {"version": number}).encode()))
         out.close()
-        option = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at(final).toUri() if "://" in final else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = option
-        context.rename(self._at(temp), self._at(final), options)
+        place = self._at(final).toUri() if "://" in final else self._fs.getUri()
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(place, self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(self._at(temp), self._at(final), self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            self._fs.delete(self._at(temp), True)
+            raise IndexConflict(f"{self.path}: another change came first") from e
+        for old in self._manifests()[:-2]:
+            self._fs.delete(self._at(old), False)
 
     # -- reading --
 
@@ -81,8 +95,8 @@ class ChunkIndex:
         return self.spark.read.schema(CHUNKS).parquet(*paths) if paths else self.spark.createDataFrame([], CHUNKS)
 
     def candidates(self) -> DataFrame:
-        """Chunks as the selection operators take them: with ``ord``."""
-        return self.chunks().withColumn("ord", F.col("ordinal") * 1_000_000 + F.col("chunk_index"))
+        """Chunks as the selection operators take them: with ``ord``, the order of ingestion. Its own for each chunk while a document has less than 2**LARGEST_DOCUMENT."""
+        return self.chunks().withColumn("ord", F.shiftleft("ordinal", LARGEST_DOCUMENT) + F.col("chunk_index"))
 
     def documents(self) -> DataFrame:
         path = self._manifest()["documents"]
@@ -109,36 +123,63 @@ class ChunkIndex:
         old = self.documents()
         top = old.agg(F.coalesce(F.max("ordinal"), F.lit(0))).first()[0]
         order = hashes.select("source", "hash", (F.row_number().over(Window.orderBy("rank")) + F.lit(top)).cast("long").alias("ordinal"))
-        rows = chunks.select("source", "chunk_index", "id", "text", "page", "page_end", "section", "embedding").join(F.broadcast(order.select("source", "ordinal")), "source")
+        rows = chunks.select("source", "chunk_index", "id", "text", "page", "page_end", "section", "embedding").join(order.select("source", "ordinal"), "source")
         counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("chunk_count"))
         new = order.join(counts, "source").select("source", "hash", "chunk_count", F.current_timestamp().alias("indexed_at"), "ordinal")
         self._change(hashes.select("source"), rows, new)
 
-    def remove(self, sources: list[str]) -> int:
-        """Delete documents; returns how many chunks went."""
-        gone = self.spark.createDataFrame([(s,) for s in sources], "source string")
-        n = self.chunks().join(F.broadcast(gone), "source", "left_semi").count()
-        self._change(gone, None, None)
+    def remove(self, sources: list[str] | DataFrame) -> int:
+        """Delete documents (names, or a column ``source``); returns how many chunks went."""
+        gone = sources.select("source") if isinstance(sources, DataFrame) else self.spark.createDataFrame([(s,) for s in sources], "source string")
+        n = self.documents().join(gone, "source", "left_semi").agg(F.coalesce(F.sum("chunk_count"), F.lit(0))).first()[0]
+        if n:
+            self._change(gone, None, None)
         return n
 
+    def report(self, outcomes: DataFrame) -> DataFrame:
+        """Write the outcomes of a change beside the index and read them back."""
+        path = f"{self.path}/reports/{uuid.uuid4().hex}"
+        outcomes.write.parquet(path)
+        return self.spark.read.schema(outcomes.schema).parquet(path)
+
     def _change(self, gone: DataFrame, rows: DataFrame | None, new: DataFrame | None) -> None:
         manifest, stamp = self._manifest(), uuid.uuid4().hex
-        bucket = F.pmod(F.xxhash64("source"), F.lit(BUCKETS)).cast("int")
-        touched = [r[0] for r in gone.select(bucket.alias("b")).distinct().collect()]  # BUCKETS at most
-        have = sorted({manifest["chunks"][str(b)] for b in touched if str(b) in manifest["chunks"]})
-        kept = self.spark.read.schema(CHUNKS).parquet(*have).join(F.broadcast(gone), "source", "left_anti") if have else self.spark.createDataFrame([], CHUNKS)
-        if rows is not None:
-            kept = upsert(kept, rows.withColumn("bucket", bucket), "source", "chunk_index")
-        for b in touched:
-            path = f"{self.path}/chunks/{stamp}/{b}"
-            kept.filter(F.col("bucket") == b).write.parquet(path)
-            manifest["chunks"][str(b)] = path
-        docs = self.documents().join(F.broadcast(gone), "source", "left_anti")
+        for path in manifest["stale"]:
+            self._fs.delete(self._at(path), True)
+        docs = without(self.documents(), gone)
         if new is not None:
             docs = docs.unionByName(new)
-        path = f"{self.path}/documents/{stamp}"
-        docs.write.parquet(path)
-        self._commit(manifest | {"documents": path})
+        docs_path = f"{self.path}/documents/{stamp}"
+        docs.write.parquet(docs_path)
+        total = self.spark.read.schema(DOCUMENTS).parquet(docs_path).agg(F.coalesce(F.sum("chunk_count"), F.lit(0))).first()[0]
+        buckets = manifest["buckets"]
+        while total > buckets * BUCKET_ROWS:
+            buckets *= 2
+        if buckets == manifest["buckets"]:
+            touched = {str(r[0]) for r in gone.select(bucket_of("source", buckets)).distinct().collect()}  # a number for each bucket at most
+        else:
+            touched = set(manifest["chunks"])
+        old = {b: manifest["chunks"][b] for b in touched if b in manifest["chunks"]}
+        left = self.spark.read.schema(CHUNKS).parquet(*sorted(old.values())) if old else self.spark.createDataFrame([], CHUNKS)
+        left = without(left, gone).drop("bucket")
+        if rows is not None:
+            left = left.unionByName(rows)
+        chunks_path = f"{self.path}/chunks/{stamp}"
+        placed = left.withColumn("bucket", bucket_of("source", buckets)).withColumn("place", F.col("bucket"))
+        placed.repartition("place").write.partitionBy("place").parquet(chunks_path)
+        written = [f.getPath().toString() for f in self._fs.listStatus(self._at(chunks_path)) if f.isDirectory() and "place=" in f.getPath().getName()]
+        kept = {b: p for b, p in manifest["chunks"].items() if b not in touched} | {p.rpartition("place=")[2]: p for p in written}
+        stale = [*old.values(), *([manifest["documents"]] if manifest["documents"] else [])]
+        self._commit(manifest | {"chunks": kept, "documents": docs_path, "buckets": buckets, "stale": stale})
+
+
+def bucket_of(source: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(source), F.lit(buckets)).cast("int")
+
+
+def without(chunks: DataFrame, gone: DataFrame) -> DataFrame:
+    """``chunks`` but for those of the documents in ``gone`` (source)."""
+    return chunks.join(gone.select("source"), "source", "left_anti").select(*chunks.columns)
 
 
 def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
@@ -161,6 +202,3 @@ def incremental_status(found: DataFrame, stored: DataFrame) -> DataFrame:
     f, s = found.select("source", F.col("hash").alias("now")), stored.select("source", F.col("hash").alias("then"))
     status = F.when(F.col("now").isNull(), "removed").when(F.col("then").isNull(), "new").when(F.col("now") == F.col("then"), "cached").otherwise("changed")
     return f.join(s, "source", "full").select("source", status.alias("status"))
-
-
-Progress = Callable[[str], None]

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import text as T
 from ..plans.ingest import ingest_files
 from ..settings import Settings
+from ..sources import files as S
 from ..sources.index import ChunkIndex
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
@@ -24,10 +25,17 @@ def file_stream(spark: SparkSession, directory: str, suffixes: tuple[str, ...])
 
 
 def stream_ingest(spark: SparkSession, directory: str, index: ChunkIndex, model, settings: Settings, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Keep an index up to date. A batch that runs again after a failure finds its hashes in the index and changes nothing."""
+    """Keep an index up to date with the files that ingest() takes. A batch that runs again after a failure finds its hashes in the index and changes nothing.
+
+    With each batch, the folder is also listed: files whose names Spark's lister hides are taken along, and documents whose files are gone leave the index.
+    """
 
     def batch(files: DataFrame, _: int) -> None:
-        ingest_files(spark, files, index, model, settings)
+        there = S.list_files(spark, directory).filter(S.wanted(settings.suffixes)).persist()
+        hidden = there.filter(F.element_at(F.split("source", "/"), -1).startswith("_"))
+        ingest_files(spark, files.unionByName(S.with_content(spark, hidden).select(*files.columns)), index, model, settings)
+        index.remove(index.documents().join(there, "source", "left_anti"))
+        there.unpersist()
 
     writer = file_stream(spark, directory, settings.suffixes).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()

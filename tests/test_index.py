@@ -97,7 +97,56 @@ def test_stream_ingest(spark, course):
     root = course.course_dir("ml")
     q = stream_ingest(spark, str(root), index, M.HashEmbedder(16), course, str(root.parent.parent / "ck"))
     q.awaitTermination(120)
-    assert q.exception() is None and {r.source for r in index.sources().collect()} >= {"a.txt"}
+    assert q.exception() is None and {r.source for r in index.sources().collect()} == {"_c.txt", "a.txt", "week1/b.md"}
+    (root / "_c.txt").unlink()
+    (root / "n.txt").write_text(TEXT * 4)
+    stream_ingest(spark, str(root), index, M.HashEmbedder(16), course, str(root.parent.parent / "ck")).awaitTermination(120)
+    assert {r.source for r in index.sources().collect()} == {"a.txt", "n.txt", "week1/b.md"}
+
+
+def test_changes_of_an_index(spark, tmp_path, monkeypatch):
+    """Buckets double as chunks come, a writer that was overtaken changes nothing, and what a change replaces is deleted by the next."""
+    from quire.errors import IndexConflict
+    from quire.sources import index as I
+
+    monkeypatch.setattr(I, "BUCKETS", 1)
+    monkeypatch.setattr(I, "BUCKET_ROWS", 10)
+    index = ChunkIndex.open(spark, str(tmp_path / "i"), {}, create=True)
+    rows = lambda names, n: spark.createDataFrame([(s, c, f"{s}{c}", "t", 1, None, None, [1.0]) for s in names for c in range(n)], "source string, chunk_index long, id string, text string, page long, page_end long, section string, embedding array<float>")
+    hashes = lambda names: spark.createDataFrame([(s, "h" + s, s) for s in names], "source string, hash string, rank string")
+    index.replace(rows("abc", 3), hashes("abc"))
+    assert index._manifest()["buckets"] == 1
+    index.replace(rows("bdef", 7), hashes("bdef"))
+    assert index._manifest()["buckets"] == 4 and {r.source: r.chunks for r in index.sources().collect()} == {"a": 3, "b": 7, "c": 3, "d": 7, "e": 7, "f": 7}
+    assert [r.source for r in index.documents().orderBy("ordinal").collect()] == list("acbdef") and index.candidates().select("ord").distinct().count() == 34
+    late = index._manifest()
+    gone = set(late["stale"])
+    assert index.remove(["a", "zz"]) == 3 and index.remove(["zz"]) == 0
+    assert not any((tmp_path / p.removeprefix("file:").lstrip("/")).exists() or __import__("os").path.exists(p.removeprefix("file:")) for p in gone)
+    with pytest.raises(IndexConflict):
+        index._commit(late)
+    assert index.chunks().count() == 31 and index.stats().first().documents == 5
+
+
+def test_rebuild(spark, course):
+    app = App(spark, course, M.HashEmbedder(16), Chat())
+    app.ingest("ml")
+    assert main(["ingest", "ml", "--rebuild"], app) == 0 and any("a.txt: cached" in x for x in app.ingest("ml"))
+
+
+def test_env_file(tmp_path, monkeypatch):
+    (tmp_path / ".env").write_text("# a comment\nTOP_K=7\nexport LLM_MODEL='one'\nEMBED_BASE_URL = http://h:1/v1\nbroken\nCHUNK_SIZE=300\n")
+    monkeypatch.setenv("TOP_K", "9")
+    s = Settings.from_environment(tmp_path / ".env")
+    assert (s.top_k, s.chunk_size, s.llm.model, s.embed.base_url) == (9, 300, "one", "http://h:1/v1")
+
+
+def test_embed_check_tells_weak_models(spark, course):
+    class Good:
+        def request(self, texts):
+            return [[1.0, 0.1] if any(w in t for w in ("model", "modèle")) else [0.1, 1.0] for t in texts]
+
+    assert App(spark, course, Good()).embed_check()[-1].startswith("ok") and App(spark, course, M.HashEmbedder(4)).embed_check()[0] == "4 dimensions"
 
 
 def test_embedding_retries():
