@@ -123,8 +123,8 @@ class App:
     def coverage(self, course: str, count: int = 20, topic: str | None = None) -> list[str]:
         vector = M.embed_one(self.embedder, topic) if topic else None
         chunks = S.gather_material(self._index(course).candidates(), count, vector).persist()
-        by = chunks.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first")).orderBy(F.desc("n"), "first").collect()
-        return [*(f"{r.source}: {r.n}" for r in by), *(f"[{c}] {t}" for c, t in chunks.orderBy("source", "page", "ord").select(T.citation("source", "page", "page_end"), T.preview("text")).collect())]
+        by = S.coverage(chunks).orderBy(F.desc("chunks"), "first").collect()
+        return [*(f"{r.source}: {r.chunks}" for r in by), *(f"[{c}] {t}" for c, t in chunks.orderBy("source", "page", "ord").select(T.citation("source", "page", "page_end"), T.preview("text")).collect())]
 
     def status(self, course: str) -> list[str]:
         index = self._index(course)

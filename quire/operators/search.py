@@ -21,7 +21,3 @@ def search(chunks: DataFrame, vector: list[float], top_k: int = 5, fetch_k: int
     scored = chunks.withColumn("score", V.distance_score("embedding", query_column(vector)))
     best = scored.orderBy(F.desc("score"), order).limit(pool).orderBy(F.desc("score"), order).limit(top_k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), order)))
-
-
-def with_score(chunks: DataFrame, score) -> DataFrame:
-    return chunks.withColumn("score", score)

@@ -326,3 +326,8 @@ def gather_material(candidates: DataFrame, count: int, vector: list[float] | Non
         picked = pick_within(found.members, {t.topic: t.slots for t in shares})
     order = ["source", "page", "ord"] if "page" in candidates.columns else ["source", "ord"]
     return picked.select(*candidates.columns).orderBy(*order)
+
+
+def coverage(chunks: DataFrame) -> DataFrame:
+    """(source, chunks, first): how many chunks come from each document, and the first of them."""
+    return chunks.groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.min("ord").alias("first"))

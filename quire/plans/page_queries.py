@@ -80,12 +80,6 @@ staged as (select x.*, case when n.n is null then null when bare <> '' and r.lin
   from lines x left join n using (source) left join running r on r.source = x.source and r.line = x.bare)"""
 
 
-@query(f"with {_FIRST} select source, page, bare as line, stage from staged where stage is not null")
-def furniture_lines(spark, sf_dir):
-    """Lines that the first two cleaning rules drop."""
-    return P.removals(B.line_pages(spark, sf_dir)).filter("stage <> 'figure-debris'").select("source", "page", F.col("text").alias("line"), "stage")
-
-
 @query(
     f"""with {B.HTML_PAGES}, l as (select source, string_split(text, chr(10)) as l from html_pages),
 i as (select source, i, l[i] as line, {_FRAGMENT.format('l[i]')} as f from (select source, l, unnest(range(1, len(l) + 1)) as i from l)),
@@ -107,6 +101,15 @@ joined as (select source, page, string_agg(line, chr(10) order by k) filter (not
 cleaned as (select p.source, p.page, p.text as raw, {_CLEAN.format("coalesce(j.t, '')")} as text, coalesce(debris_lines, 0) as debris_lines from line_pages p left join joined j on j.source = p.source and j.page = p.page)"""
 
 
+_GONE = f"{_CLEANED}, gone as (select source, page, bare, stage from staged where stage is not null union all select source, page, bare, 'figure-debris' from c where debris)"
+
+
+@query(f"with {_GONE} select source, page, bare as line, stage from gone")
+def furniture_lines(spark, sf_dir):
+    """Lines that cleaning drops."""
+    return P.removals(B.line_pages(spark, sf_dir)).select("source", "page", F.col("text").alias("line"), "stage")
+
+
 @query(f"with {_CLEANED} select source, page, text from cleaned")
 def cleaned_pages(spark, sf_dir):
     return P.clean_pages(B.line_pages(spark, sf_dir))
@@ -115,7 +118,7 @@ def cleaned_pages(spark, sf_dir):
 @query(
     f"""with {_CLEANED}, s as (select source, count_if(stage = 'furniture')::bigint as f, count_if(stage = 'page-number' and bare <> '')::bigint as p from staged group by source)
 select source, count(*) as pages, sum(length(raw))::bigint as chars_before, sum(length(text))::bigint as chars_after, coalesce(any_value(s.f), 0) as furniture_lines, coalesce(any_value(s.p), 0) as page_number_lines,
-sum(debris_lines)::bigint as figure_debris_lines, case when sum(length(raw)) > 0 then 1 - sum(length(text)) / sum(length(raw)) else 0.0 end as removed_ratio, true as numbers_preserved from cleaned left join s using (source) group by source"""
+sum(debris_lines)::bigint as figure_debris_lines, case when sum(length(raw)) > 0 then 1 - sum(length(text)) / sum(length(raw)) else 0.0 end as removed_ratio, count(*) = any_value(n.n) and bit_xor(cleaned.page) = any_value(n.x) as numbers_preserved from cleaned left join s using (source) join (select source, count(*) as n, bit_xor(page) as x from line_pages group by source) n using (source) group by source"""
 )
 def cleaning_report(spark, sf_dir):
     return P.cleaning_report(B.line_pages(spark, sf_dir)).drop("furniture", "furniture_labelled")
@@ -126,9 +129,9 @@ def furniture_margin(spark, sf_dir):
     return P.margin(P.cleaning_report(B.line_pages(spark, sf_dir)))
 
 
-@query(f"with {_FIRST} select source, stage, count(*) as lines, array_to_string(list_sort(list_distinct(list(page))), ',') as pages from staged where stage is not null group by source, stage")
+@query(f"with {_GONE} select source, stage, count(*) as lines, array_to_string(list_sort(list_distinct(list(page))), ',') as pages from gone group by source, stage")
 def removals_by_stage(spark, sf_dir):
-    log = P.by_stage(P.removals(B.line_pages(spark, sf_dir)).filter("stage <> 'figure-debris'"))
+    log = P.by_stage(P.removals(B.line_pages(spark, sf_dir)))
     return log.withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))
 
 
@@ -142,8 +145,9 @@ def page_profile(spark, sf_dir):
 
 @query("select source, count(*) as documents, sum(length(text))::bigint as chars, list_sort(list(length(text)))[count(*) // 2 + 1] as median_chars, count_if(length(text) < 20)::bigint as near_empty from documents group by source")
 def doc_profile(spark, sf_dir):
-    d = B.table(spark, sf_dir, "documents").select("source", F.length("text").alias("n"))
-    return d.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("chars"), P.upper_median("n").alias("median_chars"), F.count_if(F.col("n") < T.NEAR_EMPTY_CHARS).alias("near_empty"))
+    """The profile of each source, with its documents as pages."""
+    d = B.table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page"), "text")
+    return P.profile(d).select("source", F.col("pages").alias("documents"), "chars", "median_chars", "near_empty")
 
 
 @query(f"with {B.TURN_PAGES} select source, count_if(length(text) < 20) >= 0.8 * count(*) as scanned from turn_pages group by source")
@@ -178,19 +182,53 @@ def segment_offsets(spark, sf_dir):
     return s.select("source", F.col("x.pages").alias("page"), F.col("x.starts").cast("long").alias("start"))
 
 
-@query(f"with c as (select doc_id::varchar as source, {_STRIP.format('text')} as text, length(text) as n from documents where length(text) <= 1000) select source, source || '_p1_c0' as id, text, 1::bigint as page from c where length(text) >= 40")
-def chunk_short_docs(spark, sf_dir):
-    d = B.table(spark, sf_dir, "documents").filter(F.length("text") <= 1000).select(F.col("doc_id").cast("string").alias("source"), F.lit(1).cast("long").alias("page"), "text")
+#: Of parts (source, segment, text) and starts (source, segment, page, start): the walk over break places, 1000 characters a span, 100 of overlap.
+_WALK = rf"""
+pieces as (select source, segment, text, length(text) as n, regexp_extract_all(text, '\s+|[^\s]+') as w from parts),
+placed as (select source, segment, i, piece, right(lag(piece) over o, 1) as last, left(lead(piece) over o, 1) as next, (sum(length(piece)) over o)::bigint as stop
+  from (select source, segment, unnest(w) as piece, unnest(range(1, len(w) + 1)) as i from pieces) window o as (partition by source, segment order by i)),
+blanks as materialized (select *, regexp_extract_all(piece, '\n') as lines from placed where regexp_matches(piece, '^\s')),
+breaks as (select source, segment, stop as p, case when contains('.!?', coalesce(last, '-')) and last <> '' and regexp_matches(coalesce(next, ''), '^[A-Z"''“]') then 2 else 1 end as r from blanks
+  union all select source, segment, stop - length(piece) + k, 3 from (select *, unnest(range(1, length(piece) + 1)) as k from blanks where len(lines) > 0) where substr(piece, k, 1) = chr(10)
+  union all select source, segment, stop - length(regexp_extract(piece, '[^\n]*$')), 4 from blanks where len(lines) > 1),
+best as (select source, segment, p, max(r) as r from breaks group by source, segment, p),
+places as (select source, segment, list({{'p': p, 'r': r}} order by p) as b from best group by source, segment),
+whole as materialized (select source, segment, n, text, coalesce(b, []) as b from pieces left join places using (source, segment)),
+recursive_walk as (
+  with recursive walk as (
+    select source, segment, n, b, 0::bigint as start from whole
+    union all
+    select source, segment, n, b, coalesce(list_min(list_transform(list_filter(b, lambda x: x.p >= again and x.p < e), lambda x: x.p)), again)::bigint from (
+      select *, greatest(e - 100, start + 1) as again from (
+        select *, coalesce(list_max(list_transform(list_filter(b, lambda x: x.p >= start + 650 and x.p <= start + 1000), lambda x: x.r::bigint * 1000000000 + x.p)) % 1000000000, start + 1000)::bigint as e from walk where n - start > 1000)))
+  select source, segment, n, start, coalesce(list_max(list_transform(list_filter(b, lambda x: x.p >= start + 650 and x.p <= start + 1000), lambda x: x.r::bigint * 1000000000 + x.p)) % 1000000000, start + 1000)::bigint as e from walk),
+ended as (select *, lead(start) over (partition by source, segment order by start) as following from recursive_walk),
+cut as (select source, segment, start, case when n - start <= 1000 then n when n - following < 150 then n else e end as stop from ended where n - start > 1000 or n <= 1000 or n - start >= 150),
+bodies as (select c.source, c.segment, c.start, c.stop, {_STRIP.format('substr(w.text, c.start + 1, c.stop - c.start)')} as text from cut c join whole w using (source, segment)),
+paged as (select b.source, b.segment, b.start, b.stop, b.text, arg_max(s.page, s.start) filter (s.start <= b.start) as page, arg_max(s.page, s.start) filter (s.start <= b.stop - 1) as last
+  from bodies b join starts s on s.source = b.source and s.segment = b.segment where length(b.text) >= 40 group by all),
+chunks as (select source, row_number() over (partition by source order by segment, start) - 1 as chunk_index, text, page, case when last <> page then last end as page_end, segment, start, stop as "end" from paged)"""
+_SLICED = f"{_FOLLOWS.replace('starts as', 'placed_pages as')}, starts as (select source, segment, page, start::bigint as start from placed_pages), parts as (select source, segment, string_agg(text, chr(10) order by page) as text from seg group by source, segment), {_WALK}"
+_SINGLE = f"parts as (select doc_id::varchar as source, 0 as segment, text from documents where {_STRIP.format('text')} <> ''), starts as (select source, 0 as segment, 1::bigint as page, 0::bigint as start from parts), {_WALK}"
+
+
+@query(f"with {_SINGLE} select source, source || '_p1_c' || chunk_index as id, text, page from chunks")
+def chunk_whole_docs(spark, sf_dir):
+    """Chunks of all documents, each as one page."""
+    d = B.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), F.lit(1).cast("long").alias("page"), "text")
     return C.chunk_documents(d).select("source", "id", "text", "page")
 
 
-@query()
+@query(f"with {_SLICED} select source, chunk_index, source || '_p' || page || '_c' || chunk_index as id, text, page, page_end, segment::bigint as segment, start, \"end\" from chunks")
 def chunk_spans(spark, sf_dir):
-    """All chunks of the sliced documents; tests compare with plain Python."""
+    """All chunks of the sliced documents."""
     return C.chunk_documents(B.slice_pages(spark, sf_dir)).drop("section")
 
 
-@query()
+_MEASURES = "count(*) as chunks, min(length(text)) as min_chars, list_sort(list(length(text)))[count(*) // 2 + 1] as median_chars, max(length(text)) as max_chars, count(page_end) as spanning"
+
+
+@query(f"with {_SLICED} select source, {_MEASURES} from chunks group by source union all select null, {_MEASURES} from chunks")
 def chunk_profile(spark, sf_dir):
     return C.chunk_profile(C.chunk_documents(B.slice_pages(spark, sf_dir)))
 

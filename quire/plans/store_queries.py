@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import citations as G
 from ..operators import exam as X
+from ..operators import replies as R
+from ..sources import files as S
 from ..sources import index as I
 from . import bindings as B
 
@@ -26,7 +29,7 @@ def query(sql: str | None = None):
 
 @query("select doc_id, sha256(text) as hash from documents")
 def content_hash(spark, sf_dir):
-    return B.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    return S.with_hash(B.table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))).drop("content")
 
 
 @query("select source, count(*) as chunks from documents group by source")
@@ -50,76 +53,49 @@ def incremental_status(spark, sf_dir):
     return I.incremental_status(found, stored)
 
 
-@query("select doc_id as id, source, 'old' as state from documents where doc_id % 3 <> 0 and doc_id % 2 = 0 union all select doc_id, source, 'new' from documents where doc_id % 3 = 0")
+@query("select doc_id as id, source, case when doc_id % 3 = 0 then 'new' else 'old' end as state from documents")
 def upsert_chunks(spark, sf_dir):
+    """A third of the documents anew, half of them for the first time."""
     d = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
-    return I.upsert(d.filter("id % 2 = 0").withColumn("state", F.lit("old")), d.filter("id % 3 = 0").withColumn("state", F.lit("new")), "id")
+    return I.upsert(d.filter("id % 6 <> 3").withColumn("state", F.lit("old")), d.filter("id % 3 = 0").withColumn("state", F.lit("new")), "id")
 
 
 @query("select doc_id as id, source from documents where source not in ('src3', 'src5')")
 def remove_document(spark, sf_dir):
     d = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
-    return d.join(F.broadcast(spark.createDataFrame([("src3",), ("src5",)], "source string")), "source", "left_anti").select("id", "source")
+    return I.without(d, spark.createDataFrame([("src3",), ("src5",)], "source string"))
 
 
 @query(r"with p as (select regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*/?', '') as path from pages), s as (select lower(regexp_extract(path, '[^/](\.[^./]+)$', 1)) as suffix from p) select suffix, count(*) as files from s where suffix not in ('', '.txt', '.pdf') group by suffix")
 def ext_counts(spark, sf_dir):
     path = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"^[a-z]+://[^/]*/?", "")
-    s = B.table(spark, sf_dir, "pages").select(T.extension(path).alias("suffix"))
-    return s.filter(~F.col("suffix").isin("", ".txt", ".pdf")).groupBy("suffix").agg(F.count(F.lit(1)).alias("files"))
-
-
-_CHUNKS = "chunks as (select source, doc_id % 40 as page, case when doc_id % 4 = 0 then doc_id % 40 + doc_id % 3 end as page_end from documents where doc_id % 13 = 0)"
-
-
-def _chunks(spark, sf_dir):
-    d = B.table(spark, sf_dir, "documents").filter("doc_id % 13 = 0")
-    return d.select("source", (F.col("doc_id") % 40).alias("page"), F.when(F.col("doc_id") % 4 == 0, F.col("doc_id") % 40 + F.col("doc_id") % 3).alias("page_end"))
+    return S.ignored(B.table(spark, sf_dir, "pages").select(T.extension(path).alias("suffix")), (".txt", ".pdf"))
 
 
+#: All documents as material, five pages apart.
+_CHUNKS = "chunks as (select source, doc_id * 5 as page, case when doc_id % 4 = 0 then doc_id * 5 + doc_id % 3 end as page_end from documents)"
 _ALLOWED = f"{_CHUNKS}, allowed as (select distinct source, unnest(range(page, greatest(coalesce(page_end, page), page) + 1)) as page from chunks)"
-
-
-@query(f"with {_ALLOWED} select source, page from allowed")
-def allowed_pages(spark, sf_dir):
-    return G.allowed_pages(_chunks(spark, sf_dir))
-
-
-_ITEMS = "items as (select doc_id as n, case when doc_id % 10 = 0 then 'nowhere' else source end as source, doc_id % 43 as page from documents)"
+_ITEMS = "items as (select doc_id as n, case when doc_id % 10 = 0 then 'nowhere' else source end as source, doc_id * 5 + doc_id % 7 as page from documents)"
 _CHECKED = f"""{_ALLOWED}, {_ITEMS},
 near as (select n, i.source, i.page, a.page as given, a.source as of, row_number() over (partition by n order by a.page is null, abs(a.page - i.page), a.page) as rn from items i left join allowed a on a.source = i.source),
 checked as (select n, source, page, case when of is null then 'dropped' when given = page then 'kept' when abs(given - page) <= 2 then 'repaired' else 'dropped' end as status, given, of from near where rn = 1)"""
 
 
-def _items(spark, sf_dir):
-    return B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), F.when(F.col("doc_id") % 10 == 0, "nowhere").otherwise(F.col("source")).alias("source"), (F.col("doc_id") % 43).alias("page"))
-
-
-@query(f"with {_CHECKED} select n, source, page, status, case when status <> 'dropped' then given end as cited_page, case when of is null then source || ' p' || page || ': no such file in the material' when status = 'dropped' then source || ' p' || page || ': page not among those given' end as reason from checked")
-def citation_check(spark, sf_dir):
-    return G.check_citations(_items(spark, sf_dir), _chunks(spark, sf_dir))
-
-
-#: All documents as material, five pages apart.
-_WHOLE = "chunks as (select source, doc_id * 5 as page, case when doc_id % 4 = 0 then doc_id * 5 + doc_id % 3 end as page_end from documents)"
-_WHOLE_ITEMS = "items as (select doc_id as n, case when doc_id % 10 = 0 then 'nowhere' else source end as source, doc_id * 5 + doc_id % 7 as page from documents)"
-_WHOLE_CHECKED = _CHECKED.replace(_CHUNKS, _WHOLE).replace(_ITEMS, _WHOLE_ITEMS)
-
-
-def _whole_chunks(spark, sf_dir):
+def _chunks(spark, sf_dir):
     page = F.col("doc_id") * 5
     return B.table(spark, sf_dir, "documents").select("source", page.alias("page"), F.when(F.col("doc_id") % 4 == 0, page + F.col("doc_id") % 3).alias("page_end"))
 
 
-@query(f"with {_ALLOWED.replace(_CHUNKS, _WHOLE)} select source, page from allowed")
-def allowed_pages_whole(spark, sf_dir):
-    return G.allowed_pages(_whole_chunks(spark, sf_dir))
+@query(f"with {_ALLOWED} select source, page from allowed")
+def allowed_pages(spark, sf_dir):
+    return G.allowed_pages(_chunks(spark, sf_dir))
 
 
-@query(f"with {_WHOLE_CHECKED} select n, source, page, status, case when status <> 'dropped' then given end as cited_page, case when of is null then source || ' p' || page || ': no such file in the material' when status = 'dropped' then source || ' p' || page || ': page not among those given' end as reason from checked")
-def citation_check_whole(spark, sf_dir):
-    items = _items(spark, sf_dir).withColumn("page", F.col("n") * 5 + F.col("n") % 7)
-    return G.check_citations(items, _whole_chunks(spark, sf_dir))
+@query(f"with {_CHECKED} select n, source, page, status, case when status <> 'dropped' then given end as cited_page, case when of is null then source || ' p' || page || ': no such file in the material' when status = 'dropped' then source || ' p' || page || ': page not among those given' end as reason from checked")
+def citation_check(spark, sf_dir):
+    n = F.col("doc_id")
+    items = B.table(spark, sf_dir, "documents").select(n.alias("n"), F.when(n % 10 == 0, "nowhere").otherwise(F.col("source")).alias("source"), (n * 5 + n % 7).alias("page"))
+    return G.check_citations(items, _chunks(spark, sf_dir))
 
 
 _EXAM = "items as (select doc_id + 1 as n, case when doc_id % 6 = 5 then ' ' else 'topic ' || doc_id % 6 end as topic, 'What is ' || doc_id || '?' as question, 'It is ' || lang || '.' as answer, source, doc_id % 9 + 1 as page from documents)"
@@ -151,14 +127,19 @@ REPLIES = [
 ]
 
 
-@query("select * from (values (0, 2), (1, 0), (2, 1), (3, 2), (4, 1), (5, null), (6, null), (7, null), (8, 0)) t(n, items)")
+_REPLIES = "replies(n, raw) as (values " + ", ".join(f"({i}, '{r}')" for i, r in enumerate(REPLIES)) + ")"
+
+
+@query(f"""with {_REPLIES}, t as (select n, case when json_valid(raw) then raw else regexp_extract(raw, '(?s)[\\[{{].*[\\]}}]') end as t from replies), j as (select n, case when t <> '' and json_valid(t) then t::json end as j from t),
+l as (select n, j, list_filter(list_transform(json_keys(j), lambda k: json_extract(j, '$.' || k)), lambda v: json_type(v) = 'ARRAY') as lists from j)
+select n, (case when json_type(j) = 'ARRAY' then json_array_length(j) when list_contains(json_keys(j), 'items') then json_array_length(json_extract(j, '$.items'))
+when list_has_all(json_keys(j), ['question', 'answer', 'source', 'page']) then 1 when len(lists) = 1 then json_array_length(lists[1]) end)::int as items from l""")
 def coerce_json(spark, sf_dir):
     """How many items each reply holds; null where their place is in doubt or nothing parses."""
-    raw = spark.createDataFrame(list(enumerate(REPLIES)), "n int, raw string").withColumn("j", T.extract_json("raw"))
-    as_list = F.from_json("j", "array<string>")
-    object_ = F.from_json("j", "map<string,string>")
-    lists = F.filter(F.map_values(object_), lambda v: v.startswith("["))
-    single = F.forall(F.array(*[F.lit(k) for k in ("question", "answer", "source", "page")]), lambda k: F.array_contains(F.map_keys(object_), k))
-    size = lambda c: F.json_array_length(c)
-    items = F.when(F.col("j").startswith("["), F.size(as_list)).when(object_["items"].isNotNull(), size(object_["items"])).when(single, F.lit(1)).when(F.size(lists) == 1, size(F.get(lists, F.lit(0))))
-    return raw.select("n", items.cast("int").alias("items"))
+
+    def count(batches):
+        for b in batches:
+            found = [R.item_list(raw) for raw in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else len(x) for x in found], pa.int32())], names=["n", "items"])
+
+    return spark.createDataFrame(list(enumerate(REPLIES)), "n int, raw string").mapInArrow(count, "n int, items int")

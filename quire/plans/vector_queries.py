@@ -228,6 +228,4 @@ def gather_material_topic(spark, sf_dir):
 
 @query(f"with {B.VECTORS} select source, count(*) as chunks, min(ord) as first from vectors group by source")
 def coverage_by_source(spark, sf_dir):
-    return B.vectors(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.min("ord").alias("first"))
-
-
+    return S.coverage(B.vectors(spark, sf_dir))
