@@ -1,33 +1,33 @@
 """Language-model scores by online logistic context mixing.
 
 A text is a sequence of lower-cased words and one end mark. A word is coded byte by byte and closed by a blank, the end
-mark is a blank alone, and a byte is coded by eight binary decisions. Each decision has several predictors: the
-last one to four bytes of the word so far, the shorter ones along with the last frequent word of the text, hashed
-together with the bits of the byte that are known, name a slot of a table that counts ones over all training texts. Their predictions, stretched and scaled by confidence,
-are combined by weights that the decision and the place in the word select (the gate) and that are learned
-online by the coding error; a final table refines the result adaptively. So every string has a price, unknown
-words pay for their bytes, and the prices of all strings add up to one.
-
-Words of the training texts also have a share of their own, by their count; the gate of the word before says how far
-it is trusted. And where a word followed the same word elsewhere, count over count says how likely it was to.
-Words and pairs are counted over all training texts, exactly, by a shuffle that grows with them; only the counts of words that
-make up more than 1/HEAVY of all tokens, of which there are less than HEAVY, and of the pairs of the TOP most frequent
-ones travel to the tasks. How far a text trusts pairs is told by the text itself: its probability is the mean over
-trials, one without pairs and one for each of LAMBDAS. (Beside pairs, rare words have no share: two joined counts do not
-make one sum of logarithms.)
-
-A training text is scored by what the others taught: its own tokens are taken out of the counts of words and pairs. (Not out
-of the byte tables, where no slot hangs on one text.) The tables of slots, of pairs of the TOP most frequent words and
-of word counts by hash have fixed sizes; a pair outside them makes up less than 1/TOP of all.
+mark is a blank alone, and a byte is coded by binary decisions, along a Huffman tree of the training bytes. Each decision
+has several predictors: the last one to four bytes of the word so far, the shorter ones along with the last short word of
+the text, name with the decision a slot of a hashed table that counts ones over all training texts. Their predictions,
+stretched and scaled by confidence, are combined by weights that the decision and the place in the word select
+(the gate) and that are learned online by the coding error; a final table refines the result adaptively. So every
+string has a price, unknown words pay for their bytes, and the prices of all strings add up to one.
+
+Words of the training texts also have a share of their own, by their count; the short word before says how far it is
+trusted. And a text falls into phrases, each closed by a word whose hash says so (one in PHRASE): a phrase is priced as the mean
+of its words and of its own share among all training phrases. Words and phrases are counted over all training
+texts, exactly, by shuffles that grow with them; only the counts of words that make up more than 1/HEAVY of all tokens, of
+which there are less than HEAVY, travel to the tasks. How far a text trusts phrases is told by the text itself: its
+probability is the mean over trials, one without phrases and one for each of LAMBDAS. (Beside phrases, rare words
+have no share: two joined counts do not make one sum of logarithms.)
+
+A training text is scored by what the others taught: its own tokens are taken out of the counts of words and phrases. (Not out
+of the byte tables, where no slot hangs on one text.) What the byte model learns depends on the distinct words, the short
+words before them and how often each occurs; they are counted first, and the model learns from that table.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,94 +36,114 @@ from .wordhash import U, Lookup, mix, slices, words_of
 
 END = 0x1D8AF066F1E2C7B3
 BLANK = 32
-CONTEXTS = ((1, 64), (2, 16), (3, 0), (4, 0))  # last bytes, and among how many frequent words the last one is told
+SHORT, CUES = 3, 64  # bytes of a word that is a cue at most, and classes of them; 0: none yet
+CONTEXTS = ((1, True), (2, True), (3, False), (4, False))  # last bytes, and whether with the cue
 ORDERS, SLOT_BITS = len(CONTEXTS), 20  # slots of each context's table, as a power of two
 SLOTS, N_SLOTS = 1 << SLOT_BITS, ORDERS << SLOT_BITS
 PLACES = 3  # of a byte in its word: first, second, later
-TOP = 1024  # words whose pairs are counted in one table
-COUNT_BITS = 20  # slots of the table of word counts by hash
+PHRASE = 6
+SALTS = 64  # parts of the rows of one phrase
 HEAVY = 1 << 21
 LAMBDAS = (2.0**-5, 0.5, 1 - 2.0**-5)
-START_TRUST, GATES = 0.5, 32  # of a word by the logarithm of its count
-BLOCK, STEP, RATE = 4096, 64.0, 0.004  # decisions of an online step, and those of a gate that count in full
-LONG = pa.int64()
+START_TRUST = 0.5
+ROUNDS, BLOCK, STEP, RATE = 2, 4096, 64.0, 0.004  # passes over the words; decisions of an online step, and those of a gate that count in full
+UNITS_A_TASK = 500_000  # distinct words that one task learns from
+FINE = 16  # steps of a worth in an octave
 
 
 class Slice:
-    """The tokens of some texts: hash, doc, the place of the token before (-1 at the start), own (how often the text has it); and the distinct words."""
+    """The tokens of some texts: hash, doc, cue, own (how often the text has it); and units, the distinct words by cue."""
 
     def __init__(self, text: pa.Array):
         w = words_of(text)
         rows = len(w.first) - 1
-        self.n = w.counts + 1
+        self.n, self.low = w.counts + 1, w.low
         self.first = w.first[:-1] + np.arange(rows)
         at = np.arange(len(w.hash)) + w.doc
         self.hash = np.full(len(w.hash) + rows, END, U)
         self.hash[at] = w.hash
         self.doc = np.repeat(np.arange(rows), self.n)
-        self.before = np.arange(-1, len(self.hash) - 1)
-        self.before[self.first] = -1
-        self.distinct, lead, self.word = np.unique(self.hash, return_index=True, return_inverse=True)
         start, size = np.zeros(len(self.hash), np.int64), np.zeros(len(self.hash), np.int64)
         start[at], size[at] = w.start, w.size
-        self.start, self.size, self.low = start[lead], size[lead], w.low
+        place = np.arange(len(self.hash))
+        near = np.where((size > 0) & (size <= SHORT), place, -1)
+        last = np.r_[-1, np.maximum.accumulate(near)[:-1]]
+        self.cue = np.where(last >= self.first[self.doc], 1 + (self.hash[last] >> U(58)).astype(np.int64), 0)
+        _, lead, self.unit, self.many = np.unique(mix(self.hash + self.cue.astype(U)), return_index=True, return_inverse=True, return_counts=True)
+        self.lead, self.start, self.size = lead, start[lead], size[lead]
         self.own = self.count(self.hash)
 
-    def _in_doc(self, keys: np.ndarray) -> np.ndarray:
-        return mix(keys + mix(self.doc.astype(U)))
-
-    def previous(self, values: np.ndarray, at_start) -> np.ndarray:
-        """``values`` of the token before each one."""
-        return np.where(self.before < 0, at_start, values[self.before])
-
-    def pairs(self) -> np.ndarray:
-        """A key of each token with the one before; the text's start counts as an end mark."""
-        return mix(mix(self.previous(self.hash, U(END)) + U(0x5851F42D4C957F2D)) + self.hash)
+    def in_doc(self, keys: np.ndarray, doc: np.ndarray | None = None) -> np.ndarray:
+        return mix(keys + mix((self.doc if doc is None else doc).astype(U)))
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         """How often each token's key occurs in its text."""
-        _, each, count = np.unique(self._in_doc(keys), return_inverse=True, return_counts=True)
+        _, each, count = np.unique(self.in_doc(keys), return_inverse=True, return_counts=True)
         return count[each]
 
-    def once(self, keys: np.ndarray, worth: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the first of equal ``keys`` and worths of a text, of those ``among``, and how many they are."""
-        _, lead, count = np.unique(self._in_doc(mix(keys + worth.astype(U)))[among], return_index=True, return_counts=True)
-        return among[lead], count
+    def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first token, doc, key) of each phrase; the end mark closes the last one."""
+        closes = (self.hash % U(PHRASE) == 0) | (self.hash == U(END))
+        begin = np.r_[0, np.flatnonzero(closes)[:-1] + 1]
+        since = np.arange(len(self.hash)) - np.repeat(begin, np.diff(np.r_[begin, len(self.hash)]))
+        key = np.add.reduceat(mix(self.hash + mix(since.astype(U) + U(0x5851F42D))), begin)
+        return begin, self.doc[begin], mix(key)
+
+
+class Codes:
+    """A Huffman tree over the 256 bytes: the decisions on the way to each, as (node, bit)."""
+
+    def __init__(self, counts: np.ndarray):
+        heap = [(float(c) + 0.5, i, i) for i, c in enumerate(counts)]
+        heapq.heapify(heap)
+        children: dict[int, tuple[int, int]] = {}
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            children[256 + len(children)] = (a[2], b[2])
+            heapq.heappush(heap, (a[0] + b[0], 255 + len(children), 255 + len(children)))
+        paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
+        stack = [(heap[0][2], [])]
+        while stack:
+            node, path = stack.pop()
+            if node < 256:
+                paths[node] = path
+            else:
+                stack += [(child, [*path, (node - 256, bit)]) for bit, child in enumerate(children[node])]
+        self.length = np.array([len(p) for p in paths])
+        self.node, self.bit = np.zeros((2, int(self.length.max()), 256), np.int64)
+        for s, path in enumerate(paths):
+            for d, (node, bit) in enumerate(path):
+                self.node[d, s], self.bit[d, s] = node, bit
 
 
 class Spelling:
-    """The decisions of the distinct words of a slice, each with the last frequent word before it: their bytes and closing blanks, and a hash of each context.
+    """The bytes and closing blanks of distinct words, and a hash of each context."""
 
-    unit: of each token, its place among them; many: how often each occurs.
-    """
-
-    def __init__(self, s: Slice, counts: Counts):
-        at = np.arange(len(s.hash))
-        top = counts.top.find(s.distinct)[s.word]
-        near = np.where((top >= 0) & (top < CONTEXTS[0][1]), at, -1)
-        last = np.r_[-1, np.maximum.accumulate(near)[:-1]]
-        cue = np.where(last >= s.first[s.doc], top[last] + 1, 0)  # 0: none yet
-        _, lead, self.unit, self.many = np.unique(s.word * (CONTEXTS[0][1] + 1) + cue, return_index=True, return_inverse=True, return_counts=True)
-        low, start, size, cue = s.low, s.start[s.word[lead]], s.size[s.word[lead]], cue[lead]
+    def __init__(self, codes: Codes, low: np.ndarray, start: np.ndarray, size: np.ndarray, cue: np.ndarray, many: np.ndarray):
         n = size + 1
+        self.codes, self.many = codes, many
         self.first = np.cumsum(n) - n
         self.word = np.repeat(np.arange(len(n)), n)
         self.place = np.arange(len(self.word)) - self.first[self.word]
         self.symbol = np.where(self.place < size[self.word], low[np.minimum(start[self.word] + self.place, len(low) - 1)], BLANK).astype(np.int64)
         self.context, sofar = [], np.zeros(len(self.symbol), U)
-        for k, (_, words) in enumerate(CONTEXTS, 1):
+        told = cue[self.word].astype(U)
+        for k, (_, with_cue) in enumerate(CONTEXTS, 1):
             back = np.full(len(self.symbol), BLANK, np.int64)
             back[k:] = np.where(self.place[k:] >= k, self.symbol[:-k], BLANK)
             sofar = (sofar << U(8)) | back.astype(U)
-            told = np.where(cue <= words, cue, 0)[self.word].astype(U)
-            self.context.append((mix(sofar + (U(k) << U(56)) + (told << U(40))) >> U(32)).astype(np.int64))
+            self.context.append((mix(sofar + (U(k) << U(56)) + ((told << U(40)) if with_cue else U(0))) >> U(32)).astype(np.int64))
 
-    def decision(self, depth: int, at: slice = slice(None)) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """(gate, bit, slot of each context) of the decision at ``depth``."""
-        s = self.symbol[at]
-        node = (256 | s) >> (8 - depth)
-        slots = [((h[at] + node * 0x9E3779B1) & (SLOTS - 1)) + (k << SLOT_BITS) for k, h in enumerate(self.context)]
-        return node + 256 * np.minimum(self.place[at], PLACES - 1), (s >> (7 - depth)) & 1, slots
+    def decisions(self, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """(which symbols from a to b, gate, bit, slot of each context), depth by depth."""
+        at = np.arange(a, b)
+        for depth in range(len(self.codes.node)):
+            at = at[self.codes.length[self.symbol[at]] > depth]
+            if not len(at):
+                return
+            node = self.codes.node[depth][self.symbol[at]]
+            step = node * 0x9E3779B1
+            yield at, node + 256 * np.minimum(self.place[at], PLACES - 1), self.codes.bit[depth][self.symbol[at]], [((h[at] + step) & (SLOTS - 1)) + (k << SLOT_BITS) for k, h in enumerate(self.context)]
 
 
 def stretch(ones: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -135,14 +155,14 @@ def squash(z: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Counts of the slots, weights of the gates, the refining table and the trust in words' own shares by the gate of the word before."""
+    """Counts of the slots, weights of the gates, the refining table and the trust in words' own shares by cue."""
 
     def __init__(self, n: np.ndarray, ones: np.ndarray):
         self.n, self.ones = n.astype(np.float32), ones.astype(np.float32)
         self.weight = np.full((256 * PLACES, ORDERS + 1), 0.3, np.float32)
         self.weight[:, -1] = 0
-        self.refine = np.repeat(squash(np.arange(-16, 17) / 2)[None], 8, 0)
-        self.trust = np.full(GATES, START_TRUST)
+        self.refine = squash(np.arange(-16, 17) / 2)
+        self.trust = np.full(CUES + 1, START_TRUST)
 
     def freeze(self) -> None:
         self.table = stretch(self.ones, self.n).astype(np.float32)
@@ -156,11 +176,9 @@ class Mixer:
         """Online, block by block; a word's own occurrences are taken out of its predictions. Returns log p of each word; seen: get the visits of gates and cells."""
         cost, m = np.zeros(len(s.symbol)), s.many[s.word].astype(np.float32)
         for a in range(0, len(s.symbol), BLOCK):
-            at = slice(a, a + BLOCK)
-            mass = m[at]
-            x = np.ones((ORDERS + 1, len(mass)), np.float32)
-            for depth in range(8):
-                gate, bit, slots = s.decision(depth, at)
+            for at, gate, bit, slots in s.decisions(a, min(a + BLOCK, len(s.symbol))):
+                mass = m[at]
+                x = np.ones((ORDERS + 1, len(at)), np.float32)
                 for k, slot in enumerate(slots):
                     n = np.maximum(self.n[slot] - mass, 0)
                     x[k] = stretch(np.clip(self.ones[slot] - mass * bit, 0, n), n)
@@ -178,125 +196,124 @@ class Mixer:
                 cell = self.cell(z)
                 cells = np.bincount(cell, mass, 33)
                 mean = np.bincount(cell, bit * mass, 33) / np.maximum(cells, 1)
-                self.refine[depth] += (1 - 0.995**cells) * (mean - self.refine[depth])
+                self.refine += (1 - 0.9995**cells) * (mean - self.refine)
                 seen += visits
-                seen_refine[depth] += cells
+                seen_refine += cells
         return np.add.reduceat(cost, s.first) if len(s.first) else cost
 
     def log_p(self, s: Spelling) -> np.ndarray:
         """The natural logarithm of each word's probability."""
         cost = np.zeros(len(s.symbol))
         for a in range(0, len(s.symbol), 1 << 15):
-            at = slice(a, a + (1 << 15))
-            whole = np.ones(len(s.symbol[at]))  # in double precision: a product of eight
-            for depth in range(8):
-                gate, bit, slots = s.decision(depth, at)
+            for at, gate, bit, slots in s.decisions(a, min(a + (1 << 15), len(s.symbol))):
                 w = self.weight[gate]
                 z = w[:, -1].copy()
                 for k, slot in enumerate(slots):
                     z += w[:, k] * self.table[slot]
-                p = (squash(z) + self.refine[depth][self.cell(z)]) / 2
-                whole *= np.where(bit, p, 1 - p)
-            cost[at] = np.log(whole)
+                p = (squash(z) + self.refine[self.cell(z)]) / 2
+                cost[at] += np.log(np.where(bit, p, 1 - p))
         return np.add.reduceat(cost, s.first) if len(s.first) else cost
 
 
 class Counts:
-    """What travels of the word counts: those of heavy words, sums of all others by hash, the TOP words and the counts of their pairs, all tokens and all distinct ones."""
-
-    def __init__(self, total: int, heavy: np.ndarray, heavy_count: np.ndarray, others: np.ndarray):
-        self.total, self.lookup = total, Lookup(heavy)
-        self.count = np.append(heavy_count, 0)
-        self.others = others
-        top = heavy[np.lexsort((heavy, -heavy_count))[:TOP]]
-        self.top, self.pairs = Lookup(top), None
+    """What travels of the word counts: those of heavy words, and how many tokens and phrases there are."""
 
-    def of(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
-        """(count of each token if it is heavy, else 0; an upper bound of any token's count)."""
-        at = self.lookup.find(s.distinct)
-        exact = self.count[at]
-        bound = np.where(at >= 0, exact, self.others[(s.distinct >> U(64 - COUNT_BITS)).astype(np.int64)])
-        return exact[s.word], bound[s.word]
+    def __init__(self, total: int, phrases: int, heavy: np.ndarray, count: np.ndarray):
+        self.total, self.phrases, self.lookup, self.count = total, phrases, Lookup(heavy), np.append(count, 0)
 
-    def pair_slot(self, s: Slice) -> np.ndarray:
-        """The slot of each token and the one before in the table of frequent pairs, or -1."""
-        top = self.top.find(s.distinct)[s.word]
-        before = s.previous(top, self.top.find(np.array([END], U))[0])
-        return np.where((top >= 0) & (before >= 0), before * TOP + top, -1)
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The count of each word that is heavy, else 0."""
+        return self.count[self.lookup.find(hashes)]
 
 
-def gate_of(bound: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(bound + 1.0).astype(np.int64), GATES - 1)
+def _binary(low: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    off = np.r_[0, np.cumsum(size)]
+    data = low[np.arange(off[-1]) + np.repeat(start - off[:-1], size)]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def _token_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unit_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, word, cue, n, phrases) of the distinct words by cue; phrases, how many the texts hold, stands with the first row of a part."""
     held, size = [], 0
 
-    def flush():
-        keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate([c for _, c in held])).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["token", "n"])
+    def flush() -> pa.RecordBatch:
+        token, cue, n, words, phrases = zip(*held, strict=True)
+        token, cue, n = np.concatenate(token), np.concatenate(cue), np.concatenate(n)
+        _, lead, at = np.unique(mix(token + cue.astype(U)), return_index=True, return_inverse=True)
+        more = np.zeros(len(lead), np.int64)
+        more[0] = sum(phrases)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(token[lead].view(np.int64)), pa.concat_arrays(words).take(pa.array(lead)), pa.array(cue[lead].astype(np.int32)), pa.array(np.bincount(at, n).astype(np.int64)), pa.array(more)],
+            names=["token", "word", "cue", "n", "phrases"],
+        )
 
     for batch in batches:
         for part in slices(batch, "text"):
-            words = words_of(part.column(0))
-            held += [np.unique(words.hash, return_counts=True), (np.array([END], U), np.array([part.num_rows]))]
-            size += len(held[-2][0])
-            if size > 1_500_000:
+            s = Slice(part.column(0))
+            held.append((s.hash[s.lead], s.cue[s.lead], s.many, _binary(s.low, s.start, s.size), len(s.phrases()[0])))
+            size += len(s.lead)
+            if size > 1_000_000:
                 yield flush()
                 held, size = [], 0
     if held:
         yield flush()
 
 
-def _slot_counter(counts: Counts):
-    """(slot, n, ones) of the slots that the task's texts reach; the pairs of frequent words have the slots behind."""
+def _spelled(part: pa.RecordBatch, codes: Codes) -> Spelling:
+    """Of a part of (word, cue, n)."""
+    words = part.column(0)
+    off = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    low = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] is not None and off[-1] else np.full(1, BLANK, np.uint8)
+    return Spelling(codes, low, off[:-1], np.diff(off), part.column(1).to_numpy().astype(np.int64), part.column(2).to_numpy())
+
+
+def _byte_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(256)
+    flat = Codes(np.zeros(256))
+    for batch in batches:
+        s = _spelled(batch, flat)
+        total += np.bincount(s.symbol, s.many[s.word], 256)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(total)], names=["symbol", "n"])
+
+
+def _slot_counter(codes: Codes):
+    """(slot, n, ones) of the slots that the task's words reach."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, ones, pairs = np.zeros(N_SLOTS), np.zeros(N_SLOTS), np.zeros(TOP * TOP)
+        n, ones = np.zeros(N_SLOTS), np.zeros(N_SLOTS)
         for batch in batches:
-            for part in slices(batch, "text"):
-                s = Slice(part.column(0))
-                spelling = Spelling(s, counts)
-                many = spelling.many[spelling.word].astype(float)
-                for depth in range(8):
-                    _, bit, slots = spelling.decision(depth)
-                    for k, slot in enumerate(slots):
-                        low = k << SLOT_BITS
-                        n[low : low + SLOTS] += np.bincount(slot - low, many, SLOTS)
-                        ones[low : low + SLOTS] += np.bincount(slot - low, many * bit, SLOTS)
-                slot = counts.pair_slot(s)
-                c = np.bincount(slot[slot >= 0])
-                pairs[: len(c)] += c
-        n, ones = np.concatenate([n, pairs]).astype(np.int64), np.concatenate([ones, np.zeros(len(pairs))]).astype(np.int64)
+            s = _spelled(batch, codes)
+            many = s.many[s.word].astype(float)
+            for at, _, bit, slots in s.decisions(0, len(s.symbol)):
+                for k, slot in enumerate(slots):
+                    low = k << SLOT_BITS
+                    n[low : low + SLOTS] += np.bincount(slot - low, many[at], SLOTS)
+                    ones[low : low + SLOTS] += np.bincount(slot - low, many[at] * bit, SLOTS)
         some = np.flatnonzero(n)
         for a in range(0, len(some), 100_000):
             at = some[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(ones[at])], names=["slot", "n", "ones"])
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64)), pa.array(ones[at].astype(np.int64))], names=["slot", "n", "ones"])
 
     return count
 
 
-def _learner(mixer: Mixer, counts: Counts):
-    """What a task makes of the parameters with its texts, as sums weighted by visits. The slots: weights, the refining table, the trusts."""
+def _learner(codes: Codes, mixer: Mixer, counts: Counts):
+    """What a task makes of the parameters with its words, as sums weighted by visits. The slots: weights, the refining table, the trusts."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = mixer.weight, mixer.refine
         mixer.weight, mixer.refine = before[0].copy(), before[1].copy()
-        seen, seen_refine = np.zeros(len(mixer.weight)), np.zeros(mixer.refine.shape)
-        trusted, gated = np.zeros(GATES), np.zeros(GATES)
+        seen, seen_refine = np.zeros(len(mixer.weight)), np.zeros(len(mixer.refine))
+        trusted, met = np.zeros(CUES + 1), np.zeros(CUES + 1)
         for batch in batches:
-            for part in slices(batch, "text"):
-                s = Slice(part.column(0))
-                spelling = Spelling(s, counts)
-                log_p = mixer.learn(spelling, seen, seen_refine)[spelling.unit]
-                share, gate = word_share(s, counts, np.ones(len(s.n), bool))
-                a, b = mixer.trust[gate] * share, (1 - mixer.trust[gate]) * np.exp(log_p)
-                trusted += np.bincount(gate, a / np.maximum(a + b, 1e-300), GATES)
-                gated += np.bincount(gate, minlength=GATES)
-        mean = trusted / np.maximum(gated, 1)
-        value = np.concatenate([mixer.weight.ravel(), mixer.refine.ravel(), mean])
-        visits = np.concatenate([np.repeat(seen, mixer.weight.shape[1]), seen_refine.ravel(), gated])
+            s = _spelled(batch, codes)
+            log_p, cue = mixer.learn(s, seen, seen_refine), batch.column(1).to_numpy()
+            a = START_TRUST * np.maximum(counts.of(batch.column(3).to_numpy().astype(np.int64).view(U)) - 1, 0) / max(counts.total - 1, 1)
+            b = (1 - START_TRUST) * np.exp(log_p)
+            trusted += np.bincount(cue, s.many * a / np.maximum(a + b, 1e-300), CUES + 1)
+            met += np.bincount(cue, s.many, CUES + 1)
+        value = np.concatenate([mixer.weight.ravel(), mixer.refine, trusted / np.maximum(met, 1)])
+        visits = np.concatenate([np.repeat(seen, mixer.weight.shape[1]), seen_refine, met])
         mixer.weight, mixer.refine = before
         some = np.flatnonzero(visits)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(value[some] * visits[some]), pa.array(visits[some])], names=["slot", "value", "visits"])
@@ -304,110 +321,89 @@ def _learner(mixer: Mixer, counts: Counts):
     return learn
 
 
-def word_share(s: Slice, counts: Counts, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(share of each token's word among all others' tokens, gate of the word before). trained: texts that the counts hold."""
-    exact, bound = counts.of(s)
-    mine = trained[s.doc]
-    share = np.maximum(exact - s.own * mine, 0) / np.maximum(counts.total - (s.n * trained)[s.doc], 1)
-    _, end = counts.of(Slice(pa.array([""])))
-    return share, gate_of(s.previous(bound, end[0]))
-
-
-# Rows of one stream: of words and pairs of a text by their key, and of what is known of the text itself.
-KINDS = ("word", "pair", "id_high", "id_low", "n_bytes", "n_tokens", "known", "logs", "coded", *(f"gain_{i}" for i in range(len(LAMBDAS))))
-KIND = {k: i for i, k in enumerate(KINDS)}
-FINE = 16  # steps of a worth in an octave
-
-
 def _worth(log_ratio: np.ndarray) -> np.ndarray:
     """What one occurrence elsewhere adds, relative to what is there without it: rounded down, so that chances never sum to more than one."""
-    return np.clip(np.floor(log_ratio / np.log(2) * FINE), -32768, 32767).astype(np.int64)
+    return np.clip(np.floor(log_ratio / np.log(2) * FINE), -32768, 32767).astype(np.int32)
+
 
+def _scorer(codes: Codes, mixer: Mixer, counts: Counts):
+    kind = pa.struct([("key", pa.int64()), ("tf", pa.int32()), ("own", pa.int32()), ("worth", pa.int32())])
+
+    def lists(keys: np.ndarray, own: np.ndarray, worth: np.ndarray, doc: np.ndarray, s: Slice) -> pa.Array:
+        """The distinct (key, worth) of each text with their number, and how often the text has the key."""
+        _, lead, tf = np.unique(s.in_doc(mix(keys + worth.astype(np.int64).view(U)), doc), return_index=True, return_counts=True)
+        order = np.argsort(doc[lead], kind="stable")
+        lead, tf = lead[order], tf[order]
+        flat = pa.StructArray.from_arrays([pa.array(keys[lead].view(np.int64)), pa.array(tf.astype(np.int32)), pa.array(own[lead].astype(np.int32)), pa.array(worth[lead])], fields=list(kind))
+        return pa.ListArray.from_arrays(np.searchsorted(doc[lead], np.arange(len(s.n) + 1)).astype(np.int32), flat)
 
-def _scorer(mixer: Mixer, counts: Counts):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        row = (context.partitionId() if context else 0) << 33
         logs = np.append(np.log10(counts.count[:-1] + 1.0), 0.0)
         for batch in batches:
             for part in slices(batch, "text"):
                 s = Slice(part.column(1))
                 trained = np.array(part.column(2).to_pylist(), bool)
-                mine = trained[s.doc]
-                spelling = Spelling(s, counts)
-                share, gate = word_share(s, counts, trained)
-                trust = mixer.trust[gate]
-                spelled = np.log(1 - trust) + mixer.log_p(spelling)[spelling.unit]
+                spelled = mixer.log_p(Spelling(codes, s.low, s.start, s.size, s.cue[s.lead], s.many))[s.unit]
+                trust, at = mixer.trust[s.cue], counts.lookup.find(s.hash)
+                others = np.maximum(counts.total - (s.n * trained)[s.doc], 1)
+                share = np.maximum(counts.count[at] - s.own * trained[s.doc], 0) / others
+                spelled += np.log(1 - trust)
                 with np.errstate(divide="ignore"):
                     log_p = np.logaddexp(np.log(trust * share), spelled)
-                others = np.maximum(counts.total - (s.n * trained)[s.doc], 1)
-                word_worth = _worth(np.log(trust / others) - spelled)
-                # How often the word before has others behind it, elsewhere: at most its count.
-                _, bound = counts.of(s)
-                _, end = counts.of(Slice(pa.array([""])))
-                follow = np.maximum(s.previous(bound, end[0]) - s.previous(s.own, 1) * mine, 1)
-                pair_worth = _worth(-log_p - np.log(follow))
-                pairs, slot = s.pairs(), counts.pair_slot(s)
-                own_pairs = s.count(pairs)
-
-                top = np.flatnonzero(slot >= 0)
-                elsewhere = np.maximum(counts.pairs[slot[top]] - own_pairs[top] * mine[top], 0) * 2.0 ** (pair_worth[top] / FINE)
-                at = counts.lookup.find(s.distinct)[s.word]
-                given = part.column(0).to_pylist()
-                ids = np.array([0 if x is None else x for x in given], np.int64)
-                said = {
-                    "id_high": ids >> 32, "id_low": ids & 0xFFFFFFFF, "n_bytes": pa.compute.binary_length(part.column(1)).to_numpy(), "n_tokens": s.n,
-                    "known": np.add.reduceat((at >= 0).astype(float), s.first), "logs": np.add.reduceat(logs[at], s.first), "coded": np.add.reduceat(log_p, s.first) / np.log(10),
-                    **{f"gain_{i}": np.bincount(s.doc[top], np.log10(1 + elsewhere * (x / (1 - x))), len(s.n)) for i, x in enumerate(LAMBDAS)},
-                }
-                of, key, meta, value = [], [], [], []
-                for kind, keys, own, worth, among in (("word", s.hash, s.own, word_worth, at < 0), ("pair", pairs, own_pairs, pair_worth, slot < 0)):
-                    lead, tf = s.once(keys, worth, np.flatnonzero(among))
-                    of.append(s.doc[lead])
-                    key.append(keys[lead])
-                    meta.append((tf << 24) | ((worth[lead] + 32768) << 8) | (mine[lead].astype(np.int64) << 7) | KIND[kind])
-                    value.append(own[lead].astype(float))
-                for kind, v in said.items():
-                    some = np.array([x is not None for x in given]).nonzero()[0] if kind.startswith("id_") else np.arange(len(s.n))
-                    of.append(some)
-                    key.append(mix(((row + some).astype(U) << U(4)) + U(KIND[kind])))
-                    meta.append(np.full(len(some), KIND[kind]))
-                    value.append(v[some].astype(float))
-                cols = [row + np.concatenate(of), np.concatenate(key).view(np.int64), np.concatenate(meta).astype(np.int64), np.concatenate(value)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "key", "meta", "value"])
-                row += len(s.n)
+                rare = np.flatnonzero(at < 0)
+                words = lists(s.hash[rare], s.own[rare], _worth(np.log(trust / others) - spelled)[rare], s.doc[rare], s)
+                begin, doc, key = s.phrases()
+                _, each, many = np.unique(s.in_doc(key, doc), return_inverse=True, return_counts=True)
+                left = np.maximum(counts.phrases - (np.bincount(doc, minlength=len(s.n)) * trained)[doc], 1)
+                phrases = lists(key, many[each], _worth(-np.add.reduceat(log_p, begin) - np.log(left)), doc, s)
+                total = lambda x: pa.array(np.add.reduceat(x, s.first))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), pa.compute.binary_length(part.column(1)).cast(pa.int64()), pa.array(s.n), total((at >= 0).astype(np.int64)), total(logs[at]), total(log_p / np.log(10)), pa.array(np.bincount(doc, minlength=len(s.n))), words, phrases],
+                    names=["doc_id", "trained", "n_bytes", "n_tokens", "known", "logs", "coded", "n_phrases", "words", "phrases"],
+                )
 
     import pyarrow.compute  # noqa: F401
 
     return score
 
 
-def _model(learn: DataFrame) -> tuple[Mixer, Counts, int, int]:
-    """(mixer, counts, training tokens, distinct ones) of the column ``text``."""
-    counted = kept(learn.mapInArrow(_token_counter, "token long, n long").groupBy("token").agg(F.sum("n").alias("c")), "token-counts")
-    total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    heavy = counted.filter(F.col("c") > total / HEAVY).orderBy("token").toArrow()  # less than HEAVY rows
-    rest = counted.filter(F.col("c") <= total / HEAVY).groupBy(F.shiftrightunsigned("token", 64 - COUNT_BITS).alias("slot")).agg(F.sum("c").alias("c")).toArrow()  # 2**COUNT_BITS rows at most
-    others = np.zeros(1 << COUNT_BITS, np.int64)
-    others[rest["slot"].to_numpy()] = rest["c"].to_numpy()
-    counts = Counts(total, heavy["token"].to_numpy().astype(np.int64).view(U), heavy["c"].to_numpy().astype(np.int64), others)
-    slots = learn.mapInArrow(_slot_counter(counts), "slot int, n long, ones long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).toArrow()  # N_SLOTS + TOP * TOP rows at most
-    n, ones = np.zeros(N_SLOTS + TOP * TOP), np.zeros(N_SLOTS + TOP * TOP)
+def _model(learn: DataFrame) -> tuple[Codes, Mixer, Counts, DataFrame, int, int]:
+    """(codes, mixer, counts, (token, c), training tokens, distinct ones) of the column ``text``."""
+    found = learn.mapInArrow(_unit_counter, "token long, word binary, cue int, n long, phrases long")
+    units = kept(found.groupBy("token", "word", "cue").agg(F.sum("n").alias("n"), F.sum("phrases").alias("phrases")), "units")
+    counted = kept(units.groupBy("token").agg(F.sum("n").alias("c"), F.sum("phrases").alias("phrases"), F.sum(F.lit(1)).alias("units")), "token-counts")
+    total, distinct, phrases, n_units = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("phrases"), F.lit(0)), F.coalesce(F.sum("units"), F.lit(0))).first()
+    heavy = counted.filter(F.col("c") > total / HEAVY).orderBy("token").select("token", "c").toArrow()  # less than HEAVY rows
+    counts = Counts(total, phrases, heavy["token"].to_numpy().astype(np.int64).view(U), heavy["c"].to_numpy().astype(np.int64))
+    # Few enough tasks that what each reaches of the tables is less than what it reads.
+    each = units.select("word", "cue", "n", "token").coalesce(max(8, n_units // UNITS_A_TASK))
+    bytes_ = each.mapInArrow(_byte_counter, "symbol int, n double").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()
+    many = np.zeros(256)
+    many[bytes_["symbol"].to_numpy()] = bytes_["n"].to_numpy()
+    codes = Codes(many)
+    slots = each.mapInArrow(_slot_counter(codes), "slot int, n long, ones long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).toArrow()  # N_SLOTS rows at most
+    n, ones = np.zeros(N_SLOTS, np.float32), np.zeros(N_SLOTS, np.float32)
     n[slots["slot"].to_numpy()], ones[slots["slot"].to_numpy()] = slots["n"].to_numpy(), slots["ones"].to_numpy()
-    counts.pairs = n[N_SLOTS:].astype(np.int64)
-    mixer = Mixer(n[:N_SLOTS], ones[:N_SLOTS])
-    del slots, n, ones, heavy, rest
-    pairs, counts.pairs = counts.pairs, None  # not needed to learn
-    if total:
-        got = learn.mapInArrow(_learner(mixer, counts), "slot int, value double, visits double").groupBy("slot").agg((F.sum("value") / F.sum("visits")).alias("mean")).toArrow()
-        value = np.concatenate([mixer.weight.ravel(), mixer.refine.ravel(), mixer.trust])
+    mixer = Mixer(n, ones)
+    del slots, heavy
+    for _ in range(ROUNDS if total else 0):
+        got = each.mapInArrow(_learner(codes, mixer, counts), "slot int, value double, visits double").groupBy("slot").agg((F.sum("value") / F.sum("visits")).alias("mean")).toArrow()
+        value = np.concatenate([mixer.weight.ravel(), mixer.refine, mixer.trust])
         value[got["slot"].to_numpy()] = got["mean"].to_numpy()
         a, b = mixer.weight.size, mixer.weight.size + mixer.refine.size
-        mixer.weight, mixer.refine = value[:a].reshape(mixer.weight.shape).astype(np.float32), value[a:b].reshape(mixer.refine.shape)
+        mixer.weight, mixer.refine = value[:a].reshape(mixer.weight.shape).astype(np.float32), value[a:b]
         mixer.trust = np.clip(value[b:], 1e-6, 1 - 1e-3)
-    counts.pairs = pairs
     mixer.freeze()
-    return mixer, counts, total, distinct
+    return codes, mixer, counts, counted.select("token", "c"), total, distinct
+
+
+def _phrase_counts(phrases: DataFrame) -> DataFrame:
+    """``phrases`` (row, trained, key, tf, ...) with ``c``, how often training texts have the key. A phrase may be in most texts: its rows are dealt to SALTS parts."""
+    dealt = phrases.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)))
+    some = dealt.groupBy("key", "salt").agg(F.sum(F.when(F.col("trained"), F.col("tf")).otherwise(F.lit(0))).alias("some"), F.count(F.lit(1)).alias("held"))
+    whole = Window.partitionBy("key")  # SALTS rows at most
+    sizes = some.select("key", "salt", F.sum("some").over(whole).alias("c"), F.sum("held").over(whole).alias("held")).filter("c > 0 and held > 1").drop("held")
+    return dealt.join(sizes, ["key", "salt"])
 
 
 def context_mixing_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -420,29 +416,26 @@ def context_mixing_scores(docs: DataFrame, training: Column, id_col: str = "doc_
     """
     trained = F.coalesce(training.cast("boolean"), F.lit(False))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), trained.alias("trained"))
-    mixer, counts, total, distinct = _model(base.filter("trained").select("text"))
-    stream = base.mapInArrow(_scorer(mixer, counts), "row long, key long, meta long, value double")
-    kind, tf = F.col("meta").bitwiseAND(F.lit(127)), F.shiftright("meta", 24)
-    taught = F.shiftright("meta", 7).bitwiseAND(F.lit(1)) == 1
-    is_ = lambda name: kind == KIND[name]
-    keyed = kind <= KIND["pair"]
-    c = F.sum(F.when(keyed & taught, tf).otherwise(F.lit(0))).over(Window.partitionBy("key"))
-    elsewhere = F.col("c") - F.when(taught, F.col("value")).otherwise(F.lit(0.0))
-    met = stream.withColumn("c", c).filter(~keyed | (is_("word") & (F.col("c") > 0)) | (is_("pair") & (elsewhere > 0)))
-    gain = elsewhere * F.pow(F.lit(2.0), (F.shiftright("meta", 8).bitwiseAND(F.lit(65535)) - 32768) / FINE)
-    parts = [F.sum(F.when(is_(k), F.col("value"))).alias(k) for k in KINDS[2:]]
-    parts += [F.sum(F.when(is_("word"), tf * F.log10(F.col("c") + 1.0))).alias("more_logs"), F.sum(F.when(is_("word"), tf)).alias("more_known"), F.sum(F.when(is_("word"), tf * F.log10(1 + gain))).alias("words")]
-    parts += [F.sum(F.when(is_("pair"), tf * F.log10(1 + gain * F.lit(x / (1 - x))))).alias(f"more_{i}") for i, x in enumerate(LAMBDAS)]
-    out = met.groupBy("row").agg(*parts)
+    codes, mixer, counts, counted, total, distinct = _model(base.filter("trained").select("text"))
+    entry = "array<struct<key: long, tf: int, own: int, worth: int>>"
+    scored = base.mapInArrow(_scorer(codes, mixer, counts), f"doc_id long, trained boolean, n_bytes long, n_tokens long, known long, logs double, coded double, n_phrases long, words {entry}, phrases {entry}")
+    scored = kept(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    of = lambda name: scored.select("row", "trained", F.explode(name).alias("e")).select("row", "trained", "e.*")
+    elsewhere = F.col("c") - F.when(F.col("trained"), F.col("own")).otherwise(F.lit(0))
+    gain = elsewhere * F.pow(F.lit(2.0), F.col("worth") / FINE)
+    words = of("words").join(counted.withColumnRenamed("token", "key"), "key").select("row", "tf", (F.col("tf") * F.log10(F.col("c") + 1.0)).alias("a"), (F.col("tf") * F.log10(1 + gain)).alias("b"))
+    words = words.groupBy("row").agg(F.sum("a").alias("more_logs"), F.sum("tf").alias("more_known"), F.sum("b").alias("words_gain"))
+    phrases = _phrase_counts(of("phrases")).filter(elsewhere > 0)
+    phrases = phrases.groupBy("row").agg(*[F.sum(F.col("tf") * F.log10(1 + gain * F.lit(x / (1 - x)))).alias(f"gain_{i}") for i, x in enumerate(LAMBDAS)])
+    out = scored.drop("words", "phrases").join(words, "row", "left").join(phrases, "row", "left")
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
-    trials = [F.coalesce("words", F.lit(0.0))]
-    trials += [F.col("n_tokens") * F.log10(F.lit(1 - x)) + F.col(f"gain_{i}") + F.coalesce(f"more_{i}", F.lit(0.0)) for i, x in enumerate(LAMBDAS)]
+    trials = [F.coalesce("words_gain", F.lit(0.0)), *[F.col("n_phrases") * F.log10(F.lit(1 - x)) + F.coalesce(f"gain_{i}", F.lit(0.0)) for i, x in enumerate(LAMBDAS)]]
     best = F.greatest(*trials)
     score = F.col("coded") + best + F.log10(sum((F.pow(F.lit(10.0), t - best) for t in trials), F.lit(0.0)) / len(trials))
     out = out.withColumn("score", score)
     return out.select(
-        F.shiftleft(F.col("id_high").cast("long"), 32).bitwiseOR(F.col("id_low").cast("long")).alias("doc_id"),
-        F.col("n_tokens").cast("long").alias("n_tokens"),
+        "doc_id",
+        "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))).alias("base_score"),
