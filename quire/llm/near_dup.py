@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import documents, kept, scratch
+from .shared import discard, documents, kept, scratch
 from .wordhash import U, mix, powers, sequence_keys, shingles, slices, words_of
 
 BITS = 54  # of a shingle's hash inside a document; the ten above hold the row within a slice
@@ -185,10 +185,9 @@ def _every_part(members: str) -> Column:
 
 def _shared_buckets(banded: DataFrame) -> DataFrame:
     """(bucket, part, members, node, n) of the rows of (bucket, node, n) whose bucket has other members. No key holds more than a FIRST_PARTS-th of a bucket."""
-    dealt = banded.withColumn("first", F.pmod(F.xxhash64("node"), F.lit(FIRST_PARTS)))
+    dealt = banded.withColumn("first", F.pmod(F.xxhash64("node"), F.lit(FIRST_PARTS))).repartition("bucket", "first")  # one exchange for both uses
     some = dealt.groupBy("bucket", "first").agg(F.count(F.lit(1)).alias("some"))
-    whole = some.groupBy("bucket").agg(F.sum("some").alias("members")).filter("members > 1")
-    sizes = some.select("bucket", "first").join(whole, "bucket")  # FIRST_PARTS rows of a bucket at most
+    sizes = some.withColumn("members", F.sum("some").over(Window.partitionBy("bucket"))).filter("members > 1").drop("some")  # FIRST_PARTS rows of a bucket at most
     return dealt.join(sizes, ["bucket", "first"]).select("bucket", _part("node", "members").alias("part"), "members", "node", "n")
 
 
@@ -200,6 +199,8 @@ def _classes(base: DataFrame, percent: int, k: int) -> DataFrame:
     classes = kept(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "classes")
     nodes = some.join(classes.select("k1", "k2", F.col("node").alias("doc_id")), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
     nodes = kept(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "sketch"), "nodes")
+    whole, signed = signed, kept(signed.select("doc_id", "n_shingles", "k1", "k2"), "keys")
+    discard(whole)
     live = kept(_shared_buckets(nodes.select("node", "n", F.explode("bands").alias("bucket"))), "buckets")
     reach = live.groupBy("node").agg(F.sum("members").alias("reach"))
     sketches = nodes.select("node", "n", "sketch")
@@ -271,7 +272,7 @@ def _classes(base: DataFrame, percent: int, k: int) -> DataFrame:
         if not links.isEmpty():
             edges = edges.unionByName(links)
             roots = components(edges)
-    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
+    out = signed.join(classes, ["k1", "k2"], "left")
     out = out.join(roots, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(component)
