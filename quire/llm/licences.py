@@ -4,11 +4,13 @@ The templates and the base phrases make one automaton. Streaming a text through
 statistics: after each word, the longest run of words that ends there and stands in some template. A base
 phrase is found where its own state is the current one or a suffix of it. Runs of MIN_RUN words and more
 are anchors; anchors of one template that advance both in the text and in the template are chained, and
-a chain that covers enough of the template is a licence span with the template's label.
+a chain that covers enough words is a licence span with the template's label: MIN_COVER of the template, or of FULL words of
+a longer one, so that a clause from the middle of a licence is found too. The templates are a parameter.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,31 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .licence_texts import TEMPLATES
 from .shared import documents
 from .wordhash import ALNUM, U, Lookup, hash_of, slices, words_of
 
 #: The base phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Opening words of well-known licences and the notices that name them.
-TEMPLATES = (
-    ("MIT", "released under the mit license"),
-    ("MIT", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("Apache-2.0", "licensed under the apache license version 2 0"),
-    ("Apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("GPL-3.0", "this work is licensed under the gnu general public license version 3"),
-    ("GPL", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("LGPL", "licensed under the gnu lesser general public license"),
-    ("AGPL", "licensed under the gnu affero general public license"),
-    ("CC-BY-NC", "licensed under cc by nc 4 0"),
-    ("CC-BY-SA", "licensed under cc by sa 4 0"),
-    ("CC-BY", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("BSD", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("ISC", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("MPL-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("Unlicense", "this is free and unencumbered software released into the public domain"),
-)
 MIN_RUN = 3
-MIN_COVER = 0.7
+MIN_COVER, FULL = 0.7, 28
 MAX_GAP = 12
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
 
@@ -96,9 +81,15 @@ class Automaton:
         return v
 
 
+def _words(text: str) -> list[str]:
+    return re.findall(r"[0-9a-z\x80-\U0010FFFF]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
 class Scanner:
+    """templates: (label, text) of each licence text or notice; words are those that are scanned for."""
+
     def __init__(self, phrases=PHRASES, templates=TEMPLATES):
-        texts = [p.split() for p, _ in phrases] + [t.split() for _, t in templates]
+        texts = [_words(p) for p, _ in phrases] + [_words(t) for _, t in templates]
         vocabulary = sorted({w for t in texts for w in t})
         number = {w: i for i, w in enumerate(vocabulary)}
         self.lookup = Lookup(np.array([hash_of(w) for w in vocabulary], U))
@@ -165,7 +156,7 @@ class Scanner:
                 cover.append(most)
                 back.append(frm)
             for i, n in enumerate(cover):
-                share = min(1.0, n / self.length[t])
+                share = min(1.0, n / min(self.length[t], FULL))
                 best = max(best, share)
                 if share >= MIN_COVER:
                     j = i
@@ -209,23 +200,27 @@ class Scanner:
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", *out])
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    scanner = Scanner()
-    for batch in batches:
-        for part in slices(batch, "text"):
-            yield scanner.scan(part)
+def _scan(templates: tuple):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(templates=templates)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield scanner.scan(part)
+
+    return scan
 
 
-def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """Each row's licence spans: (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans).
 
     n_base counts every place of a base phrase, first_word and last_word are the smallest and largest start of
     one (words from 0), spans lists label:start:end in words, end exclusive. score is 1 with a base phrase, else the
-    best share of a template that a chain covers. A null or empty text has no words and no labels, null
+    best share that a chain covers of a template, or of FULL words of a longer one. templates: (label, text) of licences, some thousand words in
+    all, which travel with the job. A null or empty text has no words and no labels, null
     first_word and last_word and score 0. Repeated rows, null ids and empty tables pass through; other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(_scan, SCHEMA)
+    return base.mapInArrow(_scan(tuple(templates)), SCHEMA)
 
 
 def op9_licences(spark, sf_dir: str) -> DataFrame:

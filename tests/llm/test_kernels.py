@@ -145,6 +145,16 @@ def test_licence_scan():
     assert got[0]["score"] == got[2]["score"] == 0 and 0 < got[3]["score"] <= 1 and got[0]["first_word"] is None
 
 
+def test_clauses_from_inside_a_licence():
+    """The warranty clause of one licence alone, and a text given as a parameter."""
+    clause = "prose before. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from it. Prose after."
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([clause, "one two three four five six seven eight nine ten"])], names=["doc_id", "text"])
+    got = licences.Scanner().scan(batch).to_pylist()
+    assert got[0]["labels"] == "MIT" and got[0]["score"] >= 0.7 and got[0]["base_labels"] == "" and got[1]["labels"] == ""
+    own = licences.Scanner(templates=(("Own-1.0", "Three four, FIVE six; seven eight"),)).scan(batch).to_pylist()
+    assert own[1]["labels"] == "Own-1.0" and own[1]["spans"] == "Own-1.0:2:8" and own[1]["score"] == 1
+
+
 def test_a_phrase_of_one_word():
     scan = licences.Scanner((("copyleft", "left"), ("cc by", "cc-by")), ())
     got = scan.scan(pa.record_batch([pa.array([1]), pa.array(["All copyleft, copyleft cc by"])], names=["doc_id", "text"])).to_pylist()[0]
@@ -168,46 +178,65 @@ def test_matching_statistics(words, templates):
 
 
 def mixing_state(texts):
-    """(mixer, counts) after one round over some texts, as the tasks of a job would make them."""
-    batch = pa.record_batch([pa.array(texts)], names=["text"])
-    found = next(mixing_model._token_counter(iter([batch])))
-    token, c = found.column(0).to_numpy(), found.column(1).to_numpy()
-    counts = mixing_model.Counts(int(c.sum()), token.view(U), c, np.zeros(1 << mixing_model.COUNT_BITS, np.int64))
-    n, ones = np.zeros(mixing_model.N_SLOTS + mixing_model.TOP**2), np.zeros(mixing_model.N_SLOTS + mixing_model.TOP**2)
-    for part in mixing_model._slot_counter(counts)(iter([batch])):
-        n[part.column(0).to_numpy()], ones[part.column(0).to_numpy()] = part.column(1).to_numpy(), part.column(2).to_numpy()
-    counts.pairs = n[mixing_model.N_SLOTS :].astype(np.int64)
-    mixer = mixing_model.Mixer(n[: mixing_model.N_SLOTS], ones[: mixing_model.N_SLOTS])
-    s = mixing_model.Slice(pa.array(texts))
-    mixer.learn(mixing_model.Spelling(s, counts), np.zeros(len(mixer.weight)), np.zeros(mixer.refine.shape))
+    """(codes, mixer, counts) after one round over some texts, as the tasks of a job would make them."""
+    m = mixing_model
+    found = next(m._unit_counter(iter([pa.record_batch([pa.array(texts)], names=["text"])])))
+    part = found.select(["word", "cue", "n", "token"])
+    token, at = np.unique(found["token"].to_numpy().view(U), return_inverse=True)
+    c = np.bincount(at, found["n"].to_numpy()).astype(np.int64)
+    counts = m.Counts(int(c.sum()), int(found["phrases"].to_numpy().sum()), token, c)
+    codes = m.Codes(next(m._byte_counter(iter([part])))["n"].to_numpy())
+    n, ones = np.zeros(m.N_SLOTS), np.zeros(m.N_SLOTS)
+    for slots in m._slot_counter(codes)(iter([part])):
+        n[slots["slot"].to_numpy()], ones[slots["slot"].to_numpy()] = slots["n"].to_numpy(), slots["ones"].to_numpy()
+    mixer = m.Mixer(n, ones)
+    mixer.learn(m._spelled(part, codes), np.zeros(len(mixer.weight)), np.zeros(len(mixer.refine)))
     mixer.freeze()
-    return mixer, counts
+    return codes, mixer, counts
+
+
+def spelled(codes, text):
+    s = mixing_model.Slice(pa.array([text]))
+    return s, mixing_model.Spelling(codes, s.low, s.start, s.size, s.cue[s.lead], s.many)
 
 
 def test_mixing_model_is_a_distribution():
-    """The chances of all strings of one and of two letters and of the end mark stay below one, those of all next bytes make one."""
-    mixer, counts = mixing_state(["ab ba ab a", "b ab abab", "", "aab b"] * 5)
-    log_p = lambda s: mixer.log_p(sp := mixing_model.Spelling(s, counts))[sp.unit]
-    letters = [chr(c) for c in range(33, 127) if not chr(c).isupper()]
-    end = math.exp(log_p(mixing_model.Slice(pa.array([""])))[0])
-    one = np.exp([log_p(mixing_model.Slice(pa.array([x])))[0] for x in letters])
-    known = np.exp([log_p(mixing_model.Slice(pa.array([x + y])))[0] for x in "ab" for y in "ab"])
-    assert 0.5 < end + one.sum() + known.sum() <= 1
-    assert one[letters.index("a")] > 20 * one[letters.index("z")]
-    spelling = mixing_model.Spelling(mixing_model.Slice(pa.array(["ab"])), counts)
-    spelling.symbol = np.arange(256)  # every byte in one and the same context
-    for name in ("place", "word"):
-        setattr(spelling, name, np.full(256, getattr(spelling, name)[1]))
+    """The chances of all strings of one letter, of some of two and of the end mark stay below one, those of all next bytes make one."""
+    codes, mixer, counts = mixing_state(["ab ba ab a", "b ab abab", "", "aab b"] * 5)
+    assert counts.total == 65 and counts.count.sum() == 65
+
+    def first(text):
+        s, spelling = spelled(codes, text)
+        return math.exp(mixer.log_p(spelling)[s.unit][0])
+
+    one = {chr(c): first(chr(c)) for c in range(33, 127) if not chr(c).isupper()}
+    assert 0.5 < first("") + sum(one.values()) + sum(first(x + y) for x in "ab" for y in "ab") <= 1 and one["a"] > 20 * one["z"]
+    _, spelling = spelled(codes, "ab")
+    spelling.symbol, spelling.first = np.arange(256), np.arange(256)  # every byte in one and the same context
+    spelling.place, spelling.word = np.ones(256, np.int64), np.zeros(256, np.int64)
     spelling.context = [np.full(256, h[1]) for h in spelling.context]
-    spelling.first = np.arange(256)
     assert np.exp(mixer.log_p(spelling)).sum() == pytest.approx(1)
 
 
 def test_mixing_model_without_training():
-    mixer, counts = mixing_model.Mixer(np.zeros(mixing_model.N_SLOTS), np.zeros(mixing_model.N_SLOTS)), mixing_model.Counts(0, np.empty(0, U), np.empty(0, np.int64), np.zeros(1 << mixing_model.COUNT_BITS, np.int64))
+    codes, mixer = mixing_model.Codes(np.zeros(256)), mixing_model.Mixer(np.zeros(mixing_model.N_SLOTS), np.zeros(mixing_model.N_SLOTS))
     mixer.freeze()
-    spelling = mixing_model.Spelling(mixing_model.Slice(pa.array(["deux mots"])), counts)
-    assert mixer.log_p(spelling)[spelling.unit].tolist() == pytest.approx([-5 * 8 * math.log(2)] * 2 + [-8 * math.log(2)])
+    s, spelling = spelled(codes, "deux mots")
+    assert mixer.log_p(spelling)[s.unit].tolist() == pytest.approx([-5 * 8 * math.log(2)] * 2 + [-8 * math.log(2)])
+
+
+def test_codes_are_a_tree():
+    codes = mixing_model.Codes(np.arange(256) ** 3.0)
+    assert sum(2.0 ** -int(n) for n in codes.length) == 1 and codes.length[255] < codes.length[1]
+    assert len({tuple((int(codes.node[d, s]), int(codes.bit[d, s])) for d in range(codes.length[s])) for s in range(256)}) == 256
+
+
+def test_phrases_depend_on_their_words_alone():
+    rng = random.Random(3)
+    words = [f"w{rng.randint(0, 500)}" for _ in range(400)]
+    one, two = (mixing_model.Slice(pa.array([t])).phrases() for t in (" ".join(words), "some other words " + " ".join(words)))
+    assert one[0][0] == 0 and len(set(one[2].tolist()) & set(two[2].tolist())) >= len(set(one[2].tolist())) - 1
+    assert set(mixing_model.Slice(pa.array(["", "x", ""])).phrases()[1].tolist()) == {0, 1, 2}
 
 
 def test_network_tables_equal_the_convolution():
