@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Chunk sizes, how far back from its target a cut may fall, when a tail is short, and where a sentence ends.
 CHUNK_TOKENS, OVERLAP_TOKENS = 250, 25
 MIN_CHUNK_CHARS = 40
 BACKTRACK, SHORT_TAIL = 0.35, 0.15
-#: Places where a cut may fall, weakest first: behind words, sentences, lines, paragraphs.
-BREAKS = (re.compile(r"\s+"), re.compile(r"(?<=[.!?])\s+(?=[A-Z\"'“])"), re.compile(r"\n"), re.compile(r"\n\s*\n"))
+GAP = re.compile(r"(?P<sentence>(?<=[.!?])\s+(?=[A-Z\"'“]))|\s+")
+WORD, SENTENCE, LINE, PARAGRAPH = 1, 2, 3, 4  # places where a cut may fall, weakest first
 
 
 def segments(pages: DataFrame) -> DataFrame:
@@ -40,8 +41,12 @@ def segments(pages: DataFrame) -> DataFrame:
 def break_places(text: str) -> tuple[list[int], dict[int, int]]:
     """Offsets behind each break, ascending, and the strongest rank at each."""
     rank: dict[int, int] = {}
-    for strength, pattern in enumerate(BREAKS, 1):
-        rank.update((m.end(), strength) for m in pattern.finditer(text))
+    for gap in GAP.finditer(text):
+        rank[gap.end()] = SENTENCE if gap["sentence"] else WORD
+        lines = [gap.start() + i for i, c in enumerate(gap[0], 1) if c == "\n"]
+        rank.update(dict.fromkeys(lines, LINE))
+        if len(lines) > 1:
+            rank[lines[-1]] = PARAGRAPH
     return sorted(rank), rank
 
 
