@@ -2,7 +2,7 @@
 
 A text is a sequence of lower-cased words and one end mark. A word is coded byte by byte and closed by a blank, the end
 mark is a blank alone, and a byte is coded by binary decisions, along a Huffman tree of the training bytes. Each decision
-has several predictors: the last one to four bytes of the word so far, the shorter ones along with the last short word of
+has several predictors: the last two, three and four bytes of the word so far, the two along with the last short word of
 the text, name with the decision a slot of a hashed table that counts ones over all training texts. Their predictions,
 stretched and scaled by confidence, are combined by weights that the decision and the place in the word select
 (the gate) and that are learned online by the coding error; a final table refines the result adaptively. So every
@@ -37,8 +37,8 @@ from .wordhash import U, Lookup, mix, slices, words_of
 END = 0x1D8AF066F1E2C7B3
 BLANK = 32
 SHORT, CUES = 3, 64  # bytes of a word that is a cue at most, and classes of them; 0: none yet
-CONTEXTS = ((1, True), (2, True), (3, False), (4, False))  # last bytes, and whether with the cue
-ORDERS, SLOT_BITS = len(CONTEXTS), 20  # slots of each context's table, as a power of two
+CONTEXTS = ((2, True), (3, False), (4, False))  # last bytes, and whether with the cue
+ORDERS, SLOT_BITS = len(CONTEXTS), 19  # slots of each context's table, as a power of two
 SLOTS, N_SLOTS = 1 << SLOT_BITS, ORDERS << SLOT_BITS
 PLACES = 3  # of a byte in its word: first, second, later
 PHRASE = 6
@@ -46,7 +46,7 @@ SALTS = 64  # parts of the rows of one phrase
 HEAVY = 1 << 21
 LAMBDAS = (2.0**-5, 0.5, 1 - 2.0**-5)
 START_TRUST = 0.5
-ROUNDS, BLOCK, STEP, RATE = 2, 4096, 64.0, 0.004  # passes over the words; decisions of an online step, and those of a gate that count in full
+BLOCK, STEP, RATE = 8192, 64.0, 0.004  # bytes of an online step, and those of a gate that count in full
 UNITS_A_TASK = 500_000  # distinct words that one task learns from
 FINE = 16  # steps of a worth in an octave
 
@@ -110,10 +110,9 @@ class Codes:
             else:
                 stack += [(child, [*path, (node - 256, bit)]) for bit, child in enumerate(children[node])]
         self.length = np.array([len(p) for p in paths])
-        self.node, self.bit = np.zeros((2, int(self.length.max()), 256), np.int64)
-        for s, path in enumerate(paths):
-            for d, (node, bit) in enumerate(path):
-                self.node[d, s], self.bit[d, s] = node, bit
+        self.start = np.cumsum(self.length) - self.length  # of each byte's decisions in node and bit
+        self.node, self.bit = np.array([step for path in paths for step in path], np.int32).T.copy()
+        self.step = (np.arange(256, dtype=np.int64) * 0x9E3779B1 & (SLOTS - 1)).astype(np.int32)
 
 
 class Spelling:
@@ -127,23 +126,25 @@ class Spelling:
         self.place = np.arange(len(self.word)) - self.first[self.word]
         self.symbol = np.where(self.place < size[self.word], low[np.minimum(start[self.word] + self.place, len(low) - 1)], BLANK).astype(np.int64)
         self.context, sofar = [], np.zeros(len(self.symbol), U)
-        told = cue[self.word].astype(U)
-        for k, (_, with_cue) in enumerate(CONTEXTS, 1):
-            back = np.full(len(self.symbol), BLANK, np.int64)
-            back[k:] = np.where(self.place[k:] >= k, self.symbol[:-k], BLANK)
-            sofar = (sofar << U(8)) | back.astype(U)
-            self.context.append((mix(sofar + (U(k) << U(56)) + ((told << U(40)) if with_cue else U(0))) >> U(32)).astype(np.int64))
-
-    def decisions(self, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """(which symbols from a to b, gate, bit, slot of each context), depth by depth."""
-        at = np.arange(a, b)
-        for depth in range(len(self.codes.node)):
-            at = at[self.codes.length[self.symbol[at]] > depth]
-            if not len(at):
-                return
-            node = self.codes.node[depth][self.symbol[at]]
-            step = node * 0x9E3779B1
-            yield at, node + 256 * np.minimum(self.place[at], PLACES - 1), self.codes.bit[depth][self.symbol[at]], [((h[at] + step) & (SLOTS - 1)) + (k << SLOT_BITS) for k, h in enumerate(self.context)]
+        told, known = cue[self.word].astype(U), 0
+        for size, with_cue in CONTEXTS:
+            for k in range(known + 1, size + 1):
+                back = np.full(len(self.symbol), BLANK, np.int64)
+                back[k:] = np.where(self.place[k:] >= k, self.symbol[:-k], BLANK)
+                sofar = (sofar << U(8)) | back.astype(U)
+            known = size
+            self.context.append((mix(sofar + (U(size) << U(56)) + ((told << U(40)) if with_cue else U(0))) & U(SLOTS - 1)).astype(np.int32))
+
+    def decisions(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(first decision of each byte from a to b, and of each decision: its byte, gate, bit and the slot of each context)."""
+        symbol, codes = self.symbol[a:b], self.codes
+        n = codes.length[symbol]
+        first = np.cumsum(n) - n
+        of = np.repeat(np.arange(a, b), n)
+        at = np.arange(len(of)) + np.repeat(codes.start[symbol] - first, n)
+        node, step = codes.node[at], codes.step[codes.node[at]]
+        gate = node + np.repeat((256 * np.minimum(self.place[a:b], PLACES - 1)).astype(np.int32), n)
+        return first, of, gate, codes.bit[at], [((np.repeat(h[a:b], n) + step) & np.int32(SLOTS - 1)) + np.int32(k << SLOT_BITS) for k, h in enumerate(self.context)]
 
 
 def stretch(ones: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -164,54 +165,59 @@ class Mixer:
         self.refine = squash(np.arange(-16, 17) / 2)
         self.trust = np.full(CUES + 1, START_TRUST)
 
+    def prepare(self) -> None:
+        """Predictions of each slot without one occurrence, of a nought and of a one."""
+        less = np.maximum(self.n - 1, 0)
+        self.without = np.concatenate([stretch(np.clip(self.ones - bit, 0, less), less) for bit in (0, 1)])
+
     def freeze(self) -> None:
         self.table = stretch(self.ones, self.n).astype(np.float32)
         self.n = self.ones = None
 
     @staticmethod
     def cell(z: np.ndarray) -> np.ndarray:
-        return (np.clip(z * 2, -16, 16) + 16.5).astype(np.int64)
+        return (np.clip(z * 2, -16, 16) + np.float32(16.5)).astype(np.int32)
 
     def learn(self, s: Spelling, seen: np.ndarray, seen_refine: np.ndarray) -> np.ndarray:
-        """Online, block by block; a word's own occurrences are taken out of its predictions. Returns log p of each word; seen: get the visits of gates and cells."""
+        """Online, block by block; a decision's own occurrence is taken out of its predictions. Returns log p of each word; seen: get the visits of gates and cells."""
         cost, m = np.zeros(len(s.symbol)), s.many[s.word].astype(np.float32)
         for a in range(0, len(s.symbol), BLOCK):
-            for at, gate, bit, slots in s.decisions(a, min(a + BLOCK, len(s.symbol))):
-                mass = m[at]
-                x = np.ones((ORDERS + 1, len(at)), np.float32)
-                for k, slot in enumerate(slots):
-                    n = np.maximum(self.n[slot] - mass, 0)
-                    x[k] = stretch(np.clip(self.ones[slot] - mass * bit, 0, n), n)
-                w = self.weight[gate]
-                z = w[:, -1].astype(np.float32)
-                for k in range(ORDERS):
-                    z += x[k] * w[:, k]
-                p = squash(z)
-                cost[at] += np.log(np.where(bit, p, 1 - p))
-                error = (bit - p) * mass
-                visits = np.bincount(gate, mass, len(self.weight))
-                rate = RATE * np.minimum(1, STEP / np.maximum(visits, 1))
-                for k in range(ORDERS + 1):
-                    self.weight[:, k] += rate * np.bincount(gate, error * x[k], len(self.weight))
-                cell = self.cell(z)
-                cells = np.bincount(cell, mass, 33)
-                mean = np.bincount(cell, bit * mass, 33) / np.maximum(cells, 1)
-                self.refine += (1 - 0.9995**cells) * (mean - self.refine)
-                seen += visits
-                seen_refine += cells
+            first, of, gate, bit, slots = s.decisions(a, min(a + BLOCK, len(s.symbol)))
+            mass = m[of]
+            one = bit * mass
+            w = self.weight[gate]
+            z, x = w[:, -1].copy(), []
+            for k, slot in enumerate(slots):
+                x.append(self.without[slot + bit * np.int32(N_SLOTS)])
+                z += x[k] * w[:, k]
+            p = squash(z)
+            cost[a : a + BLOCK] = np.add.reduceat(np.log(np.where(bit, p, 1 - p)), first)
+            error = one - p * mass
+            visits = np.bincount(gate, mass, len(self.weight))
+            rate = RATE * np.minimum(1, STEP / np.maximum(visits, 1))
+            for k in range(ORDERS):
+                self.weight[:, k] += rate * np.bincount(gate, error * x[k], len(self.weight))
+            self.weight[:, -1] += rate * np.bincount(gate, error, len(self.weight))
+            cell = self.cell(z)
+            cells = np.bincount(cell, mass, 33)
+            mean = np.bincount(cell, one, 33) / np.maximum(cells, 1)
+            self.refine += (1 - 0.9995**cells) * (mean - self.refine)
+            seen += visits
+            seen_refine += cells
         return np.add.reduceat(cost, s.first) if len(s.first) else cost
 
     def log_p(self, s: Spelling) -> np.ndarray:
         """The natural logarithm of each word's probability."""
         cost = np.zeros(len(s.symbol))
-        for a in range(0, len(s.symbol), 1 << 15):
-            for at, gate, bit, slots in s.decisions(a, min(a + (1 << 15), len(s.symbol))):
-                w = self.weight[gate]
-                z = w[:, -1].copy()
-                for k, slot in enumerate(slots):
-                    z += w[:, k] * self.table[slot]
-                p = (squash(z) + self.refine[self.cell(z)]) / 2
-                cost[at] += np.log(np.where(bit, p, 1 - p))
+        refine = self.refine.astype(np.float32)
+        for a in range(0, len(s.symbol), BLOCK):
+            first, _, gate, bit, slots = s.decisions(a, min(a + BLOCK, len(s.symbol)))
+            w = self.weight[gate]
+            z = w[:, -1].copy()
+            for k, slot in enumerate(slots):
+                z += w[:, k] * self.table[slot]
+            p = (squash(z) + refine[self.cell(z)]) / 2
+            cost[a : a + BLOCK] = np.add.reduceat(np.log(np.where(bit, p, 1 - p)), first, dtype=float)
         return np.add.reduceat(cost, s.first) if len(s.first) else cost
 
 
@@ -284,11 +290,12 @@ def _slot_counter(codes: Codes):
         for batch in batches:
             s = _spelled(batch, codes)
             many = s.many[s.word].astype(float)
-            for at, _, bit, slots in s.decisions(0, len(s.symbol)):
-                for k, slot in enumerate(slots):
-                    low = k << SLOT_BITS
-                    n[low : low + SLOTS] += np.bincount(slot - low, many[at], SLOTS)
-                    ones[low : low + SLOTS] += np.bincount(slot - low, many[at] * bit, SLOTS)
+            for a in range(0, len(s.symbol), BLOCK):
+                _, of, _, bit, slots = s.decisions(a, min(a + BLOCK, len(s.symbol)))
+                one = np.flatnonzero(bit)
+                for slot in slots:
+                    np.add.at(n, slot, many[of])
+                    np.add.at(ones, slot[one], many[of[one]])
         some = np.flatnonzero(n)
         for a in range(0, len(some), 100_000):
             at = some[a : a + 100_000]
@@ -303,6 +310,7 @@ def _learner(codes: Codes, mixer: Mixer, counts: Counts):
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = mixer.weight, mixer.refine
         mixer.weight, mixer.refine = before[0].copy(), before[1].copy()
+        mixer.prepare()
         seen, seen_refine = np.zeros(len(mixer.weight)), np.zeros(len(mixer.refine))
         trusted, met = np.zeros(CUES + 1), np.zeros(CUES + 1)
         for batch in batches:
@@ -315,6 +323,7 @@ def _learner(codes: Codes, mixer: Mixer, counts: Counts):
         value = np.concatenate([mixer.weight.ravel(), mixer.refine, trusted / np.maximum(met, 1)])
         visits = np.concatenate([np.repeat(seen, mixer.weight.shape[1]), seen_refine, met])
         mixer.weight, mixer.refine = before
+        mixer.without = None
         some = np.flatnonzero(visits)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(value[some] * visits[some]), pa.array(visits[some])], names=["slot", "value", "visits"])
 
@@ -386,7 +395,7 @@ def _model(learn: DataFrame) -> tuple[Codes, Mixer, Counts, DataFrame, int, int]
     n[slots["slot"].to_numpy()], ones[slots["slot"].to_numpy()] = slots["n"].to_numpy(), slots["ones"].to_numpy()
     mixer = Mixer(n, ones)
     del slots, heavy
-    for _ in range(ROUNDS if total else 0):
+    if total:
         got = each.mapInArrow(_learner(codes, mixer, counts), "slot int, value double, visits double").groupBy("slot").agg((F.sum("value") / F.sum("visits")).alias("mean")).toArrow()
         value = np.concatenate([mixer.weight.ravel(), mixer.refine, mixer.trust])
         value[got["slot"].to_numpy()] = got["mean"].to_numpy()

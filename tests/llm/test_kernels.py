@@ -190,6 +190,7 @@ def mixing_state(texts):
     for slots in m._slot_counter(codes)(iter([part])):
         n[slots["slot"].to_numpy()], ones[slots["slot"].to_numpy()] = slots["n"].to_numpy(), slots["ones"].to_numpy()
     mixer = m.Mixer(n, ones)
+    mixer.prepare()
     mixer.learn(m._spelled(part, codes), np.zeros(len(mixer.weight)), np.zeros(len(mixer.refine)))
     mixer.freeze()
     return codes, mixer, counts
@@ -228,7 +229,8 @@ def test_mixing_model_without_training():
 def test_codes_are_a_tree():
     codes = mixing_model.Codes(np.arange(256) ** 3.0)
     assert sum(2.0 ** -int(n) for n in codes.length) == 1 and codes.length[255] < codes.length[1]
-    assert len({tuple((int(codes.node[d, s]), int(codes.bit[d, s])) for d in range(codes.length[s])) for s in range(256)}) == 256
+    paths = [tuple(zip(codes.node[a : a + n].tolist(), codes.bit[a : a + n].tolist(), strict=True)) for a, n in zip(codes.start, codes.length, strict=True)]
+    assert len(set(paths)) == 256 and not any(p == q[: len(p)] for p in paths[:40] for q in paths if p is not q)
 
 
 def test_phrases_depend_on_their_words_alone():
