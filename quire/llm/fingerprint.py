@@ -3,7 +3,8 @@
 Each run of five words is hashed once. The top eight bits of a hash name one of 256 bins and a bin keeps its
 smallest hash. An empty bin is filled by optimal densification: it copies the first filled bin of a probe
 sequence that depends on the bin alone (PROBES hashed probes, then the filled bin whose hash with it is
-smallest, which is the first of a random permutation). The low four bits of each bin are packed into sixteen
+smallest, which is the first of a random permutation). Each bin's value is hashed once more with the bin, so that one value in many
+bins, as in short texts, does not agree or differ in all of them by chance; the low four bits are packed into sixteen
 64-bit words. Two fingerprints agree in a bin by chance with C = 1/16, so a share m of equal bins stands for a
 likeness of (m - C) / (1 - C), cut at 0.
 
@@ -51,7 +52,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     def filled(v: Column, i: Column) -> Column:
         probes = [F.get(b, F.pmod(F.xxhash64(i, F.lit(p)), F.lit(BINS)).cast("int")) for p in range(1, PROBES + 1)]
         first = F.array_min(F.transform(m, lambda x: F.struct(F.xxhash64(i, _bin(x)).alias("at"), x.alias("v"))))["v"]
-        return F.coalesce(v, *probes, first)
+        return F.xxhash64(F.coalesce(v, *probes, first), i)
 
     df = df.select(*keep, F.transform(b, filled).alias(t))
     d = F.col(t)

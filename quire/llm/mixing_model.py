@@ -416,7 +416,7 @@ def _phrase_counts(phrases: DataFrame) -> DataFrame:
 
 
 def context_mixing_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, trained) of each row of ``docs``, learned from the rows where ``training`` holds.
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each row of ``docs``, learned from the rows where ``training`` holds.
 
     base_score sums log10((c+1) / (N+V+1)) over the tokens, with counts of all training texts; score is the model's log10 probability,
     for a training text of the model without it. A null or empty text is one end mark; its bits_per_byte is null. With nothing

@@ -81,8 +81,12 @@ def test_edited_fingerprints_of_a_table(spark, small, texts):
         edited.append((i, texts[i][: len(texts[i]) - cut] + after[:cut], texts[i]))
     prints = fingerprint.with_fingerprint(spark.createDataFrame(edited, "doc_id long, text string, raw string"), "text", "print").withColumn("hex", fingerprint.as_text(F.col("print")))
     hexes = {r.doc_id: r.hex for r in prints.collect()}
-    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))} if t.split() else set()
     error = []
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
     for i, t, raw in edited:
         assert got[i].edited_fingerprint == hexes[i] and got[i].edited_sha256 == hashlib.sha256(t.encode()).hexdigest()
         a, b = shingles(raw), shingles(t)
