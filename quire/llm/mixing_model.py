@@ -238,31 +238,40 @@ def _binary(low: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
+ALL_PHRASES = -1  # stands for the cue in the row that counts phrases
+
+
 def _unit_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, word, cue, n, phrases) of the distinct words by cue; phrases, how many the texts hold, stands with the first row of a part."""
-    held, size = [], 0
+    """(word, cue, n) of the distinct words by cue, and how many phrases the texts hold."""
+    held, size, phrases = [], 0, 0
 
     def flush() -> pa.RecordBatch:
-        token, cue, n, words, phrases = zip(*held, strict=True)
+        token, cue, n, words = zip(*held, strict=True)
         token, cue, n = np.concatenate(token), np.concatenate(cue), np.concatenate(n)
         _, lead, at = np.unique(mix(token + cue.astype(U)), return_index=True, return_inverse=True)
-        more = np.zeros(len(lead), np.int64)
-        more[0] = sum(phrases)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(token[lead].view(np.int64)), pa.concat_arrays(words).take(pa.array(lead)), pa.array(cue[lead].astype(np.int32)), pa.array(np.bincount(at, n).astype(np.int64)), pa.array(more)],
-            names=["token", "word", "cue", "n", "phrases"],
-        )
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(words).take(pa.array(lead)), pa.array(cue[lead].astype(np.int32)), pa.array(np.bincount(at, n).astype(np.int64))], names=["word", "cue", "n"])
 
     for batch in batches:
         for part in slices(batch, "text"):
             s = Slice(part.column(0))
-            held.append((s.hash[s.lead], s.cue[s.lead], s.many, _binary(s.low, s.start, s.size), len(s.phrases()[0])))
-            size += len(s.lead)
+            held.append((s.hash[s.lead], s.cue[s.lead], s.many, _binary(s.low, s.start, s.size)))
+            size, phrases = size + len(s.lead), phrases + len(s.phrases()[0])
             if size > 1_000_000:
                 yield flush()
                 held, size = [], 0
     if held:
         yield flush()
+    if phrases:
+        yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([ALL_PHRASES], pa.int32()), pa.array([phrases], pa.int64())], names=["word", "cue", "n"])
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, cue, n) with the hash of the word as ``token``."""
+    for batch in batches:
+        words = words_of(batch.column(0).view(pa.string()))
+        token = np.full(batch.num_rows, END, U)  # the empty word
+        token[words.doc] = words.hash
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(token.view(np.int64))], names=["word", "cue", "n", "token"])
 
 
 def _spelled(part: pa.RecordBatch, codes: Codes) -> Spelling:
@@ -378,10 +387,12 @@ def _scorer(codes: Codes, mixer: Mixer, counts: Counts):
 
 def _model(learn: DataFrame) -> tuple[Codes, Mixer, Counts, DataFrame, int, int]:
     """(codes, mixer, counts, (token, c), training tokens, distinct ones) of the column ``text``."""
-    found = learn.mapInArrow(_unit_counter, "token long, word binary, cue int, n long, phrases long")
-    units = kept(found.groupBy("token", "word", "cue").agg(F.sum("n").alias("n"), F.sum("phrases").alias("phrases")), "units")
-    counted = kept(units.groupBy("token").agg(F.sum("n").alias("c"), F.sum("phrases").alias("phrases"), F.sum(F.lit(1)).alias("units")), "token-counts")
-    total, distinct, phrases, n_units = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("phrases"), F.lit(0)), F.coalesce(F.sum("units"), F.lit(0))).first()
+    found = learn.mapInArrow(_unit_counter, "word binary, cue int, n long").groupBy("word", "cue").agg(F.sum("n").alias("n"))
+    units = kept(found.mapInArrow(_tokens, "word binary, cue int, n long, token long"), "units")
+    phrases = units.filter(F.col("cue") == ALL_PHRASES).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    units = units.filter(F.col("cue") != ALL_PHRASES)
+    counted = kept(units.groupBy("token").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("units")), "token-counts")
+    total, distinct, n_units = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("units"), F.lit(0))).first()
     heavy = counted.filter(F.col("c") > total / HEAVY).orderBy("token").select("token", "c").toArrow()  # less than HEAVY rows
     counts = Counts(total, phrases, heavy["token"].to_numpy().astype(np.int64).view(U), heavy["c"].to_numpy().astype(np.int64))
     # Few enough tasks that what each reaches of the tables is less than what it reads.

@@ -180,11 +180,12 @@ def test_matching_statistics(words, templates):
 def mixing_state(texts):
     """(codes, mixer, counts) after one round over some texts, as the tasks of a job would make them."""
     m = mixing_model
-    found = next(m._unit_counter(iter([pa.record_batch([pa.array(texts)], names=["text"])])))
-    part = found.select(["word", "cue", "n", "token"])
+    found, phrases = m._tokens(m._unit_counter(iter([pa.record_batch([pa.array(texts)], names=["text"])])))
+    part = found
+    assert phrases["cue"].to_pylist() == [m.ALL_PHRASES]
     token, at = np.unique(found["token"].to_numpy().view(U), return_inverse=True)
     c = np.bincount(at, found["n"].to_numpy()).astype(np.int64)
-    counts = m.Counts(int(c.sum()), int(found["phrases"].to_numpy().sum()), token, c)
+    counts = m.Counts(int(c.sum()), phrases["n"][0].as_py(), token, c)
     codes = m.Codes(next(m._byte_counter(iter([part])))["n"].to_numpy())
     n, ones = np.zeros(m.N_SLOTS), np.zeros(m.N_SLOTS)
     for slots in m._slot_counter(codes)(iter([part])):
