@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["toxicity", "mixing_model", "fingerprint", "private_data", "near_dup", "contamination", "language", "mixture", "licences", "token_count", "vector_codes", "exact_dup"]
+MODULES = ["toxicity", "mixing_model", "fingerprint", "private_data", "near_dup", "contamination", "language", "mixture", "licences", "token_count", "vector_codes", "exact_dup", "collocations"]
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _name in MODULES:
