@@ -1,14 +1,20 @@
-"""The chunk index: Parquet by bucket of the source, and numbered manifests that name the files in force.
+"""The chunk index: segments of Parquet files, delete bitmaps, and numbered manifests that name what is in force.
 
-A change writes new files for the buckets it touches, in one job, and then the manifest of the next number, which only one
-writer can: readers see all of a change or nothing, and a writer that was overtaken fails and changes nothing. What a change
-replaces is deleted by the change after it, so that readers of the manifest before have time. Buckets double
-when they come to hold more than BUCKET_ROWS chunks on average. Vectors live in the chunk rows.
+A change never rewrites what is there. Documents that come or change are written as one new segment, sorted by source; the rows of documents that
+changed or went are marked in bitmaps, by file and block of 32,768 rows, and readers leave marked rows out. So removing a document writes bitmaps alone, a few
+kilobytes, and adding one writes its own chunks. A manifest of the next number, which only one writer can take, puts a change in force: readers see all of
+it or nothing, and a writer that was overtaken fails and changes nothing.
+
+Compaction keeps reading cheap. Segments of which too much is gone are rewritten; SEGMENTS segments of about one size are merged, so their number grows with
+the logarithm of the chunks; and if there come to be over BITMAPS bitmaps, the segments with most of them are rewritten, so that all bitmaps together are small enough to send to
+every task. What a change replaces is deleted by the change after it, so that readers of the manifest before have time. Vectors live in the
+chunk rows.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -17,10 +23,16 @@ from pyspark.sql import functions as F
 
 from ..errors import IndexConflict, IndexMismatch, IndexMissing
 
-BUCKETS, BUCKET_ROWS = 64, 100_000
-CHUNKS = "source string, chunk_index long, id string, text string, page long, page_end long, section string, embedding array<float>, ordinal long, bucket int"
+FILE_ROWS = 100_000
+#: Segments of one size class (a class spans a factor of SEGMENTS) that are merged, the share of gone chunks at which a segment is rewritten, and the most bitmaps, of 4 KB each.
+SEGMENTS, GONE_SHARE, BITMAPS = 8, 0.25, 8192
+NAMED = 1000  # sources that a scan is asked for by name
+CHUNKS = "source string, chunk_index long, id string, text string, page long, page_end long, section string, embedding array<float>, ordinal long"
 DOCUMENTS = "source string, hash string, chunk_count long, indexed_at timestamp, ordinal long"
+GONE = "kind string, segment string, file string, block long, bits binary"
+SCHEMAS = {"chunks": CHUNKS, "documents": DOCUMENTS}
 LARGEST_DOCUMENT = 24  # bits of a chunk's number in its document
+IN_PARTITION = 33  # bits of a row's number in its partition, as monotonically_increasing_id() has it
 
 
 class ChunkIndex:
@@ -39,7 +51,7 @@ class ChunkIndex:
         if not self.exists():
             if not create:
                 raise IndexMissing(f"no index at {path}")
-            self._commit({"profile": profile or {}, "chunks": {}, "documents": None, "buckets": BUCKETS, "version": 0, "stale": []})
+            self._commit({"profile": profile or {}, "segments": [], "bitmaps": [], "blocks": 0, "version": 0, "stale": []})
         if profile is not None:
             stored = self.profile()
             if wrong := {k: (stored.get(k), v) for k, v in profile.items() if stored.get(k) != v}:
@@ -89,18 +101,40 @@ class ChunkIndex:
 
     # -- reading --
 
+    def _located(self, kind: str, manifest: dict, segments: list[str] | None = None) -> DataFrame:
+        """The rows in force, of all segments or some, with ``segment``, ``file`` and ``at``, their place in it."""
+        names = [s["id"] for s in manifest["segments"]] if segments is None else segments
+        if not names:
+            return self.spark.createDataFrame([], f"{SCHEMAS[kind]}, segment string, file string, at long")
+        rows = self.spark.read.schema(SCHEMAS[kind]).parquet(*[f"{self.path}/segments/{n}/{kind}" for n in names])
+        segment = F.regexp_extract("_metadata.file_path", r"/segments/([0-9a-f]+)/", 1)
+        rows = rows.select("*", segment.alias("segment"), F.col("_metadata.file_name").alias("file"), (F.col("_metadata.row_index") + 1).alias("at"))
+        if not manifest["bitmaps"]:
+            return rows
+        bits = self._bitmaps(manifest).filter((F.col("kind") == kind) & F.col("segment").isin(names)).select(F.col("file").alias("of"), "block", "bits")
+        marked = rows.join(F.broadcast(bits), (F.col("file") == F.col("of")) & (F.bitmap_bucket_number("at") == F.col("block")), "left")  # BITMAPS rows at most
+        return marked.filter(F.col("bits").isNull() | ~_marked(F.col("bits"), F.col("at"))).drop("of", "block", "bits")
+
+    def _bitmaps(self, manifest: dict) -> DataFrame:
+        """The bitmaps of all changes, one for each block of a file."""
+        each = self.spark.read.schema(GONE).parquet(*manifest["bitmaps"])
+        return each.groupBy("kind", "segment", "file", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
+
     def chunks(self) -> DataFrame:
         """All chunks; order by ordinal for the order of ingestion."""
-        paths = sorted(set(self._manifest()["chunks"].values()))
-        return self.spark.read.schema(CHUNKS).parquet(*paths) if paths else self.spark.createDataFrame([], CHUNKS)
+        return self._located("chunks", self._manifest()).drop("segment", "file", "at")
 
     def candidates(self) -> DataFrame:
         """Chunks as the selection operators take them: with ``ord``, the order of ingestion. Its own for each chunk while a document has less than 2**LARGEST_DOCUMENT."""
         return self.chunks().withColumn("ord", F.shiftleft("ordinal", LARGEST_DOCUMENT) + F.col("chunk_index"))
 
     def documents(self) -> DataFrame:
-        path = self._manifest()["documents"]
-        return self.spark.read.schema(DOCUMENTS).parquet(path) if path else self.spark.createDataFrame([], DOCUMENTS)
+        return self._located("documents", self._manifest()).drop("segment", "file", "at")
+
+    def places(self) -> DataFrame:
+        """(source, place): 1, 2, 3, ... in the order of ingestion, among the documents in force."""
+        table = self.staged(self.documents().orderBy("ordinal").select("source").withColumn("place", F.monotonically_increasing_id()))
+        return self._numbered(table, 0).select("source", F.col("ordinal").alias("place"))
 
     def document_hash(self, source: str) -> str | None:
         row = self.documents().filter(F.col("source") == source).select("hash").first()
@@ -115,26 +149,44 @@ class ChunkIndex:
 
     # -- changes --
 
+    def staged(self, rows: DataFrame) -> DataFrame:
+        """``rows`` written beside the index, so that what was paid for is not asked for again; deleted by the change after the next."""
+        path = f"{self.path}/staged/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        self._left = [*getattr(self, "_left", []), path]
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def replace(self, chunks: DataFrame, hashes: DataFrame) -> None:
-        """Put the chunks of the documents in ``hashes`` (source, hash, rank) in place of what the index has of them, as one change."""
+        """Put the chunks of the documents in ``hashes`` (source, hash, rank) in place of what the index has of them, as one change.
+
+        Documents are numbered on by rank; a document without chunks is not taken in.
+        """
         dim = self.profile().get("dimension")
         if dim and not chunks.filter(F.size("embedding") != int(dim)).isEmpty():
             raise IndexMismatch({"dimension": (dim, "other vectors")})
-        old = self.documents()
-        top = old.agg(F.coalesce(F.max("ordinal"), F.lit(0))).first()[0]
-        order = hashes.select("source", "hash", (F.row_number().over(Window.orderBy("rank")) + F.lit(top)).cast("long").alias("ordinal"))
-        rows = chunks.select("source", "chunk_index", "id", "text", "page", "page_end", "section", "embedding").join(order.select("source", "ordinal"), "source")
-        counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("chunk_count"))
-        new = order.join(counts, "source").select("source", "hash", "chunk_count", F.current_timestamp().alias("indexed_at"), "ordinal")
-        self._change(hashes.select("source"), rows, new)
+        manifest, stamp = self._manifest(), uuid.uuid4().hex
+        top = self._located("documents", manifest).agg(F.coalesce(F.max("ordinal"), F.lit(0))).first()[0]
+        counts = chunks.groupBy("source").agg(F.count(F.lit(1)).alias("chunk_count"))
+        sorted_ = hashes.join(counts, "source").select("source", "hash", "chunk_count", "rank").orderBy("rank").drop("rank").withColumn("place", F.monotonically_increasing_id())
+        order = self.staged(sorted_)
+        new = self._numbered(order, top).select("source", "hash", "chunk_count", F.current_timestamp().alias("indexed_at"), "ordinal")
+        documents = f"{self.path}/segments/{stamp}/documents"
+        new.write.parquet(documents)
+        new = self.spark.read.schema(DOCUMENTS).parquet(documents)
+        rows = chunks.select("source", "chunk_index", "id", "text", "page", "page_end", "section", "embedding").join(new.select("source", "ordinal"), "source")
+        made = self._segment(stamp, rows)
+        gone = self._mark(manifest, hashes.select("source"), stamp)
+        self._settle(manifest, gone, [made] if made["documents"] else [])
 
     def remove(self, sources: list[str] | DataFrame) -> int:
-        """Delete documents (names, or a column ``source``); returns how many chunks went."""
+        """Delete documents (names, or a column ``source``); returns how many chunks went. Writes bitmaps only."""
         gone = sources.select("source") if isinstance(sources, DataFrame) else self.spark.createDataFrame([(s,) for s in sources], "source string")
-        n = self.documents().join(gone, "source", "left_semi").agg(F.coalesce(F.sum("chunk_count"), F.lit(0))).first()[0]
-        if n:
-            self._change(gone, None, None)
-        return n
+        manifest = self._manifest()
+        marks = self._mark(manifest, gone, uuid.uuid4().hex)
+        if not marks["segments"]:
+            return 0
+        self._settle(manifest, marks, [])
+        return sum(n for _, n in marks["segments"].values())
 
     def report(self, outcomes: DataFrame) -> DataFrame:
         """Write the outcomes of a change beside the index and read them back."""
@@ -142,39 +194,88 @@ class ChunkIndex:
         outcomes.write.parquet(path)
         return self.spark.read.schema(outcomes.schema).parquet(path)
 
-    def _change(self, gone: DataFrame, rows: DataFrame | None, new: DataFrame | None) -> None:
-        manifest, stamp = self._manifest(), uuid.uuid4().hex
+    def _numbered(self, order: DataFrame, top: int) -> DataFrame:
+        """``order`` with ``ordinal`` from ``top`` + 1 by ``place``: a number within its partition, plus the rows of the partitions before."""
+        part = F.shiftright("place", IN_PARTITION)
+        sizes = order.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # a row for each partition of a sort
+        before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        offsets = sizes.select(F.col("part").alias("of"), before.alias("before"))
+        number = F.col("place").bitwiseAND(F.lit((1 << IN_PARTITION) - 1)) + F.col("before") + F.lit(top + 1)
+        return order.join(offsets, part == F.col("of")).withColumn("ordinal", number.cast("long"))
+
+    def _segment(self, stamp: str, rows: DataFrame) -> dict:
+        """Write the chunks of a segment whose documents are written, sorted by source, so that a scan for few sources skips most row groups."""
+        n, chunks = self.spark.read.schema(DOCUMENTS).parquet(f"{self.path}/segments/{stamp}/documents").agg(F.count(F.lit(1)), F.coalesce(F.sum("chunk_count"), F.lit(0))).first()
+        files = max(1, -(-chunks // FILE_ROWS))
+        placed = rows.repartitionByRange(files, "source", "chunk_index").sortWithinPartitions("source", "chunk_index")
+        placed.select("source", "chunk_index", "id", "text", "page", "page_end", "section", "embedding", "ordinal").write.parquet(f"{self.path}/segments/{stamp}/chunks")
+        return {"id": stamp, "documents": n, "chunks": chunks, "gone_documents": 0, "gone_chunks": 0}
+
+    def _mark(self, manifest: dict, gone: DataFrame, stamp: str) -> dict:
+        """Write bitmaps of all rows in force of the documents in ``gone``: their path, their number, and (documents, chunks) that went by segment."""
+        doomed = self._located("documents", manifest).join(gone.select("source").distinct(), "source", "left_semi")
+        by_segment = {r.segment: (r.documents, r.chunks) for r in doomed.groupBy("segment").agg(F.count(F.lit(1)).alias("documents"), F.sum("chunk_count").alias("chunks")).collect()}
+        if not by_segment:
+            return {"segments": {}, "path": None, "blocks": 0}
+        names = [r.source for r in doomed.select("source").limit(NAMED + 1).collect()]
+        rows = self._located("chunks", manifest, sorted(by_segment))
+        mine = rows.filter(F.col("source").isin(names)) if len(names) <= NAMED else rows.join(doomed.select("source"), "source", "left_semi")
+        places = doomed.select(F.lit("documents").alias("kind"), "segment", "file", "at").unionByName(mine.select(F.lit("chunks").alias("kind"), "segment", "file", "at"))
+        bits = places.groupBy("kind", "segment", "file", F.bitmap_bucket_number("at").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+        path = f"{self.path}/bitmaps/{stamp}"
+        bits.write.parquet(path)
+        return {"segments": by_segment, "path": path, "blocks": self.spark.read.parquet(path).count()}
+
+    def _settle(self, manifest: dict, gone: dict, made: list[dict]) -> None:
+        """Put a change in force, then compact what has become due, as a change of its own."""
         for path in manifest["stale"]:
             self._fs.delete(self._at(path), True)
-        docs = without(self.documents(), gone)
-        if new is not None:
-            docs = docs.unionByName(new)
-        docs_path = f"{self.path}/documents/{stamp}"
-        docs.write.parquet(docs_path)
-        total = self.spark.read.schema(DOCUMENTS).parquet(docs_path).agg(F.coalesce(F.sum("chunk_count"), F.lit(0))).first()[0]
-        buckets = manifest["buckets"]
-        while total > buckets * BUCKET_ROWS:
-            buckets *= 2
-        if buckets == manifest["buckets"]:
-            touched = {str(r[0]) for r in gone.select(bucket_of("source", buckets)).distinct().collect()}  # a number for each bucket at most
-        else:
-            touched = set(manifest["chunks"])
-        old = {b: manifest["chunks"][b] for b in touched if b in manifest["chunks"]}
-        left = self.spark.read.schema(CHUNKS).parquet(*sorted(old.values())) if old else self.spark.createDataFrame([], CHUNKS)
-        left = without(left, gone).drop("bucket")
-        if rows is not None:
-            left = left.unionByName(rows)
-        chunks_path = f"{self.path}/chunks/{stamp}"
-        placed = left.withColumn("bucket", bucket_of("source", buckets)).withColumn("place", F.col("bucket"))
-        placed.repartition("place").write.partitionBy("place").parquet(chunks_path)
-        written = [f.getPath().toString() for f in self._fs.listStatus(self._at(chunks_path)) if f.isDirectory() and "place=" in f.getPath().getName()]
-        kept = {b: p for b, p in manifest["chunks"].items() if b not in touched} | {p.rpartition("place=")[2]: p for p in written}
-        stale = [*old.values(), *([manifest["documents"]] if manifest["documents"] else [])]
-        self._commit(manifest | {"chunks": kept, "documents": docs_path, "buckets": buckets, "stale": stale})
-
-
-def bucket_of(source: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(source), F.lit(buckets)).cast("int")
+        segments = [s | {"gone_documents": s["gone_documents"] + d, "gone_chunks": s["gone_chunks"] + c} for s in manifest["segments"] for d, c in [gone["segments"].get(s["id"], (0, 0))]]
+        bitmaps = [*manifest["bitmaps"], *([gone["path"]] if gone["path"] else [])]
+        staged, self._left = getattr(self, "_left", []), []
+        self._commit(manifest | {"segments": segments + made, "bitmaps": bitmaps, "blocks": manifest["blocks"] + gone["blocks"], "stale": staged})
+        due = to_compact(segments + made, manifest["blocks"] + gone["blocks"])
+        if due or len(bitmaps) >= SEGMENTS:
+            self.compact(due)
+
+    def compact(self, names: list[str] | None = None) -> None:
+        """Rewrite segments (all of them, if none are named) as one without what is gone, and gather the bitmaps of the others in one table."""
+        manifest, stamp = self._manifest(), uuid.uuid4().hex
+        names = [s["id"] for s in manifest["segments"]] if names is None else names
+        stay = [s for s in manifest["segments"] if s["id"] not in names]
+        made = []
+        if any(s["documents"] > s["gone_documents"] for s in manifest["segments"] if s["id"] in names):
+            left = {kind: self._located(kind, manifest, names).drop("segment", "file", "at") for kind in SCHEMAS}
+            left["documents"].write.parquet(f"{self.path}/segments/{stamp}/documents")
+            made = [self._segment(stamp, left["chunks"])]
+        bitmaps, blocks = [], 0
+        if manifest["bitmaps"] and any(s["gone_documents"] for s in stay):
+            bitmaps = [f"{self.path}/bitmaps/{stamp}"]
+            self._bitmaps(manifest).filter(F.col("segment").isin([s["id"] for s in stay])).write.parquet(bitmaps[0])
+            blocks = self.spark.read.parquet(bitmaps[0]).count()
+        stale = [*manifest["stale"], *(f"{self.path}/segments/{n}" for n in names), *manifest["bitmaps"]]
+        self._commit(manifest | {"segments": stay + made, "bitmaps": bitmaps, "blocks": blocks, "stale": stale})
+
+
+def to_compact(segments: list[dict], blocks: int) -> list[str]:
+    """Segments that are due: of which over GONE_SHARE is gone, SEGMENTS of one size class, and the most marked ones while there are over BITMAPS bitmaps."""
+    due = {s["id"] for s in segments if s["gone_documents"] == s["documents"] or s["gone_chunks"] > GONE_SHARE * s["chunks"]}
+    classes: dict[int, list[str]] = {}
+    for s in segments:
+        if s["id"] not in due:
+            classes.setdefault(int(math.log(max(1, s["chunks"] - s["gone_chunks"]), SEGMENTS)), []).append(s["id"])
+    due |= {i for mine in classes.values() if len(mine) >= SEGMENTS for i in mine}
+    if blocks > BITMAPS:
+        marked = sorted((s for s in segments if s["id"] not in due and s["gone_documents"]), key=lambda s: -s["gone_chunks"])
+        due |= {s["id"] for s in marked[: -(-len(marked) // 2)]}
+    return [s["id"] for s in segments if s["id"] in due]
+
+
+def _marked(bits: Column, at: Column) -> Column:
+    """Whether a bitmap of bitmap_construct_agg() has the bit of row ``at``."""
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1
 
 
 def without(chunks: DataFrame, gone: DataFrame) -> DataFrame:

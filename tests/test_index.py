@@ -104,28 +104,100 @@ def test_stream_ingest(spark, course):
     assert {r.source for r in index.sources().collect()} == {"a.txt", "n.txt", "week1/b.md"}
 
 
-def test_changes_of_an_index(spark, tmp_path, monkeypatch):
-    """Buckets double as chunks come, a writer that was overtaken changes nothing, and what a change replaces is deleted by the next."""
-    from quire.errors import IndexConflict
+ROW = "source string, chunk_index long, id string, text string, page long, page_end long, section string, embedding array<float>"
+
+
+def chunk_rows(spark, names, n, text="t"):
+    return spark.createDataFrame([(s, c, f"{s}{c}", text, 1, None, None, [1.0]) for s in names for c in range(n)], ROW)
+
+
+def hashes(spark, names):
+    return spark.createDataFrame([(s, "h" + s, s) for s in names], "source string, hash string, rank string")
+
+
+def written(path):
+    return {str(p.relative_to(path)): p.stat().st_size for p in path.rglob("*.parquet")}
+
+
+def test_removal_writes_bitmaps_only(spark, tmp_path):
+    index = ChunkIndex.open(spark, str(tmp_path / "i"), {}, create=True)
+    index.replace(chunk_rows(spark, "abcdefghij", 200), hashes(spark, "abcdefghij"))
+    before = written(tmp_path / "i")
+    assert index.remove(["c"]) == 200 and index.remove(["c", "nobody"]) == 0
+    new = {p: n for p, n in written(tmp_path / "i").items() if p not in before}
+    assert new and all(p.startswith("bitmaps/") for p in new) and sum(new.values()) < 20_000
+    assert set(before) - set(written(tmp_path / "i")) == {p for p in before if p.startswith("staged/")}
+    assert {r.source: r.chunks for r in index.sources().collect()} == dict.fromkeys("abdefghij", 200) and index.documents().count() == 9
+    assert index.document_hash("c") is None and [r.source for r in index.documents().orderBy("ordinal").collect()] == list("abdefghij")
+
+
+def test_any_changes_equal_a_rebuild(spark, tmp_path, monkeypatch):
+    """Changes at random, with small limits so that every rule of compaction fires, leave what a plain dictionary holds."""
+    import random
+
+    from quire.sources import index as I
+
+    monkeypatch.setattr(I, "SEGMENTS", 3)
+    monkeypatch.setattr(I, "FILE_ROWS", 4)
+    monkeypatch.setattr(I, "BITMAPS", 3)
+    rng, index, want = random.Random(5), ChunkIndex.open(spark, str(tmp_path / "i"), {}, create=True), {}
+    for step in range(6):
+        names = rng.sample("abcdefgh", 3)
+        if step % 3 == 2:
+            n = sum(want.pop(x)[0] for x in names if x in want)
+            assert index.remove(names) == n
+        else:
+            size = rng.randint(1, 6)
+            index.replace(chunk_rows(spark, names, size, f"step {step}"), hashes(spark, names))
+            for x in sorted(names):
+                want.pop(x, None)
+                want[x] = size, f"step {step}"
+        got = {}
+        for r in index.chunks().collect():
+            got.setdefault(r.source, []).append(r.text)
+        assert {x: (len(t), t[0]) for x, t in got.items()} == want and all(len(set(t)) == 1 for t in got.values())
+        assert [r.source for r in index.documents().orderBy("ordinal").collect()] == list(want)
+        assert [(r.source, r.place) for r in index.places().orderBy("place").collect()] == list(zip(want, range(1, len(want) + 1), strict=True))
+        m = index._manifest()
+        assert sum(s["chunks"] - s["gone_chunks"] for s in m["segments"]) == index.chunks().count() == sum(n for n, _ in want.values())
+    index.compact()
+    m = index._manifest()
+    assert len(m["segments"]) == 1 and not m["bitmaps"] and index.chunks().count() == sum(n for n, _ in want.values()) and index.candidates().select("ord").distinct().count() == index.chunks().count()
+
+
+def test_rules_of_compaction():
     from quire.sources import index as I
 
-    monkeypatch.setattr(I, "BUCKETS", 1)
-    monkeypatch.setattr(I, "BUCKET_ROWS", 10)
+    seg = lambda i, chunks, gone=0, docs=10, gone_docs=0: {"id": i, "documents": docs, "chunks": chunks, "gone_documents": gone_docs, "gone_chunks": gone}
+    assert I.to_compact([seg("a", 1000), seg("b", 100, 26, gone_docs=3), seg("c", 100, 25, gone_docs=3), seg("d", 9, 9, 1, 1)], 5) == ["b", "d"]
+    assert I.to_compact([seg(str(i), 100 + i) for i in range(8)] + [seg("x", 9000)], 0) == [str(i) for i in range(8)]
+    assert I.to_compact([seg("a", 10**6, 9, gone_docs=1), seg("b", 10**6, 99, gone_docs=2), seg("c", 10**6)], I.BITMAPS + 1) == ["b"]
+
+
+def test_writers_that_were_overtaken(spark, tmp_path):
+    """They change nothing; and what a change replaces is deleted by the one after it."""
+    from quire.errors import IndexConflict
+
     index = ChunkIndex.open(spark, str(tmp_path / "i"), {}, create=True)
-    rows = lambda names, n: spark.createDataFrame([(s, c, f"{s}{c}", "t", 1, None, None, [1.0]) for s in names for c in range(n)], "source string, chunk_index long, id string, text string, page long, page_end long, section string, embedding array<float>")
-    hashes = lambda names: spark.createDataFrame([(s, "h" + s, s) for s in names], "source string, hash string, rank string")
-    index.replace(rows("abc", 3), hashes("abc"))
-    assert index._manifest()["buckets"] == 1
-    index.replace(rows("bdef", 7), hashes("bdef"))
-    assert index._manifest()["buckets"] == 4 and {r.source: r.chunks for r in index.sources().collect()} == {"a": 3, "b": 7, "c": 3, "d": 7, "e": 7, "f": 7}
-    assert [r.source for r in index.documents().orderBy("ordinal").collect()] == list("acbdef") and index.candidates().select("ord").distinct().count() == 34
+    index.replace(chunk_rows(spark, "ab", 3), hashes(spark, "ab"))
+    index.replace(chunk_rows(spark, "ab", 4), hashes(spark, "ab"))
     late = index._manifest()
-    gone = set(late["stale"])
-    assert index.remove(["a", "zz"]) == 3 and index.remove(["zz"]) == 0
-    assert not any((tmp_path / p.removeprefix("file:").lstrip("/")).exists() or __import__("os").path.exists(p.removeprefix("file:")) for p in gone)
+    gone = [p.removeprefix("file:") for p in late["stale"]]
+    assert gone and index.chunks().count() == 8
+    index.replace(chunk_rows(spark, "c", 2), hashes(spark, "c"))
+    assert not any(__import__("os").path.exists(p) for p in gone)
     with pytest.raises(IndexConflict):
         index._commit(late)
-    assert index.chunks().count() == 31 and index.stats().first().documents == 5
+    assert index.chunks().count() == 10 and index.stats().first().documents == 3
+
+
+def test_documents_of_many_chunks_spread(spark, tmp_path, monkeypatch):
+    from quire.sources import index as I
+
+    monkeypatch.setattr(I, "FILE_ROWS", 100)
+    index = ChunkIndex.open(spark, str(tmp_path / "i"), {}, create=True)
+    index.replace(chunk_rows(spark, "z", 1000), hashes(spark, "z"))
+    assert len([p for p in written(tmp_path / "i") if "/chunks/" in p]) >= 8
 
 
 def test_rebuild(spark, course):
