@@ -30,12 +30,13 @@ from .wordhash import shingles as runs
 
 LEAST, SHARE, LIMIT, LONGEST = 10, 50, 2000, 3
 DELIMITERS = ".,;:!?\n\x0b\x0c\r"
-SHARD_RUNS = 4 << 20  # runs of words for each shard of the sketch, on average
-HELD = 4 << 20  # runs that a task adds up before it sends their cells
+SHARD_RUNS = 1 << 20  # runs of words for each shard of the sketch, on average
+HELD = 2 << 20  # runs that a task adds up before it sends their cells
 FILTER_BITS, FILTER_CELLS = 28, 1 << 24  # largest Bloom filter, and how many cells go into one
 CHUNK_BITS = 16
 BLOCK = 200_000  # phrases in the automata of one scan
 AHEAD = 2  # times LIMIT: phrases of each language that the first scan counts
+LANES = 16  # in which the first ranks of a language are found before they meet
 SEEN = 1 << 18  # phrases that a task remembers having written
 WORD = np.ones(256, bool)
 WORD[[0x20, 0x09, *map(ord, DELIMITERS)]] = False
@@ -328,12 +329,12 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, limit:
         cells = kept(sketch(texts, shards, least, LONGEST), "cells")
         words = kept(words.filter(F.col("f") >= least), "frequent")
         phrases = kept(bounded(phrases_in(texts, cells, shards, LONGEST), words, LONGEST), "bounded")
-        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("most"), F.desc("bound"), "phrase"))
+        order = [F.desc("most"), F.desc("bound"), "phrase"]
         counted, open_, ahead = words.select("lang", F.col("word").alias("phrase"), "f").limit(0), None, AHEAD * limit
         inside = _inside(phrases)
         while True:
             here = phrases if open_ is None else phrases.join(open_, "lang", "left_semi")
-            ranked = kept(here.withColumn("place", place).filter(F.col("place") <= ahead + 1), "ranked")
+            ranked = kept(_first(here, order, "place", ahead + 1), "ranked")
             chosen = ranked.filter(F.col("place") <= ahead)
             while True:  # once, and again only where a bound was loose
                 got = counted.select("lang", "phrase", "f")
@@ -377,8 +378,14 @@ def _ranked(chosen: DataFrame, counted: DataFrame, words: DataFrame, inside: Dat
     over = inside.join(mine.select("lang", "phrase", "a"), ["lang", "phrase"]).join(counted.select("lang", F.col("phrase").alias("longer"), "f"), ["lang", "longer"])
     over = over.filter((F.col("f") >= least) & (100 * F.col("f") >= share * F.col("a"))).select("lang", "phrase").distinct()
     left = scored.join(over, ["lang", "phrase"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    return left.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= limit).drop("cut")
+    return _first(left, [F.desc("score"), F.desc("a"), "phrase"], "rank", limit).drop("cut")
+
+
+def _first(rows: DataFrame, order: list, name: str, count: int) -> DataFrame:
+    """The first ``count`` rows of each language with their place as ``name``; lanes are ranked first, so what meets in a task does not grow with the rows."""
+    lane = F.pmod(F.xxhash64("phrase"), F.lit(LANES))
+    some = rows.withColumn("lane", lane).withColumn(name, F.row_number().over(Window.partitionBy("lang", "lane").orderBy(*order))).filter(F.col(name) <= count)
+    return some.drop("lane").withColumn(name, F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col(name) <= count)
 
 
 def op13_collocations(spark, sf_dir: str) -> DataFrame:
