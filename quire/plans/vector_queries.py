@@ -7,8 +7,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import retrieval as R
 from ..operators import search as K
 from ..operators import selection as S
+from ..sources import scratch as W
 from . import bindings as B
 
 QUERIES: dict = {}
@@ -98,6 +100,29 @@ def substantial_fallback(spark, sf_dir):
     return S.substantial(B.vectors(spark, sf_dir), 30, least=1_000_000).select("ord", F.length("text").alias("chars"))
 
 
+_MANY = """with e as (select vec_id, embedding::double[] as v from embeddings), p as (select q.vec_id as query, e.vec_id as ord, 1 - list_sum(list_transform(list_zip(e.v, q.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / 2 as s from e, e q where q.vec_id % 100 = 0)
+select query, ord, round(s, 6) as score, row_number() over (partition by query order by s desc, ord)::int as rank from p qualify rank <= 10"""
+
+
+def _asked(spark, sf_dir):
+    e = B.table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("ord"), "embedding"), e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+
+
+@query(_MANY)
+def retrieve_table(spark, sf_dir):
+    """The ten nearest of all vectors for each whose id is divisible by 100, by blocks of matrix products."""
+    chunks, queries = _asked(spark, sf_dir)
+    return R.search_many(chunks, queries, 10).withColumn("score", F.round("score", 6))
+
+
+@query(_MANY)
+def cell_search(spark, sf_dir):
+    """The same through cells around pivots."""
+    chunks, queries = _asked(spark, sf_dir)
+    return R.Cells.build(chunks, W.folder(spark, "cells")).search(queries, 10)[0].withColumn("score", F.round("score", 6))
+
+
 @query(f"with {_Q}, s as (select label, ord, {_DOT.format('v', 'qv')} as s from vectors, q) select ord, round(case when max(s) over w - min(s) over w < 1e-12 then 0 else (s - min(s) over w) / (max(s) over w - min(s) over w) end, 6) as scaled from s window w as (partition by label)")
 def rescale(spark, sf_dir):
     c = B.vectors(spark, sf_dir)

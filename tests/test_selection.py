@@ -56,6 +56,43 @@ def test_cluster_against_plain_python(chunks):
     assert found.members.count() == sum(n for _, n, _ in got)
 
 
+@pytest.mark.parametrize("ahead", [2, 7])
+def test_cluster_in_many_passes(chunks, monkeypatch, ahead):
+    """Few rows at hand: seeds and rounds go back to the written tables again and again, with the same topics."""
+    monkeypatch.setattr(S, "AHEAD", ahead)
+    monkeypatch.setattr(S, "PARTIALS", 1)
+    rows, x = plain(chunks)
+    for count in (3, 9):
+        got = [(t.weight, t["size"], t.rep_ord) for t in S.cluster(chunks, count).topics.orderBy("topic").collect()]
+        assert got == [(w, n, o) for w, n, _, o in model_cluster(rows, x, count)]
+
+
+@pytest.mark.parametrize("ahead", [4, 256])
+def test_rounds_compare_fewer_rows(spark, monkeypatch, ahead):
+    """Of rows in clear groups only those near a border are compared again, and nothing stays cached."""
+    monkeypatch.setattr(S, "AHEAD", ahead)
+    rng = np.random.default_rng(9)
+    places = rng.normal(size=(4, 3))
+    places /= np.linalg.norm(places, axis=1, keepdims=True)
+    v = places[rng.integers(0, 4, 3000)] + 0.2 * rng.normal(size=(3000, 3))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    many = spark.createDataFrame([(i, f"c{i}", f"s{i % 5}", "x" * 300, e.astype(np.float32).tolist(), 1) for i, e in enumerate(v)], SCHEMA).repartition(4)
+    found = S.cluster(many, 4)
+    assert found.read[0] == 3000 and len(found.read) > 4 and max(found.read[4:]) < 300, found.read
+    got = [(t.weight, t["size"], t.rep_ord) for t in found.topics.orderBy("topic").collect()]
+    rows, x = plain(many)
+    assert got == [(w, n, o) for w, n, _, o in model_cluster(rows, x, 4)]
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    S.gather_material(many, 7).collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached
+
+
+def test_allocate_more_or_fewer_slots_than_topics(spark):
+    topics = spark.createDataFrame([(1, 7), (2, 5), (3, 1)], "topic int, weight long")
+    slots = lambda n: [r.slots for r in S.allocate(topics, n).orderBy("topic").collect()]
+    assert slots(0) == slots(-2) == [] and slots(2) == [1, 1] and slots(3) == [1, 1, 1] and slots(16) == [8, 6, 2] and S.allocate(topics.limit(0), 3).count() == 0
+
+
 def test_cluster_small_pools(chunks):
     assert S.cluster(chunks, 0).topics.count() == 0
     few = chunks.filter("ord < 4")
