@@ -67,12 +67,22 @@ def is_fragment(c: str | Column) -> Column:
     return (F.length(s) > 0) & (F.length(s) <= FRAGMENT_CHARS) & ~is_table_row(c) & ~is_bullet(c) & ~F.substring(s, -1, 1).isin(*".!?:")
 
 
+def leaves_open(before: str | Column) -> Column:
+    """Whether a text ends within a sentence."""
+    a = strip(before)
+    return (F.length(a) > 0) & ~F.substring(a, -1, 1).isin(*SENTENCE_END)
+
+
+def carries_on(after: str | Column) -> Column:
+    """Whether a text begins within a sentence."""
+    b = strip(after)
+    first = F.get(F.split(b, LINE_BREAK, 2), F.lit(0))
+    return (F.length(b) > 0) & ~is_bullet(first) & F.substring(b, 1, 1).rlike(r"^\p{IsLowercase}")
+
+
 def continues(before: str | Column, after: str | Column) -> Column:
     """Whether the text ``after`` carries on the sentence that ``before`` leaves open."""
-    a, b = strip(before), strip(after)
-    first = F.get(F.split(b, LINE_BREAK, 2), F.lit(0))
-    opened = ~F.substring(a, -1, 1).isin(*SENTENCE_END)
-    return (F.length(a) > 0) & (F.length(b) > 0) & opened & ~is_bullet(first) & F.substring(b, 1, 1).rlike(r"^\p{IsLowercase}")
+    return leaves_open(before) & carries_on(after)
 
 
 def preview(c: str | Column, width: int = 70) -> Column:

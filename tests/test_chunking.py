@@ -77,6 +77,81 @@ def test_chunks_against_plain_python(spark, small):
         assert want == [r.text for r in sorted((r for r in rows if r.source == source), key=lambda r: r.chunk_index)]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab. \n!?\"“A", min_size=1, max_size=600), st.integers(20, 60), st.integers(0, 12), st.integers(70, 200))
+def test_blocks_give_the_spans_of_the_whole_walk(text, size, overlap, block):
+    """Entries and exits of blocks, composed, lead every block into the walk over the whole text."""
+    n, right = len(text), size + int(size * C.SHORT_TAIL) + 30
+    if n <= size:
+        return
+    found, at = [], 0
+    for k in range(-(-n // block)):
+        low = max(0, k * block - 30)
+        part = text[low : (k + 1) * block + right]
+        if (low and not part[:30].strip()) or (low + len(part) < n and not part[-30:].strip()):
+            return
+        walk = C.Walk(part, low, n, size, overlap)
+        if at >= 0:
+            found += walk.spans(k * block + at, (k + 1) * block)
+            at = int(walk.exits(k * block, (k + 1) * block, size)[at])
+    assert found == C.spans(text, size, overlap) and at == -1
+
+
+def plain_chunks(pages, size, overlap):
+    """(text, page, page_end, segment, start, end) of the chunks of one document, a whole segment at a time."""
+    out, segs = [], []
+    for number, text in sorted(pages):
+        if text.strip():
+            runs_on = segs and segs[-1][-1][1].rstrip()[-1] not in ".!?:;。！？…\"')]}”’" and not re.match(r"\s*([•●▪–—\-*·]|\d+[.)]|[a-z][.)])\s", text.lstrip().splitlines()[0]) and text.lstrip()[0].islower()
+            segs[-1].append((number, text)) if runs_on else segs.append([(number, text)])
+    lower = segs and segs[0][0][1].lstrip()[0].islower()
+    for i, seg in enumerate(segs, 0 if lower else 1):  # as if a blank page came before
+        whole, starts = "\n".join(t for _, t in seg), [0]
+        for _, t in seg:
+            starts.append(starts[-1] + len(t) + 1)
+        at = lambda o, starts=starts, seg=seg: seg[max(k for k, s in enumerate(starts[:-1]) if s <= o)][0]
+        for a, b in C.spans(whole, size, overlap):
+            body = whole[a:b].strip()
+            if len(body) >= 40:
+                out.append((body, at(a), at(b - 1) if at(b - 1) != at(a) else None, i, a, b))
+    return out
+
+
+def test_documents_larger_than_a_task(spark, monkeypatch):
+    """Small blocks: documents of many page blocks, segments of many text blocks and groups of them, and blanks that no context holds."""
+    import random
+
+    for name, value in (("PAGE_BLOCK", 4), ("TEXT_BLOCK", 1700), ("GROUP", 3), ("CONTEXT", 64)):
+        monkeypatch.setattr(C, name, value)
+    rng = random.Random(7)
+    sentence = lambda: rng.choice(("", "", "", "B", "• ")) + " ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(3, 60))) + rng.choice((" and", ".", "", "\n\nthen", " x"))
+    docs = {f"d{i}": [(p, sentence() * rng.randint(1, 9) if rng.random() > 0.1 else "  ") for p in range(1, rng.randint(2, 60))] for i in range(12)}
+    docs["long"] = [(1, "word " * 9000 + "and"), (2, "on it goes " * 400)]
+    docs["stuck"] = [(1, "y" * 20_000), (7, "z z" * 3000)]
+    docs["blank"] = [(1, "start of it" + " " * 3000 + "and " * 900), (2, "more of this " * 300)]
+    docs["high"] = [(5000 + p, f"page {p} of a text that runs") for p in range(30)]
+    table = spark.createDataFrame([(s, p, t) for s, pages in docs.items() for p, t in pages], PAGES).repartition(5)
+    got = {}
+    for r in C.chunk_documents(table, 26, 5).orderBy("source", "chunk_index").collect():
+        got.setdefault(r.source, []).append(r)
+    for s, pages in docs.items():
+        mine = got.get(s, [])
+        assert [r.chunk_index for r in mine] == list(range(len(mine)))
+        want = plain_chunks(pages, 104, 20)
+        assert [(r.text, r.page, r.page_end, r.segment, r.start, r.end) for r in mine] == want, s
+    placed = C.placed_pages(table).collect()
+    assert len(placed) == sum(bool(t.strip()) for pages in docs.values() for _, t in pages)
+
+
+def test_no_row_holds_a_long_segment(spark, monkeypatch):
+    monkeypatch.setattr(C, "TEXT_BLOCK", 4000)
+    monkeypatch.setattr(C, "CONTEXT", 100)
+    pages = spark.createDataFrame([("d", p, "it runs on and on " * 20 + "and") for p in range(300)], PAGES)
+    blocks = C._text_blocks(pages, C.placed_pages(pages), 4000, 215)
+    sizes = [len(r.text) for r in blocks.select("text").collect()]
+    assert len(sizes) == -(-(300 * 364 - 1) // 4000) and max(sizes) <= 4000 + 100 + 215
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], PAGES)
     assert C.chunk_documents(df).count() == 0
