@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 BLANK = r"[\s\x1C-\x1F]"
 LINE_BREAK = r"\R|[\x1C-\x1E]"
 BULLET = rf"(?U)^{BLANK}*([•●▪–—\-*·]|\d+[.)]|[a-z][.)]){BLANK}"
-TABLE_ROW = rf"(?U)^{BLANK}*\|.*\|{BLANK}*$"
-PAGE_NUMBER = rf"(?iU)^{BLANK}*(page{BLANK}*)?\d{{1,4}}{BLANK}*(/{BLANK}*\d{{1,4}})?{BLANK}*$"
 FRAGMENT_CHARS = 32
 NEAR_EMPTY_CHARS = 20
 CHARS_PER_TOKEN = 4
@@ -49,24 +47,10 @@ def clean_page(c: str | Column) -> Column:
     return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
-def is_table_row(c: str | Column) -> Column:
-    return col(c).rlike(TABLE_ROW)
-
-
 def is_bullet(c: str | Column) -> Column:
     return col(c).rlike(BULLET)
 
 
-def is_page_number(c: str | Column) -> Column:
-    return col(c).rlike(PAGE_NUMBER)
-
-
-def is_fragment(c: str | Column) -> Column:
-    """A line that may be a stray label: short, no table row, no bullet, no finished sentence."""
-    s = strip(c)
-    return (F.length(s) > 0) & (F.length(s) <= FRAGMENT_CHARS) & ~is_table_row(c) & ~is_bullet(c) & ~F.substring(s, -1, 1).isin(*".!?:")
-
-
 def leaves_open(before: str | Column) -> Column:
     """Whether a text ends within a sentence."""
     a = strip(before)

@@ -1,9 +1,10 @@
 """Page cleaning and its audit.
 
 Pages are rows (source, page, text, furniture, structured). What a document's pages have in common (running lines, lines
-that a reader labelled) comes from aggregations of short lines, a row for each document, and meets its pages
-in one join. A page is then cleaned in one pass over its lines, in Arrow batches: each line is stripped and judged once,
-where column expressions over arrays would judge it anew for every place that names it.
+that a reader labelled) comes from aggregations of short lines, a row for each document, and is sent ahead of its pages, once for
+each PART of them: a document of many pages with many labelled lines costs their sum and not their product. A page is then cleaned in one
+pass over its lines, in Arrow batches: each line is stripped and judged once, where column expressions over arrays would judge it anew for every place that names it.
+The rules for a line stand here alone; queries judge lines by them, too.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+PART = 256  # pages of a document that are cleaned together
 MIN_PAGES = 4
 REPEAT_RATIO = 0.6
 DEBRIS_RUN = 6
@@ -76,13 +78,41 @@ def document_rules(pages: DataFrame) -> DataFrame:
     return totals.join(rules, "source", "left").select("source", "n_pages", "numbers", furniture.alias("furniture"), labelled.alias("labelled"), F.coalesce(F.col("spare.line"), F.array().cast("array<string>")).alias("protected"))
 
 
-#: The rules of functions/text.py for one stripped line.
+#: What a bare page number, a bullet and a table row look like. The first is matched against a whole stripped line.
 _NUMBER = re.compile(r"(page\s*)?\d{1,4}\s*(/\s*\d{1,4})?", re.IGNORECASE)
 _BULLET = re.compile(r"([•●▪–—\-*·]|\d+[.)]|[a-z][.)])\s")
 
 
-def _is_fragment(line: str, bare: str) -> bool:
-    return 0 < len(bare) <= T.FRAGMENT_CHARS and bare[-1] not in ".!?:" and not (bare[0] == "|" == bare[-1] and len(bare) > 1) and not _BULLET.match(line.lstrip())
+def is_page_number(bare: str) -> bool:
+    return bool(bare) and bare[-1].isdecimal() and _NUMBER.fullmatch(bare) is not None
+
+
+def is_bullet(line: str) -> bool:
+    return _BULLET.match(line.lstrip()) is not None
+
+
+def is_table_row(bare: str) -> bool:
+    return len(bare) > 1 and bare[0] == "|" == bare[-1]
+
+
+def is_fragment(line: str, bare: str) -> bool:
+    """A line that may be a stray label: short, no table row, no bullet, no finished sentence."""
+    return 0 < len(bare) <= T.FRAGMENT_CHARS and bare[-1] not in ".!?:" and not is_table_row(bare) and not is_bullet(line)
+
+
+def line_kinds(lines: DataFrame, line: str = "line") -> DataFrame:
+    """``lines`` with page_number, bullet, table_row and fragment, as cleaning judges each line."""
+    from pyspark.sql import types as P
+
+    names = ["page_number", "bullet", "table_row", "fragment"]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [(x, x.strip()) for x in b.column(line).to_pylist()]
+            kinds = ([is_page_number(bare) for _, bare in each], [is_bullet(x) for x, _ in each], [is_table_row(bare) for _, bare in each], [is_fragment(*x) for x in each])
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(k, pa.bool_()) for k in kinds]], names=[*b.schema.names, *names])
+
+    return lines.mapInArrow(judge, P.StructType([*lines.schema.fields, *[P.StructField(n, P.BooleanType()) for n in names]]))
 
 
 def judge_page(text: str, drop: set[str], spare: set[str], active: bool) -> tuple[str, list[tuple[int, str, str]]]:
@@ -92,11 +122,11 @@ def judge_page(text: str, drop: set[str], spare: set[str], active: bool) -> tupl
         bare = line.strip()
         stage = None
         if active and bare:
-            stage = STAGES[0] if bare in drop else STAGES[1] if bare[-1].isdecimal() and _NUMBER.fullmatch(bare) else None
+            stage = STAGES[0] if bare in drop else STAGES[1] if is_page_number(bare) else None
         if stage:
             gone.append((i, stage, bare))
         else:
-            left.append((i, line, bare, bare not in spare and _is_fragment(line, bare)))
+            left.append((i, line, bare, bare not in spare and is_fragment(line, bare)))
     stay, run = [], []
     for entry in [*left, (0, "", "", False)]:
         if entry[3]:
@@ -113,12 +143,21 @@ def judge_page(text: str, drop: set[str], spare: set[str], active: bool) -> tupl
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (source, part, page, text, head, drop, spare, active), sorted so that what holds for a part of a document comes before its pages."""
+    kind = pa.list_(pa.struct([("i", pa.int64()), ("stage", pa.string()), ("text", pa.string())]))
+    drop, spare, active = set(), set(), False
     for b in batches:
-        drop, spare, active = (b.column(k).to_pylist() for k in (3, 4, 5))
-        judged = [judge_page(t, set(d), set(s), a) for t, d, s, a in zip(b.column(2).to_pylist(), drop, spare, active, strict=True)]
-        kind = pa.list_(pa.struct([("i", pa.int64()), ("stage", pa.string()), ("text", pa.string())]))
+        judged, places = [], []
+        text, head, drops, spares, actives = (b.column(c) for c in ("text", "head", "drop", "spare", "active"))
+        for i, is_head in enumerate(head.to_pylist()):
+            if is_head:
+                drop, spare, active = set(drops[i].as_py()), set(spares[i].as_py()), actives[i].as_py()
+            else:
+                judged.append(judge_page(text[i].as_py(), drop, spare, active))
+                places.append(i)
+        here = b.take(pa.array(places, pa.int64()))
         gone = pa.array([[{"i": i, "stage": s, "text": t} for i, s, t in g] for _, g in judged], kind)
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([s for s, _ in judged], pa.string()), gone], names=["source", "page", "text", "stay", "gone"])
+        yield pa.RecordBatch.from_arrays([here.column("source"), here.column("page"), here.column("text"), pa.array([s for s, _ in judged], pa.string()), gone], names=["source", "page", "text", "stay", "gone"])
 
 
 def flagged_lines(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
@@ -126,8 +165,10 @@ def flagged_lines(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame
     pages = as_pages(pages)
     rules = rules if rules is not None else document_rules(pages)
     active = F.col("labelled") | (F.col("n_pages") >= MIN_PAGES)
-    each = pages.select("source", "page", "text").join(rules, "source").select("source", "page", "text", F.col("furniture.line").alias("drop"), "protected", active.alias("active"))
-    return each.mapInArrow(_judge, FLAGGED.format(page=pages.schema["page"].dataType.simpleString()))
+    rows = pages.select("source", F.floor(F.col("page") / PART).alias("part"), "page", "text", F.lit(False).alias("head"))
+    heads = rows.select("source", "part").distinct().join(rules, "source").select("source", "part", F.lit(True).alias("head"), F.col("furniture.line").alias("drop"), F.col("protected").alias("spare"), active.alias("active"))
+    sent = rows.unionByName(heads, allowMissingColumns=True).repartition("source", "part").sortWithinPartitions("source", "part", F.desc("head"))
+    return sent.mapInArrow(_judge, FLAGGED.format(page=pages.schema["page"].dataType.simpleString()))
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ import json
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 #: The fields of an item, in the order in which it is written.
 FIELDS = ("topic", "question", "answer", "source", "page")
 ITEM = {"type": "object", "required": list(FIELDS), "properties": {f: {"type": "integer" if f == "page" else "string"} for f in FIELDS}}
@@ -102,6 +105,47 @@ def item_list(reply: str) -> list | None:
     return found if isinstance(found, list) else None
 
 
+# -- tables of replies --
+
+
+def parsed(reply: Column) -> Column:
+    """The JSON value of each reply as a variant: the whole, or what stands in a fence, or from the first to the last brace, or bracket; null if none parses."""
+    inside = lambda pattern, group: F.try_parse_json(F.nullif(F.regexp_extract(reply, pattern, group), F.lit("")))
+    return F.coalesce(F.try_parse_json(reply), inside(r"(?s)```(?:json)?(.*?)```", 1), inside(r"(?s)\{.*\}", 0), inside(r"(?s)\[.*\]", 0))
+
+
+def _is(value: Column, kind: str) -> Column:
+    return F.schema_of_variant(value).startswith(kind)
+
+
+def items_of(value: Column) -> Column:
+    """The raw items of a parsed reply as array<variant>, by the shapes that with_items() takes; null where their place is in doubt."""
+    array = lambda v: v.try_cast("array<variant>")
+    fields = value.try_cast("map<string, variant>")
+    lists = F.filter(F.map_values(fields), lambda v: _is(v, "ARRAY"))
+    named = F.try_element_at(fields, F.lit("items"))
+    whole = F.lit(True)
+    for f in FIELDS[1:]:
+        whole = whole & F.map_contains_key(fields, f)
+    of_object = F.when(F.map_contains_key(fields, "items"), F.when(_is(named, "ARRAY"), array(named))).when(whole, F.array(value)).when(F.size(lists) == 1, array(F.get(lists, F.lit(0))))
+    return F.when(_is(value, "ARRAY"), array(value)).when(_is(value, "OBJECT"), of_object)
+
+
+def items_table(replies: DataFrame, reply: str, *keys: str) -> DataFrame:
+    """(keys, at, topic, question, answer, source, page, fault) of every item of a table of replies, in the JVM alone.
+
+    A page written as a string of digits counts as a number; topic may be missing. fault names the first field that is missing or of another kind, and is null for an item that fits.
+    """
+    each = replies.select(*keys, F.posexplode(items_of(parsed(F.col(reply)))).alias("at", "item"))
+    get = lambda f: F.when(_is(F.col("item"), "OBJECT"), F.try_variant_get("item", f"$.{f}", "variant"))
+    out = each.select(*keys, "at", *[get(f).alias(f"raw_{f}") for f in FIELDS])
+    text = {f: F.when(_is(F.col(f"raw_{f}"), "STRING"), F.col(f"raw_{f}").try_cast("string")) for f in FIELDS if f != "page"}
+    page = F.when(_is(F.col("raw_page"), "BIGINT"), F.col("raw_page").try_cast("bigint")).when(_is(F.col("raw_page"), "STRING"), F.trim(F.col("raw_page").try_cast("string")).try_cast("bigint"))
+    found = {**text, "page": page}
+    fault = F.coalesce(*[F.when(found[f].isNull() & (F.lit(f != "topic") | F.col("raw_topic").isNotNull()), F.lit(f)) for f in FIELDS])
+    return out.select(*keys, "at", *[found[f].alias(f) for f in FIELDS], fault.alias("fault"))
+
+
 # -- when nothing came --
 
 HELP = {

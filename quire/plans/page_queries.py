@@ -50,16 +50,26 @@ def clean_page(spark, sf_dir):
     return a.unionByName(B.line_pages(spark, sf_dir).select(F.lit("page").alias("kind"), "source", "page", T.clean_page("text").alias("text")))
 
 
-@query(f"with {_values()} select n, {_NUMBER.format('line')} as page_number, {_BULLET.format('line')} as bullet, {_TABLE.format('line')} as table_row, {_FRAGMENT.format('line')} as fragment from literals where not contains(line, chr(10))")
+_DRESSED = """dressed as (select doc_id, i - 1 as i, case (doc_id + i - 1) % 7 when 0 then '| ' || l || ' |' when 1 then '- ' || l when 2 then 'Page ' || (i - 1) || ' / 12' when 3 then substr(l, 1, 30) when 4 then '  ' || (i - 1) || ') ' || l else l end as line
+from (select doc_id, unnest(string_split(text, chr(10))) as l, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents))"""
+
+
+@query(f"with {_DRESSED} select doc_id, i, {_NUMBER.format('line')} as page_number, {_BULLET.format('line')} as bullet, {_TABLE.format('line')} as table_row, {_FRAGMENT.format('line')} as fragment from dressed")
 def line_kinds(spark, sf_dir):
-    rows = _literals(spark).filter(~F.col("line").contains("\n"))
-    return rows.select("n", T.is_page_number("line").alias("page_number"), T.is_bullet("line").alias("bullet"), T.is_table_row("line").alias("table_row"), T.is_fragment("line").alias("fragment"))
+    """Every line of every document, some dressed as table rows, bullets, page numbers and stray labels."""
+    lines = B.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l")).withColumn("i", F.col("i").cast("long"))
+    kind, i = (F.col("doc_id") + F.col("i")) % 7, F.col("i").cast("string")
+    line = (
+        F.when(kind == 0, F.concat(F.lit("| "), "l", F.lit(" |"))).when(kind == 1, F.concat(F.lit("- "), "l")).when(kind == 2, F.concat(F.lit("Page "), i, F.lit(" / 12")))
+        .when(kind == 3, F.substring("l", 1, 30)).when(kind == 4, F.concat(F.lit("  "), i, F.lit(") "), "l")).otherwise(F.col("l"))
+    )
+    return P.line_kinds(lines.select("doc_id", "i", line.alias("line"))).drop("line")
 
 
 @query(f"with {B.HTML_PAGES}, l as (select source, unnest(string_split(text, chr(10))) as line from html_pages) select source, count(*) as lines, count_if({_FRAGMENT.format('line')})::bigint as fragments, count_if({_BULLET.format('line')})::bigint as bullets, count_if({_NUMBER.format('line')})::bigint as numbers from l group by source")
 def html_line_kinds(spark, sf_dir):
-    rows = B.html_pages(spark, sf_dir).select("source", F.explode(F.split("text", "\n")).alias("line"))
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("lines"), F.count_if(T.is_fragment("line")).alias("fragments"), F.count_if(T.is_bullet("line")).alias("bullets"), F.count_if(T.is_page_number("line")).alias("numbers"))
+    rows = P.line_kinds(B.html_pages(spark, sf_dir).select("source", F.explode(F.split("text", "\n")).alias("line")))
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("lines"), F.count_if("fragment").alias("fragments"), F.count_if("bullet").alias("bullets"), F.count_if("page_number").alias("numbers"))
 
 
 _RUNNING = f"""{B.LINE_PAGES},

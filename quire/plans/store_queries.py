@@ -11,6 +11,7 @@ from ..operators import exam as X
 from ..operators import replies as R
 from ..sources import files as S
 from ..sources import index as I
+from ..sources import page_source as D
 from ..sources import scratch as W
 from . import bindings as B
 
@@ -67,6 +68,27 @@ def remove_document(spark, sf_dir):
     return I.without(d, spark.createDataFrame([("src3",), ("src5",)], "source string"))
 
 
+@query("""select source || '/' || doc_id || '.txt' as source, 1::bigint as page, sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) as hash from documents where source <> 'src3'""")
+def page_source(spark, sf_dir):
+    """Documents written as files in a folder for each source, and read back through the page source."""
+    docs = B.table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    place = W.folder(spark, "files")
+    fs, root, _ = S.file_system(place)
+
+    def put(batches):
+        fs, root, _ = S.file_system(place)
+        for b in batches:
+            for r in b.to_pylist():
+                fs.create_dir(f"{root}/{r['source']}")
+                with fs.open_output_stream(f"{root}/{r['source']}/{r['doc_id']}.txt") as f:
+                    f.write(r["text"].encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    fs.create_dir(root)
+    docs.mapInArrow(put, "n long").agg(F.sum("n")).first()
+    return D.pages_of(spark, place).filter(~F.col("source").startswith("src3/")).select("source", "page", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+
+
 def _halves(docs, mark):
     """Documents as sources of two chunks each, as the index takes them; the vector is the document's, or a short one of its own."""
     half = F.ceil(F.length("text") / 2).cast("int")
@@ -148,26 +170,45 @@ def topics_covered(spark, sf_dir):
     return X.topics_covered(_exam(spark, sf_dir))
 
 
-#: Replies in the shapes that models send.
-REPLIES = [
-    '{"items": [{"page": "3"}, {"page": 4}]}', '```json\n{"items": []}\n```', 'Here you are: {"questions": [{"page": 1}]} Enjoy!', '[{"page": 1}, {"page": 2}]',
-    '{"question": "q", "answer": "a", "source": "s", "page": 9}', '{"a": [1], "b": [2]}', "no json at all", '{"broken": ', '{"exam": [], "note": "x"}',
-]
-
-
-_REPLIES = "replies(n, raw) as (values " + ", ".join(f"({i}, '{r}')" for i, r in enumerate(REPLIES)) + ")"
-
-
-@query(f"""with {_REPLIES}, t as (select n, case when json_valid(raw) then raw else regexp_extract(raw, '(?s)[\\[{{].*[\\]}}]') end as t from replies), j as (select n, case when t <> '' and json_valid(t) then t::json end as j from t),
-l as (select n, j, list_filter(list_transform(json_keys(j), lambda k: json_extract(j, '$.' || k)), lambda v: json_type(v) = 'ARRAY') as lists from j)
-select n, (case when json_type(j) = 'ARRAY' then json_array_length(j) when list_contains(json_keys(j), 'items') then json_array_length(json_extract(j, '$.items'))
-when list_has_all(json_keys(j), ['question', 'answer', 'source', 'page']) then 1 when len(lists) = 1 then json_array_length(lists[1]) end)::int as items from l""")
+#: Replies in the shapes that models send, made of the turns of conversations; both ways of making them give the same JSON but for how they escape.
+_REPLIES = """turns as (select conv_id, turn, (conv_id + turn) % 10 as shape, text, to_json(text)::varchar as j, role from conversations where text is not null),
+one as (select *, '{"topic": "T", "question": ' || j || ', "answer": "' || role || '", "source": "s", "page": ' as h from turns),
+replies as (select conv_id, turn, shape, text, case shape when 0 then '{"items": [' || h || '3}, ' || h || '"4"}]}' when 1 then '```json' || chr(10) || '{"items": []}' || chr(10) || '```' when 2 then 'Here you are: {"questions": [' || h || '"x"}]} Enjoy!'
+when 3 then '[' || h || '1}, ' || h || '2}, 7]' when 4 then h || '9}' when 5 then '{"a": [1], "b": [2], "c": ' || j || '}' when 6 then text when 7 then '{"broken": ' || j when 8 then '{"exam": [], "note": ' || j || '}' else 'As asked:' || chr(10) || '```' || chr(10) || '[' || h || '5}]' || chr(10) || '```' end as raw from one),
+tries as (select *, nullif(regexp_extract(raw, '(?s)```(?:json)?(.*?)```', 1), '') as fenced, nullif(regexp_extract(raw, '(?s)\\{.*\\}'), '') as braces, nullif(regexp_extract(raw, '(?s)\\[.*\\]'), '') as brackets from replies),
+parsed as (select *, case when json_valid(raw) then raw::json when json_valid(fenced) then fenced::json when json_valid(braces) then braces::json when json_valid(brackets) then brackets::json end as v from tries),
+listed as (select *, case when json_type(v) = 'OBJECT' then list_filter(list_transform(json_keys(v), lambda k: json_extract(v, '$."' || k || '"')), lambda x: json_type(x) = 'ARRAY') end as lists from parsed),
+found as (select *, case when json_type(v) = 'ARRAY' then v when json_type(v) <> 'OBJECT' then null when list_contains(json_keys(v), 'items') then case when json_type(json_extract(v, '$.items')) = 'ARRAY' then json_extract(v, '$.items') end
+when list_has_all(json_keys(v), ['question', 'answer', 'source', 'page']) then json_array(v) when len(lists) = 1 then lists[1] end as items from listed)"""
+
+
+def _replies(spark, sf_dir):
+    t = B.table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", "text", "role", ((F.col("conv_id") + F.col("turn")) % 10).alias("shape"))
+    j = F.regexp_extract(F.to_json(F.struct("text")), r'(?s)^\{"text":(.*)\}$', 1)
+    h = F.concat(F.lit('{"topic": "T", "question": '), j, F.lit(', "answer": "'), F.col("role"), F.lit('", "source": "s", "page": '))
+    join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    shapes = [
+        join('{"items": [', h, "3}, ", h, '"4"}]}'), F.lit('```json\n{"items": []}\n```'), join('Here you are: {"questions": [', h, '"x"}]} Enjoy!'), join("[", h, "1}, ", h, "2}, 7]"), join(h, "9}"),
+        join('{"a": [1], "b": [2], "c": ', j, "}"), F.col("text"), join('{"broken": ', j), join('{"exam": [], "note": ', j, "}"), join("As asked:\n```\n[", h, "5}]\n```"),
+    ]
+    raw = F.lit(None).cast("string")
+    for i, shape in reversed(list(enumerate(shapes))):
+        raw = F.when(F.col("shape") == i, shape).otherwise(raw)
+    return t.select("conv_id", "turn", raw.alias("raw"))
+
+
+@query(f"with {_REPLIES} select conv_id, turn, json_array_length(items)::int as items from found")
 def coerce_json(spark, sf_dir):
     """How many items each reply holds; null where their place is in doubt or nothing parses."""
-
-    def count(batches):
-        for b in batches:
-            found = [R.item_list(raw) for raw in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else len(x) for x in found], pa.int32())], names=["n", "items"])
-
-    return spark.createDataFrame(list(enumerate(REPLIES)), "n int, raw string").mapInArrow(count, "n int, items int")
+    found = R.items_of(R.parsed(F.col("raw")))
+    return _replies(spark, sf_dir).select("conv_id", "turn", F.when(found.isNotNull(), F.size(found)).alias("items"))
+
+
+@query(f"""with {_REPLIES}, e as (select conv_id, turn, unnest(json_extract(items, '$[*]')) as item, unnest(range(0, json_array_length(items)::bigint)) as place from found where json_array_length(items) > 0),
+f as (select conv_id, turn, place::int as place, case when json_type(item) = 'OBJECT' then item end as o from e)
+select conv_id, turn, place, o->>'$.topic' as topic, sha256(o->>'$.question') as question, o->>'$.answer' as answer, o->>'$.source' as source, try_cast(o->>'$.page' as bigint) as page,
+case when o is null then 'question' when try_cast(o->>'$.page' as bigint) is null then 'page' end as fault from f""")
+def reply_items(spark, sf_dir):
+    """Every item of the replies, with the first field that does not fit."""
+    items = R.items_table(_replies(spark, sf_dir), "raw", "conv_id", "turn")
+    return items.withColumnRenamed("at", "place").withColumn("question", F.sha2(F.col("question").cast("binary"), 256))

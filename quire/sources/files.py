@@ -102,16 +102,24 @@ def decoded(content) -> F.Column:
     return F.regexp_replace(F.make_valid_utf8(F.col(content).cast("string")), "\r\n?", "\n")
 
 
-def read_pypdf(content: bytes) -> list[Page]:
-    """Text page by page, from 1; an empty password is tried."""
-    import io
-
+def pypdf_pages(stream, at: int = 0, of: int = 1, wanted: Callable[[int], bool] = lambda page: True) -> Iterator[Page]:
+    """The wanted pages of the ``at``-th of ``of`` equal shares, numbered from 1 in the file; an empty password is tried."""
     from pypdf import PdfReader
 
-    reader = PdfReader(io.BytesIO(content))
+    reader = PdfReader(stream)
     if reader.is_encrypted:
         reader.decrypt("")
-    return [(i, p.extract_text() or "", [], []) for i, p in enumerate(reader.pages, 1)]
+    n = len(reader.pages)
+    for i in range(n * at // of, n * (at + 1) // of):
+        if wanted(i + 1):
+            yield i + 1, reader.pages[i].extract_text() or "", [], []
+
+
+def read_pypdf(content: bytes) -> list[Page]:
+    """Text page by page."""
+    import io
+
+    return list(pypdf_pages(io.BytesIO(content)))
 
 
 _converters: dict[bool, object] = {}
