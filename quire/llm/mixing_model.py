@@ -12,7 +12,8 @@ Words of the training texts also have a share of their own, by their count; the
 trusted. And a text falls into phrases, each closed by a word whose hash says so (one in PHRASE): a phrase is priced as the mean
 of its words and of its own share among all training phrases. Words and phrases are counted over all training
 texts, exactly, by shuffles that grow with them; only the counts of words that make up more than 1/HEAVY of all tokens, of
-which there are less than HEAVY, travel to the tasks. How far a text trusts phrases is told by the text itself: its
+which there are less than HEAVY, travel to the tasks. Rarer words, and phrases, meet their counts in shards by hash, in packed arrays; one that makes up more
+than 1/COMMON of what is sent does not go to a shard, but its count travels to the tasks. How far a text trusts phrases is told by the text itself: its
 probability is the mean over trials, one without phrases and one for each of LAMBDAS. (Beside phrases, rare words
 have no share: two joined counts do not make one sum of logarithms.)
 
@@ -28,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, id_remainder, kept
+from .shared import discard, documents, id_remainder, kept, scratch
 from .wordhash import U, Lookup, mix, slices, words_of
 
 END = 0x1D8AF066F1E2C7B3
@@ -42,13 +43,15 @@ ORDERS, SLOT_BITS = len(CONTEXTS), 19  # slots of each context's table, as a pow
 SLOTS, N_SLOTS = 1 << SLOT_BITS, ORDERS << SLOT_BITS
 PLACES = 3  # of a byte in its word: first, second, later
 PHRASE = 6
-SALTS = 64  # parts of the rows of one phrase
 HEAVY = 1 << 21
+COMMON, SHARD, HELD = 1 << 17, 1 << 19, 1 << 18  # keys that a shard gets on average, and that a task gathers before it sends them
 LAMBDAS = (2.0**-5, 0.5, 1 - 2.0**-5)
 START_TRUST = 0.5
 BLOCK, STEP, RATE = 8192, 64.0, 0.004  # bytes of an online step, and those of a gate that count in full
-UNITS_A_TASK = 500_000  # distinct words that one task learns from
+UNITS_A_TASK, LEAST_TASKS = 500_000, 8  # distinct words that one task learns from; both follow from the data alone, and so does what is learned
 FINE = 16  # steps of a worth in an octave
+UNITS_HELD = 400_000  # distinct words of slices that a task adds up before it sends them
+PRICED = 1 << 19  # slots in which a task remembers the prices of words
 
 
 class Slice:
@@ -69,7 +72,7 @@ class Slice:
         near = np.where((size > 0) & (size <= SHORT), place, -1)
         last = np.r_[-1, np.maximum.accumulate(near)[:-1]]
         self.cue = np.where(last >= self.first[self.doc], 1 + (self.hash[last] >> U(58)).astype(np.int64), 0)
-        _, lead, self.unit, self.many = np.unique(mix(self.hash + self.cue.astype(U)), return_index=True, return_inverse=True, return_counts=True)
+        self.key, lead, self.unit, self.many = np.unique(mix(self.hash + self.cue.astype(U)), return_index=True, return_inverse=True, return_counts=True)
         self.lead, self.start, self.size = lead, start[lead], size[lead]
         self.own = self.count(self.hash)
 
@@ -256,7 +259,7 @@ def _unit_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             s = Slice(part.column(0))
             held.append((s.hash[s.lead], s.cue[s.lead], s.many, _binary(s.low, s.start, s.size)))
             size, phrases = size + len(s.lead), phrases + len(s.phrases()[0])
-            if size > 1_000_000:
+            if size > UNITS_HELD:
                 yield flush()
                 held, size = [], 0
     if held:
@@ -345,23 +348,33 @@ def _worth(log_ratio: np.ndarray) -> np.ndarray:
 
 
 def _scorer(codes: Codes, mixer: Mixer, counts: Counts):
-    kind = pa.struct([("key", pa.int64()), ("tf", pa.int32()), ("own", pa.int32()), ("worth", pa.int32())])
-
-    def lists(keys: np.ndarray, own: np.ndarray, worth: np.ndarray, doc: np.ndarray, s: Slice) -> pa.Array:
-        """The distinct (key, worth) of each text with their number, and how often the text has the key."""
+    def packed(keys: np.ndarray, own: np.ndarray, worth: np.ndarray, doc: np.ndarray, s: Slice) -> list[pa.Array]:
+        """Of each text the distinct (key, worth), with their number and how often the text has the key: four columns of bytes."""
         _, lead, tf = np.unique(s.in_doc(mix(keys + worth.astype(np.int64).view(U)), doc), return_index=True, return_counts=True)
         order = np.argsort(doc[lead], kind="stable")
         lead, tf = lead[order], tf[order]
-        flat = pa.StructArray.from_arrays([pa.array(keys[lead].view(np.int64)), pa.array(tf.astype(np.int32)), pa.array(own[lead].astype(np.int32)), pa.array(worth[lead])], fields=list(kind))
-        return pa.ListArray.from_arrays(np.searchsorted(doc[lead], np.arange(len(s.n) + 1)).astype(np.int32), flat)
+        off = np.searchsorted(doc[lead], np.arange(len(s.n) + 1))
+        values = (keys[lead].astype("<u8"), tf.astype("<u4"), own[lead].astype("<u4"), worth[lead].astype("<i2"))
+        return [pa.Array.from_buffers(pa.binary(), len(s.n), [None, pa.py_buffer((off * v.itemsize).astype(np.int32).tobytes()), pa.py_buffer(v.tobytes())]) for v in values]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = np.append(np.log10(counts.count[:-1] + 1.0), 0.0)
+        named, prices = np.zeros(PRICED, U), np.zeros(PRICED)
+
+        def priced(s: Slice) -> np.ndarray:
+            """The natural logarithm of each distinct word's probability; most were priced in a slice before."""
+            slot = (s.key % U(PRICED)).astype(np.int64)
+            log_p = prices[slot]
+            new = np.flatnonzero(named[slot] != s.key)
+            log_p[new] = mixer.log_p(Spelling(codes, s.low, s.start[new], s.size[new], s.cue[s.lead[new]], s.many[new]))
+            named[slot[new]], prices[slot[new]] = s.key[new], log_p[new]
+            return log_p
+
         for batch in batches:
             for part in slices(batch, "text"):
                 s = Slice(part.column(1))
                 trained = np.array(part.column(2).to_pylist(), bool)
-                spelled = mixer.log_p(Spelling(codes, s.low, s.start, s.size, s.cue[s.lead], s.many))[s.unit]
+                spelled = priced(s)[s.unit]
                 trust, at = mixer.trust[s.cue], counts.lookup.find(s.hash)
                 others = np.maximum(counts.total - (s.n * trained)[s.doc], 1)
                 share = np.maximum(counts.count[at] - s.own * trained[s.doc], 0) / others
@@ -369,15 +382,15 @@ def _scorer(codes: Codes, mixer: Mixer, counts: Counts):
                 with np.errstate(divide="ignore"):
                     log_p = np.logaddexp(np.log(trust * share), spelled)
                 rare = np.flatnonzero(at < 0)
-                words = lists(s.hash[rare], s.own[rare], _worth(np.log(trust / others) - spelled)[rare], s.doc[rare], s)
+                words = packed(s.hash[rare], s.own[rare], _worth(np.log(trust / others) - spelled)[rare], s.doc[rare], s)
                 begin, doc, key = s.phrases()
                 _, each, many = np.unique(s.in_doc(key, doc), return_inverse=True, return_counts=True)
                 left = np.maximum(counts.phrases - (np.bincount(doc, minlength=len(s.n)) * trained)[doc], 1)
-                phrases = lists(key, many[each], _worth(-np.add.reduceat(log_p, begin) - np.log(left)), doc, s)
+                phrases = packed(key, many[each], _worth(-np.add.reduceat(log_p, begin) - np.log(left)), doc, s)
                 total = lambda x: pa.array(np.add.reduceat(x, s.first))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.compute.binary_length(part.column(1)).cast(pa.int64()), pa.array(s.n), total((at >= 0).astype(np.int64)), total(logs[at]), total(log_p / np.log(10)), pa.array(np.bincount(doc, minlength=len(s.n))), words, phrases],
-                    names=["doc_id", "trained", "n_bytes", "n_tokens", "known", "logs", "coded", "n_phrases", "words", "phrases"],
+                    [part.column(0), part.column(2), pa.compute.binary_length(part.column(1)).cast(pa.int64()), pa.array(s.n), total((at >= 0).astype(np.int64)), total(logs[at]), total(log_p / np.log(10)), pa.array(np.bincount(doc, minlength=len(s.n))), *words, *phrases],
+                    names=["doc_id", "trained", "n_bytes", "n_tokens", "known", "logs", "coded", "n_phrases", *_columns("words"), *_columns("phrases")],
                 )
 
     import pyarrow.compute  # noqa: F401
@@ -385,10 +398,13 @@ def _scorer(codes: Codes, mixer: Mixer, counts: Counts):
     return score
 
 
-def _model(learn: DataFrame) -> tuple[Codes, Mixer, Counts, DataFrame, int, int]:
-    """(codes, mixer, counts, (token, c), training tokens, distinct ones) of the column ``text``."""
+def _model(learn: DataFrame) -> tuple[Codes, Mixer, Counts, int, int]:
+    """(codes, mixer, counts, training tokens, distinct ones) of the column ``text``.
+
+    Words are dealt to learning tasks by their hash, in an order by hash, and the number of tasks follows from the number of words: the layout of the table does not matter.
+    """
     found = learn.mapInArrow(_unit_counter, "word binary, cue int, n long").groupBy("word", "cue").agg(F.sum("n").alias("n"))
-    units = kept(found.mapInArrow(_tokens, "word binary, cue int, n long, token long"), "units")
+    table = units = kept(found.mapInArrow(_tokens, "word binary, cue int, n long, token long"), "units")
     phrases = units.filter(F.col("cue") == ALL_PHRASES).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     units = units.filter(F.col("cue") != ALL_PHRASES)
     counted = kept(units.groupBy("token").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("units")), "token-counts")
@@ -396,7 +412,8 @@ def _model(learn: DataFrame) -> tuple[Codes, Mixer, Counts, DataFrame, int, int]
     heavy = counted.filter(F.col("c") > total / HEAVY).orderBy("token").select("token", "c").toArrow()  # less than HEAVY rows
     counts = Counts(total, phrases, heavy["token"].to_numpy().astype(np.int64).view(U), heavy["c"].to_numpy().astype(np.int64))
     # Few enough tasks that what each reaches of the tables is less than what it reads.
-    each = units.select("word", "cue", "n", "token").coalesce(max(8, n_units // UNITS_A_TASK))
+    tasks = max(LEAST_TASKS, n_units // UNITS_A_TASK)
+    each = units.select("word", "cue", "n", "token").coalesce(tasks)
     bytes_ = each.mapInArrow(_byte_counter, "symbol int, n double").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()
     many = np.zeros(256)
     many[bytes_["symbol"].to_numpy()] = bytes_["n"].to_numpy()
@@ -407,23 +424,187 @@ def _model(learn: DataFrame) -> tuple[Codes, Mixer, Counts, DataFrame, int, int]
     mixer = Mixer(n, ones)
     del slots, heavy
     if total:
-        got = each.mapInArrow(_learner(codes, mixer, counts), "slot int, value double, visits double").groupBy("slot").agg((F.sum("value") / F.sum("visits")).alias("mean")).toArrow()
+        dealt = units.select("word", "cue", "n", "token").repartition(tasks, "word", "cue").sortWithinPartitions(F.xxhash64("word", "cue"), "word", "cue")
+        got = dealt.mapInArrow(_learner(codes, mixer, counts), "slot int, value double, visits double").groupBy("slot").agg((F.sum("value") / F.sum("visits")).alias("mean")).toArrow()
         value = np.concatenate([mixer.weight.ravel(), mixer.refine, mixer.trust])
         value[got["slot"].to_numpy()] = got["mean"].to_numpy()
         a, b = mixer.weight.size, mixer.weight.size + mixer.refine.size
         mixer.weight, mixer.refine = value[:a].reshape(mixer.weight.shape).astype(np.float32), value[a:b]
         mixer.trust = np.clip(value[b:], 1e-6, 1 - 1e-3)
     mixer.freeze()
-    return codes, mixer, counts, counted.select("token", "c"), total, distinct
+    discard(table)
+    discard(counted)
+    return codes, mixer, counts, total, distinct
+
+
+def _columns(name: str) -> list[str]:
+    return [f"{name}_{c}" for c in ("key", "tf", "own", "worth")]
+
+
+def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, ...]:
+    """(place of the row in the batch, key, tf, own, worth) of all entries of packed columns."""
+    out = []
+    for column, kind in zip(_columns(name), ("<u8", "<u4", "<u4", "<i2"), strict=True):
+        data = b"".join(batch.column(column).to_pylist())
+        out.append(np.frombuffer(data, kind))
+    each = pa.compute.binary_length(batch.column(f"{name}_key")).to_numpy() // 8
+    return (np.repeat(np.arange(batch.num_rows), each), *out)
+
+
+def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places of its keys)."""
+    shard = (keys >> U(20)) % U(shards)
+    order = np.argsort(shard, kind="stable")
+    names, first = np.unique(shard[order], return_index=True)
+    for name, at in zip(names, np.split(order, first[1:]), strict=True):
+        yield int(name), at
+
+
+PACKED = "shard int, key binary, row binary, tf binary, own binary, worth binary, c binary, held binary"
+
+
+def _pack(shard: int, **columns: np.ndarray) -> dict:
+    return {"shard": shard} | {n: columns[n].tobytes() if n in columns else b"" for n in ("key", "row", "tf", "own", "worth", "c", "held")}
+
+
+_PACKED = pa.schema([("shard", pa.int32()), *[(n, pa.binary()) for n in ("key", "row", "tf", "own", "worth", "c", "held")]])
+
+
+def _key_counts(scored: DataFrame, name: str, shards: int) -> DataFrame:
+    """Packed (key, c, held) by shard: how often training texts have each key, and how many entries it has. Tasks add up theirs first."""
+
+    def send(keys: list, c: list, held: list) -> Iterator[pa.RecordBatch]:
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        c, held = np.bincount(at, np.concatenate(c), len(key)), np.bincount(at, np.concatenate(held), len(key))
+        yield pa.RecordBatch.from_pylist([_pack(shard, key=key[i], c=c[i].astype("<u8"), held=held[i].astype("<u8")) for shard, i in _by_shard(key, shards)], schema=_PACKED)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = ([], [], []), 0
+        for b in batches:
+            at, key, tf, _, _ = _flat(b, name)
+            trained = np.array(b.column("trained").to_pylist(), bool)
+            for part, value in zip(held, (key, tf * trained[at], np.ones(len(key))), strict=True):
+                part.append(value)
+            size += len(key)
+            if size > HELD:
+                yield from send(*held)
+                held, size = ([], [], []), 0
+        if size:
+            yield from send(*held)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list] = {}
+        for b in batches:
+            for r in b.select(["shard", "key", "c", "held"]).to_pylist():
+                mine = parts.setdefault(r["shard"], [])
+                mine.append((np.frombuffer(r["key"], "<u8"), np.frombuffer(r["c"], "<u8").astype(float), np.frombuffer(r["held"], "<u8").astype(float)))
+                if len(mine) > 1 and sum(len(k) for k, _, _ in mine[1:]) > max(SHARD, len(mine[0][0])):
+                    parts[r["shard"]] = [summed(mine)]
+        for shard, mine in parts.items():
+            key, c, held = summed(mine)
+            use = c > 0
+            yield pa.RecordBatch.from_pylist([_pack(shard, key=key[use], c=c[use].astype("<u8"), held=held[use].astype("<u8"))], schema=_PACKED)
+
+    def summed(mine: list) -> tuple[np.ndarray, ...]:
+        key, at = np.unique(np.concatenate([k for k, _, _ in mine]), return_inverse=True)
+        return key, np.bincount(at, np.concatenate([c for _, c, _ in mine]), len(key)), np.bincount(at, np.concatenate([h for _, _, h in mine]), len(key))
+
+    sent = scored.select("trained", *_columns(name)).mapInArrow(count, PACKED)
+    return kept(sent.repartition(shards, "shard").mapInArrow(add, PACKED), f"{name}-counts")
+
+
+def _elsewhere(scored: DataFrame, name: str, values, n_values: int) -> DataFrame:
+    """(row, v0, v1, ...): sums over the entries of each row of ``values`` (tf, c, gain), where gain is the binary logarithm of what a key's occurrences in other training texts are worth."""
+    spark = scored.sparkSession
+    entries = (scored.agg(F.sum(F.octet_length(f"{name}_key"))).first()[0] or 0) // 8
+    shards = max(16, -(-entries // SHARD))
+    counted = _key_counts(scored, name, shards)
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.select(["key", "c", "held"]).to_pylist():
+                use = np.frombuffer(r["held"], "<u8") > max(SHARD // 64, entries / COMMON)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["key"], "<u8")[use].view(np.int64)), pa.array(np.frombuffer(r["c"], "<u8")[use].astype(np.int64))], names=["key", "c"])
+
+    far = counted.mapInArrow(common, "key long, c long").orderBy("key").toArrow()  # less than COMMON rows
+    sent = spark.sparkContext.broadcast((far["key"].to_numpy().astype(np.int64).view(U), np.append(far["c"].to_numpy().astype(float), 0.0)))
+
+    def gains(tf: np.ndarray, own: np.ndarray, worth: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """own: 0 where the row is not trained on."""
+        with np.errstate(divide="ignore"):
+            return values(tf.astype(float), c, np.log2(np.maximum(c - own, 0)) + worth.astype(float) / FINE)
+
+    def summed(row: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+        rows, at = np.unique(row, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(rows), *[pa.array(np.bincount(at, v, len(rows))) for v in found]], names=["row", *[f"v{i}" for i in range(n_values)]])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = sent.value
+        lookup = Lookup(keys)
+        for b in batches:
+            at, key, tf, own, worth = _flat(b, name)
+            place = lookup.find(key)
+            mine = np.flatnonzero(place >= 0)
+            if len(mine):
+                trained = np.array(b.column("trained").to_pylist(), bool)[at[mine]]
+                yield summed(b.column("row").to_numpy()[at[mine]], gains(tf[mine], own[mine] * trained, worth[mine], counts[place[mine]]))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(sent.value[0])
+        held, size = [[] for _ in range(5)], 0
+
+        def flush() -> pa.RecordBatch:
+            row, key, tf, own, worth = (np.concatenate(p) for p in held)
+            return pa.RecordBatch.from_pylist([_pack(shard, key=key[i], row=row[i], tf=tf[i], own=own[i], worth=worth[i]) for shard, i in _by_shard(key, shards)], schema=_PACKED)
+
+        for b in batches:
+            at, key, tf, own, worth = _flat(b, name)
+            use = np.flatnonzero(lookup.find(key) < 0)
+            at = at[use]
+            trained = np.array(b.column("trained").to_pylist(), bool)[at]
+            for part, value in zip(held, (b.column("row").to_numpy()[at].astype("<i8"), key[use], tf[use], (own[use] * trained).astype("<u4"), worth[use]), strict=True):
+                part.append(value)
+            size += len(use)
+            if size > HELD:
+                yield flush()
+                held, size = [[] for _ in range(5)], 0
+        if size:
+            yield flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, tuple] = {}
+        waiting: dict[int, list] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                if r["c"]:
+                    counts[r["shard"]] = np.frombuffer(r["key"], "<u8"), np.frombuffer(r["c"], "<u8")
+                else:
+                    waiting.setdefault(r["shard"], []).append([np.frombuffer(r[n], k) for n, k in (("row", "<i8"), ("key", "<u8"), ("tf", "<u4"), ("own", "<u4"), ("worth", "<i2"))])
+        for shard, parts in waiting.items():
+            if shard not in counts:
+                continue
+            keys, c = counts[shard]  # sorted
+            for row, key, tf, own, worth in parts:
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                use = np.flatnonzero(keys[at] == key)
+                if len(use):
+                    yield summed(row[use], gains(tf[use], own[use], worth[use], c[at[use]].astype(float)))
+
+    import pyarrow.compute  # noqa: F401
+
+    schema = "row long, " + ", ".join(f"v{i} double" for i in range(n_values))
+    rows = scored.select("row", "trained", *_columns(name))
+    shared = rows.mapInArrow(send, PACKED).unionByName(counted).repartition(shards, "shard").mapInArrow(meet, schema)
+    found = rows.mapInArrow(near, schema).unionByName(shared)
+    return kept(found.groupBy("row").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(n_values)]), f"{name}-sums")
+
+
+def _word_values(tf: np.ndarray, c: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    return np.stack([tf * np.log10(c + 1), tf, tf * np.logaddexp2(0, gain) * np.log10(2)])
 
 
-def _phrase_counts(phrases: DataFrame) -> DataFrame:
-    """``phrases`` (row, trained, key, tf, ...) with ``c``, how often training texts have the key. A phrase may be in most texts: its rows are dealt to SALTS parts."""
-    dealt = phrases.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)))
-    some = dealt.groupBy("key", "salt").agg(F.sum(F.when(F.col("trained"), F.col("tf")).otherwise(F.lit(0))).alias("some"), F.count(F.lit(1)).alias("held"))
-    whole = Window.partitionBy("key")  # SALTS rows at most
-    sizes = some.select("key", "salt", F.sum("some").over(whole).alias("c"), F.sum("held").over(whole).alias("held")).filter("c > 0 and held > 1").drop("held")
-    return dealt.join(sizes, ["key", "salt"])
+def _phrase_values(tf: np.ndarray, c: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    return np.stack([tf * np.logaddexp2(0, gain + np.log2(x / (1 - x))) * np.log10(2) for x in LAMBDAS])
 
 
 def context_mixing_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -436,32 +617,28 @@ def context_mixing_scores(docs: DataFrame, training: Column, id_col: str = "doc_
     """
     trained = F.coalesce(training.cast("boolean"), F.lit(False))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), trained.alias("trained"))
-    codes, mixer, counts, counted, total, distinct = _model(base.filter("trained").select("text"))
-    entry = "array<struct<key: long, tf: int, own: int, worth: int>>"
-    scored = base.mapInArrow(_scorer(codes, mixer, counts), f"doc_id long, trained boolean, n_bytes long, n_tokens long, known long, logs double, coded double, n_phrases long, words {entry}, phrases {entry}")
-    scored = kept(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    of = lambda name: scored.select("row", "trained", F.explode(name).alias("e")).select("row", "trained", "e.*")
-    elsewhere = F.col("c") - F.when(F.col("trained"), F.col("own")).otherwise(F.lit(0))
-    gain = elsewhere * F.pow(F.lit(2.0), F.col("worth") / FINE)
-    words = of("words").join(counted.withColumnRenamed("token", "key"), "key").select("row", "tf", (F.col("tf") * F.log10(F.col("c") + 1.0)).alias("a"), (F.col("tf") * F.log10(1 + gain)).alias("b"))
-    words = words.groupBy("row").agg(F.sum("a").alias("more_logs"), F.sum("tf").alias("more_known"), F.sum("b").alias("words_gain"))
-    phrases = _phrase_counts(of("phrases")).filter(elsewhere > 0)
-    phrases = phrases.groupBy("row").agg(*[F.sum(F.col("tf") * F.log10(1 + gain * F.lit(x / (1 - x)))).alias(f"gain_{i}") for i, x in enumerate(LAMBDAS)])
-    out = scored.drop("words", "phrases").join(words, "row", "left").join(phrases, "row", "left")
-    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
-    trials = [F.coalesce("words_gain", F.lit(0.0)), *[F.col("n_phrases") * F.log10(F.lit(1 - x)) + F.coalesce(f"gain_{i}", F.lit(0.0)) for i, x in enumerate(LAMBDAS)]]
-    best = F.greatest(*trials)
-    score = F.col("coded") + best + F.log10(sum((F.pow(F.lit(10.0), t - best) for t in trials), F.lit(0.0)) / len(trials))
-    out = out.withColumn("score", score)
-    return out.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))).alias("base_score"),
-        "score",
-        F.when(F.col("n_bytes") > 0, -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")).alias("bits_per_byte"),
-    )
+    with scratch():
+        codes, mixer, counts, total, distinct = _model(base.filter("trained").select("text"))
+        entry = ", ".join(f"{c} binary" for name in ("words", "phrases") for c in _columns(name))
+        scored = base.mapInArrow(_scorer(codes, mixer, counts), f"doc_id long, trained boolean, n_bytes long, n_tokens long, known long, logs double, coded double, n_phrases long, {entry}")
+        scored = kept(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+        words = _elsewhere(scored, "words", _word_values, 3).toDF("row", "more_logs", "more_known", "words_gain")
+        phrases = _elsewhere(scored, "phrases", _phrase_values, len(LAMBDAS)).toDF("row", *[f"gain_{i}" for i in range(len(LAMBDAS))])
+        out = scored.drop(*_columns("words"), *_columns("phrases")).join(words, "row", "left").join(phrases, "row", "left")
+        logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
+        trials = [F.coalesce("words_gain", F.lit(0.0)), *[F.col("n_phrases") * F.log10(F.lit(1 - x)) + F.coalesce(f"gain_{i}", F.lit(0.0)) for i, x in enumerate(LAMBDAS)]]
+        best = F.greatest(*trials)
+        score = F.col("coded") + best + F.log10(sum((F.pow(F.lit(10.0), t - best) for t in trials), F.lit(0.0)) / len(trials))
+        out = out.withColumn("score", score).select(
+            "doc_id",
+            "n_tokens",
+            (F.col("known") + F.coalesce("more_known", F.lit(0.0))).cast("long").alias("n_known"),
+            F.lit(int(total)).cast("long").alias("train_tokens"),
+            (logs - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))).alias("base_score"),
+            "score",
+            F.when(F.col("n_bytes") > 0, -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")).alias("bits_per_byte"),
+        )
+        return kept(out, "scores", stay=True)
 
 
 def op2_context_mixing(spark, sf_dir: str) -> DataFrame:
