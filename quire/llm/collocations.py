@@ -34,6 +34,7 @@ SHARD_RUNS = 1 << 20  # runs of words for each shard of the sketch, on average
 HELD = 2 << 20  # runs that a task adds up before it sends their cells
 FILTER_BITS, FILTER_CELLS = 28, 1 << 24  # largest Bloom filter, and how many cells go into one
 CHUNK_BITS = 16
+CELL = U(0xFFFFFFFF)  # bits of a key that name its cell in the shard
 BLOCK = 200_000  # phrases in the automata of one scan
 AHEAD = 2  # times LIMIT: phrases of each language that the first scan counts
 LANES = 16  # in which the first ranks of a language are found before they meet
@@ -80,7 +81,7 @@ def _runs(part: pa.RecordBatch, longest: int) -> Iterator[tuple]:
 
 def _cells(key: np.ndarray, shards: int) -> np.ndarray:
     """shard << 32 | cell of each key."""
-    return ((key >> U(32)) % U(shards)) << U(32) | key & U(0xFFFFFFFF)
+    return ((key >> U(32)) % U(shards)) << U(32) | key & CELL
 
 
 def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
