@@ -23,17 +23,21 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose text is null or has no letter, or whose predicted language scores hardly above an even chance among the learned ones.
+    """Documents go whose text is null or has no letter, whose predicted language scores hardly above an even chance among the learned ones, or that are in none of them.
 
-    The label column ``lang`` is taught from, never filtered on. Without any label there is nothing to score by, and only the first rule holds.
+    The last is told by runs of symbols that no labelled text holds: a text may have no more of them than natural text in a learned language has. The label column ``lang`` is taught from,
+    never filtered on. Without any label there is nothing to score by, and only the first rule holds. Texts are judged whole, however long; equal texts are judged alike.
     """
-    net = language.fit(docs.select("text", "lang"))
+    labelled = docs.select("text", "lang")
+    net = language.fit(labelled)
     if net is None:
         return docs.select(*COLUMNS).filter(F.col("text").rlike(r"\p{L}"))
     named = language.language_id(docs, net, carry=("text", "lang", "source", "n_chars"))
     chance = 1 / len(net.languages)
     told = named.filter((F.col("lang_pred") != "und") & (F.col("score") >= chance + LEAST_MARGIN * (1 - chance)))
-    return told.select("doc_id", *[F.col(f"carried_{i}").alias(c) for i, c in enumerate(COLUMNS[1:])])
+    known = language.familiar(labelled)
+    kept_ = language.with_unfamiliar(told, known, "carried_0").filter(F.col("unfamiliar") <= known.most)
+    return kept_.select("doc_id", *[F.col(f"carried_{i}").alias(c) for i, c in enumerate(COLUMNS[1:])])
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
