@@ -65,7 +65,10 @@ class App:
         out += [f"ignored {r.files} x {r.suffix}" for r in SF.count_ignored(self.spark, self.settings.course_dir(course), self.settings.suffixes).collect()]
         if show_removed:
             out += [f"{r.source} furniture {r.line!r}: {r.margin:.0%} of pages" + (" (borderline)" if r.borderline else "") for r in P.margin(P.cleaning_report(pages)).orderBy("source", "line").collect()]
-            out += [f"{r.source} {r.stage}: {r.lines} lines on pages {r.pages}" for r in P.by_stage(P.removals(pages)).orderBy("source", "stage").collect()]
+            gone = P.removals(pages).persist()
+            out += [f"{r.source} {r.stage}: {r.lines} lines on pages {r.pages}" for r in P.by_stage(gone).orderBy("source", "stage").collect()]
+            out += [f"{r.source} p{r.page} {r.stage}: {r.text!r}" + (f" x {r.n}" if r.n > 1 else "") for r in gone.groupBy("source", "page", "stage", "text").agg(F.count(F.lit(1)).alias("n")).orderBy("source", "page", "stage", "text").collect()]
+            gone.unpersist()
         return out
 
     def chunks(self, course: str, show: int = 3) -> list[str]:
@@ -75,10 +78,12 @@ class App:
         sample = C.systematic_sample(found, show).orderBy("source", "chunk_index").select(T.citation("source", "page", "page_end"), T.preview("text", 100)).collect() if show else []
         return out + [f"[{c}] {t}" for c, t in sample]
 
-    def ingest(self, course: str, rebuild: bool = False) -> list[str]:
+    def ingest(self, course: str, rebuild: bool = False, force: bool = False, show=None) -> list[str]:
+        """force: unchanged files are cleaned and embedded again, too. show: gets the numbers of files read and chunks embedded while they grow; the error stream does, by default."""
         if rebuild:
             ChunkIndex(self.spark, self.settings.index_path(course)).drop()
-        report = ingest(self.spark, str(self.settings.course_dir(course)), self._index(course, create=True), self.embedder, self.settings)
+        told = show or (lambda files, chunks: print(f"{files} files read, {chunks} chunks embedded", file=sys.stderr))
+        report = ingest(self.spark, str(self.settings.course_dir(course)), self._index(course, create=True), self.embedder, self.settings, force, told)
         out = [f"{r.source}: {r.status}" + (f", {r.chunks} chunks" if r.chunks else "") + (f" ({r.detail})" if r.detail else "") for r in report.outcomes.collect()]
         totals = [f"{r.status}: {r.files} files, {r.chunks} chunks" for r in report.totals().orderBy("status").collect()]
         return [*out, *totals, f"{report.seconds:.1f} s"]
@@ -97,7 +102,8 @@ class App:
         made = X.mock_exam(self.chat, chunks, course, n, topic, self.settings.max_retries + 1, self._on_token(began))
         took = f"{time.time() - began:.1f} s, {made.attempts} attempt{'s' * (made.attempts > 1)}"
         if made.items.isEmpty():
-            return [took, "no questions: the material did not support any", *made.dropped, made.raw[:500]]
+            passages = chunks.orderBy("source", "page", "ord").select(T.citation("source", "page", "page_end"), T.preview("text", 160)).collect()
+            return [took, "no questions: the material did not support any", *made.dropped, made.raw[:500], *(f"[{c}] {t}" for c, t in passages)]
         self.settings.ensure_dirs()
         paths = [self.settings.output_path(course, kind) for kind in ("mock_exam", "answers")]
         for path, body in zip(paths, X.render(course, made.items), strict=True):
@@ -153,6 +159,7 @@ def main(argv: list[str] | None = None, app: App | None = None) -> int:
             p.add_argument("--show", type=int, default=3)
         elif name == "ingest":
             p.add_argument("--rebuild", action="store_true")
+            p.add_argument("--force", action="store_true")
         elif name == "search":
             p.add_argument("text")
             p.add_argument("--top-k", type=int)

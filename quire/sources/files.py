@@ -84,8 +84,8 @@ def with_hash(files: DataFrame) -> DataFrame:
     return files.withColumn("hash", F.sha2("content", 256))
 
 
-def with_content(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """``files`` with their bytes as ``content`` and the hash of them; one file is in a worker's memory at a time."""
+def with_content(spark: SparkSession, files: DataFrame, done=None) -> DataFrame:
+    """``files`` with their bytes as ``content`` and the hash of them; one file is in a worker's memory at a time. done: an accumulator that counts files as tasks end."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,6 +93,8 @@ def with_content(spark: SparkSession, files: DataFrame) -> DataFrame:
                 fs, path, _ = file_system(r["path"])
                 with fs.open_input_stream(path) as f:
                     yield pa.RecordBatch.from_pylist([r | {"content": f.read()}])
+                if done is not None:
+                    done.add(1)
 
     return with_hash(files.select("source", "path", "suffix").mapInArrow(load, "source string, path string, suffix string, content binary"))
 

@@ -65,8 +65,11 @@ def embed_batch(model, texts: list[str], sleep: Callable[[float], None] = time.s
     return out
 
 
-def embed(df: DataFrame, model, text: str = "text", on_progress: Callable[[int], None] | None = None) -> DataFrame:
-    """``df`` with unit vectors of ``text`` as ``embedding`` array<float>. Requests run in the executors, BATCH texts each; a failed task is tried again by Spark."""
+def embed(df: DataFrame, model, text: str = "text", done=None) -> DataFrame:
+    """``df`` with unit vectors of ``text`` as ``embedding`` array<float>. Requests run in the executors, BATCH texts each; a failed task is tried again by Spark.
+
+    done: an accumulator that counts embedded texts as tasks end.
+    """
     from pyspark.sql import types as P
 
     prepared = df.withColumn("__prepared", F.coalesce(F.nullif(T.strip(F.coalesce(text, F.lit(""))), F.lit("")), F.lit(" ")))
@@ -76,8 +79,8 @@ def embed(df: DataFrame, model, text: str = "text", on_progress: Callable[[int],
             for a in range(0, b.num_rows, BATCH):
                 part = b.slice(a, BATCH)
                 vectors = embed_batch(model, part.column(part.num_columns - 1).to_pylist())
-                if on_progress:
-                    on_progress(part.num_rows)
+                if done is not None:
+                    done.add(part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(vectors, pa.list_(pa.float64()))], names=[*part.schema.names[:-1], "embedding"])
 
     schema = P.StructType([*df.schema.fields, P.StructField("embedding", P.ArrayType(P.DoubleType()))])

@@ -1,41 +1,30 @@
-"""Ingestion as a stream: new or changed files of a folder go through the same steps, batch by batch."""
+"""Ingestion as a stream: what changes in a folder goes through the same steps, batch by batch; what is deleted leaves the index."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import text as T
 from ..plans.ingest import ingest_files
 from ..settings import Settings
 from ..sources import files as S
 from ..sources.index import ChunkIndex
-
-BINARY = "path string, modificationTime timestamp, length long, content binary"
-
-
-def file_stream(spark: SparkSession, directory: str, suffixes: tuple[str, ...]) -> DataFrame:
-    """(source, path, suffix, content, hash) of files as they appear, at most 1000 a batch."""
-    root = directory.rstrip("/")
-    raw = spark.readStream.schema(BINARY).format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1000).load(root)
-    name = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), rf"^.*?{root.rsplit('/', 1)[-1]}/", "")
-    files = raw.select(name.alias("source"), "path", T.extension("path").alias("suffix"), "content").filter(~T.is_skipped("source") & F.col("suffix").isin(*suffixes))
-    return files.withColumn("hash", F.sha2("content", 256))
+from .folder_source import folder_changes
 
 
 def stream_ingest(spark: SparkSession, directory: str, index: ChunkIndex, model, settings: Settings, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Keep an index up to date with the files that ingest() takes. A batch that runs again after a failure finds its hashes in the index and changes nothing.
 
-    With each batch, the folder is also listed: files whose names Spark's lister hides are taken along, and documents whose files are gone leave the index.
+    A batch is the difference of two snapshots of the folder, so deletions are seen whether or not a new file comes.
     """
 
-    def batch(files: DataFrame, _: int) -> None:
-        there = S.list_files(spark, directory).filter(S.wanted(settings.suffixes)).persist()
-        hidden = there.filter(F.element_at(F.split("source", "/"), -1).startswith("_"))
-        ingest_files(spark, files.unionByName(S.with_content(spark, hidden).select(*files.columns)), index, model, settings)
-        index.remove(index.documents().join(there, "source", "left_anti"))
-        there.unpersist()
+    def batch(changes: DataFrame, _: int) -> None:
+        gone = changes.filter("change = 'gone'").select("source")
+        there = changes.filter("change <> 'gone'").select("source", "path", "suffix")
+        if not there.isEmpty():
+            ingest_files(spark, S.with_content(spark, there), index, model, settings)
+        index.remove(gone)
 
-    writer = file_stream(spark, directory, settings.suffixes).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    changes = folder_changes(spark, directory, f"{checkpoint.rstrip('/')}/snapshots", settings.suffixes)
+    writer = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()

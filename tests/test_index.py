@@ -95,13 +95,44 @@ def test_stream_ingest(spark, course):
 
     index = ChunkIndex.open(spark, course.index_path("ml"), course.profile(16), create=True)
     root = course.course_dir("ml")
-    q = stream_ingest(spark, str(root), index, M.HashEmbedder(16), course, str(root.parent.parent / "ck"))
-    q.awaitTermination(120)
-    assert q.exception() is None and {r.source for r in index.sources().collect()} == {"_c.txt", "a.txt", "week1/b.md"}
-    (root / "_c.txt").unlink()
+
+    def run():
+        q = stream_ingest(spark, str(root), index, M.HashEmbedder(16), course, str(root.parent.parent / "ck"))
+        q.awaitTermination(120)
+        assert q.exception() is None
+        return {r.source: r.chunks for r in index.sources().collect()}
+
+    first = run()
+    assert set(first) == {"_c.txt", "a.txt", "week1/b.md"} and run() == first
+    (root / "_c.txt").unlink()  # nothing but a deletion
+    assert set(run()) == {"a.txt", "week1/b.md"}
     (root / "n.txt").write_text(TEXT * 4)
-    stream_ingest(spark, str(root), index, M.HashEmbedder(16), course, str(root.parent.parent / "ck")).awaitTermination(120)
-    assert {r.source for r in index.sources().collect()} == {"a.txt", "n.txt", "week1/b.md"}
+    (root / "a.txt").write_text(TEXT * 40)
+    (root / "week1/b.md").unlink()
+    last = run()
+    assert set(last) == {"a.txt", "n.txt"} and last["a.txt"] > first["a.txt"]
+
+
+def test_folder_snapshots(tmp_path):
+    from quire.streaming.folder_source import FolderReader
+
+    root = tmp_path / "f"
+    root.mkdir()
+    (root / "a.txt").write_text("1")
+    (root / "skip.csv").write_text("1")
+    reader = FolderReader({"path": str(root), "snapshots": str(tmp_path / "s"), "extensions": ".txt"})
+    told = lambda a, b: [(r[0], r[3]) for p in reader.partitions(a, b) for r in reader.read(p)]
+    zero, one = reader.initialOffset(), reader.latestOffset()
+    assert reader.latestOffset() == one and told(zero, one) == [("a.txt", "added")] and told(one, one) == []
+    (root / "b.txt").write_text("2")
+    (root / "a.txt").write_text("22")
+    two = reader.latestOffset()
+    assert told(one, two) == [("a.txt", "changed"), ("b.txt", "added")] and told(two, one) == [("a.txt", "changed"), ("b.txt", "gone")]
+    (root / "b.txt").unlink()
+    three = reader.latestOffset()
+    assert told(two, three) == [("b.txt", "gone")] and told(zero, two) == [("a.txt", "added"), ("b.txt", "added")]
+    reader.commit(three)
+    assert told(three, three) == [] and len(list((tmp_path / "s").iterdir())) == 1
 
 
 ROW = "source string, chunk_index long, id string, text string, page long, page_end long, section string, embedding array<float>"
@@ -206,6 +237,39 @@ def test_rebuild(spark, course):
     assert main(["ingest", "ml", "--rebuild"], app) == 0 and any("a.txt: cached" in x for x in app.ingest("ml"))
 
 
+def test_progress_grows_and_force_embeds_again(spark, tmp_path):
+    import time
+
+    class Slow(M.HashEmbedder):
+        def request(self, texts):
+            time.sleep(0.9)
+            return super().request(texts)
+
+    root = tmp_path / "c" / "x"
+    root.mkdir(parents=True)
+    for i in range(12):
+        (root / f"{i}.txt").write_text(f"Text {i}. " + TEXT * 12)
+    app = App(spark, Settings(courses_dir=str(tmp_path / "c"), index_dir=str(tmp_path / "i"), extensions=".txt"), Slow(16))
+    seen = []
+    lines = app.ingest("x", show=lambda files, chunks: seen.append((files, chunks)))
+    total = sum(int(x.rsplit(", ", 1)[1].split()[0]) for x in lines if ": indexed, " in x)
+    assert seen == sorted(seen) and seen[-1] == (12, total) and len({c for _, c in seen}) > 2, seen
+    assert all("cached" in x for x in app.ingest("x", show=seen.append) if x.startswith("1.txt"))
+    again = []
+    assert any("1.txt: indexed" in x for x in app.ingest("x", force=True, show=lambda *n: again.append(n))) and again[-1] == (12, total)
+    index = ChunkIndex.open(spark, app.settings.index_path("x"))
+    assert index.chunks().count() == total and index.documents().count() == 12
+
+
+def test_what_cleaning_removed_is_shown(spark, tmp_path):
+    root = tmp_path / "c" / "x"
+    root.mkdir(parents=True)
+    (root / "a.txt").write_text("A sentence that stays.\n" + "\n".join(["age", "income", "high risk", "low risk", "north", "south", "age"]))
+    app = App(spark, Settings(courses_dir=str(tmp_path / "c"), extensions=".txt"), M.HashEmbedder(16))
+    lines = app.inspect("x", True)
+    assert "a.txt p1 figure-debris: 'age' x 2" in lines and "a.txt p1 figure-debris: 'north'" in lines
+
+
 def test_env_file(tmp_path, monkeypatch):
     (tmp_path / ".env").write_text("# a comment\nTOP_K=7\nexport LLM_MODEL='one'\nEMBED_BASE_URL = http://h:1/v1\nbroken\nCHUNK_SIZE=300\n")
     monkeypatch.setenv("TOP_K", "9")
