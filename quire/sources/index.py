@@ -107,7 +107,7 @@ class ChunkIndex:
         if not names:
             return self.spark.createDataFrame([], f"{SCHEMAS[kind]}, segment string, file string, at long")
         rows = self.spark.read.schema(SCHEMAS[kind]).parquet(*[f"{self.path}/segments/{n}/{kind}" for n in names])
-        segment = F.regexp_extract("_metadata.file_path", r"/segments/([0-9a-f]+)/", 1)
+        segment = F.regexp_extract("_metadata.file_path", r"^.*/segments/([0-9a-f]+)/", 1)
         rows = rows.select("*", segment.alias("segment"), F.col("_metadata.file_name").alias("file"), (F.col("_metadata.row_index") + 1).alias("at"))
         if not manifest["bitmaps"]:
             return rows
@@ -236,7 +236,10 @@ class ChunkIndex:
         self._commit(manifest | {"segments": segments + made, "bitmaps": bitmaps, "blocks": manifest["blocks"] + gone["blocks"], "stale": staged})
         due = to_compact(segments + made, manifest["blocks"] + gone["blocks"])
         if due or len(bitmaps) >= SEGMENTS:
-            self.compact(due)
+            try:
+                self.compact(due)
+            except IndexConflict:  # the change is in force; the writer that came first, or the next one, will compact
+                pass
 
     def compact(self, names: list[str] | None = None) -> None:
         """Rewrite segments (all of them, if none are named) as one without what is gone, and gather the bitmaps of the others in one table."""
