@@ -424,7 +424,7 @@ def _model(learn: DataFrame) -> tuple[Codes, Mixer, Counts, int, int]:
     mixer = Mixer(n, ones)
     del slots, heavy
     if total:
-        dealt = units.select("word", "cue", "n", "token").repartition(tasks, "word", "cue").sortWithinPartitions(F.xxhash64("word", "cue"), "word", "cue")
+        dealt = units.select("word", "cue", "n", "token").repartition(max(1, n_units // UNITS_A_TASK), "word", "cue").sortWithinPartitions(F.xxhash64("word", "cue"), "word", "cue")
         got = dealt.mapInArrow(_learner(codes, mixer, counts), "slot int, value double, visits double").groupBy("slot").agg((F.sum("value") / F.sum("visits")).alias("mean")).toArrow()
         value = np.concatenate([mixer.weight.ravel(), mixer.refine, mixer.trust])
         value[got["slot"].to_numpy()] = got["mean"].to_numpy()
