@@ -1,6 +1,7 @@
 """Choosing material that covers a corpus: clustering, apportionment and diverse picks.
 
-Candidates are rows (ord, id, source, text, embedding); ``ord`` settles every tie. Vectors stay in the executors. Clustering
+Candidates are rows (ord, id, source, text, embedding); ``ord`` settles every tie. Vectors stay in the executors. Of texts, only their length counts: candidates that come
+from a join may carry ``chars``, taken below it, and then no text is shuffled. Clustering
 runs over any number of groups of rows (``g``) at once. It writes the points (g, ord, embedding) once and then reads as little of them as bounds allow:
 
 * A row's likeness to the nearest seed only grows as seeds are added. So a pass brings the AHEAD rows of each group that are least like all seeds, and seeds are
@@ -35,6 +36,10 @@ LANES, PARTIALS, AHEAD = 16, 256, 256
 MARGIN = 1e-9  # of a gap, for rounding
 
 
+def _chars(rows: DataFrame) -> Column:
+    return F.col("chars") if "chars" in rows.columns else F.length("text")
+
+
 def substantial(candidates: DataFrame, count: int, least: int = SELECTABLE_CHARS) -> DataFrame:
     """Rows of at least ``least`` characters; if they are fewer than ``count``, the ``count`` longest of all."""
     kept = candidates.filter(F.length("text") >= least)
@@ -338,51 +343,85 @@ def best_of(members: DataFrame, *by: str) -> DataFrame:
 def representatives(members: DataFrame, by: str) -> DataFrame:
     """(by, rep) with the mean vector of each group as its centre; the groups are few."""
     centred = members.join(F.broadcast(centroid(members, by)), by)
-    return best_of(centred.withColumn("fit", weighted(V.dot("embedding", "centroid"))).withColumn("preview", T.preview("text")), by)
+    return best_of(centred.withColumn("fit", weighted(V.dot("embedding", "centroid"), _chars(members))).withColumn("preview", T.preview("text")), by)
 
 
 @dataclass
 class Clustering:
-    """topics: (topic, rep_ord, rep_id, size, weight, label), heaviest first by topic number; members: the candidates with ``topic`` and ``representative``; read: the rows that each round read."""
+    """topics: (topic, rep_ord, rep_id, size, weight, label), heaviest first by topic number; members: the candidates with ``topic`` and ``representative``; read: the rows that each round read.
+
+    narrow: (topic, ord, chars, embedding) of all members, if it was kept; ``among`` gives the members with some ords, which a join below takes as a filter of its inputs.
+    """
 
     topics: DataFrame
     members: DataFrame
     read: list[int] = field(default_factory=list)
+    narrow: DataFrame | None = None
+    among: Callable[[list[int]], DataFrame] | None = None
 
 
 def _topics(members: DataFrame) -> DataFrame:
-    """The groups in ``seed`` of (seed, ord, id, source, preview, fit), numbered by (weight, size) descending, then seed."""
-    by_source = members.groupBy("seed", "source").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("ord", "id", "preview", "fit"), F.struct("fit", -F.col("ord"))).alias("rep"))
+    """The groups in ``seed`` of (seed, ord, id, source, fit), numbered by (weight, size) descending, then seed."""
+    by_source = members.groupBy("seed", "source").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("ord", "id", "fit"), F.struct("fit", -F.col("ord"))).alias("rep"))
     groups = by_source.groupBy("seed").agg(F.sum("n").alias("size"), F.count("source").alias("weight"), F.max_by("rep", F.struct("rep.fit", -F.col("rep.ord"))).alias("rep"))
     order = Window.orderBy(F.desc("weight"), F.desc("size"), "seed")  # a row for each topic
-    return groups.withColumn("topic", F.row_number().over(order)).select("topic", "seed", F.col("rep.ord").alias("rep_ord"), F.col("rep.id").alias("rep_id"), "size", "weight", F.col("rep.preview").alias("label"))
+    return groups.withColumn("topic", F.row_number().over(order)).select("topic", "seed", F.col("rep.ord").alias("rep_ord"), F.col("rep.id").alias("rep_id"), "size", "weight")
 
 
-def cluster(candidates: DataFrame, count: int) -> Clustering:
+def cluster(candidates: DataFrame, count: int, keep: bool = False) -> Clustering:
     """At most ``count`` topics of the substantial candidates: spread seeds, then up to ROUNDS rounds of nearest centre by dot product with plain means.
 
-    Topics without members vanish. If ``count`` reaches the pool's size, every row is a topic, the longest text first.
+    Topics without members vanish. If ``count`` reaches the pool's size, every row is a topic, the longest text first. Candidates are read once, without their texts.
+    keep: for pick_within(), the narrow table of members stays until the scratch() around ends.
     """
-    pool = candidates.filter(F.length("text") >= SELECTABLE_CHARS)
-    n = pool.limit(count + 1).count() if count > 0 else -1
-    if n <= max(count, 0):
-        pool = pool if n == count > 0 else candidates.orderBy(F.desc(F.length("text")), "ord").limit(max(count, 0))
-        rank = F.row_number().over(Window.orderBy(F.desc(F.length("text")), "ord"))
-        single = pool.withColumn("topic", rank).withColumn("representative", F.lit(True))
-        topics = single.select("topic", F.col("ord").alias("rep_ord"), F.col("id").alias("rep_id"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("weight"), T.preview("text").alias("label"))
-        return Clustering(topics, single)
-    grouped = pool.withColumn("g", F.lit(0).cast("long"))
+    chars = _chars(candidates)
+    pool = candidates.filter(chars >= SELECTABLE_CHARS)
     with scratch():
-        narrow = kept(grouped.select("g", "ord", "id", "source", "embedding", F.length("text").alias("chars"), T.preview("text").alias("preview")), "narrow")
+        n, narrow = -1, None
+        if count > 0:
+            narrow = kept(pool.select(F.lit(0).cast("long").alias("g"), "ord", "id", "source", "embedding", chars.alias("chars")), "narrow")
+            n = narrow.limit(count + 1).count()
+        if n <= max(count, 0):
+            pool = pool if n == count > 0 else candidates.orderBy(F.desc(chars), "ord").limit(max(count, 0))
+            rank = F.row_number().over(Window.orderBy(F.desc(chars), "ord"))
+            single = pool.withColumn("topic", rank).withColumn("representative", F.lit(True))
+            topics = single.select("topic", F.col("ord").alias("rep_ord"), F.col("id").alias("rep_id"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("weight"), T.preview("text").alias("label"))
+            return Clustering(topics, single)
         used, centres, read = _clustered(narrow, {0: count})
-        topics = kept(_topics(_placed(narrow, used, centres, F.col("chars"))), "topics", stay=True)
-    members = _placed(grouped, used, centres, F.length("text")).join(F.broadcast(topics.select("seed", "topic", "rep_ord")), "seed")  # ``count`` rows
-    return Clustering(topics.drop("seed"), members.withColumn("representative", F.col("ord") == F.col("rep_ord")).drop("g", "seed", "fit", "rep_ord"), read)
+        found = _topics(_placed(narrow, used, centres, F.col("chars")))
+        rows = found.collect()  # ``count`` rows, as there are centres
+        shown = pool.filter(F.col("ord").isin([r.rep_ord for r in rows])).select("ord", T.preview("text").alias("label"))
+        labels = {r.ord: r.label for r in shown.collect()}
+        topics = narrow.sparkSession.createDataFrame([(*r, labels[r.rep_ord]) for r in rows], found.withColumn("label", F.lit("")).schema)
+        named = {r.seed: (r.topic, r.rep_ord) for r in rows}
+
+        def among(ords: list[int] | None = None) -> DataFrame:
+            return _named(pool if ords is None else pool.filter(F.col("ord").isin(ords)), used[0], named)
+
+        table = kept(_named(narrow.select("ord", "chars", "embedding"), used[0], named).select("topic", "ord", "chars", "embedding"), "members", stay=True) if keep else None
+    return Clustering(topics.drop("seed"), among(), read, table, among)
+
+
+def _named(rows: DataFrame, used: np.ndarray, named: dict[int, tuple[int, int]]) -> DataFrame:
+    """``rows`` with the ``topic`` of the centre that is nearest, and whether a row is its ``representative``."""
+    topic, rep = (np.array([named.get(s, (0, 0))[i] for s in range(len(used))], np.int64) for i in (0, 1))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = _dots(_matrix(b), used).argmax(1) if b.num_rows else np.zeros(0, np.int64)
+            mine = b.column(b.schema.get_field_index("ord")).to_numpy() == rep[at]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(topic[at], pa.int32()), pa.array(mine)], names=[*b.schema.names, "topic", "representative"])
+
+    from pyspark.sql import types as P
+
+    return rows.mapInArrow(place, P.StructType([*rows.schema.fields, P.StructField("topic", P.IntegerType()), P.StructField("representative", P.BooleanType())]))
 
 
 def spread(candidates: DataFrame, count: int) -> DataFrame:
     """The representatives of ``count`` topics."""
-    return cluster(candidates, count).members.filter("representative").orderBy("topic")
+    found = cluster(candidates, count)
+    members = found.among([t.rep_ord for t in found.topics.collect()]) if found.among else found.members
+    return members.filter("representative").orderBy("topic")
 
 
 def allocate(topics: DataFrame, slots: int) -> DataFrame:
@@ -397,14 +436,20 @@ def allocate(topics: DataFrame, slots: int) -> DataFrame:
     return out.filter(F.col("first") <= max(slots, 0)).withColumn("slots", mine.cast("long")).drop("spare", "exact", "part", "left", "rank", "first")
 
 
-def pick_within(members: DataFrame, slots: dict[int, int]) -> DataFrame:
-    """Of ``members`` (with ``topic`` and ``representative``), as many rows of each topic as ``slots`` says, chosen apart, from the substantial ones if they suffice.
+def pick_within(members: DataFrame | Clustering, slots: dict[int, int]) -> DataFrame:
+    """Of ``members`` (with ``topic`` and ``representative``, or of a clustering that kept its narrow table), as many rows of each topic as ``slots`` says, chosen apart, from the substantial ones if they suffice.
 
     A topic that has no more rows gives all, and one slot takes the representative; otherwise a topic may give fewer. All topics are worked on
     in the same passes, however large they are, over (topic, ord, chars, embedding) written once. What is picked is told by ord: a number for each slot.
     """
+    found = members if isinstance(members, Clustering) else None
+    if found and found.narrow is None:
+        found, members = None, found.members
     with scratch():
-        narrow = kept(members.select(F.col("topic").cast("long").alias("g"), "ord", F.length("text").alias("chars"), "embedding"), "narrow")
+        if found:
+            narrow = found.narrow.select(F.col("topic").cast("long").alias("g"), "ord", "chars", "embedding")
+        else:
+            narrow = kept(members.select(F.col("topic").cast("long").alias("g"), "ord", _chars(members).alias("chars"), "embedding"), "narrow")
         size = {r.g: r for r in narrow.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("chars") >= SELECTABLE_CHARS).alias("long")).collect()}  # a row a topic
         slots = {t: n for t, n in slots.items() if n > 0 and t in size}
         whole = [t for t, n in slots.items() if size[t].n <= n]
@@ -425,6 +470,10 @@ def pick_within(members: DataFrame, slots: dict[int, int]) -> DataFrame:
             pool = enough.filter(F.col("g").isin(list(apart)))
             used, centres, _ = _clustered(pool, apart)
             ords += [r.ord for r in best_of(_placed(pool, used, centres, F.col("chars")), "g", "seed").select("rep.ord").collect()]
+        if found:  # all that is picked, by ord: at most as many as there are slots
+            given = [r.ord for r in narrow.filter(F.col("g").isin(whole)).select("ord").collect()] if whole else []
+            shown = [r.rep_ord for r in found.topics.filter(F.col("topic").isin(single)).collect()] if single else []
+            members = found.among([*ords, *given, *shown])
     return members.filter(F.col("topic").isin(whole) | (F.col("topic").isin(single) & F.col("representative")) | F.col("ord").isin(ords))
 
 
@@ -474,9 +523,10 @@ def gather_material(candidates: DataFrame, count: int, vector: list[float] | Non
         hits = search(candidates, vector, max(pool, count), pool).select("ord")
         picked = mmr(candidates.join(F.broadcast(hits), "ord", "left_semi"), vector, count, diversity)
     else:
-        found = cluster(candidates, min(count, MOST_TOPICS))
-        shares = allocate(found.topics, count).collect()  # MOST_TOPICS rows at most
-        picked = pick_within(found.members, {t.topic: t.slots for t in shares})
+        with scratch():
+            found = cluster(candidates, min(count, MOST_TOPICS), keep=True)
+            shares = allocate(found.topics, count).collect()  # MOST_TOPICS rows at most
+            picked = pick_within(found, {t.topic: t.slots for t in shares})
     order = ["source", "page", "ord"] if "page" in candidates.columns else ["source", "ord"]
     return picked.select(*candidates.columns).orderBy(*order)
 

@@ -49,9 +49,9 @@ TURN_PAGES = "turn_pages as (select conv_id::varchar as source, turn + 1 as page
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a vector as chunks of one page."""
+    """Documents with a vector as chunks of one page; lengths are taken below the join, so that texts are not shuffled for them."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), "embedding", "label")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), "source", "text")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), "source", "text", F.length("text").alias("chars"))
     return e.join(d, "ord").withColumn("page", (F.col("ord") % 7 + 1).cast("long"))
 
 

@@ -152,3 +152,32 @@ def test_pick_within_short_rows(spark):
     members = spark.createDataFrame(rows, SCHEMA + ", topic int, representative boolean")
     pick = lambda n: sorted(r.ord for r in S.pick_within(members, {1: n}).collect())
     assert pick(0) == [] and pick(1) == [0] and pick(2) == [3, 4] and pick(3) == [3, 4, 5] and pick(9) == list(range(6))
+
+
+def _shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("query", ["gather_material"])
+def test_picks_shuffle_no_texts(spark, tmp_path, query):
+    """The join of texts and vectors is made once, without the texts; what is picked is the same as by a broadcast join."""
+    from quire.plans import vector_queries as Q
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(300, 8)).astype(np.float32)
+    text = [rng.integers(33, 127, 20_000, dtype=np.uint8).tobytes().decode() for _ in range(300)]
+    spark.createDataFrame([(i, t, f"s{i % 5}") for i, t in enumerate(text)], "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, e.tolist(), i % 3) for i, e in enumerate(v)], "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = sorted(map(tuple, Q.QUERIES[query](spark, str(tmp_path)).collect()))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = _shuffled(spark)
+        got = sorted(map(tuple, Q.QUERIES[query](spark, str(tmp_path)).collect()))
+        moved = _shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert got == want and moved < 0.3 * sum(map(len, text)), moved
