@@ -213,8 +213,9 @@ def spread(spark, sf_dir):
 @query(f"with {_topics_sql(6)}, shares as (select topic, 3 as slots from topics), {_picks_sql(3)} select p.ord, n.topic, n.source from picks p join named n on n.ord = p.ord")
 def pick_within(spark, sf_dir):
     """Three rows of every topic, chosen apart."""
-    found = S.cluster(B.vectors(spark, sf_dir), 6)
-    return S.pick_within(found.members, dict.fromkeys(range(1, 7), 3)).select("ord", "topic", "source")
+    with W.scratch():
+        found = S.cluster(B.vectors(spark, sf_dir), 6, keep=True)
+        return S.pick_within(found, dict.fromkeys(range(1, 7), 3)).select("ord", "topic", "source")
 
 
 def _mmr_sql(k: int, diversity: float = 0.6) -> str:

@@ -161,7 +161,7 @@ def _shuffled(spark):
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("query", ["gather_material"])
+@pytest.mark.parametrize("query", ["gather_material", "pick_within"])
 def test_picks_shuffle_no_texts(spark, tmp_path, query):
     """The join of texts and vectors is made once, without the texts; what is picked is the same as by a broadcast join."""
     from quire.plans import vector_queries as Q
