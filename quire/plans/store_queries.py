@@ -92,13 +92,14 @@ def page_source(spark, sf_dir):
 def _halves(docs, mark):
     """Documents as sources of two chunks each, as the index takes them; the vector is the document's, or a short one of its own."""
     half = F.ceil(F.length("text") / 2).cast("int")
-    parts = F.array(F.substring("text", F.lit(1), half), F.concat(F.substring("text", half + 1, F.length("text")), F.lit(mark)))
-    rows = docs.select(F.col("doc_id").cast("string").alias("source"), F.posexplode(parts).alias("chunk_index", "text"), F.coalesce("embedding", F.array(F.lit(1.0).cast("float"))).alias("embedding"))
-    return rows.select("source", F.col("chunk_index").cast("long"), F.concat_ws("_", "source", "chunk_index").alias("id"), "text", F.lit(1).cast("long").alias("page"), F.lit(None).cast("long").alias("page_end"), F.lit(None).cast("string").alias("section"), "embedding")
+    part = F.when(F.col("chunk_index") == 0, F.substring("text", F.lit(1), half)).otherwise(F.concat(F.substring("text", half + 1, F.length("text")), F.lit(mark)))
+    vector = F.coalesce("embedding", F.array(F.lit(1.0).cast("float"))).alias("embedding")
+    rows = docs.select("source", F.explode(F.array(F.lit(0), F.lit(1))).alias("chunk_index"), "text", vector)  # not an array of texts, so that chunks are counted without them
+    return rows.select("source", F.col("chunk_index").cast("long"), F.concat_ws("_", "source", "chunk_index").alias("id"), part.alias("text"), F.lit(1).cast("long").alias("page"), F.lit(None).cast("long").alias("page_end"), F.lit(None).cast("string").alias("section"), "embedding")
 
 
 def _hashes(docs):
-    return docs.select(F.col("doc_id").cast("string").alias("source"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"), F.col("doc_id").alias("rank"))
+    return docs.select("source", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), F.col("doc_id").alias("rank"))
 
 
 @query("""with s as (select doc_id, doc_id::varchar as source, text, ceil(length(text) / 2)::int as half, doc_id % 3 = 0 as anew from documents where (doc_id % 2 = 0 or doc_id % 3 = 0) and doc_id % 5 <> 0),
@@ -107,13 +108,15 @@ select s.source, i as chunk_index, sha256(case when i = 0 then substr(text, 1, h
 from s join n on n.doc_id = s.doc_id left join embeddings on vec_id = s.doc_id, (values (0::bigint), (1::bigint)) as t(i)""")
 def index_changes(spark, sf_dir):
     """An index that takes in the documents divisible by 2, then those divisible by 3 (half of them again), and loses those divisible by 5; ``place`` is the order of ingestion of what is left."""
-    d = B.table(spark, sf_dir, "documents").select("doc_id", "text").join(B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    d = B.table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("source"), "text")
+    v = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("vec_id").cast("string").alias("source"), "embedding")
     index = I.ChunkIndex.open(spark, W.folder(spark, "index"), {}, create=True)
     for part, mark in (("doc_id % 2 = 0", ""), ("doc_id % 3 = 0", "!")):
-        index.replace(_halves(d.filter(part), mark), _hashes(d.filter(part)))
-    index.remove(d.filter("doc_id % 5 = 0").select(F.col("doc_id").cast("string").alias("source")))
-    place = index.places()
-    return index.chunks().join(place.select("source", "place"), "source").select("source", "chunk_index", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), F.size("embedding").alias("dimension"), "place")
+        both = d.filter(part).join(v.filter(part).drop("doc_id"), "source", "left")  # by source, as the index joins them on
+        index.replace(_halves(both, mark), _hashes(d.filter(part)))
+    index.remove(d.filter("doc_id % 5 = 0").select("source"))
+    chunks = index.chunks().select("source", "chunk_index", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), F.size("embedding").alias("dimension"))
+    return chunks.join(index.places().select("source", "place"), "source").select("source", "chunk_index", "hash", "dimension", "place")
 
 
 @query(r"with p as (select regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*/?', '') as path from pages), s as (select lower(regexp_extract(path, '[^/](\.[^./]+)$', 1)) as suffix from p) select suffix, count(*) as files from s where suffix not in ('', '.txt', '.pdf') group by suffix")

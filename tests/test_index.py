@@ -321,3 +321,30 @@ def test_stream_parts():
     seen = []
     assert M.collect_stream([{"choices": []}, part(reasoning="hm"), part(content="a"), part(content="b")], lambda *x: seen.append(x)) == "ab"
     assert seen == [(0, 1), (1, 1), (2, 1)]
+
+
+def test_changes_shuffle_texts_twice(spark, tmp_path):
+    """A change moves its texts to the vectors and to their files, and no more: not to count chunks, nor to number them, nor to hash them."""
+    import numpy as np
+
+    from quire.plans import store_queries as Q
+
+    rng = np.random.default_rng(5)
+    text = [rng.integers(33, 127, 20_000, dtype=np.uint8).tobytes().decode() for _ in range(300)]
+    spark.createDataFrame(list(enumerate(text)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [float(i), 1.0]) for i in range(0, 300, 2)], "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def shuffled():
+        gateway = spark.sparkContext._gateway
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        assert Q.QUERIES["index_changes"](spark, str(tmp_path)).count() == 2 * sum((i % 2 == 0 or i % 3 == 0) and i % 5 != 0 for i in range(300))
+        moved = (shuffled() - before) / sum(map(len, text))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert moved < 2.4, moved  # 2 * (1/2 + 1/3), and 1/3 of the segment that is compacted
