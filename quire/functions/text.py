@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: The rules below, down to the characters per token, must be just so for a page to be cleaned alike.
 #: Java's Unicode white space lacks the four separators U+001C..U+001F.
 BLANK = r"[\s\x1C-\x1F]"
+#: The same characters, one by one.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_BREAK = r"\R|[\x1C-\x1E]"
 BULLET = rf"(?U)^{BLANK}*([•●▪–—\-*·]|\d+[.)]|[a-z][.)]){BLANK}"
 FRAGMENT_CHARS = 32
@@ -25,7 +27,7 @@ def col(c: str | Column) -> Column:
 
 
 def strip(c: str | Column) -> Column:
-    return F.regexp_replace(col(c), rf"(?U)^{BLANK}+|{BLANK}+\z", "")
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def is_blank(c: str | Column) -> Column:
@@ -61,7 +63,7 @@ def carries_on(after: str | Column) -> Column:
     """Whether a text begins within a sentence."""
     b = strip(after)
     first = F.get(F.split(b, LINE_BREAK, 2), F.lit(0))
-    return (F.length(b) > 0) & ~is_bullet(first) & F.substring(b, 1, 1).rlike(r"^\p{IsLowercase}")
+    return (F.length(b) > 0) & F.substring(b, 1, 1).rlike(r"^\p{IsLowercase}") & ~is_bullet(first)  # only then is a line looked for
 
 
 def continues(before: str | Column, after: str | Column) -> Column:

@@ -29,12 +29,15 @@ CHUNK_TOKENS, OVERLAP_TOKENS = 250, 25
 MIN_CHUNK_CHARS = 40
 BACKTRACK, SHORT_TAIL = 0.35, 0.15
 GAP = re.compile(r"(?P<sentence>(?<=[.!?])\s+(?=[A-Z\"'“]))|\s+")
+SENTENCES = re.compile(r"(?<=[.!?])\s+(?=[A-Z\"'“])")
+NEXT = re.compile(r"(?<=\n)|(?<=\s)(?=\S)")
 WORD, SENTENCE, LINE, PARAGRAPH = 1, 2, 3, 4  # places where a cut may fall, weakest first
 
 
 def placed_pages(pages: DataFrame) -> DataFrame:
     """(source, page, segment, start, chars, n) of all non-blank pages: the run of pages whose text carries on, the page's offset in it, and its length; runs are joined by line breaks."""
     narrow = pages.filter(~T.is_blank("text")).select("source", "page", F.floor(F.col("page") / PAGE_BLOCK).alias("block"), F.length("text").cast("long").alias("chars"), T.leaves_open("text").alias("open"), T.carries_on("text").alias("on"))
+    narrow = kept(narrow, "pages")  # pages and blocks are made of these rows; texts are looked at once
     inside = Window.partitionBy("source", "block").orderBy("page")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     last = F.lag("open").over(inside)
@@ -68,10 +71,10 @@ def segments(pages: DataFrame) -> DataFrame:
     return _assembled(pages, placed_pages(pages))
 
 
-def break_places(text: str) -> tuple[list[int], dict[int, int]]:
-    """Offsets behind each break, ascending, and the strongest rank at each."""
+def break_places(text: str, begin: int = 0, stop: int | None = None) -> tuple[list[int], dict[int, int]]:
+    """Offsets behind each break, ascending, and the strongest rank at each; of a part of ``text`` that cuts no run of blanks."""
     rank: dict[int, int] = {}
-    for gap in GAP.finditer(text):
+    for gap in GAP.finditer(text, begin, len(text) if stop is None else stop):
         rank[gap.end()] = SENTENCE if gap["sentence"] else WORD
         lines = [gap.start() + i for i, c in enumerate(gap[0], 1) if c == "\n"]
         rank.update(dict.fromkeys(lines, LINE))
@@ -81,23 +84,62 @@ def break_places(text: str) -> tuple[list[int], dict[int, int]]:
 
 
 class Walk:
-    """Steps over the break places of a text, or of a part of it from offset ``base`` on; ``n`` is the length of the whole."""
+    """Steps over the break places of a text, or of a part of it from offset ``base`` on; ``n`` is the length of the whole.
+
+    Steps look for breaks near their targets alone. All places are found, once, where steps are many or a run of blanks is over CONTEXT.
+    """
 
     def __init__(self, text: str, base: int, n: int, size: int, overlap: int):
-        places, rank = break_places(text)
-        self.places, self.rank = [p + base for p in places], {p + base: r for p, r in rank.items()}
+        self.text, self.base, self.places = text, base, None
         self.n, self.size, self.overlap, self.reach, self.tail = n, size, overlap, int(size * BACKTRACK), int(size * SHORT_TAIL)
 
+    def find_all(self) -> None:
+        if self.places is None:
+            places, rank = break_places(self.text)
+            self.places, self.rank = [p + self.base for p in places], {p + self.base: r for p, r in rank.items()}
+
+    def _strongest(self, low: int, high: int) -> int | None:
+        """The last of the strongest breaks from ``low`` to ``high``, if there is one."""
+        if self.places is None:
+            text, a, b = self.text, max(low - self.base, 1), min(high - self.base, len(self.text))
+            begin, stop = a - 1, b
+            while begin > 0 and text[begin].isspace() and a - begin <= CONTEXT:
+                begin -= 1
+            while stop < len(text) and text[stop].isspace() and stop - b <= CONTEXT:
+                stop += 1
+            if a - begin <= CONTEXT >= stop - b:
+                if text.find("\n", begin, stop) >= 0:
+                    places, rank = break_places(text, begin, min(stop + 1, len(text)))
+                    near = [p for p in places if a <= p <= b]
+                    return max(near, key=lambda p: (rank[p], p)) + self.base if near else None
+                ends = [p for m in SENTENCES.finditer(text, begin, min(stop + 1, len(text))) if a <= (p := m.end()) <= b]
+                if ends:
+                    return ends[-1] + self.base
+                for p in range(b, a - 1, -1):
+                    if text[p - 1].isspace() and (p == len(text) or not text[p].isspace()):
+                        return p + self.base
+                return None
+            self.find_all()
+        near = self.places[bisect_left(self.places, low) : bisect_right(self.places, high)]
+        return max(near, key=lambda p: (self.rank[p], p)) if near else None
+
+    def _first(self, low: int, end: int) -> int:
+        """The first break from ``low`` on and before ``end``, or ``low``."""
+        if self.places is None:
+            at = max(low - self.base, 0)
+            found = NEXT.search(self.text, at, max(at, end - self.base))
+            return found.start() + self.base if found and found.start() + self.base < end else low
+        at = bisect_left(self.places, low)
+        return self.places[at] if at < len(self.places) and self.places[at] < end else low
+
     def step(self, start: int) -> tuple[int, int | None]:
         """(end, next start) of the span from ``start``; the last one has none, and takes a short tail along."""
         if self.n - start <= self.size:
             return self.n, None
-        places, target = self.places, start + self.size
-        near = places[bisect_left(places, max(start + 1, target - self.reach)) : bisect_right(places, target)]
-        end = max(near, key=lambda p: (self.rank[p], p)) if near else target
-        again = max(end - self.overlap, start + 1)
-        at = bisect_left(places, again)
-        following = places[at] if at < len(places) and places[at] < end else again
+        target = start + self.size
+        end = self._strongest(max(start + 1, target - self.reach), target)
+        end = target if end is None else end
+        following = self._first(max(end - self.overlap, start + 1), end)
         return (self.n, None) if self.n - following < self.tail else (end, following)
 
     def spans(self, start: int | None, stop: int) -> list[tuple[int, int]]:
@@ -111,6 +153,7 @@ class Walk:
 
     def exits(self, begin: int, stop: int, entries: int) -> np.ndarray:
         """For each of the ``entries`` places from ``begin`` on, how far behind ``stop`` the first span outside begins; -1: none does."""
+        self.find_all()
         known: dict[int, int] = {}
         out = np.full(entries, -1, np.int32)
         for i in range(min(entries, max(0, self.n - begin))):
@@ -280,7 +323,7 @@ def chunk_profile(chunks: DataFrame) -> DataFrame:
     """(source, chunks, min_chars, median_chars, max_chars, spanning), and the same over all with a null source."""
     from .pages import upper_median
 
-    n = chunks.select("source", F.length("text").alias("n"), "page_end")
+    n = kept(chunks.select("source", F.length("text").alias("n"), "page_end"), "lengths")  # chunks are cut once for both
     measures = [F.count(F.lit(1)).alias("chunks"), F.min("n").alias("min_chars"), upper_median("n").alias("median_chars"), F.max("n").alias("max_chars"), F.count("page_end").alias("spanning")]
     return n.groupBy("source").agg(*measures).unionByName(n.agg(*measures).select(F.lit(None).cast("string").alias("source"), "*"))
 

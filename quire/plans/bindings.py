@@ -24,8 +24,9 @@ line_pages as (select source, i + 1 as page, array_to_string(l[i * 3 + 1:i * 3 +
 def slice_pages(spark: SparkSession, sf_dir: str, size: int = 800) -> DataFrame:
     """Documents as files; 800 characters make a page."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), "text")
-    n = F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / size).cast("int")
-    return d.select("source", "text", F.explode(F.sequence(F.lit(0), n)).alias("i")).select("source", (F.col("i") + 1).cast("long").alias("page"), F.substring("text", F.col("i") * size + 1, F.lit(size)).alias("text"))
+    slices = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))  # in one pass over the text
+    pages = F.when(F.coalesce(F.col("text"), F.lit("")) == "", F.array("text")).otherwise(slices)
+    return d.select("source", F.posexplode(pages).alias("i", "text")).select("source", (F.col("i") + 1).cast("long").alias("page"), "text")
 
 
 SLICE_PAGES = "slice_pages as (select source, i + 1 as page, substr(text, i * 800 + 1, 800) as text from (select doc_id::varchar as source, text, unnest(range(0, (greatest(length(text), 1) - 1) // 800 + 1)) as i from documents))"

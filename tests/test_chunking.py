@@ -156,3 +156,47 @@ def test_empty(spark):
     df = spark.createDataFrame([], PAGES)
     assert C.chunk_documents(df).count() == 0
     assert C.chunk_profile(C.chunk_documents(df)).filter("chunks > 0").count() == 0
+
+
+def test_profile_cuts_once(spark):
+    """The measures of each document and those of all are taken from one pass over the chunks."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    chunks = spark.createDataFrame([("a", "xy", None), ("a", "x", 2), ("b", "xyz", None)], "source string, text string, page_end long").mapInArrow(count, "source string, text string, page_end long")
+    got = {r.source: (r.chunks, r.min_chars, r.median_chars, r.max_chars, r.spanning) for r in C.chunk_profile(chunks).collect()}
+    assert got == {"a": (2, 1, 2, 2, 1), "b": (1, 3, 3, 3, 0), None: (3, 1, 2, 3, 1)} and seen.value == 3
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab. \n!?\"“A　\x1c", max_size=500), st.integers(5, 80), st.integers(0, 40), st.integers(0, 30), st.sampled_from([3, 4096]))
+def test_steps_near_their_targets(text, size, overlap, base, context):
+    """A walk that looks for breaks near its targets takes the steps of one that knows all places."""
+    kept, C.CONTEXT = C.CONTEXT, context
+    try:
+        near, every = (C.Walk(text, base, base + len(text), size, min(overlap, size - 1)) for _ in range(2))
+        every.find_all()
+        assert near.spans(base, base + len(text)) == every.spans(base, base + len(text))
+    finally:
+        C.CONTEXT = kept
+
+
+def test_walk_reads_no_more_than_it_needs(monkeypatch):
+    monkeypatch.setattr(C, "break_places", lambda *a: 1 / 0)
+    assert len(C.spans("Some words. And more " * 500, 1000, 100)) > 10
+
+
+def test_slices_and_blanks(spark, tmp_path):
+    from quire.functions import text as T
+    from quire.plans import bindings as B
+
+    texts = [None, "", "\n" * 801, "é😀" * 401, "x" * 800, "a\r\n" * 600]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((int(r.source), r.page, r.text) for r in B.slice_pages(spark, str(tmp_path)).collect())
+    assert got == [(i, k // 800 + 1, t if t is None else t[k : k + 800]) for i, t in enumerate(texts) for k in range(0, max(len(t or ""), 1), 800)]
+    blanks = [(a + "x y" + b,) for a in T.BLANKS for b in ("", "\n ")] + [("​x",), ("᠎x",)]
+    assert [r[0] for r in spark.createDataFrame(blanks, "t string").select(T.strip("t")).collect()] == ["x y"] * (len(blanks) - 2) + ["​x", "᠎x"]
