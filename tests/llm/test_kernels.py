@@ -227,6 +227,73 @@ def test_mixing_model_without_training():
     assert mixer.log_p(spelling)[s.unit].tolist() == pytest.approx([-5 * 8 * math.log(2)] * 2 + [-8 * math.log(2)])
 
 
+def many_words(n=6000):
+    rng = random.Random(12)
+    return [" ".join("".join(rng.choice("abc") for _ in range(rng.choice((2, 6, 7, 8, 9)))) for _ in range(60)) for _ in range(n // 60)]
+
+
+def test_equal_bytes_in_equal_contexts_are_taken_apart_once(monkeypatch):
+    """Counting and pricing cost what the distinct events cost, not what the bytes of all words cost; the results are those of the words."""
+    m, texts, seen = mixing_model, many_words(), []
+    codes, mixer, counts = mixing_state(texts)
+    part = next(m._tokens(m._unit_counter(iter([pa.record_batch([pa.array(texts)], names=["text"])]))))
+    s = m._spelled(part, codes)
+    n, ones = np.zeros(m.N_SLOTS), np.zeros(m.N_SLOTS)
+    _, of, _, bit, slots = s.decisions(0, len(s.symbol))
+    for slot in slots:
+        np.add.at(n, slot, s.many[s.word[of]].astype(float))
+        np.add.at(ones, slot, s.many[s.word[of]] * bit.astype(float))
+    whole, prices = m.Slice(pa.array(texts)), mixer.log_p(s)
+    events = len(np.unique(s.event))
+    assert 3.5 * events < len(s.symbol)  # so that words would take more than ORDERS times as much
+
+    decisions = m.Spelling.decisions
+    monkeypatch.setattr(m.Spelling, "decisions", lambda self, a, b: seen.append(b - a) or decisions(self, a, b))
+    got = list(m._slot_counter(codes)(iter([part])))
+    for column, want in (("n", n), ("ones", ones)):
+        total = np.zeros(m.N_SLOTS)
+        for b in got:
+            total[b["slot"].to_numpy()] = b[column].to_numpy()
+        assert (total == want).all()
+    assert sum(seen) <= m.ORDERS * events
+    seen.clear()
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts), pa.array([False] * len(texts))], names=["doc_id", "text", "trained"])
+    priced = next(m._scorer(codes, mixer, counts)(iter([batch])))
+    assert sum(seen) <= events
+    by_key = dict(zip(m.mix(part["token"].to_numpy().view(U) + part["cue"].to_numpy().astype(U)).tolist(), prices.tolist(), strict=True))
+    spelled_out = np.array([by_key[k] for k in whole.key.tolist()])[whole.unit]
+    trust, share = mixer.trust[whole.cue], counts.of(whole.hash) / counts.total
+    want = np.add.reduceat(np.logaddexp(np.log(trust * share), spelled_out + np.log(1 - trust)), whole.first) / np.log(10)
+    assert priced["coded"].to_numpy() == pytest.approx(want, rel=1e-12)
+
+
+def test_units_and_slots_are_added_up_from_packed_rows(monkeypatch):
+    """Shard by shard, with little held at a time; words may be of any bytes, and the empty one."""
+    m, texts = mixing_model, [*many_words(1200), "", "\u00e9t\u00e9 \U0001f600 x", "the the a the " * 50]
+    monkeypatch.setattr(m, "UNITS_HELD", 40)
+    parts = [pa.record_batch([pa.array(t)], names=["text"]) for t in (texts[::2], texts[1::2], texts[:5])]
+    want, words, rows = {}, {}, []
+    for part in parts:
+        for b in m._unit_counter(iter([part])):
+            for word, cue, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                want[word, cue] = want.get((word, cue), 0) + n
+                words[word] = words.get(word, 0) + n * (cue != m.ALL_PHRASES)
+        rows += [b.slice(i, 1) for b in m._send_units(iter([part])) for i in range(b.num_rows)]
+    rows.sort(key=lambda r: r["shard"][0].as_py())
+    flat = pa.Table.from_batches(rows).combine_chunks().to_batches(max_chunksize=7)
+    out = list(m._add_units(iter(flat)))
+    got = [r for b in out for r in b.to_pylist()]
+    assert len(out) > 5 and len(got) == len(want) and {(r["word"], r["cue"]): r["n"] for r in got} == want
+    assert {w: c for w, c in words.items() if c} == {r["word"]: r["c"] for r in got if r["c"]} and sum(r["c"] > 0 for r in got) == len(words)
+
+    def counter(batches):
+        for _ in batches:
+            yield pa.record_batch([pa.array([3, 5000, 5001], pa.int32()), pa.array([7, 8, 9]), pa.array([0, 8, 1])], names=["slot", "n", "ones"])
+
+    sums = [tuple(r.values()) for b in m._add_slots(m._send_slots(counter)(iter(parts))) for r in b.to_pylist()]
+    assert sorted(sums) == [(3, 21, 0), (5000, 24, 24), (5001, 27, 3)]
+
+
 def test_codes_are_a_tree():
     codes = mixing_model.Codes(np.arange(256) ** 3.0)
     assert sum(2.0 ** -int(n) for n in codes.length) == 1 and codes.length[255] < codes.length[1]
